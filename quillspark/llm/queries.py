@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import read
 from quillspark.llm.near_dedup import near_duplicates
+from quillspark.llm.quality import quality_scores
+
+
+def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality_scores(docs.select("doc_id", "text"), labels, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +21,7 @@ def op4_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
 }
 

@@ -6,7 +6,7 @@ as a-z. Blocks hold about a megabyte of text, so that memory doesn't follow the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +61,33 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def word_spans(raw: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: What a run of one kind of byte counts as in a word's shape; other marks stand for themselves.
+_KIND = np.arange(256)
+_KIND[128:] = _KIND[97:123] = ord("a")
+_KIND[65:91] = ord("A")
+_KIND[48:58] = ord("0")
+
+
+def shape_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span's shape: runs of lower-case letters, capitals and digits count as one sign each, as do runs of one mark."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    kind = _KIND[raw]
+    turn = np.ones(len(raw), bool)
+    turn[1:] = kind[1:] != kind[:-1]
+    turn[starts] = True
+    up, down = powers(len(raw) + 1)
+    run = np.cumsum(turn) - 1
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(np.where(turn, _BYTE[kind] * up[run], np.uint64(0)), out=total[1:])
+    return mix((total[ends] - total[starts]) * down[run[starts]])
+
+
+def word_spans(raw: np.ndarray, firsts: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words; firsts: where texts begin in raw (a word doesn't run on into the next text)."""
-    gap = np.empty(len(raw) + 1, bool)
-    gap[0] = gap[-1] = True
-    body = _SPACE[raw]
-    before, after = gap[:-1].copy(), gap[1:].copy()
-    before[0], before[1:] = True, body[:-1]
+    body = gaps[raw]
+    before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
+    before[1:] = body[:-1]
     after[:-1] = body[1:]
     inner = firsts[(firsts > 0) & (firsts < len(raw))]
     before[inner] = True
@@ -120,20 +140,26 @@ class Texts:
 
     def words(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For each block: first text, after the last, word hashes, and the texts' bounds in these."""
+        for low, high, (hashes,), bounds in self.views(span_hashes):
+            yield low, high, hashes, bounds
+
+    def views(self, *views: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+        """As words(), with each view's number for every word; gaps: which bytes stand between words."""
         for low, high in self.blocks():
             base, end = int(self.starts[low]), int(self.ends[high - 1])
             raw, firsts = self.raw[base:end], self.starts[low:high] - base
-            hashes, at, places = [], 0, []
+            found, at, places = [[] for _ in views], 0, []
             while at < len(raw):
                 cut = _cut(raw, at)
                 part = raw[at:cut]
-                starts, ends = word_spans(part, firsts[(firsts >= at) & (firsts < cut)] - at)
-                hashes.append(span_hashes(part, starts, ends))
+                starts, ends = word_spans(part, firsts[(firsts >= at) & (firsts < cut)] - at, gaps)
+                for f, view in zip(found, views):
+                    f.append(view(part, starts, ends))
                 places.append(starts + at)
                 at = cut
             place = np.concatenate(places) if places else np.zeros(0, np.int64)
             bounds = np.append(np.searchsorted(place, firsts), len(place))
-            yield low, high, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), bounds
+            yield low, high, [np.concatenate(f) if f else np.zeros(0, np.uint64) for f in found], bounds
 
 
 _STEPS = stream(23, 64) | np.uint64(1)
