@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.common import read
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.quality import quality_scores
+from quillspark.llm.toxicity import toxicity_scores
 
 
 def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,15 @@ def op4_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return toxicity_scores(docs.select("doc_id", "text"), labels, threshold=0.5).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
+    "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
