@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import read
+from quillspark.llm.langid import predict_languages
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.quality import quality_scores
 from quillspark.llm.toxicity import toxicity_scores
@@ -26,10 +27,16 @@ def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs.select("doc_id", "text"), labels, threshold=0.5).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return predict_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
+    "op9_byte_cnn_langid": op9_byte_cnn_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
