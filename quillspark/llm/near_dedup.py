@@ -6,8 +6,9 @@ candidates; a collision-corrected estimate of the Jaccard similarity, with a mar
 them out; full shingle sets decide. BANDS x ROWS loses a pair at similarity 0.8 once in eight million.
 
 Hot groups: equal sets become one class first. In each bucket only (smallest member, member) pairs are
-proposed; what these join is one component, and a second pass proposes only pairs of a bucket that lie in
-different components, so that a group of n near copies costs about n pairs and still no link is lost.
+proposed, then (most central member, member) pairs; what these join is one component. What then still shares
+a bucket across components meets by its rarest shingles only. A group of n near copies costs about n pairs,
+texts that share a frequent passage cost none, and still no link is lost.
 """
 
 from __future__ import annotations
@@ -143,6 +144,34 @@ def _verify(percent: int):
     return run
 
 
+#: Counters that rank shingles by frequency, few or many texts alike: any ranking keeps the third pass exact.
+SLOTS = 1 << 20
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for v in batch.column(0):
+            counts += np.bincount((np.frombuffer(v.as_buffer(), np.uint64) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+    used = np.flatnonzero(counts)
+    for low in range(0, len(used), 1 << 16):
+        part = used[low : low + (1 << 16)]
+        yield pa.record_batch([pa.array(part, pa.int32()), pa.array(counts[part])], ["slot", "count"])
+
+
+def _prefixes(percent: int, counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, v in enumerate(batch.column("shingles")):
+                s = np.frombuffer(v.as_buffer(), np.uint64)
+                few = len(s) - -(-percent * len(s) // 100) + 1
+                order = np.lexsort((s, counts.value[(s >> np.uint64(44)).astype(np.int64)]))[:few]
+                same = [np.full(few, batch.column(k)[i].as_py()) for k in ("rep", "n", "part")]
+                yield pa.record_batch([pa.array(s[order].view(np.int64)), pa.array(np.arange(few, dtype=np.int32)), *map(pa.array, same)], ["token", "place", "rep", "n", "part"])
+
+    return run
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept: one row for each input row.
 
@@ -166,38 +195,65 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
         sketches.where("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(["rep", "n", "regs"]), "nodes"
     )
 
-    # Members of the buckets that hold several representatives.
+    # Members of the buckets that hold several representatives, and their full sets.
     bands = nodes.mapInArrow(_bands, "key long, rep long, n long")
     leads = bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).where("lead.rep < last").select("key", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
     members = scratch.table(bands.join(leads, "key"), "members")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = scratch.table(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
 
     def close(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Which of the pairs (a, b, na, nb) are links."""
+        """Which of the pairs (a, b, na, nb) are links: first by the sketches' estimate, then on full sets."""
         side = lambda k: nodes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}"))
         likely = scratch.table(pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).mapInArrow(_estimates(percent / 100), "a long, b long").distinct(), f"{name}-likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        sets = scratch.table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary"), f"{name}-sets")
         full = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}"))
         return scratch.table(likely.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
 
+    def open_members(parts: DataFrame) -> DataFrame:
+        """Members of buckets that still span several components."""
+        placed = members.select("key", "rep", "n").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
+        keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("together")).where("low < high").select("key", "together")
+        return placed.join(keys, "key")
+
+    # First pass: each bucket's smallest member with the others.
     star = members.where(f"rep <> lead AND {close('n', 'lead_n')}").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb")).distinct()
     links = confirmed(star, "star")
     parts = scratch.table(connected_components(links, scratch, "a", "b"), "parts")
 
-    # Buckets whose members still lie in several components: their other pairs, across components only.
-    placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "lead", F.coalesce("component", "rep").alias("part"))
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    mixed = scratch.table(placed.join(open_keys, "key").where("rep <> lead"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, F.expr(f"x.key = y.key AND x.rep < y.rep AND x.part <> y.part AND {close('x.n', 'y.n')}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    more = confirmed(across, "across")
-    parts = scratch.table(connected_components(links.union(more), scratch, "a", "b"), "components")
+    # Second pass: the member with most company in all its buckets, the original of scattered copies, with the others.
+    rest = scratch.table(open_members(parts), "open")
+    company = rest.groupBy("rep").agg(F.sum("together").alias("company"))
+    ranked = rest.join(company, "rep")
+    middle = ranked.groupBy("key").agg(F.max(F.struct("company", F.negative("rep").alias("minus"), "n", "part")).alias("m")).select("key", F.negative("m.minus").alias("a"), F.col("m.n").alias("na"), F.col("m.part").alias("pa"))
+    hub = rest.join(middle, "key").where(f"part <> pa AND {close('n', 'na')}").select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb")).distinct()
+    links = links.union(confirmed(hub, "hub"))
+    parts = scratch.table(connected_components(links, scratch, "a", "b"), "parts")
+
+    # Third pass, for what still shares a bucket across components: a pair at the threshold shares one of the
+    # (100 - percent) % rarest shingles of both sets, so that common passages propose nothing.
+    rest = open_members(parts).select("rep", "n", "part").distinct()
+    alone = scratch.table(rest.join(sets.withColumnRenamed("id", "rep"), "rep"), "alone")
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, count in alone.select("shingles").mapInArrow(_slot_counts, "slot int, count long").groupBy("slot").agg(F.sum("count")).toLocalIterator():
+        counts[slot] = count
+    prefix = scratch.table(alone.mapInArrow(_prefixes(percent, spark.sparkContext.broadcast(counts)), "token long, place int, rep long, n long, part long"), "prefixes")
+    # Of a shingle's components the most frequent one is only met by the others, never by itself.
+    per_part = prefix.groupBy("token", "part").count()
+    major = per_part.groupBy("token").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.part").alias("major"))
+    shared = prefix.join(major, "token")
+    x, y = shared.where("part <> major").alias("x"), shared.alias("y")
+    # What two sets can have in common from their first common shingle on must reach the threshold.
+    enough = f"least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n)"
+    met = x.join(y, F.expr(f"x.token = y.token AND x.part <> y.part AND {close('x.n', 'y.n')} AND {enough}"))
+    across = met.select(F.expr("least(struct(x.rep, x.n), struct(y.rep, y.n))").alias("p"), F.expr("greatest(struct(x.rep, x.n), struct(y.rep, y.n))").alias("q")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
+    links = links.union(confirmed(across, "across"))
+    parts = scratch.table(connected_components(links, scratch, "a", "b"), "components")
 
     named = sketches.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     out = scratch.table(named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
-    scratch.drop(sketches, members, mixed, nodes, classes, links, more, parts)
+    scratch.drop(sketches, members, sets, nodes, classes, alone, prefix)
     return out
