@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import read
 from quillspark.llm.langid import predict_languages
+from quillspark.llm.mixing import mix_plan
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.quality import quality_scores
 from quillspark.llm.toxicity import toxicity_scores
@@ -32,11 +33,52 @@ def op9_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS weight,
+         (source_size * 3)::DOUBLE AS room,
+         row_number() OVER (ORDER BY source IS NULL, source) AS rank
+  FROM sources
+), split AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(room) OVER w, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM ranked WINDOW w AS (ORDER BY room / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), chosen AS (
+  SELECT level FROM split WHERE level * weight <= room ORDER BY room / weight, rank LIMIT 1
+), targets AS (
+  SELECT source, source_size, CASE WHEN level IS NULL OR room < level * weight THEN room ELSE level * weight END AS target
+  FROM (SELECT split.source, source_size, room, weight, chosen.level FROM split LEFT JOIN chosen ON TRUE)
+), placed AS (
+  SELECT doc_id, source, size,
+         (sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+  FROM sized
+)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN source_size > 0 THEN (round(target)::BIGINT // source_size) ELSE 0 END * size
+   + greatest(0, least(size, round(target)::BIGINT
+       - CASE WHEN source_size > 0 THEN (round(target)::BIGINT // source_size) ELSE 0 END * source_size - start)))::BIGINT AS taken
+FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op9_byte_cnn_langid": op9_byte_cnn_langid,
+    "op3_curriculum_mix": op3_curriculum_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_curriculum_mix": OP3_SQL,
+}
