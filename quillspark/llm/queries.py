@@ -11,6 +11,7 @@ from quillspark.llm.langid import predict_languages
 from quillspark.llm.mixing import mix_plan
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.quality import quality_scores
+from quillspark.llm.tokens import tokenized
 from quillspark.llm.toxicity import toxicity_scores
 
 
@@ -71,10 +72,15 @@ FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
 """
 
 
+def op6_parquet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenized(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
+    "op6_parquet_token_ids": op6_parquet_token_ids,
     "op9_byte_cnn_langid": op9_byte_cnn_langid,
     "op3_curriculum_mix": op3_curriculum_mix,
 }
