@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import read
+from quillspark.llm.decontaminate import contained_items
 from quillspark.llm.langid import predict_languages
 from quillspark.llm.mixing import mix_plan
 from quillspark.llm.near_dedup import near_duplicates
@@ -20,6 +21,10 @@ def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs.select("doc_id", "text"), labels, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_parquet_token_ids": op6_parquet_token_ids,
     "op9_byte_cnn_langid": op9_byte_cnn_langid,
+    "op2_greedy_string_tiling": op2_greedy_string_tiling,
     "op3_curriculum_mix": op3_curriculum_mix,
 }
 
