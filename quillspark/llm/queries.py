@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.common import read
 from quillspark.llm.decontaminate import contained_items
 from quillspark.llm.langid import predict_languages
+from quillspark.llm.media import text_media
 from quillspark.llm.mixing import mix_plan
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.quality import quality_scores
@@ -81,12 +82,17 @@ def op6_parquet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(read(spark, sf_dir, "documents"))
 
 
+def op10_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_parquet_token_ids": op6_parquet_token_ids,
     "op9_byte_cnn_langid": op9_byte_cnn_langid,
+    "op10_media_archive": op10_media_archive,
     "op2_greedy_string_tiling": op2_greedy_string_tiling,
     "op3_curriculum_mix": op3_curriculum_mix,
 }
