@@ -13,6 +13,7 @@ from quillspark.llm.media import text_media
 from quillspark.llm.mixing import mix_plan
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.quality import quality_scores
+from quillspark.llm.secret_scan import secret_spans
 from quillspark.llm.tokens import tokenized
 from quillspark.llm.toxicity import toxicity_scores
 
@@ -35,6 +36,10 @@ def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs.select("doc_id", "text"), labels, threshold=0.5).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(read(spark, sf_dir, "documents"))
+
+
 def op9_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return predict_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_parquet_token_ids": op6_parquet_token_ids,
+    "op8_randomness_secret_scan": op8_randomness_secret_scan,
     "op9_byte_cnn_langid": op9_byte_cnn_langid,
     "op10_media_archive": op10_media_archive,
     "op2_greedy_string_tiling": op2_greedy_string_tiling,
