@@ -1,5 +1,70 @@
-"""A training corpus from documents."""
-STAGES = []
+"""A training corpus from documents: drop low quality, keep one of each near-duplicate group, drop texts that hold
+benchmark passages, mix the sources to target weights, and write token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the stage before it kept, and is
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm.common import read
+from quillspark.llm.decontaminate import decontaminated
+from quillspark.llm.mixing import mixed_documents
+from quillspark.llm.near_dedup import near_duplicates
+from quillspark.llm.quality import quality_scores
+from quillspark.llm.tokens import tokenized
+from quillspark.scratch import Scratch
+
+THRESHOLD = 0.3
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is THRESHOLD or more."""
+    scored = quality_scores(docs, read(spark, sf_dir, "labels"), THRESHOLD)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group, once; rows with a null id that are in no group stay."""
+    chosen = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(chosen, F.expr("doc_id <=> kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    return mixed_documents(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digest of the token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokenized(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", keep_one_of_each_group),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_token_ids),
+]
+
+#: A trained model and BPE aren't SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each written to the shared folder before the next reads it."""
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

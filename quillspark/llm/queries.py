@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.common import read
 from quillspark.llm.decontaminate import contained_items
 from quillspark.llm.langid import predict_languages
+from quillspark.llm.license_scan import license_matches
+from quillspark.llm.license_scan import oracle as license_sql
 from quillspark.llm.media import text_media
 from quillspark.llm.mixing import mix_plan
 from quillspark.llm.near_dedup import near_duplicates
@@ -36,6 +38,10 @@ def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs.select("doc_id", "text"), labels, threshold=0.5).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(read(spark, sf_dir, "documents"))
+
+
 def op8_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(read(spark, sf_dir, "documents"))
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_parquet_token_ids": op6_parquet_token_ids,
+    "op7_license_sentence_rules": op7_license_sentence_rules,
     "op8_randomness_secret_scan": op8_randomness_secret_scan,
     "op9_byte_cnn_langid": op9_byte_cnn_langid,
     "op10_media_archive": op10_media_archive,
@@ -105,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_curriculum_mix": OP3_SQL,
+    "op7_license_sentence_rules": license_sql(),
 }
