@@ -29,9 +29,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once; rows with a null id that are in no group stay."""
+    """The document with the smallest id of each near-duplicate group, once. Rows with a null id can't be named and stay."""
     chosen = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(chosen, F.expr("doc_id <=> kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(chosen, docs["doc_id"] == chosen["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id IS NULL"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

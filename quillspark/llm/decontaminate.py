@@ -103,35 +103,55 @@ class Seeds:
 _SCHEMA = "doc_id long, item_id long, item_words int, covered int, tiles int, longest int, reordered boolean, coverage double"
 
 
-def _scan(seeds, coverage: float):
+def _contained(s: Seeds, column: pa.Array, coverage: float) -> Iterator[tuple]:
+    """(row, item_id, item_words, covered, tiles, longest, reordered, coverage) for each text and item it contains."""
+    for low, _, (words,), bounds in Texts(column).views(span_hashes, gaps=_GAPS):
+        at, first, last = s.hits(rolling(words, s.size))
+        doc = np.searchsorted(bounds, at, "right") - 1
+        inside = at + s.size <= bounds[doc + 1]  # not across two texts
+        at, first, last, doc = at[inside], first[inside], last[inside], doc[inside]
+        edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)) if len(doc) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            d = int(doc[a])
+            own = words[bounds[d] : bounds[d + 1]]
+            for item, tiles in s.tiled(own, at[a:b] - bounds[d], first[a:b], last[a:b]):
+                covered, total = sum(t[2] for t in tiles), len(s.words[item])
+                if covered >= coverage * total:
+                    turned = [t[1] for t in sorted(tiles)]
+                    yield low + d, s.ids[item], total, covered, len(tiles), max(t[2] for t in tiles), turned != sorted(turned), covered / total
+
+
+def _report(seeds, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = seeds.value
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64()]
         for batch in batches:
-            rows = []
-            ids = batch.column(0)
-            for low, high, (words,), bounds in Texts(batch.column(1)).views(span_hashes, gaps=_GAPS):
-                at, first, last = s.hits(rolling(words, s.size))
-                if not len(at):
-                    continue
-                doc = np.searchsorted(bounds, at, "right") - 1
-                inside = at + s.size <= bounds[doc + 1]  # not across two texts
-                at, first, last, doc = at[inside], first[inside], last[inside], doc[inside]
-                edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
-                for a, b in zip(edges[:-1], edges[1:]):
-                    d = int(doc[a])
-                    own = words[bounds[d] : bounds[d + 1]]
-                    for item, tiles in s.tiled(own, at[a:b] - bounds[d], first[a:b], last[a:b]):
-                        covered, total = sum(t[2] for t in tiles), len(s.words[item])
-                        if covered >= coverage * total:
-                            turned = [t[1] for t in sorted(tiles)]
-                            rows.append((ids[low + d].as_py(), s.ids[item], total, covered, len(tiles), max(t[2] for t in tiles), turned != sorted(turned), covered / total))
-            columns = list(zip(*rows)) or [[] for _ in range(8)]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in _SCHEMA.split(", ")])
+            columns = list(zip(*_contained(seeds.value, batch.column(1), coverage))) or [[] for _ in range(8)]
+            ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
+            yield pa.record_batch([ids, *(pa.array(c, t) for c, t in zip(columns[1:], types))], [c.split()[0] for c in _SCHEMA.split(", ")])
 
     return run
 
 
+def _clean(seeds, coverage: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for found in _contained(seeds.value, batch.column(at), coverage):
+                keep[found[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, size: int, block_chars: int) -> Iterator[Seeds]:
+    """The benchmark's seeds in blocks of about block_chars characters; null and empty texts are left out."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
+    blocks = -(-(items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // block_chars)
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield Seeds(sorted(((r["item_id"], r["text"]) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), size)
+
+
 def contained_items(documents: DataFrame, benchmark: DataFrame, size: int = SEED, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, item_words, covered, tiles, longest, reordered, coverage: a row for each item a document contains.
 
@@ -142,21 +162,15 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, size: int = SEED
     spark = documents.sparkSession
     ship_code(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-total // block_chars)
-    found = []
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = sorted(((r["item_id"], r["text"]) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r))
-        found.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(Seeds(rows, size)), coverage), _SCHEMA))
+    found = [docs.mapInArrow(_report(spark.sparkContext.broadcast(seeds), coverage), _SCHEMA) for seeds in _blocks(benchmark, size, block_chars)]
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], _SCHEMA)
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, size: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that contain no item. Rows with a null doc_id stay where their text contains none.
-
-    Rows are judged by doc_id: of rows that share one, all go if one contains an item.
-    """
-    bad = contained_items(documents, benchmark, size, coverage).select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, F.expr("doc_id <=> bad_id"), "left_anti")
+def decontaminated(documents: DataFrame, benchmark: DataFrame, size: int = SEED, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of documents that contain no item, with all their columns. Each row is judged by its own text; cases as above."""
+    spark = documents.sparkSession
+    ship_code(spark)
+    out = documents
+    for seeds in _blocks(benchmark, size, block_chars):
+        out = out.mapInArrow(_clean(spark.sparkContext.broadcast(seeds), coverage, documents.columns.index("text")), documents.schema)
+    return out
