@@ -101,7 +101,7 @@ def total_loss(classification: Column, ordinal: Column, share: float) -> Column:
 def normalize(values: Column, mean: Column, std: Column, scale: float = 1.0) -> Column:
     """(x / scale - mean) / std by channel (X6); raises where a deviation isn't positive."""
     checked = F.when(F.exists(std, lambda s: s <= 0), F.raise_error(F.lit("std must be positive"))).otherwise(std)
-    return F.transform(F.arrays_zip(values.alias("x"), mean.alias("m"), checked.alias("s")), lambda z: (z["0"].cast("double") / scale - z["1"]) / z["2"])
+    return F.transform(values, lambda x, i: (x.cast("double") / scale - F.get(mean, i)) / F.get(checked, i))
 
 
 def class_activation(features: Column, weights: Column) -> Column:
@@ -144,7 +144,7 @@ def derive_seed(seed: int, tag: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """1536 -> 1.5 KB."""
+    """1536 -> 1.5 KB; halves go up, as the JVM formats them."""
     units = ("B", "KB", "MB", "GB", "TB")
     out = F.format_string("%.1f %s", size / 1024.0 ** (len(units) - 1), F.lit(units[-1]))
     for i, unit in reversed(list(enumerate(units[:-1]))):

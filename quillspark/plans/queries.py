@@ -674,7 +674,7 @@ def f2(spark, d):
     return read(spark, d, "documents").select("doc_id", C.hamming(part("text"), part("source")).cast("int").alias("distance"))
 
 
-@query("F3", "SELECT doc_id, upper(trim(source)) AS name, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) ELSE printf('%.1f KB', n_chars / 1024.0::DOUBLE) END AS size FROM documents WHERE n_chars < 1048576")
+@query("F3", "SELECT doc_id, upper(trim(source)) AS name, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) ELSE printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) END AS size FROM documents WHERE n_chars < 1048576")
 def f3(spark, d):
     return read(spark, d, "documents").where("n_chars < 1048576").select("doc_id", F.upper(F.trim("source")).alias("name"), C.human_bytes(F.col("n_chars")).alias("size"))
 
