@@ -5,6 +5,7 @@ battery of randomness tests (chi-squared uniformity over eight equal parts of th
 lag-one serial correlation), combined by Fisher's method into one statistic, low for random-looking tokens. Tokens of
 letters alone serve as the null population: a token's p-value is the share of null tokens, no longer than its length
 class allows, whose statistic is as low; Benjamini-Hochberg over all candidates then bounds the share of false finds.
+A find must also pass for random by itself: the battery's own p is PLAUSIBLE at least.
 What is collected is a table of (length class, statistic) bins with a fixed number of rows.
 """
 
@@ -31,6 +32,8 @@ CLASSES = (20, 24, 32, 48, 64)
 #: Bins of the statistic, half a unit wide; the last is open.
 BINS = 160
 FALSE_SHARE = 0.01
+#: Least p of the battery, as the statistic's quantile: chi-squared with 6 degrees of freedom exceeds 22.46 once in 1000.
+PLAUSIBLE = 22.46
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -136,7 +139,7 @@ def cutoffs(tokens: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, in
         rank += n
         if value * total <= false_share * rank:
             accepted = value
-    return {c: max((b for b in bins if p[c, b] <= accepted), default=-1) for c in range(len(CLASSES))}
+    return {c: max((b for b in bins if p[c, b] <= accepted and b <= 2 * PLAUSIBLE), default=-1) for c in range(len(CLASSES))}
 
 
 def _written(sorted_spans: Column) -> Column:
