@@ -77,7 +77,7 @@ def hex_bits(bits: np.ndarray) -> str:
 
 def dhash(image: np.ndarray, size: int = 8) -> str:
     """Whether each cell is darker than its right neighbour (M1)."""
-    small = resize(gray(image), size, size + 1)
+    small = resize(gray(image), size, size + 1).round(6)
     return hex_bits(small[:, 1:] > small[:, :-1])
 
 
@@ -86,7 +86,7 @@ def phash(image: np.ndarray, size: int = 8, base: int = 32) -> str:
     k = np.arange(base)
     dct = np.sqrt(2 / base) * np.cos(np.pi * (2 * k[None] + 1) * k[:, None] / (2 * base))
     dct[0] /= np.sqrt(2)
-    low = (dct @ resize(gray(image), base, base) @ dct.T)[:size, :size]
+    low = (dct @ resize(gray(image), base, base) @ dct.T)[:size, :size].round(6)
     return hex_bits(low > np.median(low.ravel()[1:]))
 
 
