@@ -12,8 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 CODE = str(Path(__file__).resolve().parents[1])
 
 
+#: Most bytes of an Arrow batch that a Python worker is handed, unless the session asks for less: with long texts, a
+#: limit on rows alone doesn't bound a worker's memory.
+ARROW_BYTES = 4 << 20
+
+
+def _bytes(value: str) -> int:
+    value = value.lower().removesuffix("b")
+    power = "kmgt".find(value[-1:]) + 1 if value[-1:].isalpha() else 0
+    return int(value[:-1] if power else value) * 1024**power
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers that see the repository import this package. On a cluster, pass it with --py-files."""
+    """Let Python workers that see the repository import this package (on a cluster, pass it with --py-files), in small batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key, "64m")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if CODE not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), CODE) if x)
