@@ -28,17 +28,19 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
 
-def windows(texts: Texts, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the texts low..high as a byte matrix padded with zeros, with each row's text and byte count."""
+def windows(texts: Texts, low: int, high: int, rows: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of the texts low..high as byte matrices of at most so many rows, padded with zeros, with each row's text and byte count."""
     size = texts.ends[low:high] - texts.starts[low:high]
     n = -(-size // WINDOW)
-    owner = np.repeat(np.arange(high - low), n)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    start = texts.starts[low:high][owner] + nth * WINDOW
-    used = np.minimum(WINDOW, texts.ends[low:high][owner] - start)
-    place = start[:, None] + np.arange(WINDOW)
-    inside = np.arange(WINDOW) < used[:, None]
-    return np.where(inside, texts.raw[np.minimum(place, len(texts.raw) - 1)], 0).astype(np.uint8), owner, used
+    owners = np.repeat(np.arange(high - low), n)
+    nths = np.arange(len(owners)) - np.repeat(np.cumsum(n) - n, n)
+    for k in range(0, len(owners), rows):
+        owner = owners[k : k + rows]
+        start = texts.starts[low:high][owner] + nths[k : k + rows] * WINDOW
+        used = np.minimum(WINDOW, texts.ends[low:high][owner] - start)
+        place = start[:, None] + np.arange(WINDOW)
+        inside = np.arange(WINDOW) < used[:, None]
+        yield np.where(inside, texts.raw[np.minimum(place, len(texts.raw) - 1)], 0).astype(np.uint8), owner, used
 
 
 class Network:
@@ -125,7 +127,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Network | None:
         if seen[lang] >= sample:
             continue
         seen[lang] += 1
-        x, _, _ = windows(Texts(pa.array([text.as_py()], pa.large_string())), 0, 1)
+        x = np.concatenate([part for part, _, _ in windows(Texts(pa.array([text.as_py()], pa.large_string())), 0, 1)])
         step = max(1, len(x) // WINDOWS_EACH)
         x = x[::step][:WINDOWS_EACH]
         xs.append(x)
@@ -158,11 +160,9 @@ def predict_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
             pred, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
             for low, high in texts.blocks(1 << 18) if net else ():
                 total, weight = np.zeros((high - low, len(net.classes))), np.zeros(high - low)
-                x, owner, used = windows(texts, low, high)
-                for k in range(0, len(x), 2048):
-                    logp, own, n = net.log_probabilities(x[k : k + 2048], tables), owner[k : k + 2048], used[k : k + 2048]
-                    np.add.at(total, own, logp * n[:, None])
-                    np.add.at(weight, own, n)
+                for x, owner, used in windows(texts, low, high):
+                    np.add.at(total, owner, net.log_probabilities(x, tables) * used[:, None])
+                    np.add.at(weight, owner, used)
                 mean = total / np.maximum(1, weight)[:, None]
                 prob = np.exp(mean - mean.max(axis=1, keepdims=True))
                 prob /= prob.sum(axis=1, keepdims=True)

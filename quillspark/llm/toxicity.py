@@ -68,7 +68,7 @@ def features(texts: Texts, wanted: np.ndarray | None = None) -> Iterator[tuple[i
             if wanted is not None:
                 use = wanted[index]
                 owner, index = owner[use], index[use]
-            keys.append((owner << BITS) | index)
+            keys.append((owner.astype(np.int64) << BITS) | index)
 
         owner = np.repeat(np.arange(high - low), np.diff(bounds))
         add(owner, mix(word))
@@ -76,7 +76,7 @@ def features(texts: Texts, wanted: np.ndarray | None = None) -> Iterator[tuple[i
         add(owner[1:][inside], mix(word[:-1] * _GRAM[6] + word[1:])[inside])
         base = int(texts.starts[low])
         raw = texts.raw[base : int(texts.ends[high - 1])]
-        byte_owner = np.repeat(np.arange(high - low), texts.ends[low:high] - texts.starts[low:high])
+        byte_owner = np.repeat(np.arange(high - low, dtype=np.int32), texts.ends[low:high] - texts.starts[low:high])
         if len(byte_owner) == len(raw):
             for at in range(0, len(raw), 1 << 20):  # a very long text in parts, each with the bytes that follow
                 part, own = raw[at : at + (1 << 20) + 4], byte_owner[at : at + (1 << 20) + 4]
