@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -18,22 +19,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.text import _BYTE, BLOCK, Texts, span_hashes, stream
 from quillspark.scratch import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
-#: Pieces whose ids a worker remembers; beyond it, it forgets all and goes on.
-REMEMBERED = 400_000
+#: Units whose ids a worker remembers (about 40 bytes each); beyond it, it forgets all and goes on.
+REMEMBERED = 1_000_000
 #: Bytes of a row group and of a page, before compression.
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SEEN = np.zeros(256, bool)
+_SEEN[33:127] = _SEEN[128:] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = _SEEN & ~_LETTER
+_MARK[128:] = False
+#: First bytes of the white space beyond ASCII, among others.
+_DOUBT = np.zeros(256, bool)
+_DOUBT[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_OTHER = stream(71, 256)
+
+
 class Encoder:
-    """encode() of whole texts by a byte-level BPE tokenizer that splits words before spaces.
+    """Ids of whole texts by a byte-level BPE tokenizer that splits words before spaces.
 
-    A single space between visible ASCII characters or letters always begins a new word there, so the ids of a text
-    are those of its pieces between such spaces, which recur and are remembered. Texts with other spaces or with
-    what looks like a special token are encoded whole.
+    The tokenizer never keeps a visible character together with white space after it, nor a letter with a mark or digit
+    after it, and it reads from left to right: between two such places a text is a unit of its own. Each unit is encoded
+    once and remembered by 128 bits of hash; texts are then looked up unit by unit. Texts that may hold other white space,
+    or what looks like a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -44,68 +61,167 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.ids: dict[str, bytes | None] = {}
+        self.forget()
 
-    @staticmethod
-    def plain(piece: str) -> bool:
-        ends = (piece[0], piece[-1]) if piece else ()
-        return bool(ends) and all("!" <= c <= "~" or c.isalpha() for c in ends) and "<|" not in piece
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces, each as it stands after a space: one call for many, cut where ids begin with a space."""
-        plain = [p for p in pieces if self.plain(p)]
-        self.ids.update(dict.fromkeys(set(pieces).difference(plain)))
-        for low in range(0, len(plain), 2000):
-            part = plain[low : low + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+    def forget(self) -> None:
+        self.slots = np.full(1 << 21, -1, np.int32)
+        self.n, self.used = 0, 0
+        self.one, self.two = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.ids = np.zeros(1 << 16, np.int32)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def find(self, one: np.ndarray) -> np.ndarray:
+        """Entries of hashes, -1 for unknown ones."""
+        out = np.full(len(one), -1, np.int64)
+        left, at = np.arange(len(one)), (one >> np.uint64(43)).astype(np.int64)
+        while len(left):
+            entry = self.slots[at].astype(np.int64)
+            hit = (entry >= 0) & (self.one[entry] == one[left])
+            out[left[hit]] = entry[hit]
+            on = (entry >= 0) & ~hit
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember units; one: distinct unknown hashes."""
+        end, used = self.n + len(one), self.used + len(ids)
+        while end > len(self.one):
+            self.one, self.two, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.one, self.two, self.start, self.size))
+        while used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        new = slice(self.n, end)
+        self.one[new], self.two[new], self.size[new] = one, two, sizes
+        self.start[new] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : used] = ids
+        left, at = np.arange(self.n, end), (one >> np.uint64(43)).astype(np.int64)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            on = self.slots[at] != left
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
+        self.n, self.used = end, used
+
+    def learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of units. Those of a space and visible characters go in one call, cut where ids begin with a space."""
+        sizes, parts = np.zeros(len(units), np.int64), []
+        joined = [i for i, u in enumerate(units) if u[0] == 32 and len(u) > 1 and _SEEN[u[1]] and u.count(b" ") == 1]
+        single = sorted(set(range(len(units))).difference(joined))
+        for low in range(0, len(joined), 4000):
+            part = joined[low : low + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(units[i] for i in part).decode()], add_special_tokens=False)[0].ids, np.int32)
             cuts = np.flatnonzero(self.begins[ids])
             if len(cuts) != len(part):
                 raise ValueError("the tokenizer doesn't begin a word at each space")
-            edges = (np.append(cuts, len(ids)) * 4).tolist()
-            raw = ids.tobytes()
-            self.ids.update(zip(part, (raw[a:b] for a, b in zip(edges, edges[1:]))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        split = [t.split(" ") for t in texts]
-        tails = [p[1:] for p in split]
-        self.learn(list(set().union(*tails).difference(self.ids)))
-        heads = [p[0] for p in split]
-        first = dict.fromkeys(heads)
-        for h, e in zip(first, self.tokenizer.encode_batch_fast(list(first), add_special_tokens=False)):
-            first[h] = np.array(e.ids, np.int32).tobytes()
-        out, get = [], self.ids.__getitem__
-        for text, head, tail in zip(texts, heads, tails):
-            if tail and not self.plain(head):
-                out.append(self.whole(text))
-                continue
-            try:
-                out.append(b"".join([first[head], *map(get, tail)]))
-            except TypeError:  # a piece that isn't plain
-                out.append(self.whole(text))
-        return out
+            sizes[part] = np.diff(cuts, append=len(ids))
+            parts.append(ids)
+        for e in self.tokenizer.encode_batch_fast([units[i].decode() for i in single], add_special_tokens=False) if single else ():
+            parts.append(np.array(e.ids, np.int32))
+        sizes[single] = [len(p) for p in parts[len(parts) - len(single) :]] if single else []
+        order = np.array(joined + single, np.int64)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        at = np.zeros(len(units), np.int64)
+        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        return gathered(flat, at, sizes), sizes
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        parts, counts = [], []
+        for low, high in texts.blocks():
+            raw = texts.raw[int(texts.starts[low]) : int(texts.ends[high - 1])]
+            firsts, lasts = (x[low:high] - texts.starts[low] for x in (texts.starts, texts.ends))
+            odd = self.odd(raw, firsts, lasts)
+            ids, n = self.looked_up(raw, firsts, lasts, odd)
+            if odd.any():
+                edges = np.append(0, np.cumsum(n))
+                rows = [self.whole(raw[firsts[i] : lasts[i]].tobytes().decode()) if odd[i] else ids[edges[i] : edges[i + 1]] for i in range(high - low)]
+                ids, n = np.concatenate(rows), np.array([len(x) for x in rows])
+            parts.append(ids)
+            counts.append(n)
+        return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    @staticmethod
+    def odd(raw: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+        """Which texts are encoded whole."""
+        bad = _DOUBT[raw]
+        bad[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)
+        total = np.append(0, np.cumsum(bad))
+        return total[lasts] > total[firsts]
+
+    def looked_up(self, raw: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many) of the texts that aren't odd; odd ones have none here."""
+        begins = np.zeros(len(raw), bool)
+        before, here = raw[:-1], raw[1:]
+        begins[1:] = (_SEEN[before] & _SPACE[here]) | (_LETTER[before] & _MARK[here])
+        begins[firsts[lasts > firsts]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(raw))
+        if odd.any():
+            full = np.flatnonzero(lasts > firsts)
+            use = ~odd[full[np.searchsorted(firsts[full], starts, "right") - 1]]
+            starts, ends = starts[use], ends[use]
+        low, out, sizes = 0, [], []
+        while low < len(starts):  # a very long text in parts
+            high = max(low + 1, int(np.searchsorted(ends, starts[low] + BLOCK, "right")))
+            base, end = int(starts[low]), int(ends[high - 1])
+            part, s, e = raw[base:end], starts[low:high] - base, ends[low:high] - base
+            entry = self.entries(part, s, e)
+            size = self.size[entry]
+            out.append(gathered(self.ids, self.start[entry], size))
+            sizes.append(size)
+            low = high
+        total = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
+        n = total[np.searchsorted(starts, lasts)] - total[np.searchsorted(starts, firsts)]
+        return np.concatenate(out) if out else np.zeros(0, np.int32), n
+
+    def entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        one, two = span_hashes(raw, starts, ends, _BYTE), span_hashes(raw, starts, ends, _OTHER)
+        if self.n + len(one) > REMEMBERED and self.n:
+            self.forget()
+        entry = self.find(one)
+        unknown = np.flatnonzero(entry < 0)
+        if len(unknown):
+            new, first = np.unique(one[unknown], return_index=True)
+            rows = unknown[first]
+            ids, sizes = self.learn([raw[a:b].tobytes() for a, b in zip(starts[rows].tolist(), ends[rows].tolist())])
+            self.add(new, two[rows], ids, sizes)
+            entry[unknown] = self.find(one[unknown])
+        if (self.two[entry] != two).any():
+            raise ValueError("two units share a 64-bit hash; encode this text whole")
+        return entry
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after another."""
+    end = np.cumsum(sizes)
+    total = int(end[-1]) if len(end) else 0
+    return values[np.arange(total) + np.repeat(starts - (end - sizes), sizes)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process: its tasks share what it remembers."""
+    return Encoder(path)
 
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, offset = Encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end], np.int32).tobytes()
+        own, shard, offset = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
-                ids = [x + tail for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                at = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-                yield pa.record_batch([part.column(0), pa.array(np.full(len(part), shard, np.int32)), pa.array(offset + at[:-1]), pa.array(n), lists], ["doc_id", "shard", "shard_offset", "n_tokens", "ids"])
+            for low in range(0, len(batch), 1024):
+                part = batch.slice(low, 1024)
+                flat, n = own.encode(Texts(part.column(1)))
+                at = np.append(0, np.cumsum(n + 1))
+                values = np.full(at[-1], end, np.int32)
+                inner = np.ones(at[-1], bool)
+                inner[at[1:] - 1] = False
+                values[inner] = flat
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+                yield pa.record_batch([part.column(0), pa.array(np.full(len(part), shard, np.int32)), pa.array(offset + at[:-1]), pa.array(n + 1), lists], ["doc_id", "shard", "shard_offset", "n_tokens", "ids"])
                 offset += int(at[-1])
 
     return run

@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 import pytest
@@ -17,6 +18,7 @@ from quillspark.llm.decontaminate import contained_items, decontaminated, tile
 from quillspark.llm.license_scan import HINT, RULES, SENTENCES, license_matches
 from quillspark.llm.mixing import TILTS, mix_plan, mixed_documents
 from quillspark.llm.secret_scan import ACCESS, ASSIGN, HEX, secret_spans
+from quillspark.llm.text import Texts
 from quillspark.llm.tokens import VOCABULARY, Encoder, tokenized, write_tokens
 
 
@@ -142,9 +144,13 @@ def test_encoder_equals_whole_encoding(tokenizer):
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\t", "a", "B", "é", "ñ", "1", "2", "'s", "'", "!", "<|endoftext|>", "<|", "\xa0", "　", "中", "\x1c", "́", "😀", "the", "ll"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    texts.append(" ".join(f"w{i} é" for i in range(300_000)))
     encoder = Encoder(VOCABULARY)
-    for t, ids in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(ids, np.int32).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    for _ in range(2):
+        ids, n = encoder.encode(Texts(pa.array(texts, pa.string())))
+        for t, own in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+            assert own.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:50])
+        encoder.forget()
 
 
 @pytest.mark.parametrize("delta", [False, True])
