@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import flags_when, integer_label, joined_flags
+from quillspark.operators.profile import percentiles
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,7 @@ def percentile_limit(df: DataFrame, column: str, percent: float) -> float | None
     """Linear percentile over measured rows; none outside (0, 100) or without rows (P5, T4, T5)."""
     if not 0 < percent < 100:
         return None
-    return df.agg(F.expr(f"percentile(`{column}`, {percent / 100!r})")).first()[0]
+    return percentiles(df, column, [percent / 100])[0]
 
 
 def quality(limits: dict[str, tuple[str, str, float | None]]) -> Rule:

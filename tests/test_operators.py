@@ -62,6 +62,16 @@ def test_describe_of_one_row_and_none(spark):
     assert [(r["metric"], r["std"], r["median"]) for r in rows] == [("a", 0.0, 3.0)]
 
 
+def test_located_percentiles_equal_buffered_ones(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([rng.gauss(0, 1), float(rng.randrange(5)), None]),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "x double")
+    shares = [0.001, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999]
+    assert profile.percentiles(df, "x", shares, buffered=0) == pytest.approx(profile.percentiles(df, "x", shares))
+    assert profile.describe(df, ["x"], buffered=0).first() == profile.describe(df, ["x"]).first()
+    assert profile.percentiles(df.limit(0), "x", [0.5]) == [None]
+
+
 def test_auc_is_null_without_both_classes(spark):
     one = spark.createDataFrame([(0.1, 1), (0.9, 1)], "s double, y int")
     assert evaluate.auc(one, F.col("s"), F.col("y") == 1).first()[0] is None
