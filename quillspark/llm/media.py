@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from quillspark.scratch import Scratch, ship_code
 
 ROLL, RANGE, READ_AHEAD = 64 << 20, 16 << 20, 4 << 20
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 512
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
 RETRIES = 3
 SCHEMA = "id long, note string, media binary, archive string, offset long, attempts int, error string"
 _LOCAL = struct.Struct("<4s5H3L2H")
