@@ -317,7 +317,10 @@ def a2(spark, d):
     return profile.totals(manifest(spark, d), ["split"])
 
 
-@query("A3", f"WITH {M} SELECT split, label, count(*) AS count FROM m GROUP BY ALL")
+GRID = "gc AS (SELECT s.split, c.label::INT AS label, coalesce(n, 0) AS count FROM (SELECT DISTINCT split FROM m) s CROSS JOIN range(5) c(label) LEFT JOIN (SELECT split, label, count(*) AS n FROM m GROUP BY ALL) f ON f.split = s.split AND f.label = c.label)"
+
+
+@query("A3", f"WITH {M}, {GRID} SELECT split, label, count FROM gc")
 def a3(spark, d):
     return profile.class_counts(manifest(spark, d), 5)
 
@@ -618,7 +621,7 @@ def w8(spark, d):
     return epochs.representative(grades(spark, d), [("correct", apart == 0), ("severe_error", apart >= 2), ("any_error", apart > 0)], "confidence", "key", 5).select("key", "bucket", "confidence")
 
 
-@query("W9", f"WITH {M} SELECT split, label, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY split), 4) AS share FROM m GROUP BY split, label")
+@query("W9", f"WITH {M}, {GRID} SELECT split, label, round_even(count::DOUBLE / sum(count) OVER (PARTITION BY split), 4) AS share FROM gc")
 def w9(spark, d):
     return splits.proportions(manifest(spark, d), 5)
 
