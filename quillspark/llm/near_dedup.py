@@ -237,8 +237,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     rest = open_members(parts).select("rep", "n", "part").distinct()
     alone = scratch.table(rest.join(sets.withColumnRenamed("id", "rep"), "rep"), "alone")
     counts = np.zeros(SLOTS, np.int64)
-    for slot, count in alone.select("shingles").mapInArrow(_slot_counts, "slot int, count long").groupBy("slot").agg(F.sum("count")).toLocalIterator():
-        counts[slot] = count
+    found = alone.select("shingles").mapInArrow(_slot_counts, "slot int, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
+    counts[found["slot"].to_numpy()] = found["count"].to_numpy()  # SLOTS rows at most
     prefix = scratch.table(alone.mapInArrow(_prefixes(percent, spark.sparkContext.broadcast(counts)), "token long, place int, rep long, n long, part long"), "prefixes")
     # Of a shingle's components the most frequent one is only met by the others, never by itself.
     per_part = prefix.groupBy("token", "part").count()

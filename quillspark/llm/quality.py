@@ -55,6 +55,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     for chunk in table["text"].chunks:
         for low, high, of, index, value in features(Texts(chunk)):
             edges = np.searchsorted(of, np.arange(high - low + 1))
+            index, value = index.astype(np.int32), value.astype(np.float32)
             rows += [(index[a:b], value[a:b]) for a, b in zip(edges[:-1], edges[1:])]
     model = Ftrl(1 << BITS, alpha=0.5, l1=0.3, l2=0.1)
     model.fit(rows, labels, ROUNDS)
