@@ -198,6 +198,62 @@ def circular_crop(image: np.ndarray) -> np.ndarray:
     return image * inside[:, :, None].astype(np.uint8)
 
 
+def _equalized(plane: np.ndarray, clip: float, tiles: int) -> np.ndarray:
+    """Contrast-limited equalisation of one uint8 plane: a clipped histogram for each tile, mixed linearly between tile centres."""
+    h, w = plane.shape
+    edges = [np.linspace(0, n, min(tiles, n) + 1).astype(int) for n in (h, w)]
+    ny, nx = len(edges[0]) - 1, len(edges[1]) - 1
+    tables = np.empty((ny, nx, 256))
+    for i in range(ny):
+        for j in range(nx):
+            cell = plane[edges[0][i] : edges[0][i + 1], edges[1][j] : edges[1][j + 1]]
+            count = np.bincount(cell.ravel(), minlength=256).astype(float)
+            limit = max(1.0, clip * cell.size / 256)
+            over = np.maximum(count - limit, 0).sum()
+            tables[i, j] = np.cumsum(np.minimum(count, limit) + over / 256) * 255 / cell.size
+    at = [np.clip((np.arange(n) + 0.5) * k / n - 0.5, 0, k - 1) for n, k in ((h, ny), (w, nx))]
+    low = [np.floor(a).astype(int) for a in at]
+    high = [np.minimum(lo + 1, k - 1) for lo, k in zip(low, (ny, nx))]
+    fy, fx = (at[0] - low[0])[:, None], (at[1] - low[1])[None, :]
+    pick = lambda y, x: tables[y[:, None], x[None, :], plane]
+    top = pick(low[0], low[1]) * (1 - fx) + pick(low[0], high[1]) * fx
+    bottom = pick(high[0], low[1]) * (1 - fx) + pick(high[0], high[1]) * fx
+    return np.clip(top * (1 - fy) + bottom * fy, 0, 255)
+
+
+def local_contrast(image: np.ndarray, mode: str = "lab", clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited equalisation of the green channel, or of the luminance (lab) or value (hsv) with colours kept in ratio."""
+    x = checked(image).astype(np.float64)
+    if mode == "green":
+        out = x.copy()
+        out[:, :, 1] = _equalized(image[:, :, 1], clip, tiles)
+    elif mode in ("lab", "hsv"):
+        light = gray(image) if mode == "lab" else x.max(axis=2)
+        ratio = _equalized(np.rint(light).astype(np.uint8), clip, tiles) / np.maximum(light, 1.0)
+        out = x * ratio[:, :, None]
+    else:
+        raise ImageError(f"unknown mode {mode}")
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def _blurred(x: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur by two one-dimensional passes with repeated borders."""
+    reach = max(1, int(3 * sigma + 0.5))
+    k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    k /= k.sum()
+    for axis in (0, 1):
+        p = np.pad(x, [(reach, reach) if a == axis else (0, 0) for a in range(x.ndim)], mode="edge")
+        n = x.shape[axis]
+        x = sum(k[i] * np.take(p, np.arange(i, i + n), axis=axis) for i in range(len(k)))
+    return x
+
+
+def even_light(image: np.ndarray, weight: float = 4.0, sigma: float = 10.0) -> np.ndarray:
+    """weight * image - weight * blurred + 128."""
+    x = checked(image).astype(np.float64)
+    return np.clip(np.rint(weight * x - weight * _blurred(x, sigma) + 128), 0, 255).astype(np.uint8)
+
+
 def channels_first(image: np.ndarray, mean, std) -> np.ndarray:
     if min(std) <= 0:
         raise ImageError("std must be positive")
@@ -281,8 +337,8 @@ def headers(files: DataFrame) -> DataFrame:
 
 
 #: Order in which deterministic steps must stand.
-CANONICAL = ("remove_border", "circular_crop", "resize", "normalize")
-STEPS = {"remove_border": remove_border, "circular_crop": circular_crop, "resize": letterbox, "normalize": channels_first}
+CANONICAL = ("remove_border", "circular_crop", "resize", "local_contrast", "even_light", "normalize")
+STEPS = {"remove_border": remove_border, "circular_crop": circular_crop, "resize": letterbox, "local_contrast": local_contrast, "even_light": even_light, "normalize": channels_first}
 
 
 def pipeline(image: np.ndarray, steps: dict[str, dict]) -> np.ndarray:

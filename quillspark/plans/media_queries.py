@@ -89,6 +89,96 @@ def x1(spark, d):
     return _measured(spark, d, run, "height int, width int, mean double")
 
 
+@query("M2")
+def m2(spark, d):
+    return _measured(spark, d, lambda x: (kernels.phash(x),), "phash string")
+
+
+@query("M5")
+def m5(spark, d):
+    return _measured(spark, d, lambda x: (kernels.sharpness(x, 64),), "sharpness_norm double")
+
+
+@query("M6")
+def m6(spark, d):
+    return _measured(spark, d, lambda x: (kernels.noise_sigma(x),), "noise_sigma double")
+
+
+@query("M8")
+def m8(spark, d):
+    return _measured(spark, d, lambda x: (kernels.padding_ratio(x, 100),), "padding_ratio double")
+
+
+@query("M12")
+def m12(spark, d):
+    def run(x: np.ndarray) -> tuple:
+        part = kernels.largest_component(kernels.majority(kernels.gray(x) > 100))
+        return (0 if part is None else int(part.sum()),)
+
+    return _measured(spark, d, run, "pixels int")
+
+
+@query("X2")
+def x2(spark, d):
+    return _measured(spark, d, lambda x: (float(kernels.circular_crop(x).mean()),), "mean double")
+
+
+@query("X3")
+def x3(spark, d):
+    return _measured(spark, d, lambda x: (*kernels.resize(x, 24, 24).shape[:2], float(kernels.resize(x, 24, 24).mean().round(6))), "height int, width int, mean double")
+
+
+@query("X4")
+def x4(spark, d):
+    return _measured(spark, d, lambda x: tuple(float(kernels.local_contrast(x[:64], m).mean()) for m in ("lab", "green", "hsv")), "lab double, green double, hsv double")
+
+
+@query("X5")
+def x5(spark, d):
+    return _measured(spark, d, lambda x: (float(kernels.even_light(x[:64]).mean()),), "mean double")
+
+
+@query("S8")
+def s8(spark, d):
+    """The table files themselves: name and size, from the file system's listing."""
+    files = manifests.listed_files(spark, d, "*.parquet")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes")
+
+
+@query("S14", "SELECT (i - 1)::INT AS channel, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY i")
+def s14(spark, d):
+    """Channel constants written as JSON and loaded."""
+    from quillspark.operators import profile
+
+    path = Scratch(spark, "s14").path("stats")
+    e = read(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("embedding"))
+    profile.channel_moments(e, "embedding").select("channel", r("mean").alias("mean")).write.json(path)
+    return spark.read.schema("channel int, mean double").json(path)
+
+
+@query("K5", f"WITH {M} SELECT split, label, count(*) AS count FROM m GROUP BY ALL")
+def k5(spark, d):
+    path = Scratch(spark, "k5").path("counts")
+    sinks.write_counts(manifest(spark, d).groupBy("split", "label").count(), path)
+    return spark.read.schema("split string, label int, count long").option("header", True).csv(path)
+
+
+@query("G1", "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 7 AS b FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey <> c_custkey // 7), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(n, m) AS (SELECT a, a FROM u UNION SELECT reach.n, u.b FROM reach JOIN u ON reach.m = u.a) SELECT n AS node, min(m) AS component FROM reach GROUP BY n")
+def g1(spark, d):
+    """A forest of customers, each linked to the one at a seventh of its key."""
+    from quillspark.operators.components import connected_components
+
+    links = read(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 7").alias("dst"))
+    return connected_components(links, Scratch(spark, "g1"))
+
+
+@query("G8", f"WITH {M} SELECT count(*) AS leaking FROM (SELECT md5 FROM m GROUP BY md5 HAVING count(DISTINCT split) > 1)")
+def g8(spark, d):
+    from quillspark.operators import splits
+
+    return splits.spanning_keys(manifest(spark, d), "md5").agg(F.count("*").alias("leaking"))
+
+
 @query("X9")
 def x9(spark, d):
     names = [n for _, n, _ in kernels.POLICY]

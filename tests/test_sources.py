@@ -114,6 +114,10 @@ def test_kernels():
         K.pipeline(flat, {"resize": {"size": 8}, "remove_border": {}})
     with pytest.raises(K.ImageError):
         K.channels_first(flat, (0, 0, 0), (1, 0, 1))
+    assert (K.local_contrast(flat, "green")[:, :, 0] == 100).all() and K.local_contrast(disc()).std() > 0 and K.local_contrast(disc(), "hsv").shape == disc().shape
+    assert (K.even_light(flat) == 128).all()
+    with pytest.raises(K.ImageError):
+        K.local_contrast(flat, "none")
     mask = np.zeros((6, 6), bool)
     mask[0, 0] = mask[1, 1] = mask[2, 2] = mask[4, 0] = mask[4, 1] = True
     assert K.largest_component(mask).sum() == 3
