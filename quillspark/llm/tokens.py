@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import _BYTE, BLOCK, Texts, span_hashes, stream
+from quillspark.llm.text import _BYTE, BLOCK, Texts, mix, span_hashes, stream
 from quillspark.scratch import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -180,6 +180,10 @@ class Encoder:
         one, two = span_hashes(raw, starts, ends, _BYTE), span_hashes(raw, starts, ends, _OTHER)
         if self.n + len(one) > REMEMBERED and self.n:
             self.forget()
+        return self.known(one, two, raw, starts, ends)
+
+    def known(self, one: np.ndarray, two: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entries of units, new ones learned. Units that share the first hash only get another one from both hashes."""
         entry = self.find(one)
         unknown = np.flatnonzero(entry < 0)
         if len(unknown):
@@ -188,8 +192,9 @@ class Encoder:
             ids, sizes = self.learn([raw[a:b].tobytes() for a, b in zip(starts[rows].tolist(), ends[rows].tolist())])
             self.add(new, two[rows], ids, sizes)
             entry[unknown] = self.find(one[unknown])
-        if (self.two[entry] != two).any():
-            raise ValueError("two units share a 64-bit hash; encode this text whole")
+        other = np.flatnonzero(self.two[entry] != two)
+        if len(other):
+            entry[other] = self.known(mix(one[other] ^ two[other]), two[other], raw, starts[other], ends[other])
         return entry
 
 
