@@ -238,12 +238,22 @@ def j3(spark, d):
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Two 60-bit simhashes over distinct lower-case tokens: a partial sum for each bit before the shuffle by document."""
+    """Two 60-bit simhashes over distinct lower-case tokens: partial sums before the shuffle by document."""
     tokens = read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("t"))
     hashed = tokens.select("doc_id", F.md5(F.col("t").cast("binary")).alias("h"))
     parts = hashed.select("doc_id", F.conv(F.substring("h", 1, 15), 16, 10).cast("long").alias("one"), F.conv(F.substring("h", 16, 15), 16, 10).cast("long").alias("two"))
-    sums = parts.groupBy("doc_id").agg(*(F.sum(F.shiftright(c, b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"{c}{b}") for c in ("one", "two") for b in range(60)))
-    word = lambda c: sum((F.when(F.col(f"{c}{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(60)), F.lit(0)).cast("long")
+    # Two counters of 30 bits in each sum: a bit is set where more than half of the tokens set it.
+    pair = F.lit(1 | 1 << 30)
+    sums = parts.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(F.shiftright(c, b).bitwiseAND(pair)).alias(f"{c}{b}") for c in ("one", "two") for b in range(30)))
+
+    def word(c: str) -> Column:
+        low = lambda b: F.col(f"{c}{b}").bitwiseAND(F.lit((1 << 30) - 1))
+        high = lambda b: F.shiftright(f"{c}{b}", 30)
+        bits = [F.when(2 * half(b) > F.col("n"), F.lit(1 << (b + k)).cast("long")).otherwise(F.lit(0).cast("long")) for half, k in ((low, 0), (high, 30)) for b in range(30)]
+        while len(bits) > 1:
+            bits = [x + y for x, y in zip(bits[::2], bits[1::2])] + bits[len(bits) - len(bits) % 2 :]
+        return bits[0]
+
     return sums.select("doc_id", word("one").alias("one"), word("two").alias("two"))
 
 
