@@ -21,7 +21,7 @@ def _down(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,20 +30,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each node has one link down, and none of the nodes it leads to has any: one grouping, partly before its shuffle."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): for each node of a link, the smallest node it reaches.
 
-    Null ends and self-links are ignored; repeated links count once; no links give no rows. The loop ends
-    when a round leaves the links as they were; each round is written to the shared folder.
+    Null ends and self-links are ignored; repeated links count once; no links give no rows. A round keeps what is connected
+    connected, so the loop ends when the links are stars around their smallest nodes; each round is written to the shared folder.
     """
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     now = scratch.table(_down(links), "links")
-    before = None
-    while True:
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
+    while not _is_forest_of_stars(now):
         now = scratch.table(_small_star(_large_star(now)), "stars")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
