@@ -148,11 +148,17 @@ def _verify(percent: int):
 SLOTS = 1 << 20
 
 
+def _flat(column: pa.Array) -> np.ndarray:
+    """All hashes of a binary column."""
+    texts = Texts(column)
+    return texts.raw[texts.starts[0] : texts.ends[-1]].view(np.uint64) if len(texts) else np.zeros(0, np.uint64)
+
+
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for v in batch.column(0):
-            counts += np.bincount((np.frombuffer(v.as_buffer(), np.uint64) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+        slots, n = np.unique(_flat(batch.column(0)) >> np.uint64(44), return_counts=True)
+        counts[slots.astype(np.int64)] += n
     used = np.flatnonzero(counts)
     for low in range(0, len(used), 1 << 16):
         part = used[low : low + (1 << 16)]
@@ -162,12 +168,15 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, few = [np.zeros(0, np.uint64)], np.zeros(len(batch), np.int64)
             for i, v in enumerate(batch.column("shingles")):
                 s = np.frombuffer(v.as_buffer(), np.uint64)
-                few = len(s) - -(-percent * len(s) // 100) + 1
-                order = np.lexsort((s, counts.value[(s >> np.uint64(44)).astype(np.int64)]))[:few]
-                same = [np.full(few, batch.column(k)[i].as_py()) for k in ("rep", "n", "part")]
-                yield pa.record_batch([pa.array(s[order].view(np.int64)), pa.array(np.arange(few, dtype=np.int32)), *map(pa.array, same)], ["token", "place", "rep", "n", "part"])
+                few[i] = len(s) - -(-percent * len(s) // 100) + 1
+                found.append(s[np.lexsort((s, counts.value[(s >> np.uint64(44)).astype(np.int64)]))[: few[i]]])
+            token, end = np.concatenate(found), np.cumsum(few)
+            place = (np.arange(len(token)) - np.repeat(end - few, few)).astype(np.int32)
+            same = [pa.array(np.repeat(np.asarray(batch.column(k)), few)) for k in ("rep", "n", "part")]
+            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(place), *same], ["token", "place", "rep", "n", "part"])
 
     return run
 
