@@ -181,6 +181,14 @@ def _prefixes(percent: int, counts):
     return run
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, component) two steps along links: enough for stars. What it leaves apart only costs more pairs to look at."""
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    near = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("low"))
+    far = near.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+    return near.join(far, "low", "left").select("node", F.coalesce("lower", "low").alias("component"))
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept: one row for each input row.
 
@@ -230,7 +238,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     # First pass: each bucket's smallest member with the others.
     star = members.where(f"rep <> lead AND {close('n', 'lead_n')}").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb")).distinct()
     links = confirmed(star, "star")
-    parts = scratch.table(connected_components(links, scratch, "a", "b"), "parts")
+    parts = scratch.table(_joined(links), "parts")
 
     # Second pass: the member with most company in all its buckets, the original of scattered copies, with the others.
     rest = scratch.table(open_members(parts), "open")
@@ -239,7 +247,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     middle = ranked.groupBy("key").agg(F.max(F.struct("company", F.negative("rep").alias("minus"), "n", "part")).alias("m")).select("key", F.negative("m.minus").alias("a"), F.col("m.n").alias("na"), F.col("m.part").alias("pa"))
     hub = rest.join(middle, "key").where(f"part <> pa AND {close('n', 'na')}").select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb")).distinct()
     links = links.union(confirmed(hub, "hub"))
-    parts = scratch.table(connected_components(links, scratch, "a", "b"), "parts")
+    parts = scratch.table(_joined(links), "parts")
 
     # Third pass, for what still shares a bucket across components: a pair at the threshold shares one of the
     # (100 - percent) % rarest shingles of both sets, so that common passages propose nothing.
