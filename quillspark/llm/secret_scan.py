@@ -2,11 +2,11 @@
 
 Base spans come from three patterns. The method adds spans: long tokens of an encoding's alphabet are put to a
 battery of randomness tests (chi-squared uniformity over eight equal parts of the alphabet, runs about its middle, and
-lag-one serial correlation), combined by Fisher's method into one statistic, low for random-looking tokens. Tokens of
-letters alone serve as the null population: a token's p-value is the share of null tokens, no longer than its length
-class allows, whose statistic is as low; Benjamini-Hochberg over all candidates then bounds the share of false finds.
-A find must also pass for random by itself: the battery's own p is PLAUSIBLE at least.
-What is collected is a table of (length class, statistic) bins with a fixed number of rows.
+lag-one serial correlation), combined by Fisher's method into one statistic, low for random-looking tokens. A token's
+p-value comes from a fixed null: statistics of plain tokens (words and structured digits) of the same family and length
+class, so that it doesn't depend on what else the table holds. Benjamini-Hochberg over the candidates of a family,
+letters-only ones too, then bounds the share of false finds. A find must also pass for random by itself: the battery's
+own p is PLAUSIBLE at least. What is collected is a table of (family, class, bin) with a fixed number of rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,16 @@ CLASSES = (20, 24, 32, 48, 64)
 #: Bins of the statistic, half a unit wide; the last is open.
 BINS = 160
 FALSE_SHARE = 0.01
+FAMILIES = ("hex", "base32, letters only", "base32", "base64, letters only", "base64 or url-safe")
+#: By family and class, the statistics that one in a hundred and one in a thousand plain tokens are at or
+#: under, made by tests/llm/null_tokens.py. Under them p falls by a power of ten for each such step; above the first it is one.
+NULL = (
+    ((11.5, 7.8), (15.9, 11.3), (25.7, 17.8), (42.9, 32.0), (58.9, 55.7)),
+    ((3.3, 2.1), (4.3, 3.0), (6.8, 4.9), (10.7, 8.3), (18.2, 14.1)),
+    ((1.9, 0.9), (2.5, 1.5), (4.1, 2.3), (6.9, 4.7), (12.1, 8.8)),
+    ((7.8, 5.9), (10.8, 7.9), (17.0, 13.3), (29.3, 24.4), (48.2, 40.2)),
+    ((5.6, 3.2), (7.3, 4.3), (11.3, 7.1), (18.5, 12.9), (33.6, 24.0)),
+)
 #: Least p of the battery, as the statistic's quantile: chi-squared with 6 degrees of freedom exceeds 22.46 once in 1000.
 PLAUSIBLE = 22.46
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -104,8 +114,10 @@ def statistic(token: Column) -> Column:
     return let(alphabet, indexed)
 
 
-def _null(token: Column) -> Column:
-    return token.rlike("^[A-Za-z]+$")
+def _family(token: Column) -> Column:
+    """Place in FAMILIES."""
+    mixed = (~token.rlike("^[A-Za-z]+=*$")).cast("int")
+    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 0).when(token.rlike("^[A-Z2-7]+=*$"), 1 + mixed).otherwise(3 + mixed)
 
 
 def _class(length: Column) -> Column:
@@ -113,33 +125,38 @@ def _class(length: Column) -> Column:
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, base (spans) and tokens (start, end, null, class, bin) of every whole text."""
+    """doc_id, base (spans) and tokens (start, end, family, class, bin) of every whole text."""
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast(_SPANS)
     found = lambda test, pattern, *more: F.when(text.rlike(test), spans(text, pattern, *more)).otherwise(none)
     base = F.concat(found(KEYWORD, ASSIGN, 0, 2, 6), found("AKIA", ACCESS, 1), found(HEX, HEX, 2))
     long = found(TOKEN, TOKEN, 3)
     tokens = F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("token")))
-    measured = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _null(x["token"]).alias("null"), _class(F.length(x["token"])).alias("class"), F.least(F.lit(BINS - 1), F.floor(2 * statistic(x["token"]))).cast("int").alias("bin")))
+    measured = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _family(x["token"]).alias("family"), _class(F.length(x["token"])).alias("class"), F.least(F.lit(BINS - 1), F.floor(2 * statistic(x["token"]))).cast("int").alias("bin")))
     return documents.select("doc_id", F.array_sort(base).alias("base"), measured.alias("tokens"))
 
 
-def cutoffs(tokens: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, int]:
-    """Highest bin accepted in each length class. tokens: (null, class, bin); at most 2 * classes * BINS rows are collected."""
-    counts = {(r["null"], r["class"], r["bin"]): r["count"] for r in tokens.groupBy("null", "class", "bin").count().collect()}
-    bins = range(BINS)
-    p: dict[tuple[int, int], float] = {}
-    for c in range(len(CLASSES)):
-        null = [sum(counts.get((True, k, b), 0) for k in range(c + 1)) for b in bins]
-        for b in bins:
-            p[c, b] = (1 + sum(null[: b + 1])) / (1 + sum(null))
-    tested = sorted((p[c, b], n) for (null, c, b), n in counts.items() if not null)
-    total, rank, accepted = sum(n for _, n in tested), 0, 0.0
-    for value, n in tested:
-        rank += n
-        if value * total <= false_share * rank:
-            accepted = value
-    return {c: max((b for b in bins if p[c, b] <= accepted and b <= 2 * PLAUSIBLE), default=-1) for c in range(len(CLASSES))}
+def p_value(family: int, length_class: int, bin: int) -> float:
+    """Share of plain tokens whose statistic is at or under the bin's upper end."""
+    one, ten = NULL[family][length_class]
+    top = (bin + 1) / 2
+    return 10 ** (-2 - (one - top) / (one - ten)) if top <= one else 1.0
+
+
+def cutoffs(tokens: DataFrame, false_share: float = FALSE_SHARE) -> dict[tuple[int, int], int]:
+    """Highest bin accepted in each family and class. tokens: (family, class, bin); at most families * classes * BINS rows are collected."""
+    counts = {(r["family"], r["class"], r["bin"]): r["count"] for r in tokens.groupBy("family", "class", "bin").count().collect()}
+    limits: dict[tuple[int, int], int] = {}
+    for family in range(len(FAMILIES)):
+        tested = sorted((p_value(*k), n) for k, n in counts.items() if k[0] == family)
+        total, rank, accepted = sum(n for _, n in tested), 0, 0.0
+        for value, n in tested:
+            rank += n
+            if value * total <= false_share * rank:
+                accepted = value
+        for c in range(len(CLASSES)):
+            limits[family, c] = max((b for b in range(BINS) if p_value(family, c, b) <= accepted and b <= 2 * PLAUSIBLE), default=-1)
+    return limits
 
 
 def _written(sorted_spans: Column) -> Column:
@@ -154,12 +171,12 @@ def secret_spans(documents: DataFrame, false_share: float = FALSE_SHARE) -> Data
     span. Repeated rows give repeated rows, null ids are carried, an empty table gives no rows. Other columns are not read.
     """
     table = Scratch(documents.sparkSession, "secrets").table(candidates(documents), "candidates")
-    limits = cutoffs(table.select(F.explode("tokens").alias("t")).select("t.null", "t.class", "t.bin"), false_share)
-    limit = F.array(*(F.lit(limits[c]) for c in range(len(CLASSES))))
+    limits = cutoffs(table.select(F.explode("tokens").alias("t")).select("t.family", "t.class", "t.bin"), false_share)
+    limit = F.array(*(F.lit(limits[f, c]) for f in range(len(FAMILIES)) for c in range(len(CLASSES))))
 
     def accepted(x: Column) -> Column:
         apart = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return ~x["null"] & (x["bin"] <= F.element_at(limit, x["class"] + 1)) & apart
+        return (x["bin"] <= F.element_at(limit, x["family"] * len(CLASSES) + x["class"] + 1)) & apart
 
     added = F.transform(F.filter("tokens", accepted), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
