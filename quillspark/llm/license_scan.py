@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts with none of these hold no known sentence.
-HINT = "licen[cs]|copyright|permission|redistribution|warrant|liab|public domain|released under|rights reserved|free software"
+#: Texts with none of these hold no known sentence; between words stands what normalisation makes a space.
+HINT = "licen[cs]|copyright|permission|redistribution|warrant|liab|public domain|released under|rights reserved|free software".replace(" ", "[^a-z0-9]+")
 SENTENCE_END = "[.!?;:]+(?:[ \\t\\r\\n]+|$)|\\r?\\n[ \\t\\r]*\\n"
 
 # Known licence sentences, as normalised (lower case, other characters than a-z and 0-9 as single spaces).
