@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.profile import chi_square, class_counts
@@ -69,26 +69,24 @@ def require_disjoint(df: DataFrame, key: str) -> None:
         raise LeakageError(f"{key} spans splits, for example {[r[0] for r in bad]}")
 
 
-def assign_groups(groups: DataFrame, ratios: Mapping[str, float], seed: int = 0, max_groups: int = 2_000_000) -> DataFrame:
+def assign_groups(groups: DataFrame, ratios: Mapping[str, float], seed: int = 0, largest: int = 1000) -> DataFrame:
     """Stratified assignment of (group, label, n) to splits.
 
-    Groups of one row are split by rank within their label: an exact share, with nothing sequential. Larger groups, few
-    by nature, go largest first (ties by sha256 of seed and group) to the split with the largest weighted deficit, first split
-    on ties; that fold is sequential and runs over the table of larger groups, whose number is checked against max_groups.
+    The largest groups of several rows, a fixed number, go largest first (ties by sha256 of seed and group) to the split with
+    the largest weighted deficit, first split on ties. All others are laid end to end in the order of that hash, by
+    their commonest label, and cut where the label's rows still to be placed are shared out: exact but for the group at a cut.
+    Rows before a group are summed within slices of the order, and over the slices' totals.
     """
     spark = groups.sparkSession
-    total = groups.groupBy("group").agg(F.sum("n").alias("size"))
     names = list(ratios)
     share = [r / sum(ratios.values()) for r in ratios.values()]
-    large = groups.join(total.where("size > 1"), "group")
-    if (many := total.where("size > 1").count()) > max_groups:
-        raise ValueError(f"{many} groups of several rows; at most {max_groups} are assigned in order")
     labels = {r["label"]: r["n"] for r in groups.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     deficit = [{k: n * s for k, n in labels.items()} for s in share]
-    counts = F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts")
-    per_group = large.groupBy("group", "size").agg(counts).select("group", "size", "counts", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group").cast("string")).cast("binary"), 256).alias("tie"))
+    tie = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group").cast("string")).cast("binary"), 256)
+    counts = F.map_from_entries(F.collect_list(F.struct("label", "n")))
+    per_group = groups.where("`group` IS NOT NULL").groupBy("group").agg(F.sum("n").alias("size"), counts.alias("counts"), F.max(F.struct("n", "label"))["label"].alias("most")).withColumn("tie", tie)
     placed = []
-    for row in per_group.orderBy(F.desc("size"), "tie").toLocalIterator():
+    for row in per_group.where("size > 1").orderBy(F.desc("size"), "tie").limit(largest).collect():
         gain = [sum(deficit[i][k] * n for k, n in row["counts"].items()) / max(share[i], 1e-12) for i in range(len(names))]
         best = max(range(len(names)), key=lambda i: (gain[i], -i))
         for k, n in row["counts"].items():
@@ -96,18 +94,23 @@ def assign_groups(groups: DataFrame, ratios: Mapping[str, float], seed: int = 0,
         placed.append((row["group"], names[best]))
     kind = groups.schema["group"].dataType.simpleString()
     big = spark.createDataFrame(placed, f"`group` {kind}, new_split string")
-    single = groups.join(total.where("size = 1").select("group"), "group", "left_semi")
-    left = {k: [max(0.0, deficit[i][k]) for i in range(len(names))] for k in labels}
-    place = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group").cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("double") / 2**32
+    rest = per_group.join(F.broadcast(big.select("group")), "group", "left_anti").select("group", "size", "most", "tie", F.substring("tie", 1, 3).alias("slice"))
+    of_label = Window.partitionBy("most")
+    sums = rest.groupBy("most", "slice").agg(F.sum("size").alias("rows"))
+    before = F.sum("rows").over(of_label.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    base = sums.select("most", "slice", F.coalesce(before, F.lit(0)).alias("base"), F.sum("rows").over(of_label).alias("all"))
+    inner = F.sum("size").over(Window.partitionBy("most", "slice").orderBy("tie").rowsBetween(Window.unboundedPreceding, 0))
+    laid = rest.withColumn("inner", inner).join(F.broadcast(base), ["most", "slice"])
+    place = (F.col("base") + F.col("inner") - F.col("size") / 2) / F.col("all")
     choice = F.lit(names[-1])
-    for k, room in left.items():
-        whole = sum(room) or 1.0
-        edges = [sum(room[: i + 1]) / whole for i in range(len(names))]
+    for k in labels:
+        room = [max(0.0, d[k]) for d in deficit]
+        room = room if sum(room) else share
         pick = F.lit(names[-1])
-        for name, edge in reversed(list(zip(names[:-1], edges[:-1]))):
-            pick = F.when(place < edge, name).otherwise(pick)
-        choice = F.when(F.col("label").eqNullSafe(F.lit(k)), pick).otherwise(choice)
-    return big.union(single.select("group", choice.alias("new_split")))
+        for i in reversed(range(len(names) - 1)):
+            pick = F.when(place < sum(room[: i + 1]) / sum(room), names[i]).otherwise(pick)
+        choice = F.when(F.col("most").eqNullSafe(F.lit(k)), pick).otherwise(choice)
+    return big.union(laid.select("group", choice.alias("new_split")))
 
 
 def regenerate(df: DataFrame, ratios: Mapping[str, float], group: str = "group", seed: int = 0) -> DataFrame:
