@@ -1,7 +1,8 @@
 """Connected components as alternating star contractions (G1).
 
-Each round is two groupings and two equi-joins; the minimum is pre-aggregated before the shuffle, and
-no neighbour list is ever gathered, so a node with very many links is an ordinary (splittable) join key.
+Each round is two groupings and two equi-joins; the minimum is pre-aggregated before the shuffle, and no neighbour list is
+ever gathered. Minima are written before they are joined back: both sides of the join are then shuffles of their own, whose hot
+keys (a node with very many links) adaptive execution splits, which it can't where one side is a grouping by the same key.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ def _down(edges: DataFrame) -> DataFrame:
     return edges.select(u.alias("u"), v.alias("v")).where("u != v").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    low = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
     linked = edges.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -45,6 +46,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", d
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     now = scratch.table(_down(links), "links")
     while not _is_forest_of_stars(now):
-        now = scratch.table(_small_star(_large_star(now)), "stars")
+        large = scratch.table(_large_star(now, scratch), "large")
+        now = scratch.table(_small_star(large, scratch), "stars")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -57,6 +57,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -67,9 +68,15 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Forget tables that no later plan reads."""
         for t in tables:
             drop_path(self.spark, t._scratch_path)
+        self.tables = [t for t in self.tables if t not in tables]
+
+    def drop_all(self, but: DataFrame) -> None:
+        """Forget all tables but the one that a run returns; that one belongs to the caller, who drops it with drop_path."""
+        self.drop(*(t for t in self.tables if t is not but))
