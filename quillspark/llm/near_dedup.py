@@ -3,12 +3,14 @@
 Each text's distinct word shingles fall into BUCKETS buckets by their hash; a bucket keeps the leading-zero
 count and the first mantissa bits of its smallest hash, one byte in all. Bands of ROWS registers propose
 candidates; a collision-corrected estimate of the Jaccard similarity, with a margin of six deviations, thins
-them out; full shingle sets decide. BANDS x ROWS loses a pair at similarity 0.8 once in eight million.
+them out; full shingle sets decide, by hashes independent of those that proposed the pair. BANDS x ROWS loses a pair
+at similarity 0.8 once in eight million.
 
 Hot groups: equal sets become one class first. In each bucket only (smallest member, member) pairs are
 proposed, then (most central member, member) pairs; what these join is one component. What then still shares
-a bucket across components meets by its rarest shingles only. A group of n near copies costs about n pairs,
-texts that share a frequent passage cost none, and still no link is lost.
+a bucket across components meets by its rarest shingles only, where length and place allow a link. A group of n near
+copies costs about n pairs, texts that share a frequent passage cost none, and still no link is lost. What is looked up by
+a key that may be hot is a written table, so that adaptive execution can split the key on both sides of the join.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import Texts, mix, shingle_sets, stream
+from quillspark.llm.text import Texts, mix, second_hashes, shingle_sets, span_hashes, stream
 from quillspark.operators.components import connected_components
 from quillspark.scratch import Scratch
 
@@ -85,18 +87,21 @@ def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, h1, h2, regs = [], [], [], []
-            for _, _, hashes, bounds in Texts(batch.column(1)).words():
-                for s in shingle_sets(hashes, bounds, size):
+            for _, _, (one, two), bounds in Texts(batch.column(2)).views(span_hashes, second_hashes):
+                for s, t in zip(shingle_sets(one, bounds, size), shingle_sets(two, bounds, size)):
                     n.append(len(s))
-                    one, two = (mix(s ^ x).sum(dtype=np.uint64) for x in _SET)
-                    h1.append(one)
-                    h2.append(two)
+                    h1.append(mix(s ^ _SET[0]).sum(dtype=np.uint64))
+                    h2.append(set_hash(t))
                     regs.append(registers(s).tobytes() if len(s) else b"")
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "regs"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "text_hash", "n", "h1", "h2", "regs"])
 
     return run
 
 
+def set_hash(shingles: np.ndarray) -> np.uint64:
+    return mix(shingles ^ _SET[1]).sum(dtype=np.uint64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = np.uint64(256) ** np.arange(ROWS, dtype=np.uint64)
     for batch in batches:
@@ -104,8 +109,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(low, 2048)
             regs = Texts(part.column(2)).raw_rows(BUCKETS).reshape(-1, BANDS, ROWS).astype(np.uint64)
             keys = mix((regs * weights).sum(axis=2, dtype=np.uint64) ^ _BAND)
-            rep, n = (np.repeat(np.asarray(part.column(i)), BANDS) for i in (0, 1))
-            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(rep), pa.array(n)], ["key", "rep", "n"])
+            node, n = (np.repeat(np.asarray(part.column(i)), BANDS) for i in (0, 1))
+            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(n)], ["key", "node", "n"])
 
 
 def _estimates(threshold: float):
@@ -121,10 +126,19 @@ def _estimates(threshold: float):
 
 
 def _sets(size: int):
+    """(node, shingles) of the texts that have the node's set; a text that stands in several rows once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for low, high, hashes, bounds in Texts(batch.column(1)).words():
-                yield pa.record_batch([batch.column(0).slice(low, high - low), pa.array([s.tobytes() for s in shingle_sets(hashes, bounds, size)], pa.binary())], ["id", "shingles"])
+            for low, high, (two,), bounds in Texts(batch.column(2)).views(second_hashes):
+                nodes, sets = [], []
+                for node, h2, s in zip(batch.column(0).slice(low, high - low).to_pylist(), batch.column(1).slice(low, high - low).to_pylist(), shingle_sets(two, bounds, size)):
+                    if node not in seen and int(set_hash(s).view(np.int64)) == h2:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(s.tobytes())
+                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -157,8 +171,7 @@ def _flat(column: pa.Array) -> np.ndarray:
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        slots, n = np.unique(_flat(batch.column(0)) >> np.uint64(44), return_counts=True)
-        counts[slots.astype(np.int64)] += n
+        counts += np.bincount((_flat(batch.column(0)) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
     used = np.flatnonzero(counts)
     for low in range(0, len(used), 1 << 16):
         part = used[low : low + (1 << 16)]
@@ -175,102 +188,127 @@ def _prefixes(percent: int, counts):
                 found.append(s[np.lexsort((s, counts.value[(s >> np.uint64(44)).astype(np.int64)]))[: few[i]]])
             token, end = np.concatenate(found), np.cumsum(few)
             place = (np.arange(len(token)) - np.repeat(end - few, few)).astype(np.int32)
-            same = [pa.array(np.repeat(np.asarray(batch.column(k)), few)) for k in ("rep", "n", "part")]
-            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(place), *same], ["token", "place", "rep", "n", "part"])
+            same = [pa.array(np.repeat(np.asarray(batch.column(k)), few)) for k in ("node", "n", "part")]
+            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(place), *same], ["token", "place", "node", "n", "part"])
 
     return run
 
 
-def _joined(links: DataFrame) -> DataFrame:
-    """(node, component) two steps along links: enough for stars. What it leaves apart only costs more pairs to look at."""
+def _joined(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, part) two steps along links: enough for stars. What it leaves apart only costs more pairs to look at."""
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
-    near = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("low"))
+    near = scratch.table(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("low")), "near")
     far = near.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-    return near.join(far, "low", "left").select("node", F.coalesce("lower", "low").alias("component"))
+    return scratch.table(near.join(far, "low", "left").select("node", F.coalesce("lower", "low").alias("part")), "parts")
+
+
+#: Rows of a token that one task compares with what meets them.
+SPLIT = 1024
+
+
+def _met(prefix: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, na, nb) across parts that share a prefix token and whose lengths and places allow a link.
+
+    Of a token's parts the most frequent one is only met by the others, never by itself. What lengths and places allow is found
+    once for all rows that agree in them; rows then meet in groups of SPLIT, so that a token of many rows is many tasks.
+    """
+    close = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    # What two sets can have in common from their first common shingle on must reach the threshold.
+    enough = f"least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n)"
+    per_part = prefix.groupBy("token", "part").count()
+    tokens = per_part.groupBy("token").agg(F.max(F.struct("count", "part"))["part"].alias("major"), F.count("*").alias("parts"), F.ceil(F.sum("count") / SPLIT).alias("groups")).where("parts > 1")
+    shared = scratch.table(prefix.join(scratch.table(tokens, "tokens"), "token"), "shared")
+    # Sets whose lengths allow a link stand in the same or in neighbouring length classes.
+    length = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))) if percent < 100 else F.col("n")
+    kinds = scratch.table(shared.groupBy("token", "n", "place", "groups").agg(F.count_if(F.col("part") != F.col("major")).alias("minors")).withColumn("length", length), "kinds")
+    x = kinds.where("minors > 0").withColumn("length", F.explode(F.array(*(F.col("length") + i for i in (-1, 0, 1))))).alias("x")
+    both = x.join(kinds.alias("y"), F.expr(f"x.token = y.token AND x.length = y.length AND {close} AND {enough}"))
+    both = both.select("x.token", F.col("x.n").alias("na"), F.col("x.place").alias("pa"), F.col("y.n").alias("nb"), F.col("y.place").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("x.groups") - 1)).alias("group"))
+    left = shared.where("part <> major").select("token", F.col("n").alias("na"), F.col("place").alias("pa"), F.col("node").alias("a"), F.col("part").alias("part_a"))
+    right = shared.select("token", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("node").alias("b"), F.col("part").alias("part_b"), F.pmod(F.xxhash64("node"), "groups").alias("group"))
+    met = both.join(left, ["token", "na", "pa"]).join(right, ["token", "nb", "pb", "group"]).where("part_a <> part_b")
+    low, high = (F.expr(f"{f}(struct(a AS node, na AS n), struct(b AS node, nb AS n))") for f in ("least", "greatest"))
+    return met.select(low.alias("p"), high.alias("q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """documents -> doc_id, n_shingles, component_id, kept: one row for each input row.
+    """documents -> doc_id, n_shingles, component_id, kept, text_hash, chosen: one row for each input row.
 
     Two texts are linked when 100 * |common| >= percent * |union| of their distinct shingles of size words;
-    component_id is the smallest doc_id that links reach; kept marks that document.
-
-    Texts that are null, empty or without words have no shingles and no links (component_id is their own id).
-    Equal sets (exact copies, repeated rows) are linked. Rows with a null doc_id join a component but never
-    name one: alone, their component_id is null and kept is true. Rows that share a doc_id and differ in text
-    stay separate rows; where that id names a component, it does so for both. Other columns are not read.
+    component_id is the smallest doc_id that links reach; kept marks that document. text_hash is Spark's xxhash64 of the text;
+    doc_id and text_hash name rows, and chosen marks one such name in each component.
+
+    Texts that are null, empty or without words have no shingles and no links: component_id is their own id, and they are
+    chosen. Equal sets (exact copies, repeated rows) are linked; repeated rows are chosen together. Rows with a null doc_id join a
+    component but never name one: with none but such rows, component_id is null and kept is true. Rows that share a doc_id and
+    differ in text are linked only by their texts; where that id names a component, kept holds for each that it has. Texts are
+    read whole, however long. Other columns are not read. An empty table gives no rows.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "near")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = scratch.table(docs.mapInArrow(_sketch(size), "doc_id long, n_shingles long, h1 long, h2 long, regs binary"), "sketches")
-
-    # Classes of equal sets; each has one representative.
-    ids = sketches.where("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2")
-    classes = scratch.table(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
-    nodes = scratch.table(
-        sketches.where("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(["rep", "n", "regs"]), "nodes"
-    )
-
-    # Members of the buckets that hold several representatives, and their full sets.
-    bands = nodes.mapInArrow(_bands, "key long, rep long, n long")
-    leads = bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).where("lead.rep < last").select("key", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    sketches = scratch.table(docs.mapInArrow(_sketch(size), "doc_id long, text_hash long, n long, h1 long, h2 long, regs binary"), "sketches")
+
+    # Classes of equal sets; each is one node with one representative row, that of its smallest doc_id.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "regs")).alias("m")
+    nodes = scratch.table(sketches.where("n > 0").groupBy("h1", "h2").agg(least).select(F.monotonically_increasing_id().alias("node"), "h1", "h2", *(F.col(f"m.{c}").alias(r) for c, r in (("doc_id", "rep"), ("text_hash", "rep_hash"), ("n", "n"), ("regs", "regs")))), "nodes")
+
+    # Members of the buckets that hold several nodes, and their full sets.
+    bands = nodes.select("node", "n", "regs").mapInArrow(_bands, "key long, node long, n long")
+    leads = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node < last").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
+    leads = scratch.table(leads, "leads")
     members = scratch.table(bands.join(leads, "key"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.table(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h2", "rep", F.col("rep_hash").alias("text_hash"))
+    found = docs.join(wanted.hint("merge"), (docs["text_hash"] == wanted["text_hash"]) & docs["doc_id"].eqNullSafe(wanted["rep"]))
+    sets = scratch.table(found.select("node", "h2", "text").mapInArrow(_sets(size), "node long, shingles binary"), "sets")
 
     def close(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Which of the pairs (a, b, na, nb) are links: first by the sketches' estimate, then on full sets."""
-        side = lambda k: nodes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}"))
-        likely = scratch.table(pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).mapInArrow(_estimates(percent / 100), "a long, b long").distinct(), f"{name}-likely")
-        full = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}"))
-        return scratch.table(likely.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
+        side = lambda k: nodes.select(F.col("node").alias(k), F.col("regs").alias(f"r{k}"))
+        likely = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimates(percent / 100), "a long, b long"), f"{name}-likely")
+        full = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
+        return scratch.table(likely.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verify(percent), "a long, b long").distinct(), f"{name}-links")
 
-    def open_members(parts: DataFrame) -> DataFrame:
+    def open_members(parts: DataFrame, name: str) -> DataFrame:
         """Members of buckets that still span several components."""
-        placed = members.select("key", "rep", "n").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
+        placed = members.select("key", "node", "n").join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
         keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("together")).where("low < high").select("key", "together")
-        return placed.join(keys, "key")
+        return scratch.table(placed.join(scratch.table(keys, f"{name}-keys"), "key"), name)
 
     # First pass: each bucket's smallest member with the others.
-    star = members.where(f"rep <> lead AND {close('n', 'lead_n')}").select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb")).distinct()
+    star = members.where(f"node <> lead AND {close('n', 'lead_n')}").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb")).distinct()
     links = confirmed(star, "star")
-    parts = scratch.table(_joined(links), "parts")
 
     # Second pass: the member with most company in all its buckets, the original of scattered copies, with the others.
-    rest = scratch.table(open_members(parts), "open")
-    company = rest.groupBy("rep").agg(F.sum("together").alias("company"))
-    ranked = rest.join(company, "rep")
-    middle = ranked.groupBy("key").agg(F.max(F.struct("company", F.negative("rep").alias("minus"), "n", "part")).alias("m")).select("key", F.negative("m.minus").alias("a"), F.col("m.n").alias("na"), F.col("m.part").alias("pa"))
-    hub = rest.join(middle, "key").where(f"part <> pa AND {close('n', 'na')}").select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb")).distinct()
+    rest = open_members(_joined(links, scratch), "open")
+    company = rest.groupBy("node").agg(F.sum("together").alias("company"))
+    middle = rest.join(company, "node").groupBy("key").agg(F.max(F.struct("company", F.negative("node").alias("minus"), "n", "part")).alias("m")).select("key", F.negative("m.minus").alias("a"), F.col("m.n").alias("na"), F.col("m.part").alias("pa"))
+    hub = rest.join(scratch.table(middle, "middle"), "key").where(f"part <> pa AND {close('n', 'na')}").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).distinct()
     links = links.union(confirmed(hub, "hub"))
-    parts = scratch.table(_joined(links), "parts")
 
     # Third pass, for what still shares a bucket across components: a pair at the threshold shares one of the
     # (100 - percent) % rarest shingles of both sets, so that common passages propose nothing.
-    rest = open_members(parts).select("rep", "n", "part").distinct()
-    alone = scratch.table(rest.join(sets.withColumnRenamed("id", "rep"), "rep"), "alone")
+    rest = open_members(_joined(links, scratch), "still-open").select("node", "n", "part").distinct()
+    alone = scratch.table(rest.join(sets, "node").dropDuplicates(["node"]), "alone")
     counts = np.zeros(SLOTS, np.int64)
-    found = alone.select("shingles").mapInArrow(_slot_counts, "slot int, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
-    counts[found["slot"].to_numpy()] = found["count"].to_numpy()  # SLOTS rows at most
-    prefix = scratch.table(alone.mapInArrow(_prefixes(percent, spark.sparkContext.broadcast(counts)), "token long, place int, rep long, n long, part long"), "prefixes")
-    # Of a shingle's components the most frequent one is only met by the others, never by itself.
-    per_part = prefix.groupBy("token", "part").count()
-    major = per_part.groupBy("token").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.part").alias("major"))
-    shared = prefix.join(major, "token")
-    x, y = shared.where("part <> major").alias("x"), shared.alias("y")
-    # What two sets can have in common from their first common shingle on must reach the threshold.
-    enough = f"least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n)"
-    met = x.join(y, F.expr(f"x.token = y.token AND x.part <> y.part AND {close('x.n', 'y.n')} AND {enough}"))
-    across = met.select(F.expr("least(struct(x.rep, x.n), struct(y.rep, y.n))").alias("p"), F.expr("greatest(struct(x.rep, x.n), struct(y.rep, y.n))").alias("q")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
-    links = links.union(confirmed(across, "across"))
-    parts = scratch.table(connected_components(links, scratch, "a", "b"), "components")
+    met = alone.select("shingles").mapInArrow(_slot_counts, "slot int, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
+    counts[met["slot"].to_numpy()] = met["count"].to_numpy()  # SLOTS rows at most
+    prefix = scratch.table(alone.mapInArrow(_prefixes(percent, spark.sparkContext.broadcast(counts)), "token long, place int, node long, n long, part long"), "prefixes")
+    links = links.union(confirmed(_met(prefix, percent, scratch), "across"))
 
-    named = sketches.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    out = scratch.table(named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
-    scratch.drop(sketches, members, sets, nodes, classes, alone, prefix)
-    return out
+    # Components take the smallest doc_id that they hold, and the row that has it.
+    parts = scratch.table(connected_components(links, scratch, "a", "b"), "components")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_hash", "node")).alias("f")
+    named = scratch.table(parts.join(nodes.select("node", "rep", "rep_hash"), "node").groupBy("component").agg(first).select("component", F.col("f.rep").alias("low"), F.col("f.node").alias("first")), "named")
+    placed = nodes.select("node", "h1", "h2", "rep", "rep_hash").join(parts.join(named, "component"), "node", "left")
+    placed = scratch.table(placed.select("h1", "h2", "rep", "rep_hash", F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("low")).alias("low"), (F.col("first").isNull() | (F.col("first") == F.col("node"))).alias("leads")), "placed")
+    rows = sketches.select("doc_id", "text_hash", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
+    component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id"))
+    chosen = (F.col("n") == 0) | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", chosen.alias("chosen"))
+    result = scratch.table(out, "result")
+    scratch.drop_all(but=result)
+    return result

@@ -43,7 +43,9 @@ def features(texts: Texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
                 rolled = mix(rolled[fits] * np.uint64(0x9E3779B97F4A7C15) + view[k:])
                 inside = owner[fits] == owner[k:]
                 keys.append((owner[fits][inside] << BITS) | (rolled[inside] >> np.uint64(64 - BITS)).astype(np.int64))
-        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        every = np.sort(np.concatenate(keys))
+        first = np.flatnonzero(np.diff(every, prepend=-1))
+        key, count = every[first], np.diff(first, append=len(every))
         of = key >> BITS
         yield low, high, of, key & ((1 << BITS) - 1), np.sqrt(count / np.maximum(1, n)[of])
 

@@ -1,4 +1,4 @@
-"""Words of Arrow text columns as 64-bit hashes, in numpy, block by block.
+"""Words of Arrow text columns as 64-bit hashes (twice, where 64 bits are too few), in numpy, block by block.
 
 A word is a run of bytes other than 9-13 and 32 (in UTF-8 these bytes occur only as themselves). A-Z count
 as a-z. Blocks hold about a megabyte of text, so that memory doesn't follow the longest text's temporaries.
@@ -31,38 +31,71 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BASE = 0xD1342543DE82EF95
-_POWERS: dict[str, np.ndarray] = {}
+#: Places within a span whose numbers are tabulated; numbers of later places are computed by the same rule.
+NEAR = 64
+_STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base, and their inverses, modulo 2**64."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                x = np.full(max(n, BLOCK + 4096), base, np.uint64)
-                x[0] = 1
-                _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"], _POWERS["down"]
+class Code:
+    """A pseudo-random number for each byte at each place of a span: a span's hash is their sum.
 
+    Numbers of different places have nothing in common (no powers of a base), so that texts with a repeating structure
+    don't cancel out; codes of different seeds are independent of each other.
+    """
 
-_BYTE = stream(11, 256)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+    def __init__(self, seed: int, folded: bool):
+        self.byte = stream(seed, 256)
+        if folded:
+            self.byte[65:91] = self.byte[97:123]
+        self.near = self.at(np.repeat(np.arange(NEAR), 256), np.tile(np.arange(256), NEAR))
 
+    def at(self, place: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        return mix(self.byte[raw] + place.astype(np.uint64) * _STRIDE)
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _FOLDED) -> np.ndarray:
-    """A hash of each span's bytes, equal for equal bytes wherever they stand."""
+
+#: Bytes with A-Z as a-z, twice, and bytes as they are, twice.
+FOLDED, FOLDED_2, EXACT, EXACT_2 = Code(11, True), Code(17, True), Code(11, False), Code(71, False)
+
+
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, *codes: Code) -> list[np.ndarray]:
+    """For each code a hash of each span's bytes, equal for equal bytes wherever they stand; spans are in order and apart."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(table[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+        return [np.zeros(0, np.uint64) for _ in codes]
+    first = np.zeros(len(raw), np.int64)
+    first[starts] = starts
+    place = np.arange(len(raw)) - np.maximum.accumulate(first)
+    far = np.flatnonzero(place >= NEAR)
+    cell = np.minimum(place, NEAR - 1) * 256 + raw
+    out = []
+    for code in codes:
+        value = code.near[cell]
+        value[far] = code.at(place[far], raw[far])
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        out.append(mix(total[ends] - total[starts]))
+    return out
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, A-Z as a-z."""
+    return hashes(raw, starts, ends, FOLDED)[0]
+
+
+def second_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Another hash of each word, independent of the first."""
+    return hashes(raw, starts, ends, FOLDED_2)[0]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values: by sorting, which is many times faster here than the hash tables of numpy's own."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
 
 
 #: What a run of one kind of byte counts as in a word's shape; other marks stand for themselves.
-_KIND = np.arange(256)
+_KIND = np.arange(256).astype(np.uint8)
 _KIND[128:] = _KIND[97:123] = ord("a")
 _KIND[65:91] = ord("A")
 _KIND[48:58] = ord("0")
@@ -76,11 +109,8 @@ def shape_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     turn = np.ones(len(raw), bool)
     turn[1:] = kind[1:] != kind[:-1]
     turn[starts] = True
-    up, down = powers(len(raw) + 1)
     run = np.cumsum(turn) - 1
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(np.where(turn, _BYTE[kind] * up[run], np.uint64(0)), out=total[1:])
-    return mix((total[ends] - total[starts]) * down[run[starts]])
+    return hashes(kind[turn], run[starts], run[ends - 1] + 1, EXACT)[0]
 
 
 def word_spans(raw: np.ndarray, firsts: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +170,8 @@ class Texts:
 
     def words(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For each block: first text, after the last, word hashes, and the texts' bounds in these."""
-        for low, high, (hashes,), bounds in self.views(span_hashes):
-            yield low, high, hashes, bounds
+        for low, high, (found,), bounds in self.views(span_hashes):
+            yield low, high, found, bounds
 
     def views(self, *views: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
         """As words(), with each view's number for every word; gaps: which bytes stand between words."""
@@ -165,18 +195,18 @@ class Texts:
 _STEPS = stream(23, 64) | np.uint64(1)
 
 
-def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:
+def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of so many words; with fewer words, of all as one."""
-    n = len(hashes)
+    n = len(words)
     rolled = np.zeros(max(0, n - size + 1), np.uint64)
     for j in range(size if n >= size else 0):
-        rolled += hashes[j : n - size + 1 + j] * _STEPS[j]
+        rolled += words[j : n - size + 1 + j] * _STEPS[j]
     rolled = mix(rolled)
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= size:
-            yield np.unique(rolled[a : b - size + 1])
+            yield distinct(rolled[a : b - size + 1])
         elif b > a:
-            short = (hashes[a:b] * _STEPS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
+            short = (words[a:b] * _STEPS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
             yield mix(mix(np.array([short], np.uint64)))
         else:
             yield np.zeros(0, np.uint64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.text import _BYTE, BLOCK, Texts, mix, span_hashes, stream
+from quillspark.llm.text import BLOCK, EXACT, EXACT_2, Texts, hashes, mix
 from quillspark.scratch import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,7 +41,6 @@ _MARK[128:] = False
 #: First bytes of the white space beyond ASCII, among others.
 _DOUBT = np.zeros(256, bool)
 _DOUBT[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_OTHER = stream(71, 256)
 
 
 class Encoder:
@@ -49,7 +48,7 @@ class Encoder:
 
     The tokenizer never keeps a visible character together with white space after it, nor a letter with a mark or digit
     after it, and it reads from left to right: between two such places a text is a unit of its own. Each unit is encoded
-    once and remembered by 128 bits of hash; texts are then looked up unit by unit. Texts that may hold other white space,
+    once and remembered by two independent hashes of 64 bits; texts are then looked up unit by unit. Texts that may hold other white space,
     or what looks like a special token, are encoded whole.
     """
 
@@ -177,7 +176,7 @@ class Encoder:
         return np.concatenate(out) if out else np.zeros(0, np.int32), n
 
     def entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        one, two = span_hashes(raw, starts, ends, _BYTE), span_hashes(raw, starts, ends, _OTHER)
+        one, two = hashes(raw, starts, ends, EXACT, EXACT_2)
         if self.n + len(one) > REMEMBERED and self.n:
             self.forget()
         return self.known(one, two, raw, starts, ends)
@@ -243,7 +242,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(_encode(vocabulary, end), "doc_id long, shard int, shard_offset long, n_tokens long, ids array<int>")
-    options = {"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.enable.dictionary": not delta, "parquet.writer.version": "PARQUET_2_0" if delta else "PARQUET_1_0", "parquet.column.index.access": True}
+    options = {"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.enable.dictionary": not delta, "parquet.writer.version": "PARQUET_2_0" if delta else "PARQUET_1_0"}
     rows.write.options(**options).parquet(path)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.common import labelled_sample, remainder
 from quillspark.llm.linear import Ftrl, sigmoid
-from quillspark.llm.text import _FOLDED, Texts, mix, span_hashes, stream
+from quillspark.llm.text import FOLDED, Texts, distinct, mix, span_hashes, stream
 from quillspark.scratch import ship_code
 
 BITS = 20
@@ -80,7 +80,7 @@ def features(texts: Texts, wanted: np.ndarray | None = None) -> Iterator[tuple[i
         if len(byte_owner) == len(raw):
             for at in range(0, len(raw), 1 << 20):  # a very long text in parts, each with the bytes that follow
                 part, own = raw[at : at + (1 << 20) + 4], byte_owner[at : at + (1 << 20) + 4]
-                code = _FOLDED[part]
+                code = FOLDED.byte[part]
                 rolled = np.zeros(max(0, len(part) - 3), np.uint64)
                 for j in range(4 if len(part) > 3 else 0):
                     rolled += code[j : len(part) - 3 + j] * _GRAM[j]
@@ -90,7 +90,7 @@ def features(texts: Texts, wanted: np.ndarray | None = None) -> Iterator[tuple[i
                     longer = rolled[:-1] + code[4:] * _GRAM[4]
                     inside = own[4:] == own[:-4]
                     add(own[4:][inside], mix(longer[inside]))
-        key = np.unique(np.concatenate(keys))
+        key = distinct(np.concatenate(keys))
         yield low, high, key >> BITS, key & ((1 << BITS) - 1)
 
 

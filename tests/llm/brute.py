@@ -24,16 +24,27 @@ def near_components(rows, size, percent=80):
         return x
 
     ids = sorted(sets)
-    holders = {}
+    first = {}  # equal sets are linked; only different ones are compared
     for i in ids:
-        for s in sets[i]:
-            holders.setdefault(s, []).append(i)
-    pairs = {(a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :]} if len(ids) < 2000 else set()
-    for a, b in pairs:
-        common = len(sets[a] & sets[b])
-        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
-            x, y = root(a), root(b)
-            up[max(x, y)] = min(x, y)
+        if sets[i]:
+            up[root(i)] = root(first.setdefault(sets[i], i))
+    rarity = {}
+    for s in first:
+        for x in s:
+            rarity[x] = rarity.get(x, 0) + 1
+    # A set that is similar enough to another one has one of its rarest shingles among the other's.
+    holders = {}
+    for s, i in first.items():
+        few = len(s) - -(-percent * len(s) // 100) + 1
+        for x in sorted(s, key=lambda x: (rarity[x], x))[:few]:
+            for j in holders.setdefault(x, []):
+                small, large = sorted((len(s), len(sets[j])))
+                if 100 * small >= percent * large and root(i) != root(j):
+                    common = len(s & sets[j])
+                    if 100 * common >= percent * (len(s) + len(sets[j]) - common):
+                        a, b = sorted((root(i), root(j)))
+                        up[b] = a
+            holders[x].append(i)
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 

@@ -156,14 +156,22 @@ def test_encoder_equals_whole_encoding(tokenizer):
 def test_units_that_share_a_hash_are_told_apart(tokenizer, monkeypatch):
     from quillspark.llm import tokens
 
-    real = tokens.span_hashes
+    real = tokens.hashes
     few = np.uint64(3) << np.uint64(43)
-    monkeypatch.setattr(tokens, "span_hashes", lambda raw, a, b, table: real(raw, a, b, table) & (few if table is tokens._BYTE else ~np.uint64(0)))
+    monkeypatch.setattr(tokens, "hashes", lambda *x: [real(*x)[0] & few, real(*x)[1]])
     texts = [" ".join(f"word{i} of{k}" for i in range(40)) for k in range(20)]
     ids, n = Encoder(VOCABULARY).encode(Texts(pa.array(texts)))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_units_of_a_repeating_structure(tokenizer, n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    texts = ["".join(pair[x ^ k] for x in bits) for pair in ("ab", "01") for k in (0, 1)]
+    ids, sizes = Encoder(VOCABULARY).encode(Texts(pa.array(texts)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("delta", [False, True])
 def test_files_allow_selective_reads(spark, data, tmp_path, delta):
     docs = spark.read.parquet(f"{data()}/documents.parquet")
