@@ -28,38 +28,33 @@ from quillspark.scratch import Scratch
 
 BANDS, ROWS, MANTISSA = 40, 5, 4
 BUCKETS = BANDS * ROWS
-#: Order in which an empty bucket tries the others, and its inverse.
+#: Order in which an empty bucket tries the others.
 _TRIES = np.argsort(stream(41, BUCKETS * BUCKETS).reshape(BUCKETS, BUCKETS), axis=1).astype(np.int64)
-_RANKS = np.argsort(_TRIES, axis=1)
 _BAND = stream(43, BANDS)
 _SET = stream(47, 2)
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """One byte a bucket, from sorted distinct hashes (at least one); empty buckets borrow in their own order."""
+def registers(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of registers for each set, one byte a bucket; empty buckets borrow in their own order.
+
+    shingles: the sets' sorted distinct hashes one set after another; sizes: how many each set has. Empty sets give zeros.
+    """
     scaled = (shingles >> np.uint64(32)) * np.uint64(BUCKETS)
-    bucket = (scaled >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    filled = bucket[first]
+    cell = np.repeat(np.arange(len(sizes)) * BUCKETS, sizes) + (scaled >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
     rest = (scaled[first] & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2**32
     fraction, exponent = np.frexp(np.maximum(rest, 2.0**-15))  # rest = fraction * 2**exponent, fraction in [0.5, 1)
-    zeros = np.minimum(-exponent, 15)
-    out = np.zeros(BUCKETS, np.uint8)
-    out[filled] = zeros * (1 << MANTISSA) + ((fraction - 0.5) * 2 * (1 << MANTISSA)).astype(np.int64)
-    empty = np.ones(BUCKETS, bool)
-    empty[filled] = False
-    holes = np.flatnonzero(empty)
-    if len(holes):
-        if len(filled) < 40:
-            out[holes] = out[filled[_RANKS[holes][:, filled].argmin(axis=1)]]
-        else:
-            left, t = holes, 0
-            while len(left):
-                tried = _TRIES[left, t]
-                ok = ~empty[tried]
-                out[left[ok]] = out[tried[ok]]
-                left, t = left[~ok], t + 1
-    return out
+    out, empty = np.zeros(len(sizes) * BUCKETS, np.uint8), np.ones(len(sizes) * BUCKETS, bool)
+    out[cell[first]] = np.minimum(-exponent, 15) * (1 << MANTISSA) + ((fraction - 0.5) * 2 * (1 << MANTISSA)).astype(np.int64)
+    empty[cell[first]] = False
+    left = np.flatnonzero(empty & np.repeat(sizes > 0, BUCKETS))
+    base, bucket, t = left - left % BUCKETS, left % BUCKETS, 0
+    while len(left):
+        tried = base + _TRIES[bucket, t]
+        ok = ~empty[tried]
+        out[left[ok]] = out[tried[ok]]
+        left, base, bucket, t = left[~ok], base[~ok], bucket[~ok], t + 1
+    return out.reshape(-1, BUCKETS)
 
 
 def _collisions() -> np.ndarray:
@@ -85,21 +80,26 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "text_hash", "n", "h1", "h2", "regs"]
         for batch in batches:
-            n, h1, h2, regs = [], [], [], []
-            for _, _, (one, two), bounds in Texts(batch.column(2)).views(span_hashes, second_hashes):
-                for s, t in zip(shingle_sets(one, bounds, size), shingle_sets(two, bounds, size)):
-                    n.append(len(s))
-                    h1.append(mix(s ^ _SET[0]).sum(dtype=np.uint64))
-                    h2.append(set_hash(t))
-                    regs.append(registers(s).tobytes() if len(s) else b"")
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "text_hash", "n", "h1", "h2", "regs"])
+            for low, high, (one, two), bounds in Texts(batch.column(2)).views(span_hashes, second_hashes):
+                first, second = (list(shingle_sets(view, bounds, size)) for view in (one, two))
+                n = np.array([len(s) for s in first])
+                flat = np.concatenate(first)
+                h1, h2 = set_hashes(flat, n, 0), set_hashes(np.concatenate(second), np.array([len(s) for s in second]), 1)
+                offsets = pa.py_buffer((np.append(0, np.cumsum(n > 0)) * BUCKETS).astype(np.int32))
+                regs = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(registers(flat, n)[n > 0].tobytes())])
+                yield pa.record_batch([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), regs], names)
 
     return run
 
 
-def set_hash(shingles: np.ndarray) -> np.uint64:
-    return mix(shingles ^ _SET[1]).sum(dtype=np.uint64)
+def set_hashes(shingles: np.ndarray, sizes: np.ndarray, which: int) -> np.ndarray:
+    """A hash of each set, zero for empty ones."""
+    total = np.zeros(len(shingles) + 1, np.uint64)
+    np.cumsum(mix(shingles ^ _SET[which]), out=total[1:])
+    end = np.cumsum(sizes)
+    return total[end] - total[end - sizes]
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +132,11 @@ def _sets(size: int):
         seen: set[int] = set()
         for batch in batches:
             for low, high, (two,), bounds in Texts(batch.column(2)).views(second_hashes):
-                nodes, sets = [], []
-                for node, h2, s in zip(batch.column(0).slice(low, high - low).to_pylist(), batch.column(1).slice(low, high - low).to_pylist(), shingle_sets(two, bounds, size)):
-                    if node not in seen and int(set_hash(s).view(np.int64)) == h2:
-                        seen.add(node)
-                        nodes.append(node)
-                        sets.append(s.tobytes())
+                sets = list(shingle_sets(two, bounds, size))
+                same = set_hashes(np.concatenate(sets), np.array([len(s) for s in sets]), 1).view(np.int64) == np.asarray(batch.column(1).slice(low, high - low))
+                nodes = batch.column(0).slice(low, high - low).to_pylist()
+                use = [i for i, node in enumerate(nodes) if same[i] and node not in seen and not seen.add(node)]
+                nodes, sets = [nodes[i] for i in use], [sets[i].tobytes() for i in use]
                 yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
@@ -268,7 +267,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Which of the pairs (a, b, na, nb) are links: first by the sketches' estimate, then on full sets."""
         side = lambda k: nodes.select(F.col("node").alias(k), F.col("regs").alias(f"r{k}"))
-        likely = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimates(percent / 100), "a long, b long"), f"{name}-likely")
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimates(percent / 100), "a long, b long")
         full = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
         return scratch.table(likely.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verify(percent), "a long, b long").distinct(), f"{name}-links")
 
@@ -300,11 +299,11 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     links = links.union(confirmed(_met(prefix, percent, scratch), "across"))
 
     # Components take the smallest doc_id that they hold, and the row that has it.
-    parts = scratch.table(connected_components(links, scratch, "a", "b"), "components")
+    parts = connected_components(links, scratch, "a", "b")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_hash", "node")).alias("f")
     named = scratch.table(parts.join(nodes.select("node", "rep", "rep_hash"), "node").groupBy("component").agg(first).select("component", F.col("f.rep").alias("low"), F.col("f.node").alias("first")), "named")
     placed = nodes.select("node", "h1", "h2", "rep", "rep_hash").join(parts.join(named, "component"), "node", "left")
-    placed = scratch.table(placed.select("h1", "h2", "rep", "rep_hash", F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("low")).alias("low"), (F.col("first").isNull() | (F.col("first") == F.col("node"))).alias("leads")), "placed")
+    placed = placed.select("h1", "h2", "rep", "rep_hash", F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("low")).alias("low"), (F.col("first").isNull() | (F.col("first") == F.col("node"))).alias("leads"))
     rows = sketches.select("doc_id", "text_hash", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id"))
     chosen = (F.col("n") == 0) | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))

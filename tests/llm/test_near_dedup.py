@@ -8,7 +8,7 @@ import pyarrow as pa
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from quillspark.llm.near_dedup import BUCKETS, estimate, near_duplicates, registers
+from quillspark.llm.near_dedup import _TRIES, BUCKETS, estimate, near_duplicates, registers
 from quillspark.llm.text import Texts, shingle_sets
 
 
@@ -78,7 +78,7 @@ def test_estimates_follow_similarity():
             both = rng.integers(0, 2**63, n * 2).astype(np.uint64)
             common = int(round(2 * n * share / (1 + share)))  # of n each
             a, b = np.unique(both[:n]), np.unique(both[n - common : 2 * n - common])
-            got = estimate(registers(a)[None], registers(b)[None], np.array([len(a)]), np.array([len(b)]))[0]
+            got = estimate(registers(a, np.array([len(a)])), registers(b, np.array([len(b)])), np.array([len(a)]), np.array([len(b)]))[0]
             assert abs(got - share) < 6 * (0.25 / min(n, BUCKETS)) ** 0.5
 
 
@@ -87,3 +87,15 @@ def test_sets_are_those_of_the_whole_text():
     sets = [s for _, _, h, b in Texts(pa.array(texts, pa.string())).words() for s in shingle_sets(h, b, 4)]
     assert [len(s) for s in sets] == [2, 2, 1, 0, 0]
     assert (sets[0] == sets[1]).all()
+
+
+def test_registers_of_many_sets_are_those_of_each():
+    rng = np.random.Generator(np.random.PCG64(9))
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (0, 1, 2, 30, 0, 500, 5000, 0)]
+    sizes = np.array([len(s) for s in sets])
+    together = registers(np.concatenate(sets), sizes)
+    for row, s in zip(together, sets):
+        assert (row == registers(s, np.array([len(s)]))[0]).all()
+        # By its definition: the bucket's smallest hash, or what the first filled bucket of its own order has.
+        bucket = [int(x) >> 32 for x in (s >> np.uint64(32)) * np.uint64(BUCKETS)]
+        assert len(s) == 0 or all(row[b] == row[_TRIES[b][[t in set(bucket) for t in _TRIES[b]].index(True)]] for b in range(BUCKETS) if b not in set(bucket))
