@@ -29,9 +29,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once. Rows with a null id can't be named and stay."""
-    chosen = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(chosen, docs["doc_id"] == chosen["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id IS NULL"))
+    """One row of each near-duplicate group: that of the smallest id. Rows are named by id and text, so that null and
+    shared ids are no exception; a row that stands several times stays once, texts without words stay as they are."""
+    found = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("chosen")
+    chosen = found.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("n_shingles").alias("n")).agg(F.count("*").alias("times"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("own"))
+    kept = row.join(chosen, (row["own"] == chosen["hash"]) & F.col("row.doc_id").eqNullSafe(chosen["id"]))
+    once = kept.where("times = 1 OR n = 0").select("row")
+    return once.union(kept.where("times > 1 AND n > 0").dropDuplicates(["id", "hash"]).select("row")).select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
