@@ -248,9 +248,12 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     sketches = scratch.table(docs.mapInArrow(_sketch(size), "doc_id long, text_hash long, n long, h1 long, h2 long, regs binary"), "sketches")
 
-    # Classes of equal sets; each is one node with one representative row, that of its smallest doc_id.
+    # Classes of equal sets; each is one node with one representative row, that of its smallest doc_id. Nodes are numbered in
+    # order of that id, so that all buckets of a group tend to have the same smallest member, and with it few pairs.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "regs")).alias("m")
-    nodes = scratch.table(sketches.where("n > 0").groupBy("h1", "h2").agg(least).select(F.monotonically_increasing_id().alias("node"), "h1", "h2", *(F.col(f"m.{c}").alias(r) for c, r in (("doc_id", "rep"), ("text_hash", "rep_hash"), ("n", "n"), ("regs", "regs")))), "nodes")
+    classes = sketches.where("n > 0").groupBy("h1", "h2").agg(least).select("h1", "h2", *(F.col(f"m.{c}").alias(r) for c, r in (("doc_id", "rep"), ("text_hash", "rep_hash"), ("n", "n"), ("regs", "regs"))))
+    order = [F.asc_nulls_last("rep"), F.asc("rep_hash")]
+    nodes = scratch.table(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # Members of the buckets that hold several nodes, and their full sets.
     bands = nodes.select("node", "n", "regs").mapInArrow(_bands, "key long, node long, n long")
