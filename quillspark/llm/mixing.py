@@ -5,7 +5,8 @@ over training time is linear and integrates to its target; the integral, inverte
 source's stream of words, is the document's training position. Documents are then range-sorted by position.
 
 No window spans a source: running word counts are made per (source, slice of the hash order) and added up
-from the few slice totals, so a source with a third of all rows is spread over many tasks.
+from the few slice totals, so a source with a third of all rows is spread over many tasks. Rows that share id and text are one
+entry with a count; texts themselves are in no window and are joined to their places when all is placed.
 """
 
 from __future__ import annotations
@@ -63,55 +64,82 @@ def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def mix_plan(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS, carry: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, start, tilt: how many words of each document the mix takes.
+def row_hash() -> Column:
+    """What orders a source's stream: rows with equal ids (or none) and different texts are spread like all others."""
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(of("doc_id"), F.lit(":"), F.md5(of("text").cast("binary"))).cast("binary"))
 
-    A source's documents form a stream in order of the md5 of their ids (ties: id, then size), repeated until the
-    target is reached; a document's part of the last pass may be cut. start is its place in the first pass. A null
-    text has size 0 and nothing of it is taken; a null source is a source of its own, the last; repeated rows are
-    separate documents; reruns agree. An empty table gives no rows. carry: with all columns of documents as a
-    struct named row. Other columns are not read.
-    """
+
+def _placed(documents: DataFrame, cycle: int, repeats: int) -> DataFrame:
+    """(doc_id, source, size, h, copies, source_size, target, tilt, start): start is the place of the first of its copies rows."""
     scratch = Scratch(documents.sparkSession, "mix")
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    columns = [F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count("text").alias("size"), h.alias("h"), _key("source").alias("key"), F.substring(h, 1, DIGITS).alias("slice")]
-    sized = scratch.table(documents.select(*columns), "sizes")
-    slices = sized.groupBy("key", "slice").agg(F.sum("size").alias("words"))
+    h = row_hash()
+    sized = documents.select("doc_id", "source", word_count("text").alias("size"), h.alias("h"), _key("source").alias("key"))
+    entries = scratch.table(sized.groupBy("key", "h", "doc_id", "source", "size").agg(F.count("*").alias("copies")).withColumn("slice", F.substring("h", 1, DIGITS)), "entries")
+    words = F.col("size") * F.col("copies")
+    slices = entries.groupBy("key", "slice").agg(F.sum(words).alias("words"))
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("key", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = entries.groupBy("source").agg(F.sum(words).alias("source_size"))
     targets = source_targets(sources, cycle, repeats).select(_key("source").alias("key"), "source_size", "target", "tilt")
     bases = slices.join(targets, "key")
-
-    rows = documents.select(*columns, F.struct(*documents.columns).alias("row")) if carry else sized
     within = Window.partitionBy("key", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("inner", F.sum("size").over(within)).join(bases, ["key", "slice"])
-    start = F.col("base") + F.col("inner") - F.col("size")
+    placed = entries.withColumn("inner", F.sum(words).over(within)).join(bases, ["key", "slice"])
+    return placed.select("doc_id", "source", "size", "h", "copies", "source_size", "target", "tilt", (F.col("base") + F.col("inner") - words).alias("start"))
+
+
+def mix_plan(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, start, tilt, h, copies, first_position, last_position: a row for each document.
+
+    A source's documents form a stream in order of row_hash() (ties: id, then size), repeated until the target is reached; a
+    document's part of the last pass may be cut. taken: how many words of it the mix takes; start: its place in the first
+    pass; first_position and last_position: training positions in [0, 1] at which its first and its last taken copy begin, null
+    where nothing is taken. A null text has size 0 and nothing of it is taken; a null source is a source of its own, the last;
+    null and repeated ids are like others; repeated rows are separate documents, one after another in the stream; reruns agree.
+    Very long texts count whole. An empty table gives no rows. Other columns are not read.
+    """
+    placed = _placed(documents, cycle, repeats)
+    each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    start = F.col("start") + F.col("copy") * F.col("size")
     words = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
     rest = words - passes * F.col("source_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), start.alias("start"), "tilt", *(["row"] if carry else []))
+    taken = (passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))).cast("long")
+    plan = each.withColumn("start", start).withColumn("taken", taken)
+    last = F.floor((F.col("taken") - 1) / F.greatest(F.col("size"), F.lit(1)))
+    at = lambda n: F.when(F.col("taken") > 0, position(F.col("start") + n * F.col("source_size"), F.col("target"), F.col("tilt")))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "taken", "start", "tilt", "h", "copies", at(F.lit(0)).alias("first_position"), at(last).alias("last_position"))
+
+
+def by_position(df: DataFrame, *order: str) -> DataFrame:
+    """df range-sorted: files or partitions in training order, each in order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def mixed_documents(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS) -> DataFrame:
     """The mix itself: the columns of documents, a row for each time a document is taken, range-sorted by position.
 
     A row that is taken in part keeps its first words, with the white space after each, and its n_chars follows
-    (where documents have that column). Documents of which nothing is taken are left out. Cases as in mix_plan;
-    extra columns stay as they are, whatever their names.
+    (where documents have that column). Documents of which nothing is taken are left out. Of rows that share source, id and text,
+    one row's other columns stand for all. Cases as in mix_plan; extra columns stay as they are, whatever their names.
     """
-    plan = mix_plan(documents, cycle, repeats, carry=True).where("taken > 0")
-    each = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("pass"))
-    part = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    plan = mix_plan(documents, cycle, repeats).where("taken > 0")
+    each = plan.select("*", _key("source").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("pass"))
+    at = position(F.col("start") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("tilt"))
+    each = each.select("key", "h", "copies", "size", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")).alias("part"), at.alias("at"))
+    row = documents.select(F.struct(*documents.columns).alias("row"), row_hash().alias("h"), _key("source").alias("key"))
+    # Texts are shuffled once, to their places; only rows that stand several times are made one beforehand.
+    several = each.where("copies > 1")
+    one = row.join(several.select("key", "h").distinct(), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
+    columns = ["row", "h", "size", "part", "at"]
+    taken = row.join(each.where("copies = 1"), ["key", "h"]).select(*columns).union(one.join(several, ["key", "h"]).select(*columns))
     text = F.col("row.text")
     pieces = F.split(text, "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
     lead = F.when(text.rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
-    cut = F.when(part < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), (part + lead).cast("int")), "")).otherwise(text)
-    at = position(F.col("start") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("tilt"))
+    cut = F.when(F.col("part") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), (F.col("part") + lead).cast("int")), "")).otherwise(text)
     made = {c: F.col(f"row.`{c}`") for c in documents.columns} | {"text": cut}
     if "n_chars" in documents.columns:
         made["n_chars"] = F.length(cut).cast(documents.schema["n_chars"].dataType)
-    out = each.select(F.struct(*(v.alias(c) for c, v in made.items())).alias("row"), at.alias("at"), "doc_id")
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "at", "doc_id").sortWithinPartitions("at", "doc_id").select("row.*")
+    out = taken.select(F.struct(*(v.alias(c) for c, v in made.items())).alias("row"), "at", "h")
+    return by_position(out, "at", "h").select("row.*")

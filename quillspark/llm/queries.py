@@ -12,7 +12,7 @@ from quillspark.llm.langid import predict_languages
 from quillspark.llm.license_scan import license_matches
 from quillspark.llm.license_scan import oracle as license_sql
 from quillspark.llm.media import text_media
-from quillspark.llm.mixing import mix_plan
+from quillspark.llm.mixing import by_position, mix_plan
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.quality import quality_scores
 from quillspark.llm.secret_scan import secret_spans
@@ -52,12 +52,13 @@ def op9_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
+    return by_position(plan, "first_position", "doc_id")
 
 
 OP3_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), sources AS (
@@ -74,18 +75,26 @@ WITH sized AS (
 ), chosen AS (
   SELECT level FROM split WHERE level * weight <= room ORDER BY room / weight, rank LIMIT 1
 ), targets AS (
-  SELECT source, source_size, CASE WHEN level IS NULL OR room < level * weight THEN room ELSE level * weight END AS target
-  FROM (SELECT split.source, source_size, room, weight, chosen.level FROM split LEFT JOIN chosen ON TRUE)
+  SELECT source, source_size, CASE WHEN level IS NULL OR room < level * weight THEN room ELSE level * weight END AS target,
+         [0.5::DOUBLE, 0::DOUBLE, -0.5::DOUBLE][(rank - 1) % 3 + 1] AS tilt
+  FROM (SELECT split.source, source_size, room, weight, rank, chosen.level FROM split LEFT JOIN chosen ON TRUE)
 ), placed AS (
   SELECT doc_id, source, size,
          (sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
   FROM sized
+), plan AS (
+  SELECT doc_id, size, source_size, target, tilt, start,
+    (CASE WHEN source_size > 0 THEN (round(target)::BIGINT // source_size) ELSE 0 END * size
+     + greatest(0, least(size, round(target)::BIGINT
+         - CASE WHEN source_size > 0 THEN (round(target)::BIGINT // source_size) ELSE 0 END * source_size - start)))::BIGINT AS taken
+  FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+), asked AS (
+  SELECT *, start / greatest(target, 1e-9) AS first_asked, (start + (taken - 1) // greatest(size, 1) * source_size) / greatest(target, 1e-9) AS last_asked FROM plan
 )
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN (round(target)::BIGINT // source_size) ELSE 0 END * size
-   + greatest(0, least(size, round(target)::BIGINT
-       - CASE WHEN source_size > 0 THEN (round(target)::BIGINT // source_size) ELSE 0 END * source_size - start)))::BIGINT AS taken
-FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN CASE WHEN tilt = 0 THEN first_asked ELSE (sqrt(greatest(0, (1 - tilt) * (1 - tilt) + 4 * tilt * first_asked)) - (1 - tilt)) / (2 * tilt) END END AS first_position,
+  CASE WHEN taken > 0 THEN CASE WHEN tilt = 0 THEN last_asked ELSE (sqrt(greatest(0, (1 - tilt) * (1 - tilt) + 4 * tilt * last_asked)) - (1 - tilt)) / (2 * tilt) END END AS last_position
+FROM asked
 """
 
 
