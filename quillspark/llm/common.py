@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,16 +15,29 @@ def remainder(doc_id: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, divisor: int, held: int) -> DataFrame:
-    """(doc_id, text, y) of at most limit labelled rows outside the held-out fold, the same ones at every run.
+#: Most bytes of text that a classifier is fitted on.
+SAMPLE_BYTES = 64 << 20
 
-    limit bounds what a classifier is fitted on, and so the side that is broadcast. Rows with a null label or
-    id are left out; a document with several labels counts once for each.
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, divisor: int, held: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, y) of labelled rows outside the held-out fold, the same ones at every run: at most limit rows of at most
+    most_bytes bytes in all (texts of over a 64th of that are not sampled).
+
+    These bound what a classifier is fitted on, and so the keys that are broadcast. Rows with a null label or id are left
+    out; a document with several labels counts once for each; rows that share id, label and text count once. The order in
+    which rows are taken is that of hashes of the id and then of the text.
     """
     wanted = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (remainder("doc_id", divisor) != held))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(limit)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    named = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), size.alias("bytes")).where(F.col("bytes") <= most_bytes // 64)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y"), F.col("text_hash")]
+    keys = named.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y", "text_hash").agg(F.max("bytes").alias("bytes")).orderBy(*order).limit(limit)
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over at most limit rows
+    chosen = keys.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id", "y", "text_hash")
+    return named.join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "y", "text_hash"]).select("doc_id", "text", "y")

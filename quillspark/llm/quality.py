@@ -52,7 +52,7 @@ def features(texts: Texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
 
 def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and bias from (doc_id, text, y). Without rows: zero weights, so that every score is one half."""
-    table = sample.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    table = sample.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
     labels, rows = table["y"].to_numpy(), []
     for chunk in table["text"].chunks:
         for low, high, of, index, value in features(Texts(chunk)):
@@ -68,7 +68,8 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
     """All columns of documents -> the same rows with held_out, score and predicted.
 
     A null or empty text is scored by the bias alone; repeated rows get equal scores; an empty table gives no
-    rows. Columns of documents named held_out, score or predicted are replaced. Only texts are inputs of a score.
+    rows. Columns of documents named held_out, score or predicted are replaced. Only texts are inputs of a score. Very long
+    texts are scored whole, in parts. Rows with equal ids or labels are no ties: the sample's order is fixed by ids and texts.
     """
     spark = documents.sparkSession
     ship_code(spark)
