@@ -74,13 +74,17 @@ def tiles(doc, item, size):
 
 def coverage(doc, item, size=5):
     d, i = tokens(doc), tokens(item)
-    return sum(n for _, _, n in tiles(d, i, size)) / len(i) if len(i) >= size else 0.0
+    if i and len(set(d + i)) == 1:  # one word again and again
+        return min(1.0, len(d) / len(i)) if min(len(d), len(i)) >= min(size, len(i)) else 0.0
+    return sum(n for _, _, n in tiles(d, i, min(size, len(i)))) / len(i) if i else 0.0
 
 
 def mix(rows, cycle=3, repeats=3):
-    """rows: (doc_id, source, size) -> {doc_id: (source_size, target, taken)}."""
+    """rows: (doc_id, source, text) -> {doc_id: (source_size, target, taken, places at which its copies begin)}."""
     import hashlib
 
+    texts = {d: t or "" for d, _, t in rows}
+    rows = [(d, s, len(WORD.findall(t or ""))) for d, s, t in rows]
     names = sorted({s for _, s, _ in rows if s is not None}) + ([None] if any(s is None for _, s, _ in rows) else [])
     have = {s: sum(n for _, x, n in rows if x == s) for s in names}
     weight = {s: i % cycle + 1 for i, s in enumerate(names)}
@@ -96,12 +100,15 @@ def mix(rows, cycle=3, repeats=3):
         full |= over
     out = {}
     for s in names:
-        docs = sorted((hashlib.md5(str(d).encode()).hexdigest(), d, n) for d, x, n in rows if x == s)
-        taken = dict.fromkeys((d for _, d, _ in docs), 0)
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        docs = sorted((md5(f"{d}:{md5(texts[d])}"), d, n) for d, x, n in rows if x == s)
+        taken, places, at = dict.fromkeys((d for _, d, _ in docs), 0), {d: [] for _, d, _ in docs}, 0
         left = int(target[s] + 0.5)
         while left > 0 and have[s]:
             for _, d, n in docs:
                 taken[d] += min(n, left)
+                places[d] += [at] if min(n, left) else []
+                at += n
                 left -= min(n, left)
-        out |= {d: (have[s], target[s], taken[d]) for _, d, _ in docs}
+        out |= {d: (have[s], target[s], taken[d], places[d]) for _, d, _ in docs}
     return out

@@ -1,13 +1,16 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import toxicity
+from quillspark.llm import quality, toxicity
+from quillspark.llm.common import labelled_sample
 from quillspark.llm.langid import WINDOW, Network, predict_languages, windows
 from quillspark.llm.linear import Ftrl
 from quillspark.llm.quality import quality_scores
-from quillspark.llm.text import Texts
-from quillspark.llm.toxicity import swapped, toxicity_scores
+from quillspark.llm.text import FOLDED, Texts, mix, shape_hashes, span_hashes
+from quillspark.llm.toxicity import swapped, toxicity_scores, twin
 
 
 def auc(scores, truth):
@@ -55,6 +58,91 @@ def test_identity_terms_are_swapped():
     assert swapped("nothing here, womenfolk") is None
 
 
+def test_terms_with_other_letters_stay_or_fold():
+    assert swapped("CHRİSTİAN and gİrls") is None
+    assert swapped("the girlſ and MUSLIM CHRİSTİAN") == "the boys and christian CHRİSTİAN"
+    assert twin("No term. All women here! And men? none") == (" All women here! And men?", " All men here! And girls?")
+    assert twin("nothing here. womenfolk") is None
+
+
+def test_terms_outside_ascii_don_t_end_the_query(spark):
+    texts = ["CHRİSTİAN words here", "the gİrls and girlſ", "ÇOCUKLAR İYİ", "plain text", None]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    assert toxicity_scores(docs, labels).where("score BETWEEN 0 AND 1").count() == 100
+
+
+def test_words_that_a_corpus_uses_alike_are_pairs():
+    rng = np.random.Generator(np.random.PCG64(7))
+    filler = [f"plain{chr(97 + i)}" for i in range(20)]
+    texts, labels = [], []
+    for i in range(600):
+        y = i % 2
+        words = list(rng.choice(filler, 8)) + ["the", ("redfolk", "bluefolk", "greenfolk")[rng.integers(3)], "said"]
+        texts.append(" ".join(words + (["insult"] if y else []) + ["end"]))
+        labels.append(y)
+    found = toxicity.alike(pa.array(texts, pa.large_string()), np.array(labels))
+    folk = {w: x for w, x in found.items() if w.endswith("folk")}
+    assert len(folk) == 2 and all(found[x] == w for w, x in folk.items()) and "insult" not in found
+    assert toxicity.alike(pa.array([], pa.large_string()), np.array([], int)) == {}
+
+
+def model_scores(texts, weights, bias, keys):
+    """Scores from features computed one by one: keys(text) -> {feature: value}."""
+    return [1 / (1 + math.exp(-(bias + sum(weights[k] * v for k, v in keys(t).items())))) for t in texts]
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Every score is the logistic function of the bias and one sparse dot product over the whole text."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(200)] + ["", None, "Same same SAME x1", "word " * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    drawn = rng.standard_normal(1 << 20).astype(np.float32) * 0.1
+
+    def each(module, text):
+        """The features of one text alone, by their definition on its words and bytes."""
+        one = Texts(pa.array([text], pa.string()))
+        if module is quality:
+            (_, _, (word, shape), _), = list(one.views(span_hashes, shape_hashes)) or [(0, 0, ([], []), 0)]
+            n, out = len(word), {}
+            shape = [int(mix(np.array([s + np.uint64(k > 0 and word[k] == word[k - 1])], np.uint64))[0]) for k, s in enumerate(shape)]
+            for seed, view, longest in ((1, [int(w) for w in word], 2), (2, shape, 3)):
+                for i in range(n):
+                    h = seed
+                    for k in range(longest):
+                        if i + k < n:
+                            h = int(mix(np.array([(h * 0x9E3779B97F4A7C15 + view[i + k]) % 2**64], np.uint64))[0])
+                            f = h >> (64 - quality.BITS)
+                            out[f] = out.get(f, 0) + 1
+            return {f: math.sqrt(c / n) for f, c in out.items()}
+        (_, _, (word,), _), = list(one.views(span_hashes, gaps=toxicity._GAPS)) or [(0, 0, ([],), 0)]
+        g, m = [int(x) for x in toxicity._GRAM], lambda h: int(mix(np.array([h % 2**64], np.uint64))[0]) >> (64 - toxicity.BITS)
+        raw = [int(FOLDED.byte[b]) for b in (text or "").encode()]
+        out = {m(int(w)) for w in word} | {m(int(a) * g[6] + int(b)) for a, b in zip(word, word[1:])}
+        for n in (4, 5):
+            out |= {m(sum(raw[i + j] * g[j] for j in range(n))) for i in range(len(raw) - n + 1)}
+        return dict.fromkeys(out, 1.0)
+
+    for module, scores in ((quality, quality_scores), (toxicity, toxicity_scores)):
+        weights = drawn[: 1 << module.BITS].copy()
+        monkeypatch.setattr(module, "fit", lambda *_: (weights, 0.25))
+        got = {r["doc_id"]: r["score"] for r in scores(docs, labels).collect()}
+        few = [*range(0, 200, 9), 200, 201, 202, *([203] if module is quality else [])]
+        want = model_scores([texts[i] for i in few], weights, 0.25, lambda t: each(module, t))
+        assert [got[i] for i in few] == pytest.approx(want, abs=1e-5)
+
+
+def test_samples_are_bounded_and_the_same(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i} " + "x" * (i % 7)) for i in range(2000)] + [(5, "y" * 100_000)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, quality int")
+    drawn = [sorted((r["doc_id"], r["text"], r["y"]) for r in labelled_sample(docs.repartition(n), labels, "quality", 100, 5, 0, 1 << 20).collect()) for n in (1, 5)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == len(set(drawn[0])) == 100
+    small = labelled_sample(docs, labels, "quality", 100, 5, 0, 640).collect()
+    assert 0 < sum(len(r["text"]) for r in small) <= 640
+
+
 def test_penalty_shrinks_the_effect_of_a_mention(spark):
     """Mentions of one group stand in toxic texts more often; the penalty takes the mention's own weight away."""
     rng = np.random.Generator(np.random.PCG64(2))

@@ -35,11 +35,11 @@ def test_stages_against_brute_force(spark, data):
     assert set(texts[3]) == {i for i, t in texts[2].items() if clean(t)}
 
     sources = {r["doc_id"]: r["source"] for r in kept[3].collect()}
-    plan = brute.mix([(i, sources[i], len(brute.WORD.findall(t))) for i, t in texts[3].items()])
+    plan = brute.mix([(i, sources[i], t) for i, t in texts[3].items()])
     taken = {}
     for r in kept[4].select("doc_id", "text").collect():
         taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(brute.WORD.findall(r["text"]))
-    assert taken == {i: n for i, (_, _, n) in plan.items() if n}
+    assert taken == {i: n for i, (_, _, n, _) in plan.items() if n}
 
     rows = corpus_pipeline.STAGES[-1][1](spark, kept[4], d).collect()
     assert len(rows) == kept[4].count()

@@ -14,7 +14,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from quillspark.llm.decontaminate import contained_items, decontaminated, tile
+from quillspark.llm.decontaminate import Seeds, contained_items, decontaminated, joined_runs, runs_of, tile
 from quillspark.llm.license_scan import HINT, RULES, SENTENCES, license_matches
 from quillspark.llm.mixing import TILTS, mix_plan, mixed_documents
 from quillspark.llm.secret_scan import ACCESS, ASSIGN, HEX, secret_spans
@@ -30,8 +30,12 @@ def test_tiles_match_full_search():
         doc, item = ([rng.randrange(4) for _ in range(rng.randint(0, 25))] for _ in range(2))
         for size in (2, 3):
             pairs = [(i, j) for i in range(len(doc) - size + 1) for j in range(len(item) - size + 1) if doc[i : i + size] == item[j : j + size]]
-            got = tile(np.array(doc), np.array(item), pairs, size)
-            assert got == brute.tiles(doc, item, size)
+            rng.shuffle(pairs)
+            i, j = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+            cut = rng.randint(0, 25)
+            parts = [runs_of(i[i < cut], j[i < cut], size), runs_of(i[i >= cut], j[i >= cut], size)]
+            for runs in (runs_of(i, j, size), joined_runs(parts, size)):
+                assert tile(len(doc), len(item), runs, size) == brute.tiles(doc, item, size)
 
 
 def test_contained_items_match_brute_force(spark, data):
@@ -51,13 +55,35 @@ def test_contained_items_match_brute_force(spark, data):
 def test_reordered_passages_are_found(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
     docs = spark.createDataFrame([(1, f"start {c}! {a}, and {b.upper()} end"), (2, f"{a} other"), (3, "nothing of it at all in here")], "doc_id long, text string")
-    items = spark.createDataFrame([(9, f"{a} {b} {c}"), (8, "too short"), (7, None), (None, f"{a}")], "item_id long, text string")
+    items = spark.createDataFrame([(9, f"{a} {b} {c}"), (8, "not there"), (7, None), (None, f"{a}"), (6, "of it all"), (5, "...")], "item_id long, text string")
     rows = {(r["doc_id"], r["item_id"]): r for r in contained_items(docs, items).collect()}
     assert set(rows) == {(1, 9), (1, None), (2, None)}
     r = rows[1, 9]
     assert (r["tiles"], r["covered"], r["reordered"], r["coverage"]) == (3, 36, True, 1.0)
 
 
+def test_short_items_and_repeating_texts(spark):
+    """Items of fewer words than a seed are found as a whole; one word again and again is tiled in bounded memory."""
+    docs = [(1, "Of it, all!"), (2, "of all it"), (3, "a yes there"), (4, "yesterday"), (5, "go " * 30_000), (6, "go " * 3), (7, "x go go stop go go go go stop y")]
+    items = [(1, "of it all"), (2, "yes"), (3, "go " * 200), (4, "go go stop"), (5, "go go go go stop go"), (6, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, k) for i, t in docs for k, x in items if brute.coverage(t, x) >= 0.5}
+    for block in (1 << 24, 20):
+        got = {(r["doc_id"], r["item_id"]) for r in contained_items(d, b, block_chars=block).collect()}
+        assert got == want and (5, 3) in got and (1, 1) in got and (2, 1) not in got and (4, 2) not in got
+        assert {r["doc_id"] for r in decontaminated(d, b, block_chars=block).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_hits_are_compared_word_by_word(monkeypatch):
+    from quillspark.llm import decontaminate
+
+    seeds = lambda: Seeds([(1, "a b c d e f g h"), (2, "p q r s t u")], 5)
+    texts = pa.array(["x a b c d e f g h", "l m n o p q r s t u v", "k l m n o p"], pa.large_string())
+    want = [(r[0], r[1], r[3]) for r in decontaminate._contained(seeds(), texts, 0.5)]
+    monkeypatch.setattr(decontaminate, "rolling", lambda w, size: np.zeros(max(0, len(w) - size + 1), np.uint64))
+    assert [(r[0], r[1], r[3]) for r in decontaminate._contained(seeds(), texts, 0.5)] == want == [(0, 1, 8), (1, 2, 6)]
+
+
 def test_decontamination_edges(spark, edge, nothing):
     items = spark.createDataFrame([(1, "the same text here again and again"), (2, ""), (3, None)], "item_id long, text string")
     assert [r["doc_id"] for r in contained_items(edge, items).orderBy("doc_id").collect()] == [6, 7, 7]
@@ -69,14 +95,40 @@ def test_decontamination_edges(spark, edge, nothing):
 # --- Mixing
 
 def test_mix_matches_brute_force(spark):
+    from quillspark.llm.mixing import by_position
+
     rng = random.Random(5)
     for _ in range(3):
-        rows = [(i, rng.choice([None, "b", "a", "Z", "é", "rare"] + ["hot"] * 20), rng.randint(0, 30)) for i in range(200)]
-        df = spark.createDataFrame([(i, s, " ".join(["w"] * n)) for i, s, n in rows], "doc_id long, source string, text string")
+        rows = [(i, rng.choice([None, "b", "a", "Z", "é", "rare"] + ["hot"] * 20), " ".join(["w"] * rng.randint(0, 30))) for i in range(200)]
         want = brute.mix(rows)
-        got = mix_plan(df).collect()
-        assert {r["doc_id"]: (r["source_size"], r["target"], r["taken"]) for r in got} == {k: (a, pytest.approx(b), c) for k, (a, b, c) in want.items()}
+        tilt = {s: TILTS[i % 3] for i, s in enumerate(sorted({s for _, s, _ in rows if s is not None}) + [None])}
+        source = {i: s for i, s, _ in rows}
+        plan = by_position(mix_plan(spark.createDataFrame(rows, "doc_id long, source string, text string")), "first_position", "doc_id")
+        got = plan.collect()
+        assert {r["doc_id"]: (r["source_size"], r["target"], r["taken"]) for r in got} == {k: (a, pytest.approx(b), c) for k, (a, b, c, _) in want.items()}
         assert all(r["taken"] <= 3 * r["size"] for r in got)
+        for r in got:
+            places, k = want[r["doc_id"]][3], tilt[source[r["doc_id"]]]
+            for t, place in ((r["first_position"], places[0] if places else None), (r["last_position"], places[-1] if places else None)):
+                # The words that the source's schedule has asked for until then.
+                assert (t is None) == (place is None) and (t is None or (t * (1 - k) + k * t * t) * r["target"] == pytest.approx(place, abs=1e-6))
+        order = [r["first_position"] for r in got if r["first_position"] is not None]
+        assert order == sorted(order)
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Equal ids and none are spread like others; rows that stand several times are taken one after another."""
+    rows = [(None, "a", f"t{i} " * (i % 5)) for i in range(300)] + [(1, "a", "same words here")] * 40 + [(2, "b", "x y z")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = mix_plan(df).collect()
+    assert len(plan) == len(rows)
+    starts = sorted((r["start"], r["size"]) for r in plan if r["source"] == "a" and r["size"])
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    assert len({r["h"][:2] for r in plan}) > 80
+    mixed = mixed_documents(df).collect()
+    count = lambda xs: sum(len(brute.WORD.findall(t)) for t in xs)
+    for s in "ab":
+        assert count(r["text"] for r in mixed if r["source"] == s) == sum(r["taken"] for r in plan if r["source"] == s)
 
 
 def test_mixed_documents_hold_what_the_plan_takes(spark, data):
