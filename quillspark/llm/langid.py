@@ -2,7 +2,8 @@
 
 Bytes are embedded, filtered by convolutions of several widths, rectified, max-pooled over a window of WINDOW
 bytes and classified by a softmax layer. A text is cut into such windows, all of which count: its language is
-that of the highest mean log-probability, weighted by the windows' bytes. Fitted on at most SAMPLE labelled texts.
+that of the highest mean log-probability, weighted by the windows' bytes. Fitted on at most SAMPLE labelled texts of each
+language, however many languages there are, and WINDOWS_EACH windows of each; every whole text is classified.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -21,8 +22,9 @@ from quillspark.scratch import ship_code
 
 WINDOW = 128
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
-#: Most labelled texts of each language, and windows of each text, that the network is fitted on.
-SAMPLE, WINDOWS_EACH, LANGUAGES = 400, 12, 256
+#: Most labelled texts of each language, windows of each text, and texts in all (but one a language at least), that the
+#: network is fitted on: what the driver collects is at most TEXTS * WINDOWS_EACH windows, 150 MB.
+SAMPLE, WINDOWS_EACH, TEXTS = 400, 12, 100_000
 ROUNDS = 6
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -107,34 +109,48 @@ class Network:
         return grads
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Trained on at most sample texts of each language outside the held-out fold; None where there are none.
+def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_hash, lang, windows): WINDOWS_EACH windows of each text, evenly from its first to its last."""
+    for batch in batches:
+        texts, taken = Texts(batch.column(2)), []
+        for i in range(len(batch)):
+            n = -(-int(texts.ends[i] - texts.starts[i]) // WINDOW)
+            which = np.unique(np.linspace(0, n - 1, min(n, WINDOWS_EACH)).round().astype(np.int64))
+            raw = texts.text(i)
+            taken.append(b"".join(raw[k * WINDOW : (k + 1) * WINDOW].tobytes().ljust(WINDOW, b"\0") for k in which.tolist()))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(taken, pa.binary())], ["text_hash", "lang", "windows"])
+
+
+def labelled_windows(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[str], pa.Table]:
+    """The languages of documents outside the held-out fold, and (text_hash, lang, windows) of at most sample texts of each.
 
-    At most LANGUAGES languages are learned, the most frequent; the sample's size is bounded by both.
+    Of each language those texts are taken whose hashes (of id and text) come first, the same ones at every run; rows that
+    share id, language and text count once.
     """
     usable = documents.select("doc_id", "lang", "text").where((remainder("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row for each language
+    each = min(sample, max(1, TEXTS // max(1, len(counts))))
+    rates = documents.sparkSession.createDataFrame([(k, min(1.0, (1.5 * each + 20) / n)) for k, n in counts.items()], "lang string, rate double")
+    hashed = usable.withColumn("text_hash", F.xxhash64("doc_id", "text"))
+    # Few more than wanted pass by their hash; of these the first are taken in order.
+    order = F.pmod(F.xxhash64("text_hash"), F.lit(1 << 40))
+    passed = hashed.select("lang", "text_hash").join(F.broadcast(rates), "lang").where(order < F.col("rate") * (1 << 40)).select("lang", "text_hash").distinct()
+    first = passed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text_hash"))).where(F.col("rank") <= each).drop("rank")
+    drawn = hashed.join(F.broadcast(first), ["lang", "text_hash"]).select("text_hash", "lang", "text")
+    table = drawn.mapInArrow(_training_windows, "text_hash long, lang string, windows binary").dropDuplicates(["text_hash", "lang"]).toArrow()
+    return sorted(counts), table.sort_by([("lang", "ascending"), ("text_hash", "ascending")])
+
+
+def fit(documents: DataFrame, sample: int = SAMPLE) -> Network | None:
+    """Trained on labelled_windows; None without any. All languages that they hold are classes."""
+    classes, table = labelled_windows(documents, sample)
+    if not classes:
         return None
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], min(1.0, 1.5 * sample / r["count"])).otherwise(rate)
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000).limit(2 * sample * len(counts))
-    table = drawn.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    classes = sorted({r["lang"] for r in counts})
-    xs, ys, seen = [], [], dict.fromkeys(classes, 0)
-    for lang, text in zip(table["lang"].to_pylist(), table["text"]):
-        if seen[lang] >= sample:
-            continue
-        seen[lang] += 1
-        x = np.concatenate([part for part, _, _ in windows(Texts(pa.array([text.as_py()], pa.large_string())), 0, 1)])
-        step = max(1, len(x) // WINDOWS_EACH)
-        x = x[::step][:WINDOWS_EACH]
-        xs.append(x)
-        ys.append(np.full(len(x), classes.index(lang)))
+    place = {c: k for k, c in enumerate(classes)}
+    xs = [np.frombuffer(w.as_buffer(), np.uint8).reshape(-1, WINDOW) for w in table["windows"]]
     net = Network(classes)
-    if xs and len(classes) > 1:
-        net.fit(np.concatenate(xs), np.concatenate(ys))
+    if len(classes) > 1:
+        net.fit(np.concatenate(xs), np.repeat([place[x] for x in table["lang"].to_pylist()], [len(x) for x in xs]))
     return net
 
 
@@ -142,7 +158,8 @@ def predict_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """All columns of documents -> the same rows with held_out, lang_pred and score (the mean window's probability).
 
     A null text, or one without a letter, is `und` with score 0; so is every text where no language could be
-    learned. Rows with a null lang are predicted and not learned from; repeated rows get equal results; an
+    learned. Rows with a null lang are predicted and not learned from; repeated rows get equal results; of languages that
+    are equally likely the first in order of code points is taken; very long texts are read whole, in blocks of windows; an
     empty table gives no rows. Columns of documents named held_out, lang_pred or score are replaced.
     """
     spark = documents.sparkSession

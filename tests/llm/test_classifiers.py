@@ -6,7 +6,7 @@ import pytest
 
 from quillspark.llm import quality, toxicity
 from quillspark.llm.common import labelled_sample
-from quillspark.llm.langid import WINDOW, Network, predict_languages, windows
+from quillspark.llm.langid import FILTERS, WIDTHS, WINDOW, WINDOWS_EACH, Network, _training_windows, labelled_windows, predict_languages, windows
 from quillspark.llm.linear import Ftrl
 from quillspark.llm.quality import quality_scores
 from quillspark.llm.text import FOLDED, Texts, mix, shape_hashes, span_hashes
@@ -208,3 +208,53 @@ def test_network_gradients_match_differences():
             down = loss()
             flat[i] = old
             assert abs((up - down) / 2e-5 - g[i]) < 1e-4 + 0.05 * abs(g[i])
+
+
+def test_many_languages_and_an_ordered_sample(spark):
+    """No language is left out, however many there are; the sample doesn't depend on partitions, nor on how often rows repeat."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    rows = [(k, "".join(chr(97 + x) for x in rng.integers(0, 26, 40)), f"l{k % 300:03d}") for k in range(1500)] + [(7, "hot text", "l007")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = [labelled_windows(df.repartition(n), 2) for n in (1, 6)]
+    assert drawn[0][0] == sorted({f"l{k:03d}" for k in range(300)}) and drawn[0][1].equals(drawn[1][1])
+    per = drawn[0][1].to_pandas().groupby("lang").size()
+    assert len(per) == 300 and per.max() == 2
+
+
+def test_training_windows_reach_the_ends_of_texts():
+    text = "a" * (40 * WINDOW) + "tail"
+    batch = pa.record_batch([pa.array([1]), pa.array(["x"]), pa.array([text], pa.string())], ["text_hash", "lang", "text"])
+    (out,) = _training_windows(iter([batch]))
+    taken = out.column(2)[0].as_py()
+    assert len(taken) == WINDOWS_EACH * WINDOW and taken.rstrip(b"\0").endswith(b"tail")
+
+
+def test_predictions_match_brute_force(spark):
+    """The softmax of convolutions, computed place by place, over every window of the whole text."""
+    net = Network(["aa", "bb", "cc"])
+    texts = ["plain words here", "é" * 200, "x" * 1000 + " end", "a"]
+
+    def logp(window):
+        x = [*window, *[0] * (WINDOW - len(window))]
+        pooled = []
+        for w in WIDTHS:
+            act = [[sum(net.p["embed"][x[i + k]] @ net.p[f"w{w}"][k][:, f] for k in range(w)) for f in range(FILTERS)] for i in range(WINDOW - w + 1)]
+            pooled += [max(0.0, max(a[f] for a in act) + net.p[f"b{w}"][f]) for f in range(FILTERS)]
+        z = np.array(pooled) @ net.p["out"] + net.p["bias"]
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    want = []
+    for t in texts:
+        raw = t.encode()
+        parts = [raw[k : k + WINDOW] for k in range(0, len(raw), WINDOW)]
+        mean = sum(logp(p) * len(p) for p in parts) / len(raw)
+        p = np.exp(mean - mean.max())
+        want.append((net.classes[int(p.argmax())], float(p.max() / p.sum())))
+    from quillspark.llm import langid
+
+    old, langid.fit = langid.fit, lambda *_: net
+    try:
+        got = {r["doc_id"]: r for r in predict_languages(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    finally:
+        langid.fit = old
+    assert [(got[i]["lang_pred"], pytest.approx(got[i]["score"], abs=1e-4)) for i in range(len(texts))] == want
