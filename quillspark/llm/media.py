@@ -129,20 +129,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Rows id, note, media, extension. Archives get their names when the job commits: a lost or repeated task leaves nothing."""
+    """Rows id, note, media, extension. Archives are written to a folder of the job's own and moved from there when it commits;
+    what lost, repeated or speculative tasks have left goes with that folder, when the job commits or is given up."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.own = path, f".job-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = _open(self.path)
-        store.create_dir(base, recursive=True)
+        store.create_dir(f"{base}/{self.own}", recursive=True)
         done, archive, sink, nth = [], None, None, 0
         for batch in iterator:
             for number, note, media, extension in zip(*(batch.column(k).to_pylist() for k in ("id", "note", "media", "extension"))):
                 if archive is None:
-                    done.append(f"{base}/{uuid.uuid4().hex}")
-                    sink = store.open_output_stream(done[-1] + ".part")
+                    done.append(uuid.uuid4().hex)
+                    sink = store.open_output_stream(f"{base}/{self.own}/{done[-1]}.part")
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
                 info = zipfile.ZipInfo(f"{nth}_{'null' if number is None else number}_{note}.{extension}")
                 info.compress_type = zipfile.ZIP_DEFLATED
@@ -158,17 +159,21 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, _ = _open(self.path)
+        store, base = _open(self.path)
         for name in (x for m in messages if m for x in m.archives):
-            store.move(name + ".part", name + ".zip")
+            store.move(f"{base}/{self.own}/{name}.part", f"{base}/{name}.zip")
+        self.clear(store, base)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, _ = _open(self.path)
-        for name in (x for m in messages if m for x in m.archives):
-            try:
-                store.delete_file(name + ".part")
-            except OSError as e:
-                warnings.warn(f"{name}.part stays: {e}", stacklevel=2)
+        self.clear(*_open(self.path))
+
+    def clear(self, store: fs.FileSystem, base: str) -> None:
+        try:
+            store.delete_dir(f"{base}/{self.own}")
+        except FileNotFoundError:  # a job without rows
+            pass
+        except OSError as e:
+            warnings.warn(f"{base}/{self.own} stays: {e}", stacklevel=3)
 
 
 class MediaArchive(DataSource):
@@ -250,7 +255,8 @@ def text_media(documents: DataFrame) -> DataFrame:
     """Write every whole text as an 8-bit WAV member, read the archives back, and describe what was read.
 
     The payload is the text's UTF-8 (null: empty) and spaces up to a positive multiple of UNIT bytes. Null ids are carried;
-    repeated rows are separate members with equal values; an empty table gives no rows. Other columns are not read.
+    repeated rows are separate members with equal values; very long texts are one member each, held whole by the task that writes
+    or reads it; an empty table gives no rows. Other columns are not read. The archives stay for the caller, who reads them lazily.
     error is null unless a member could not be read back; its other values are then null.
     """
     spark = documents.sparkSession

@@ -74,3 +74,22 @@ def test_a_passing_failure_is_retried(spark, monkeypatch):
     reader = ArchiveReader(path, 1 << 20, 3)
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert len(rows) == 5 and all(r["attempts"] == 2 and r["error"] is None for r in rows)
+
+
+def test_lost_tasks_leave_nothing(spark):
+    """What attempts that don't commit have written goes with the job's folder; archives of other jobs stay."""
+    from quillspark.llm.media import ArchiveWriter, Written
+
+    path, df = archive(spark, [(1, b"one")])
+    writer = ArchiveWriter(path)
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([2]), pa.array(["n"]), pa.array([b"two"]), pa.array(["bin"])], ["id", "note", "media", "extension"])
+    lost, done = writer.write(iter([batch])), writer.write(iter([batch]))
+    other = ArchiveWriter(path).write(iter([batch]))
+    writer.commit([done, None])
+    left = [p for p in Path(path.removeprefix("file://")).rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+    assert sorted(p.suffix for p in left) == [".part", ".zip", ".zip"] and lost.archives != done.archives
+    assert [p.stem for p in left if p.suffix == ".part"] == other.archives
+    assert sorted(r["id"] for r in df.sparkSession.read.format("media_archive").option("path", path).load().collect()) == [1, 2]
+    ArchiveWriter(path).abort([Written(["x"])])
