@@ -1,7 +1,8 @@
 """Licence scans by sentence rules (operator 7), in DataFrame functions only.
 
-A text is cut into sentences (and, where a sentence isn't known, into its lines), which are normalised and mapped to the
-identifiers of known licence sentences. The sequence of identifiers is then matched against rules, in order: a rule
+A text is cut into pieces at the ends of sentences, at blank lines (lines of comment marks are blank) and after lines that
+begin with "copyright". Each piece, with the next one where it isn't known alone (a sentence may go on after a blank line), or
+else each of its lines, is normalised and mapped to the identifier of a known licence sentence. The sequence of identifiers is then matched against rules, in order: a rule
 that finds its sentences one after another names its licence and uses them up, so that longer rules come first.
 Everything happens within a row: no join, no shuffle; the tables of sentences and rules are fixed values below.
 """
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts with none of these hold no known sentence; between words stands what normalisation makes a space.
-HINT = "licen[cs]|copyright|permission|redistribution|warrant|liab|public domain|released under|rights reserved|free software".replace(" ", "[^a-z0-9]+")
-SENTENCE_END = "[.!?;:]+(?:[ \\t\\r\\n]+|$)|\\r?\\n[ \\t\\r]*\\n"
+HINT = "licen[cs]|copyright|permission|redistribution|warrant|liab|public domain|released under|rights reserved|free software|misrepresented|source distribution|of the mpl".replace(" ", "[^a-z0-9]+")
+SENTENCE_END = "[.!?;:]+(?:[ \\t\\r\\n]+|$)|\\r?\\n[ \\t\\r#*/;%|-]*\\n"
+#: A line that begins with "copyright", after comment marks; what follows it begins a new piece.
+COPYRIGHT_LINE = "(?i)((?:^|\\n)[ \\t#*/;%|-]*(?:copyright|\\(c\\)|©)[^\\n]*\\n)"
 
 # Known licence sentences, as normalised (lower case, other characters than a-z and 0-9 as single spaces).
 SENTENCES = (
@@ -21,6 +24,7 @@ SENTENCES = (
     ("apache-2-you", "licensed under the apache license version 2 0 the license"),
     ("apache-2-comply", "you may not use this file except in compliance with the license"),
     ("apache-2-obtain", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2-obtain-2", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
     ("apache-2-asis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-2-see", "see the license for the specific language governing permissions and limitations under the license"),
     ("mit-line", "released under the mit license"),
@@ -36,6 +40,10 @@ SENTENCES = (
     ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-names", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names-2", "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-asis", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd-liability", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("bsd-style", "use of this source code is governed by a bsd style license that can be found in the license file"),
     ("bsd-3-line", "licensed under the bsd 3 clause license"),
     ("bsd-2-line", "licensed under the bsd 2 clause license"),
     ("gpl-3-line", "this work is licensed under the gnu general public license version 3"),
@@ -45,10 +53,25 @@ SENTENCES = (
     ("gpl-3-later", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2-later", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl-see", "see the gnu general public license for more details"),
+    ("gpl-copy", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl-free", "this library is free software"),
+    ("lgpl-2-1-later", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3-later", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3-later", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("agpl-3-line", "licensed under the gnu affero general public license version 3"),
     ("lgpl-3-line", "licensed under the gnu lesser general public license version 3"),
     ("mpl-2-subject", "this source code form is subject to the terms of the mozilla public license v"),
     ("mpl-2-subject-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2-copy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mpl-2-copy-2", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("isc-asis", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("zlib-asis", "this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib-origin", "the origin of this software must not be misrepresented"),
+    ("zlib-notice", "this notice may not be removed or altered from any source distribution"),
+    ("bsl-1-line", "distributed under the boost software license version 1 0"),
     ("mpl-2-line", "licensed under the mozilla public license version 2 0"),
     ("cc-by-nc-4-line", "licensed under cc by nc 4 0"),
     ("cc-by-4-line", "licensed under cc by 4 0"),
@@ -66,15 +89,30 @@ SENTENCES = (
 # Licences and the sentences that stand for them, one after another; earlier rules win.
 RULES = (
     ("Apache-2.0", ("apache-2-you", "apache-2-comply", "apache-2-obtain", "apache-2-asis", "apache-2-see")),
+    ("Apache-2.0", ("apache-2-you", "apache-2-comply", "apache-2-obtain-2", "apache-2-asis", "apache-2-see")),
+    ("Apache-2.0", ("apache-2-you", "apache-2-comply", "apache-2-obtain")),
     ("Apache-2.0", ("apache-2-you", "apache-2-comply")),
     ("MIT", ("mit-grant", "mit-notice", "mit-asis", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-asis")),
+    ("BSD-3-Clause", ("bsd-forms", "bsd-source", "bsd-binary", "bsd-names", "bsd-asis", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-forms", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-3-Clause", ("bsd-forms", "bsd-source", "bsd-binary", "bsd-names-2")),
+    ("BSD-2-Clause", ("bsd-forms", "bsd-source", "bsd-binary", "bsd-asis", "bsd-liability")),
     ("BSD-2-Clause", ("bsd-forms", "bsd-source", "bsd-binary")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-3-later", "gpl-hope", "gpl-merchantability", "gpl-see", "gpl-copy")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-2-later", "gpl-hope", "gpl-merchantability", "gpl-see", "gpl-copy")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-3-later", "gpl-hope")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-2-later", "gpl-hope")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-3-later")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-2-later")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-2-1-later")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-3-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-3-later")),
+    ("Zlib", ("zlib-asis", "zlib-grant", "zlib-origin", "zlib-notice")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl-1-line",)),
+    ("BSD-3-Clause", ("bsd-style",)),
+    ("ISC", ("isc-grant", "isc-asis")),
     ("ISC", ("isc-grant",)),
     ("MIT", ("mit-grant",)),
     ("Apache-2.0", ("apache-2-line",)),
@@ -90,6 +128,8 @@ RULES = (
     ("GPL-2.0-only", ("gpl-2-line",)),
     ("AGPL-3.0-only", ("agpl-3-line",)),
     ("LGPL-3.0-only", ("lgpl-3-line",)),
+    ("MPL-2.0", ("mpl-2-subject-2", "mpl-2-copy")),
+    ("MPL-2.0", ("mpl-2-subject-2", "mpl-2-copy-2")),
     ("MPL-2.0", ("mpl-2-subject",)),
     ("MPL-2.0", ("mpl-2-subject-2",)),
     ("MPL-2.0", ("mpl-2-line",)),
@@ -116,8 +156,17 @@ def sentence_ids(text: Column) -> Column:
     known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES for x in (sentence, name)))
     named = lambda s: known[normalised(s)]
     lines = lambda s: F.transform(F.split(s, "\n"), named)
-    each = F.transform(F.split(text, SENTENCE_END), lambda s: F.when(named(s).isNotNull(), F.array(named(s))).otherwise(lines(s)))
-    return F.filter(F.flatten(each), lambda x: x.isNotNull())
+    parts = F.split(F.regexp_replace(text, COPYRIGHT_LINE, "$1\n"), SENTENCE_END)
+
+    def each(pieces: Column) -> Column:
+        def ids(s: Column, i: Column) -> Column:
+            longer = named(F.concat(s, F.lit(" "), F.coalesce(F.get(pieces, i + 1), F.lit(""))))
+            return F.when(named(s).isNotNull(), F.array(named(s))).when(longer.isNotNull(), F.array(longer)).otherwise(lines(s))
+
+        return F.transform(pieces, ids)
+
+    # Bound once: element_at(transform(array(x), f), 1) is f(x).
+    return F.filter(F.flatten(F.element_at(F.transform(F.array(parts), each), 1)), lambda x: x.isNotNull())
 
 
 def matched(sequence: Column) -> Column:
@@ -137,7 +186,8 @@ def license_matches(documents: DataFrame) -> DataFrame:
 
     sentences: identifiers in order of the text; licenses: names in order of code points, each once, both comma-joined.
     A null or empty text, and one without known sentences, has none (empty strings, 0). Repeated rows give repeated rows,
-    null ids are carried, an empty table gives no rows. Other columns are not read.
+    null ids are carried, an empty table gives no rows. Very long texts are read whole, in time that grows with their length and
+    the sentences found. Of rules that could take the same sentences the earlier one does. Other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<string>")
@@ -156,11 +206,11 @@ def oracle() -> str:
     norm = lambda s: f"trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
 WITH cut AS (
-  SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(coalesce(text, ''), '{end}') AS parts FROM documents
+  SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(regexp_replace(coalesce(text, ''), '{COPYRIGHT_LINE}', '\\1' || chr(10), 'g'), '{end}') AS parts FROM documents
 ), part AS (
-  SELECT r, generate_subscripts(parts, 1) AS i, unnest(parts) AS s FROM cut
+  SELECT r, generate_subscripts(parts, 1) AS i, unnest(parts) AS s, unnest(list_append(parts[2:], '')) AS next FROM cut
 ), line AS (
-  SELECT r, i, CASE WHEN map_contains({known}, {norm('s')}) THEN [s] ELSE string_split(s, chr(10)) END AS lines FROM part
+  SELECT r, i, CASE WHEN map_contains({known}, {norm('s')}) THEN [s] WHEN map_contains({known}, {norm("s || ' ' || next")}) THEN [s || ' ' || next] ELSE string_split(s, chr(10)) END AS lines FROM part
 ), each AS (
   SELECT r, i, generate_subscripts(lines, 1) AS j, {known}[{norm('unnest(lines)')}] AS id FROM line
 ), seq AS (

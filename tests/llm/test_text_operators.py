@@ -16,6 +16,7 @@ import brute
 
 from quillspark.llm.decontaminate import Seeds, contained_items, decontaminated, joined_runs, runs_of, tile
 from quillspark.llm.license_scan import HINT, RULES, SENTENCES, license_matches
+from quillspark.llm.license_scan import oracle as license_oracle
 from quillspark.llm.mixing import TILTS, mix_plan, mixed_documents
 from quillspark.llm.secret_scan import ACCESS, ASSIGN, HEX, secret_spans
 from quillspark.llm.text import Texts
@@ -283,13 +284,74 @@ the License. You may obtain a copy of the License at
     http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law."""
+APACHE_FULL = APACHE.replace("Unless required by applicable law.", """Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""")
+BSD = """Copyright (c) 2015, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MIT = """Copyright (c) 2015 Somebody
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_whole_license_texts(spark):
+    texts = [(APACHE_FULL, "Apache-2.0"), (BSD, "BSD-3-Clause,LicenseRef-all-rights-reserved"), (GPL, "GPL-3.0-or-later"), (MIT, "MIT"), ("x. " + GPL.replace("version 3", "version 2"), "GPL-2.0-or-later")]
+    rows = [(f"{k}{mark}", commented(t, mark) if mark else t) for k, (t, _) in enumerate(texts) for mark in ("", "#", "//", " *")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r for r in license_matches(df).collect()}
+    assert {k: r["licenses"] for k, r in got.items()} == {k: texts[int(k[0])][1] for k, _ in rows}
+    assert all(got[f"0{m}"]["sentences"] == "apache-2-you,apache-2-comply,apache-2-obtain,apache-2-asis,apache-2-see" for m in ("", "#", "//", " *"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(license_oracle()).fetchall()) == sorted(tuple(r) for r in got.values())
 
 
 def test_license_rules(spark, edge, nothing):
     texts = [APACHE, "Words.\nReleased under the MIT License.\nmore words", "All rights reserved. THIS WORK IS LICENSED under the GNU General\nPublic License, version 3.", "We licensed nothing.", None, ""]
     rows = license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in rows] == ["Apache-2.0", "MIT", "GPL-3.0-only,LicenseRef-all-rights-reserved", "", "", ""]
-    assert rows[0]["sentences"] == "apache-2-you,apache-2-comply"
+    assert rows[0]["sentences"] == "apache-2-you,apache-2-comply,apache-2-obtain"
     assert rows[2]["n_sentences"] == 2
     assert license_matches(edge).count() == edge.count() and license_matches(nothing).count() == 0
 
