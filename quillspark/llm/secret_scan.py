@@ -47,6 +47,15 @@ PLAUSIBLE = 22.46
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once a row however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Matches that are put to one list before the list joins those of the text: appending one by one copies all before it.
+CHUNK = 256
+
+
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches whose group has at least so many characters, in code points.
 
@@ -55,6 +64,7 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
     parts = [F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))]
     if group:
         parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    none = F.array().cast(_SPANS)
 
     def step(so_far: Column, x: Column) -> Column:
         start = so_far["at"] + F.length(x["0"])
@@ -63,9 +73,15 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(ok, F.concat(so_far["spans"], one)).otherwise(so_far["spans"]).alias("spans"))
 
-    none = F.array().cast(_SPANS)
-    walked = F.aggregate(F.arrays_zip(*parts), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
-    return walked["spans"]
+    def walked(pieces: Column) -> Column:
+        def chunk(so_far: Column, k: Column) -> Column:
+            own = F.aggregate(F.slice(pieces, k * CHUNK + 1, F.lit(CHUNK)), F.struct(so_far["at"].alias("at"), none.alias("spans")), step)
+            return let(own, lambda p: F.struct(p["at"].alias("at"), F.concat(so_far["spans"], p["spans"]).alias("spans")))
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none.alias("spans")), chunk)
+
+    return let(F.arrays_zip(*parts), walked)["spans"]
 
 
 def _upper_tail(z: Column) -> Column:
@@ -84,8 +100,6 @@ def statistic(token: Column) -> Column:
     runs or correlation test has the smallest p. (x < 20 symbols don't occur: tokens have 20 characters at least.)
     """
     alphabet = reduce(lambda rest, a: F.when(token.rlike(a[0]), F.lit(a[1])).otherwise(rest), reversed(ALPHABETS), F.lit(URL_SAFE))
-    # Bound one after another, so that each is computed once a token.
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     tiny = 1e-12
 
     def battery(s: Column, size: Column) -> Column:
@@ -125,14 +139,18 @@ def _class(length: Column) -> Column:
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, base (spans) and tokens (start, end, family, class, bin) of every whole text."""
+    """doc_id, base (spans) and tokens (start, end, inside, family, class, bin) of every whole text.
+
+    inside: the token holds an access or hex span, which lie in one token each. A token is the whole run of its characters.
+    """
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast(_SPANS)
     found = lambda test, pattern, *more: F.when(text.rlike(test), spans(text, pattern, *more)).otherwise(none)
     base = F.concat(found(KEYWORD, ASSIGN, 0, 2, 6), found("AKIA", ACCESS, 1), found(HEX, HEX, 2))
     long = found(TOKEN, TOKEN, 3)
-    tokens = F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("token")))
-    measured = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _family(x["token"]).alias("family"), _class(F.length(x["token"])).alias("class"), F.least(F.lit(BINS - 1), F.floor(2 * statistic(x["token"]))).cast("int").alias("bin")))
+    written = F.when(text.rlike(TOKEN), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    tokens = F.zip_with(long, written, lambda x, w: F.struct(x["start"].alias("start"), x["end"].alias("end"), w.alias("token")))
+    measured = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].rlike(f"{ACCESS}|{HEX}").alias("inside"), _family(x["token"]).alias("family"), _class(F.length(x["token"])).alias("class"), F.least(F.lit(BINS - 1), F.floor(2 * statistic(x["token"]))).cast("int").alias("bin")))
     return documents.select("doc_id", F.array_sort(base).alias("base"), measured.alias("tokens"))
 
 
@@ -168,17 +186,23 @@ def secret_spans(documents: DataFrame, false_share: float = FALSE_SHARE) -> Data
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: one row for each row of documents.
 
     A null text is empty and has no spans (base_sha256 is then the hash of the empty text). An added span overlaps no base
-    span. Repeated rows give repeated rows, null ids are carried, an empty table gives no rows. Other columns are not read.
+    span. Repeated rows give repeated rows, null ids are carried, an empty table gives no rows. Very long texts, and those with
+    very many matches, are read whole, in time that grows with their length. A table in which few or no tokens are tested has
+    the same null as any other. Tokens of one bin are accepted together. Other columns are not read.
     """
     table = Scratch(documents.sparkSession, "secrets").table(candidates(documents), "candidates")
     limits = cutoffs(table.select(F.explode("tokens").alias("t")).select("t.family", "t.class", "t.bin"), false_share)
     limit = F.array(*(F.lit(limits[f, c]) for f in range(len(FAMILIES)) for c in range(len(CLASSES))))
 
-    def accepted(x: Column) -> Column:
-        apart = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return (x["bin"] <= F.element_at(limit, x["family"] * len(CLASSES) + x["class"] + 1)) & apart
+    def accepted(assigned: Column) -> Column:
+        def ok(x: Column) -> Column:
+            apart = ~F.exists(assigned, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+            return (x["bin"] <= F.element_at(limit, x["family"] * len(CLASSES) + x["class"] + 1)) & ~x["inside"] & apart
+
+        return F.filter("tokens", ok)
 
-    added = F.transform(F.filter("tokens", accepted), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    found = let(F.filter("base", lambda b: b["kind"] == 0), accepted)
+    added = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return table.select(
         "doc_id",
