@@ -34,10 +34,15 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the session names it; a temporary folder of this machine only where it is unset."""
+    """spark.checkpoint.dir where the session names it; where it is unset, a temporary folder, but only in a session of one machine.
+
+    What is written there stays: the operators drop the tables they no longer need, and whoever runs a query drops its result.
+    """
     ship_code(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
