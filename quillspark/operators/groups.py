@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,22 +14,36 @@ from quillspark.operators.components import connected_components
 from quillspark.scratch import Scratch
 
 
-def bands(bits: Column, threshold: int, width: int = 64) -> Column:
-    """threshold + 1 slices of the bits: fingerprints at most threshold bits apart agree in one of them (pigeonhole)."""
-    edges = [round(i * width / (threshold + 1)) for i in range(threshold + 2)]
-    cut = lambda low, high: F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1))
-    return F.array(*(F.struct(F.lit(i).alias("band"), cut(a, b).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
+def band_keys(bits: Column, threshold: int, width: int, parts: int) -> Column:
+    """Keys of the bits: each choice of parts - threshold of the parts. Fingerprints at most threshold bits apart agree in one (pigeonhole)."""
+    edges = [i * width // parts for i in range(parts + 1)]
+    cut = lambda i: F.shiftrightunsigned(bits, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    keys = []
+    for k, chosen in enumerate(combinations(range(parts), parts - threshold)):
+        value = F.lit(0).cast("long")
+        for i in chosen:
+            value = F.shiftleft(value, edges[i + 1] - edges[i]).bitwiseOR(cut(i))
+        keys.append(F.struct(F.lit(k).alias("band"), value.alias("value")))
+    return F.array(*keys)
 
 
-def near_pairs(df: DataFrame, node: str, bits: str, threshold: int) -> DataFrame:
-    """(a, b), a < b, of rows whose fingerprints differ in at most threshold bits.
+def band_parts(rows: int, threshold: int, width: int) -> int:
+    """The fewest parts whose keys tell so many rows apart: with n rows, a key of log2(n) bits meets few others by chance."""
+    wanted = min(max(8, rows.bit_length()), width // 2)
+    return next(k for k in range(threshold + 2, width + 1) if (k - threshold) * width // k >= wanted)
 
-    Equal fingerprints are one class, so copies don't multiply: pairs of classes come from the bands,
-    and each further row of a class is paired with the class's first row only. No links between differing texts are lost.
+
+def near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int = 64) -> DataFrame:
+    """(a, b), a < b, of rows whose fingerprints, of width bits, differ in at most threshold bits.
+
+    Equal fingerprints are one class, so copies don't multiply: pairs of classes come from keys of several parts each, longer ones
+    for more rows, and each further row of a class is paired with the class's first row only. No links between
+    differing texts are lost.
     """
     rows = df.select(F.col(node).alias("node"), F.col(bits).alias("bits")).where("node IS NOT NULL AND bits IS NOT NULL")
     classes = rows.groupBy("bits").agg(F.min("node").alias("first"))
-    split = classes.select("first", "bits", F.explode(bands(F.col("bits"), threshold)).alias("b")).select("first", "bits", "b.band", "b.value")
+    parts = band_parts(classes.count(), threshold, width)
+    split = classes.select("first", "bits", F.explode(band_keys(F.col("bits"), threshold, width, parts)).alias("b")).select("first", "bits", "b.band", "b.value")
     x, y = split.alias("x"), split.alias("y")
     close = x.join(y, F.expr("x.band = y.band AND x.value = y.value AND x.first < y.first")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
     across = close.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
@@ -36,9 +51,9 @@ def near_pairs(df: DataFrame, node: str, bits: str, threshold: int) -> DataFrame
     return across.union(within)
 
 
-def clusters(df: DataFrame, node: str, bits: str, threshold: int, scratch: Scratch) -> DataFrame:
+def clusters(df: DataFrame, node: str, bits: str, threshold: int, scratch: Scratch, width: int = 64) -> DataFrame:
     """df with cluster: the smallest node that links reach; a row without a fingerprint is alone."""
-    found = connected_components(near_pairs(df, node, bits, threshold), scratch, "a", "b").withColumnRenamed("node", "_node")
+    found = connected_components(near_pairs(df, node, bits, threshold, width), scratch, "a", "b").withColumnRenamed("node", "_node")
     return df.join(found, df[node] == found["_node"], "left").select(*df.columns, F.coalesce("component", F.col(node)).alias("cluster"))
 
 
@@ -49,10 +64,10 @@ def partition_intersection(df: DataFrame, labels: Sequence[str], node: str, name
     return df.join(low, same).select(*df.columns, F.col("_low").alias(name))
 
 
-def dual_clusters(df: DataFrame, node: str, one: str, two: str, threshold: int, scratch: Scratch) -> DataFrame:
+def dual_clusters(df: DataFrame, node: str, one: str, two: str, threshold: int, scratch: Scratch, width: int = 64) -> DataFrame:
     """The intersection of both fingerprints' transitive closures, not the closure of their agreement."""
-    first = clusters(df, node, one, threshold, scratch).withColumnRenamed("cluster", "_one")
-    both = clusters(first, node, two, threshold, scratch).withColumnRenamed("cluster", "_two")
+    first = clusters(df, node, one, threshold, scratch, width).withColumnRenamed("cluster", "_one")
+    both = clusters(first, node, two, threshold, scratch, width).withColumnRenamed("cluster", "_two")
     return partition_intersection(both, ["_one", "_two"], node).drop("_one", "_two")
 
 
