@@ -333,7 +333,7 @@ def headers(files: DataFrame) -> DataFrame:
             frame = pd.DataFrame(found, columns=["format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
             yield pd.concat([pdf[["path"]].reset_index(drop=True), frame], axis=1)
 
-    return files.select("path", F.substring("content", 1, 65536).alias("content")).mapInPandas(run, "path string, format string, width int, height int")
+    return files.select("path", "content").mapInPandas(run, "path string, format string, width int, height int")
 
 
 #: Order in which deterministic steps must stand.
@@ -351,20 +351,21 @@ def pipeline(image: np.ndarray, steps: dict[str, dict]) -> np.ndarray:
     return image
 
 
-#: Augmentation policy rows (family, name, evidence), in the order of their families.
+#: Augmentations (family, name, evidence) in the order of their families (X9, X10). Evidence and, below, priority.
 POLICY = (
-    ("geometry", "hflip", "paper"),
+    ("geometry", "hflip", "both"),
     ("geometry", "vflip", "paper"),
-    ("geometry", "rotate", "paper"),
-    ("geometry", "scale", "extension"),
-    ("geometry", "crop", "extension"),
-    ("photometry", "brightness", "paper"),
-    ("photometry", "contrast", "paper"),
-    ("photometry", "jitter", "extension"),
-    ("photometry", "gamma", "extension"),
-    ("corruption", "blur", "extension"),
-    ("corruption", "noise", "extension"),
+    ("geometry", "rotate", "both"),
+    ("geometry", "scale", "eda"),
+    ("geometry", "crop", "eda"),
+    ("photometry", "brightness", "both"),
+    ("photometry", "contrast", "both"),
+    ("photometry", "jitter", "both"),
+    ("photometry", "gamma", "eda"),
+    ("corruption", "blur", "eda"),
+    ("corruption", "noise", "eda"),
 )
+PRIORITY = {"hflip": "essential", "vflip": "recommended", "rotate": "essential", "brightness": "essential", "contrast": "recommended", "jitter": "essential"}
 
 
 def augment(image: np.ndarray, name: str, rng: np.random.Generator) -> np.ndarray:

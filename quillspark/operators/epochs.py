@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.scratch import Scratch
+
 
 def best_so_far(df: DataFrame, epoch: str, value: str, mode: str = "max", by: Sequence[str] = ()) -> DataFrame:
     """improved: strictly better than all epochs before; missing values never are."""
@@ -57,6 +59,22 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, slices: Column)
     return inside.join(F.broadcast(base), "_slice").withColumn(name, F.col("_base") + F.col("_inner")).drop("_slice", "_base", "_inner")
 
 
+def placed_within(df: DataFrame, by: str, order: Sequence[Column], name: str, scratch: Scratch) -> DataFrame:
+    """df with the place of each row, from one, in the order of its group (O1); a group of any size is many range partitions.
+
+    Rows are range-partitioned and sorted by (by, order), numbered within their partition, and written; the few first numbers of
+    each group in a partition then give the places.
+    """
+    sorted_ = df.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = scratch.table(sorted_, "sorted")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(F.col(by).alias("_by"), part.alias("_part")).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_by", "_part", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    placed = rows.withColumn("_p", part).join(F.broadcast(base), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_part")))  # a row a group and partition
+    return placed.select(*df.columns, (F.col("_base") + F.col("_at") - F.col("_first") + 1).alias(name))
+
+
 def permutation(df: DataFrame, key: str, seed: int = 0, name: str = "place") -> DataFrame:
     """Places of a seeded permutation (O5); the first hexadecimal digits of the hash are the slices."""
     order = hash_order(key, seed)

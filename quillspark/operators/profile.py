@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,45 +36,72 @@ def value_counts(df: DataFrame, column: str, unknown: str = "<unknown>") -> Data
     return df.groupBy(value).count().orderBy(F.desc("count"), "value")
 
 
-#: Up to so many rows the built-in percentile, which keeps all distinct values in one buffer, is used; beyond it, ranks are located.
-BUFFERED_ROWS = 10_000_000
+#: Bins that a range of values is cut into where a rank is looked for.
+PERCENTILE_BINS = 1024
 
 
-def percentiles(df: DataFrame, column: str, shares: Sequence[float], buffered: int = BUFFERED_ROWS) -> list[float | None]:
-    """Exact percentiles with linear interpolation over measured rows (T4), null without any.
+def percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]], bins: int = PERCENTILE_BINS) -> dict[str, list[float | None]]:
+    """Exact percentiles of columns, with linear interpolation over measured rows (T4), null without any.
 
-    Large tables: a sketch brackets each rank between two values, rows below are counted, and only the distinct values
-    inside the bracket (about 0.06 % of the rows) are put in order.
+    A sketch brackets each wanted rank between two values (all columns in one job). Rows below are counted, those inside fall into
+    bins, and the bin that holds the rank is the next bracket, until it holds one value: a job a round for all columns
+    together, a few rounds in all. What is collected has a fixed number of rows a rank, however many rows there are.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
-    n = x.count()
-    if n <= max(buffered, 1):
-        return list(x.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0] or [None] * len(shares))
-    slack, accuracy = 3e-4 + 2 / n, 10_000
-    ends = [e for p in shares for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = x.agg(F.percentile_approx("x", F.array(*map(F.lit, ends)), accuracy).alias("e"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    out: list[float | None] = []
-    for j, p in enumerate(shares):
-        low = sketch["lo"] if ends[2 * j] == 0 else sketch["e"][2 * j]
-        high = sketch["hi"] if ends[2 * j + 1] == 1 else sketch["e"][2 * j + 1]
-        below = x.where(F.col("x") < low).count()
-        inside = x.where(F.col("x").between(low, high)).groupBy("x").count()
-        upto = inside.withColumn("upto", F.sum("count").over(Window.orderBy("x")) + below)
-        place = p * (n - 1)
-        ranks = [int(place), min(int(place) + 1, n - 1)]
-        found = {k: upto.where(F.col("upto") > k).agg(F.min("x")).first()[0] for k in set(ranks)}
-        out.append(found[ranks[0]] + (place - ranks[0]) * (found[ranks[1]] - found[ranks[0]]))
+    x = {c: F.col(c).cast("double") for c in shares}
+    ends = {c: [e for p in ps for e in (max(0.0, p - 4e-4), min(1.0, p + 4e-4))] for c, ps in shares.items()}
+    # The sketch's error is 1 in 10000 of the rows; a slack of four times that, and the extremes, hold each rank.
+    sketch = df.agg(*(F.struct(F.count(x[c]).alias("n"), F.percentile_approx(x[c], F.array(*map(F.lit, ends[c])), 10_000).alias("e"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(f"s{i}") for i, c in enumerate(shares))).first()
+    open_: dict[tuple[str, int], tuple[float, float, int | None]] = {}  # (column, rank) -> low, high, rows below (None: not counted yet)
+    for i, (c, ps) in enumerate(shares.items()):
+        s = sketch[i]
+        for j, p in enumerate(ps if s["n"] else []):
+            place = p * (s["n"] - 1)
+            low = s["lo"] if s["n"] <= 10_000 or ends[c][2 * j] == 0 else s["e"][2 * j]
+            high = s["hi"] if s["n"] <= 10_000 or ends[c][2 * j + 1] == 1 else s["e"][2 * j + 1]
+            for rank in {int(place), min(int(place) + 1, s["n"] - 1)}:
+                open_[c, rank] = (low, high, 0 if low == s["lo"] else None)
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        asked = list(open_.items())
+        cells = []
+        for k, ((c, _), (low, high, below)) in enumerate(asked):
+            bin_ = F.least(F.lit(bins - 1), F.floor((x[c] - low) / (high - low) * bins)) if high > low else F.lit(0)
+            inside = F.when(x[c].between(low, high), bin_.cast("int"))
+            if below is None:
+                inside = F.when(x[c] < low, F.lit(-1)).otherwise(inside)
+            cells.append(F.struct(F.lit(k).alias("k"), inside.alias("bin"), x[c].alias("x")))
+        counted = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("bin IS NOT NULL").groupBy("k", "bin").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        by: dict[int, list] = {}
+        for r in counted.collect():  # at most bins + 1 rows a rank
+            by.setdefault(r["k"], []).append(r)
+        open_ = {}
+        for k, ((c, rank), (_, _, below)) in enumerate(asked):
+            upto = below or 0
+            for r in sorted(by[k], key=lambda r: r["bin"]):
+                if r["bin"] >= 0 and upto + r["n"] > rank:
+                    if r["lo"] == r["hi"]:
+                        found[c, rank] = r["lo"]
+                    else:
+                        open_[c, rank] = (r["lo"], r["hi"], upto)
+                    break
+                upto += r["n"]
+    out: dict[str, list[float | None]] = {}
+    for i, (c, ps) in enumerate(shares.items()):
+        n, out[c] = sketch[i]["n"], []
+        for p in ps:
+            low = int(p * (n - 1)) if n else 0
+            out[c].append(found[c, low] + (p * (n - 1) - low) * (found[c, min(low + 1, n - 1)] - found[c, low]) if n else None)
     return out
 
 
-def describe(df: DataFrame, columns: Sequence[str], buffered: int = BUFFERED_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """mean, std (of a sample; 0 for one row), min, p25, median, p75, max of each column; nulls don't count (A5)."""
-    located = df.count() > buffered
+    located = percentiles(df, {c: (0.25, 0.5, 0.75) for c in columns})
     stats = []
     for c in columns:
         x = F.col(c).cast("double")
         n = F.count(x)
-        q = [F.lit(v).cast("double") for v in percentiles(df, c, (0.25, 0.5, 0.75), buffered)] if located else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in located[c]]
         stats.append(F.struct(F.lit(c).alias("metric"), n.alias("n"), F.avg(x).alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75"), F.max(x).alias("max")))
     return df.agg(F.array(*stats).alias("s")).select(F.inline("s")).where("n > 0")
 
@@ -110,18 +138,36 @@ def imbalance(counts: DataFrame, classes: int, count: str = "count") -> DataFram
 
 
 def chi_square(counts: DataFrame, row: str = "split", column: str = "label", count: str = "count") -> DataFrame:
-    """statistic, dof and p of homogeneity (A11). Rows and columns without counts take no part.
-
-    p is the closed form of the upper tail for an even number of degrees of freedom; null for an odd one.
-    """
+    """statistic, dof and p of homogeneity (A11). Rows and columns without counts take no part; without degrees of freedom p is null."""
     c = F.col(count).cast("double")
     everything = Window.partitionBy()
     cells = counts.withColumns({"r": F.sum(c).over(Window.partitionBy(row)), "k": F.sum(c).over(Window.partitionBy(column)), "n": F.sum(c).over(everything)}).where("r > 0 AND k > 0")
     expected = F.col("r") * F.col("k") / F.col("n")
     out = cells.agg(F.sum((c - expected) * (c - expected) / expected).alias("statistic"), ((F.count_distinct(row) - 1) * (F.count_distinct(column) - 1)).cast("long").alias("dof"))
-    half = F.col("statistic") / 2
-    terms = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("dof") / 2).cast("int") - 1)), lambda i: F.pow(half, i) / F.factorial(i.cast("int")))
-    return out.withColumn("p_value", F.when((F.col("dof") > 0) & (F.col("dof") % 2 == 0), F.exp(-half) * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    return out.withColumn("p_value", F.when(F.col("dof") > 0, upper_gamma(F.col("dof"), F.col("statistic") / 2)))
+
+
+def upper_gamma(dof: Column, x: Column) -> Column:
+    """Q(dof / 2, x), the regularised upper incomplete gamma function: a chi-squared variable's chance to exceed 2 * x.
+
+    One less the series of the lower function, in logarithms: x**a * exp(-x) / gamma(a + 1) * (1 + x/(a+1) + x**2/((a+1)(a+2)) + ..).
+    """
+    a = dof / 2
+    # log gamma(a + 1): from gamma(1) = 1 or gamma(1/2) = sqrt(pi) up, by whole steps.
+    odd = (dof % 2).cast("int")
+    first = F.when(odd == 1, F.lit(math.log(math.pi) / 2)).otherwise(F.lit(0.0))
+    steps = F.sequence(F.lit(1), F.floor((dof + odd) / 2).cast("int"))
+    log_gamma = first + F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.log(k - odd / 2.0))
+    lead = a * F.log(x) - x - log_gamma
+    # Terms grow until a + k exceeds x and then fall; ten deviations beyond that they don't count.
+    terms = F.sequence(F.lit(1), F.ceil(F.greatest(F.lit(0.0), x - a) + 60 + 10 * F.sqrt(x + a)).cast("int"))
+
+    def step(s: Column, k: Column) -> Column:
+        log = s["log"] + F.log(x) - F.log(a + k)
+        return F.struct(log.alias("log"), (s["sum"] + F.exp(log)).alias("sum"))
+
+    lower = F.aggregate(terms, F.struct(lead.alias("log"), F.exp(lead).alias("sum")), step)["sum"]
+    return F.when(x <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - lower))
 
 
 def class_weights(counts: DataFrame, strategy: str, label: str = "label", count: str = "count", beta: float = 0.9999) -> DataFrame:

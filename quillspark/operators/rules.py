@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import flags_when, integer_label, joined_flags
@@ -63,9 +63,17 @@ def with_labels(df: DataFrame, raw: str, classes: int) -> DataFrame:
     return df.withColumns({"label_present": present, "label": label, "label_in_range": F.coalesce(label.between(0, classes - 1), F.lit(False))})
 
 
-def repeated_id(*keys: str, order: str = "row_pos") -> Column:
-    """True for every row but the first of its keys."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(order)) > 1
+def with_repeated(df: DataFrame, *keys: str, order: str = "row_pos", name: str = "repeated") -> DataFrame:
+    """name: true for every row but the first of its keys (W1); keys that are null are values like others.
+
+    First rows are pre-aggregated and joined back. The join has a key of its own beside the keys, so that both sides are shuffled
+    for it and a key that very many rows share can be split among tasks.
+    """
+    own = F.xxhash64(*keys)
+    first = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = first.withColumn("_own", F.xxhash64(*(f"_k{i}" for i in range(len(keys)))))
+    same = (own == F.col("_own")) & F.expr(" AND ".join(f"`{k}` <=> _k{i}" for i, k in enumerate(keys)))
+    return df.join(first, same, "left").select(*df.columns, (F.col("_first").isNotNull() & (F.col("_first") != F.col(order))).alias(name))
 
 
 def labels_rule(policy: Policy = Policy(), repeated: str = "repeated") -> Rule:
@@ -90,7 +98,8 @@ def with_exact_groups(df: DataFrame, key: str = "md5", prefix: str = "md5") -> D
     stats = df.select(k.alias("k"), "split", F.struct(*(c.alias(f"o{i}") for i, c in enumerate([(~F.col("readable")).cast("int"), *[x for x in keeper_order()[1:]]]))).alias("o")).where("k IS NOT NULL").groupBy("k").agg(
         F.count("*").alias("n"), F.min("split").alias("s0"), F.max("split").alias("s1"), F.min("o").alias("first")
     ).where("n > 1")
-    joined = df.join(stats, k == F.col("k"), "left")
+    # As in with_repeated: a second key makes both sides shuffles of their own, which can be split.
+    joined = df.join(stats.withColumn("own", F.xxhash64("k")), (k == F.col("k")) & (F.xxhash64(k) == F.col("own")), "left")
     return joined.select(
         *df.columns,
         F.coalesce("k", F.lit("")).alias(f"{prefix}_group"),
@@ -106,11 +115,15 @@ def duplicates(scope: str = "all") -> Rule:
     return Rule("exact_duplicates", F.when(test, F.concat(F.lit("duplicate of group "), F.substring("md5_group", 1, 12))))
 
 
+def percentile_limits(df: DataFrame, percents: dict[str, float]) -> dict[str, float | None]:
+    """Linear percentile of each column over measured rows; none outside (0, 100) or without rows (P5, T4, T5)."""
+    asked = {c: [p / 100] for c, p in percents.items() if 0 < p < 100}
+    found = percentiles(df, asked) if asked else {}
+    return {c: found[c][0] if c in asked else None for c in percents}
+
+
 def percentile_limit(df: DataFrame, column: str, percent: float) -> float | None:
-    """Linear percentile over measured rows; none outside (0, 100) or without rows (P5, T4, T5)."""
-    if not 0 < percent < 100:
-        return None
-    return percentiles(df, column, [percent / 100])[0]
+    return percentile_limits(df, {column: percent})[column]
 
 
 def quality(limits: dict[str, tuple[str, str, float | None]]) -> Rule:

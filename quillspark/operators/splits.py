@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.profile import chi_square, class_counts
+from quillspark.sources.sinks import write_splits
 
 STATUS = ("pass", "warn", "fail")
 
@@ -123,6 +124,18 @@ def regenerate(df: DataFrame, ratios: Mapping[str, float], group: str = "group",
     return labelled.join(chosen, labelled[group] == chosen["group"]).select(*(labelled[c] for c in labelled.columns), "new_split")
 
 
+def regeneration(df: DataFrame, ratios: Mapping[str, float], path: str | None = None, group: str = "group", seed: int = 0) -> DataFrame:
+    """The plan of new splits of df's included, labelled rows; with a path it is also written there, never over an earlier one.
+
+    Without a path it is a dry run: nothing is written. What is written is what the plan, computed once, says.
+    """
+    plan = regenerate(df.where("included") if "included" in df.columns else df, ratios, group, seed)
+    if path is None:
+        return plan
+    write_splits(plan, path, {"seed": seed, "ratios": dict(ratios), "group": group})
+    return plan
+
+
 def achieved(df: DataFrame, group: str = "group") -> DataFrame:
     """Rows, groups and share of each new split."""
     counted = df.groupBy("new_split").agg(F.count("*").alias("rows"), F.count_distinct(group).alias("groups"))

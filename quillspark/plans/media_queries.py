@@ -163,12 +163,12 @@ def k5(spark, d):
     return spark.read.schema("split string, label int, count long").option("header", True).csv(path)
 
 
-@query("G1", "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 7 AS b FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey <> c_custkey // 7), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(n, m) AS (SELECT a, a FROM u UNION SELECT reach.n, u.b FROM reach JOIN u ON reach.m = u.a) SELECT n AS node, min(m) AS component FROM reach GROUP BY n")
+@query("G1", "WITH RECURSIVE up(n, m) AS (SELECT c_custkey, c_custkey FROM customer UNION ALL SELECT n, m // 7 FROM up WHERE m > 0), nodes AS (SELECT c_custkey AS n FROM customer UNION SELECT c_custkey // 7 FROM customer) SELECT n AS node, coalesce(min(m), n) AS component FROM nodes LEFT JOIN up USING (n) GROUP BY n")
 def g1(spark, d):
-    """A forest of customers, each linked to the one at a seventh of its key."""
+    """A tree of all customers, each linked to the one at a seventh of its key: one component, that of the root."""
     from quillspark.operators.components import connected_components
 
-    links = read(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 7").alias("dst"))
+    links = read(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 7").alias("dst"))
     return connected_components(links, Scratch(spark, "g1"))
 
 
@@ -190,11 +190,15 @@ def x9(spark, d):
     return _measured(spark, d, run, ", ".join(f"{n} double" for n in names))
 
 
-@query("S15", "SELECT doc_id, CASE WHEN n_chars = 0 THEN 400 ELSE 415 END AS status FROM documents")
+TYPE = "CASE WHEN doc_id % 3 = 0 THEN 'image/png' WHEN doc_id % 3 = 1 THEN 'image/jpeg' WHEN doc_id % 2 = 0 THEN 'text/plain' END"
+LENGTH = "CASE WHEN doc_id % 11 = 0 THEN 0 ELSE n_chars END"
+
+
+@query("S15", f"SELECT doc_id, CASE WHEN coalesce({TYPE} NOT IN ('image/png', 'image/jpeg'), true) THEN 415 WHEN {LENGTH} = 0 THEN 400 WHEN {LENGTH} > 2000 THEN 413 ELSE 200 END AS status FROM documents")
 def s15(spark, d):
-    """Texts are no images: by type alone each is refused."""
-    docs = read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.octet_length("text").alias("length"))
-    return manifests.upload_reasons(docs).select("doc_id", "status")
+    """Documents as uploads of stated types and lengths, with a limit of 2000."""
+    docs = read(spark, d, "documents").select("doc_id", F.expr(TYPE).alias("content_type"), F.expr(LENGTH).alias("length"))
+    return manifests.upload_reasons(docs, 2000).select("doc_id", "status")
 
 
 @query("S10", f"WITH {M} SELECT split, count(*) AS n FROM m GROUP BY split")
@@ -249,10 +253,9 @@ def k11(spark, d):
 
 @query("O1", f"WITH {M} SELECT row_pos, row_number() OVER (PARTITION BY split ORDER BY readable DESC, label DESC, row_pos) AS place FROM m")
 def o1(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("split").orderBy(F.desc("readable"), F.desc("label"), "row_pos")
-    return manifest(spark, d).select("row_pos", F.row_number().over(w).cast("long").alias("place"))
+    m = manifest(spark, d).select("row_pos", "split", "readable", "label")
+    placed = epochs.placed_within(m, "split", [F.desc("readable"), F.desc("label"), F.asc("row_pos")], "place", Scratch(spark, "o1"))
+    return placed.select("row_pos", "place")
 
 
 @query("O4", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY md5('5:' || o_orderkey), o_orderkey LIMIT 50) ORDER BY o_orderkey")
@@ -265,10 +268,11 @@ def f4(spark, d):
     return manifest(spark, d).select("row_pos", r(F.log2("width")).alias("bits"), r(F.sqrt("height")).alias("root"), F.least(F.greatest("width", F.lit(200)), F.lit(500)).alias("clipped"), F.bround("brightness", 2).alias("even"))
 
 
-@query("F6", f"WITH {M} SELECT row_pos, coalesce(TRY_CAST(raw_label AS INT), -1) AS label, raw_label IS NOT NULL AS given FROM m WHERE raw_label IS NULL OR raw_label <> '2.5'")
+@query("F6", f"WITH {M} SELECT row_pos, CASE WHEN TRY_CAST(raw_label AS DOUBLE) = floor(TRY_CAST(raw_label AS DOUBLE)) THEN TRY_CAST(raw_label AS DOUBLE)::INT ELSE -1 END AS label, raw_label IS NOT NULL AS given FROM m")
 def f6(spark, d):
-    m = manifest(spark, d).where("raw_label IS NULL OR raw_label <> '2.5'")
-    return m.select("row_pos", F.coalesce(F.col("raw_label").try_cast("int"), F.lit(-1)).alias("label"), F.col("raw_label").isNotNull().alias("given"))
+    """A fractional label is no label, like a missing one or one that is no number."""
+    m = manifest(spark, d)
+    return m.select("row_pos", F.coalesce(C.integer_label(F.col("raw_label"))[1], F.lit(-1)).alias("label"), F.col("raw_label").isNotNull().alias("given"))
 
 
 @query("F7", f"WITH {M} SELECT row_pos, label AS \"truth.label\", split AS \"truth.split\" FROM m")

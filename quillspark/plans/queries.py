@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quillspark.functions import columns as C
-from quillspark.operators import epochs, evaluate, groups, profile, rules, splits
+from quillspark.operators import augmentation, epochs, evaluate, groups, profile, rules, splits
 from quillspark.plans.tables import D, G, M, P, daily, grades, manifest, read, scores
 from quillspark.scratch import Scratch
 from quillspark.sources import manifests
+from quillspark.sources.config import resolve_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,7 +60,7 @@ t AS (SELECT *, coalesce(parsed BETWEEN 0 AND 4, false) AS label_in_range, row_n
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     m = rules.with_labels(manifest(spark, d), "raw_label", 5)
-    return m.withColumn("repeated", rules.repeated_id("split", "id_code"))
+    return rules.with_repeated(m, "split", "id_code")
 
 
 @query("P3", f"WITH {M}, {LABELS} SELECT row_pos, label_present, parsed AS label, label_in_range FROM t")
@@ -81,12 +83,13 @@ q AS (SELECT m.*, array_to_string(list_sort(list_filter([CASE WHEN brightness <
 
 
 def quality_rule(m: DataFrame) -> rules.Rule:
+    limits = rules.percentile_limits(m, {"sharpness": 5, "noise_sigma": 95})
     return rules.quality({
         "dark": ("brightness", "<", 6.0),
         "bright": ("brightness", ">", 14.0),
         "low_contrast": ("contrast", "<", 12.0),
-        "blurry": ("sharpness", "<", rules.percentile_limit(m, "sharpness", 5)),
-        "noisy": ("noise_sigma", ">", rules.percentile_limit(m, "noise_sigma", 95)),
+        "blurry": ("sharpness", "<", limits["sharpness"]),
+        "noisy": ("noise_sigma", ">", limits["noise_sigma"]),
     })
 
 
@@ -220,6 +223,22 @@ def s13(spark, d):
     return manifest(spark, d).select("row_pos", F.col("raw_label").try_cast("double").alias("value")).where("value IS NOT NULL")
 
 
+@query("S2", "SELECT doc_id AS id, source AS label FROM documents")
+def s2(spark, d):
+    """Columns found by candidates, whatever their case and outer spaces."""
+    docs = read(spark, d, "documents")
+    one, other = (resolve_column(docs.columns, c, k) for c, k in (([" ID_CODE", "Doc_Id "], "id"), (["grade", "SOURCE"], "label")))
+    return docs.select(F.col(one).alias("id"), F.col(other).alias("label"))
+
+
+REQUIRED = ("id_code", "path", "label", "split", "camera")
+
+
+@query("P15", f"WITH {M} SELECT 'rows' AS \"check\", count(*) > 0 AS passed FROM m" + "".join(f" UNION ALL SELECT 'column:{c}', {c != 'camera'}" for c in REQUIRED))
+def p15(spark, d):
+    return manifests.manifest_findings(manifest(spark, d), REQUIRED)
+
+
 # --- Joins -----------------------------------------------------------------------------------------------------------
 
 @query("J1", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -265,7 +284,7 @@ def _simhash(column: str, start: int) -> str:
 FP = f"""tok AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS t FROM documents),
 hs AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 15))::BIGINT AS hone, ('0x' || substr(md5(t), 16, 15))::BIGINT AS htwo FROM tok),
 fp AS MATERIALIZED (SELECT doc_id, {_simhash('one', 1)}, {_simhash('two', 16)} FROM hs GROUP BY doc_id)"""
-NEAR = 6
+NEAR, BITS = 6, 60
 
 
 def _closure(edges: str, nodes: str) -> str:
@@ -279,12 +298,12 @@ def _edges(column: str) -> str:
 
 @query("J4", f"WITH {FP} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT x.f AS a, y.f AS b FROM (SELECT one, min(doc_id) AS f FROM fp GROUP BY one) x JOIN (SELECT one, min(doc_id) AS f FROM fp GROUP BY one) y ON x.f < y.f AND bit_count(xor(x.one, y.one)) <= {NEAR} UNION ALL SELECT f, doc_id FROM fp JOIN (SELECT one, min(doc_id) AS f FROM fp GROUP BY one) USING (one) WHERE f <> doc_id)")
 def j4(spark, d):
-    return groups.near_pairs(fingerprints(spark, d), "doc_id", "one", NEAR)
+    return groups.near_pairs(Scratch(spark, "j4").table(fingerprints(spark, d), "fingerprints"), "doc_id", "one", NEAR, BITS)
 
 
-@query("J5", f"WITH {G} SELECT key, prediction, c_name FROM g JOIN orders ON key = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey WHERE key % 10 = 0")
+@query("J5", f"WITH {G} SELECT key, prediction, c_name FROM g JOIN orders ON key = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey")
 def j5(spark, d):
-    o = grades(spark, d).where("key % 10 = 0").join(read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey"), "key")
+    o = grades(spark, d).join(read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey"), "key")
     return o.join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("key", "prediction", "c_name")
 
 
@@ -544,7 +563,15 @@ def a31(spark, d):
     return rounded(reliable(spark, d))
 
 
-@query("A32")
+PCM = "pr AS (SELECT *, (list_position(probs, list_max(probs)) - 1)::INT AS prediction FROM p), " + CM.removeprefix(f"{G}, ").replace("FROM g GROUP", "FROM pr GROUP")
+
+
+@query("A32", f"""WITH {BINS}, {PCM}, {CLASSES},
+me AS (SELECT avg((label = prediction)::INT) AS accuracy, avg(abs(label - prediction)) AS mae, avg((abs(label - prediction) <= 1)::INT) AS within_one,
+  avg(CASE WHEN label >= 2 THEN (prediction < 2)::INT END) AS fnr, count(*) AS rows FROM pr)
+SELECT round((SELECT qwk FROM ({KAPPA})), 6) AS qwk, round(accuracy, 6) AS accuracy, round(mae, 6) AS mae, round(within_one, 6) AS within_one,
+  round((SELECT avg(f1) FROM pf), 6) AS macro_f1, round((SELECT auc FROM {AUC.replace("round(list_sum(probs[3:5]), 9)", "list_sum(probs[3:5])")}), 6) AS auc, round(fnr, 6) AS fnr,
+  round((SELECT sum(n * abs(accuracy - confidence)) FROM rb) / rows, 6) AS ece, rows FROM me""")
 def a32(spark, d):
     return rounded(evaluate.metric_bundle(predicted(spark, d), 5))
 
@@ -571,6 +598,21 @@ def a37(spark, d):
     return rounded(profile.channel_moments(e, "embedding").drop("n"))
 
 
+_MEASURED = "SELECT '{}' AS mode, (i - 1)::INT AS channel, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(stddev_pop(embedding[i]::DOUBLE), 6) AS std FROM embeddings, range(1, 65) t(i) GROUP BY i"
+
+
+@query("A37_modes", f"""SELECT * FROM (VALUES ('imagenet', 0, 0.485::DOUBLE, 0.229::DOUBLE), ('imagenet', 1, 0.456, 0.224), ('imagenet', 2, 0.406, 0.225), ('config', 0, 0.5, 0.25)) t(mode, channel, mean, std)
+UNION ALL {_MEASURED.format("auto")} UNION ALL {_MEASURED.format("cached")}""")
+def a37_modes(spark, d):
+    """Every way in which constants are resolved; cached ones are those that a run of mode auto has measured."""
+    e = read(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("embedding"))
+    auto = profile.normalization(e, "auto", "embedding")
+    cached = profile.normalization(None, "auto", cached={"key": "k", "mean": auto[0], "std": auto[1]}, key="k")
+    found = {"imagenet": profile.normalization(None, "imagenet"), "config": profile.normalization(None, "config", given=([0.5], [0.25])), "auto": auto, "cached": cached}
+    rows = [(mode, i, float(m), float(s)) for mode, (mean, std) in found.items() for i, (m, s) in enumerate(zip(mean, std))]  # a row a channel
+    return rounded(spark.createDataFrame(rows, "mode string, channel int, mean double, std double"))
+
+
 # --- Windows ---------------------------------------------------------------------------------------------------------
 
 @query("W1", f"WITH {M}, {LABELS} SELECT row_pos, repeated FROM t")
@@ -674,6 +716,28 @@ def o9(spark, d):
     return manifest(spark, d).select("source", "split").distinct()
 
 
+@query("O10", f"WITH {M} SELECT row_pos, ('0x' || substr(sha256('5:augment/' || row_pos), 1, 8))::BIGINT AS augment, ('0x' || substr(sha256('5:split/' || row_pos), 1, 8))::BIGINT AS split FROM m")
+def o10(spark, d):
+    """Each stage has seeds of its own for each row, whatever other stages draw."""
+    seed = lambda stage: C.derive_seed(5, F.concat(F.lit(f"{stage}/"), F.col("row_pos").cast("string")))
+    return manifest(spark, d).select("row_pos", seed("augment").alias("augment"), seed("split").alias("split"))
+
+
+_STEPS = ", ".join(f"({i}, '{n}', '{e}', '{p}')" for i, _, n, e, p in augmentation.policy())
+_DRAWN = "('0x' || substr(sha256('11:' || row_pos || '/' || name), 1, 8))::BIGINT"
+
+
+@query("X10", f"WITH {M}, po(step, name, evidence, priority) AS (VALUES {_STEPS}) SELECT row_pos, step, name, evidence, priority, {_DRAWN} AS step_seed FROM m, po WHERE {_DRAWN} % 100 < 50")
+def x10(spark, d):
+    return augmentation.augmentation_plan(manifest(spark, d), "row_pos", 11)
+
+
+@query("X12", f"WITH {M}, po(step, name, evidence, priority) AS (VALUES {_STEPS}) SELECT name, count(*) AS n FROM m, po WHERE evidence <> 'eda' AND {_DRAWN} % 100 < 50 GROUP BY name")
+def x12(spark, d):
+    """The profile that follows the paper leaves out the steps that rest on the data's exploration alone."""
+    return augmentation.augmentation_plan(manifest(spark, d), "row_pos", 11, profile="paper_faithful").groupBy("name").agg(F.count("*").alias("n"))
+
+
 # --- Scalars and losses ----------------------------------------------------------------------------------------------
 
 @query("F1", "SELECT doc_id, md5(text) AS md5, substr(sha256(text), 1, 12) AS short, ('0x' || substr(sha256('13:' || source), 1, 8))::BIGINT AS seed FROM documents")
@@ -687,9 +751,12 @@ def f2(spark, d):
     return read(spark, d, "documents").select("doc_id", C.hamming(part("text"), part("source")).cast("int").alias("distance"))
 
 
-@query("F3", "SELECT doc_id, upper(trim(source)) AS name, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) ELSE printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) END AS size FROM documents WHERE n_chars < 1048576")
+SIZE = "CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) " + " ".join(f"WHEN n_chars < {1024 ** (i + 1)} THEN printf('%.1f {u}', round(n_chars / {1024**i}.0::DOUBLE, 1))" for i, u in enumerate(("KB", "MB", "GB"), 1)) + " ELSE printf('%.1f TB', round(n_chars / 1099511627776.0::DOUBLE, 1)) END"
+
+
+@query("F3", f"SELECT doc_id, upper(trim(source)) AS name, {SIZE} AS size FROM documents")
 def f3(spark, d):
-    return read(spark, d, "documents").where("n_chars < 1048576").select("doc_id", F.upper(F.trim("source")).alias("name"), C.human_bytes(F.col("n_chars")).alias("size"))
+    return read(spark, d, "documents").select("doc_id", F.upper(F.trim("source")).alias("name"), C.human_bytes(F.col("n_chars")).alias("size"))
 
 
 @query("F5", f"WITH {P} SELECT vec_id, round(list_max(probs), 6) AS top, (list_position(probs, list_max(probs)) - 1)::INT AS grade, round(list_sum(ordinal_probs), 6) AS ordinal FROM p")
@@ -738,23 +805,22 @@ NODES = "SELECT doc_id AS id FROM fp"
 @query("G2", f"WITH {FP}, c1 AS ({_closure(_edges('one'), NODES)}) SELECT n AS doc_id, low AS cluster FROM c1")
 def g2(spark, d):
     scratch = Scratch(spark, "g2")
-    return groups.clusters(scratch.table(fingerprints(spark, d), "fingerprints"), "doc_id", "one", NEAR, scratch).select("doc_id", "cluster")
+    return groups.clusters(scratch.table(fingerprints(spark, d), "fingerprints"), "doc_id", "one", NEAR, scratch, BITS).select("doc_id", "cluster")
 
 
 @query("G3", f"WITH {FP}, c1 AS ({_closure(_edges('one'), NODES)}), c2 AS ({_closure(_edges('two'), NODES)}) SELECT c1.n AS doc_id, min(c1.n) OVER (PARTITION BY c1.low, c2.low) AS cluster FROM c1 JOIN c2 USING (n)")
 def g3(spark, d):
     scratch = Scratch(spark, "g3")
-    return groups.dual_clusters(scratch.table(fingerprints(spark, d), "fingerprints"), "doc_id", "one", "two", NEAR, scratch).select("doc_id", "cluster")
+    return groups.dual_clusters(scratch.table(fingerprints(spark, d), "fingerprints"), "doc_id", "one", "two", NEAR, scratch, BITS).select("doc_id", "cluster")
 
 
-KEYS = "ky AS (SELECT row_pos AS id, md5 AS k1, CASE WHEN row_pos % 7 = 0 THEN CAST(size_bytes AS VARCHAR) ELSE '' END AS k2 FROM m)"
+KEYS = "ky AS (SELECT row_pos AS id, md5 AS k1, CAST(size_bytes AS VARCHAR) AS k2 FROM m)"
 SHARED = "SELECT x.id AS a, y.id AS b FROM ky x JOIN ky y ON x.id <> y.id AND (x.k1 = y.k1 OR (x.k2 <> '' AND x.k2 = y.k2))"
 
 
 @query("G4", f"WITH {M}, {KEYS}, gr AS ({_closure(SHARED, 'SELECT id FROM ky')}) SELECT n AS row_pos, low AS \"group\" FROM gr")
 def g4(spark, d):
-    m = manifest(spark, d).withColumn("k2", F.when(F.col("row_pos") % 7 == 0, F.col("size_bytes").cast("string")).otherwise(""))
-    return groups.merged_groups(m, "row_pos", ["md5", "k2"], Scratch(spark, "g4")).select("row_pos", "group")
+    return groups.merged_groups(manifest(spark, d), "row_pos", ["md5", "size_bytes"], Scratch(spark, "g4")).select("row_pos", "group")
 
 
 @query("G5", f"WITH {M} SELECT row_pos, min(row_pos) OVER (PARTITION BY md5) AS \"group\" FROM m")
@@ -762,9 +828,43 @@ def g5(spark, d):
     return groups.group_key(manifest(spark, d), "row_pos", "md5", Scratch(spark, "g5")).select("row_pos", "group")
 
 
+@query("G8_strict", f"WITH {M} SELECT 'md5' AS key, count(*) > 0 AS raised FROM (SELECT md5 FROM m GROUP BY md5 HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'row_pos', false")
+def g8_strict(spark, d):
+    """Strict mode raises where a key spans splits, and only there."""
+    def raised(key: str) -> bool:
+        try:
+            splits.require_disjoint(manifest(spark, d), key)
+        except splits.LeakageError:
+            return True
+        return False
+
+    return spark.createDataFrame([(k, raised(k)) for k in ("md5", "row_pos")], "key string, raised boolean")
+
+
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
+@query("G7", f"WITH {CLEAN} SELECT count(*) AS planned, count(*) AS written, 0::BIGINT AS spanning, true AS refused FROM k JOIN t USING (row_pos) WHERE included AND parsed IS NOT NULL")
+def g7(spark, d):
+    """A dry run, a written plan, and a second one to the same place, which is refused."""
+    scratch = Scratch(spark, "g7")
+    path = scratch.path("new")
+    rows = scratch.table(groups.group_key(cleaned(spark, d), "row_pos", "md5", scratch), "grouped")
+    plan = splits.regeneration(rows, RATIOS)
+    splits.regeneration(rows, RATIOS, path)
+    try:
+        splits.regeneration(rows, RATIOS, path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    spanning = plan.groupBy("group", "new_split").count().groupBy("group").count().where("count > 1")
+    written = spark.read.option("header", True).csv(f"{path}/splits")
+    counts = [x.agg(F.count("*").alias(n)) for x, n in ((plan, "planned"), (written, "written"), (spanning, "spanning"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).withColumn("refused", F.lit(refused))
+
+
+
+
 @query("G6", f"WITH {M} SELECT count(*) AS rows, count(DISTINCT md5) AS groups, 0::BIGINT AS spanning FROM m")
 def g6(spark, d):
     """Every row is assigned and no group spans splits, whatever the order of equal groups."""

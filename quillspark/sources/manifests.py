@@ -87,11 +87,14 @@ def reusable(now: DataFrame, before: DataFrame, keys: Sequence[str] = ("path", "
     return before.join(now.select(*keys), list(keys), "left_semi"), now.join(before.select(*keys), list(keys), "left_anti")
 
 
-def upload_reasons(df: DataFrame, limit: int = 15 << 20) -> DataFrame:
-    """Status of uploads by type, size and emptiness: 415, 413, 400, or 200 (S15); type by the content's first bytes."""
-    head = F.hex(F.substring("content", 1, 8))
-    known = head.startswith("FFD8FF") | head.startswith("89504E470D0A1A0A")
-    return df.withColumn("status", F.when(F.col("length") == 0, 400).when(~known, 415).when(F.col("length") > limit, 413).otherwise(200))
+#: Content types of uploads that are read.
+UPLOAD_TYPES = ("image/png", "image/jpeg")
+
+
+def upload_reasons(df: DataFrame, limit: int = 15 << 20, content_type: str = "content_type", length: str = "length") -> DataFrame:
+    """Status of uploads: 415 by their stated type, then 400 where empty, 413 where too long, else 200."""
+    known = F.coalesce(F.col(content_type).isin(*UPLOAD_TYPES), F.lit(False))
+    return df.withColumn("status", F.when(~known, 415).when(F.coalesce(F.col(length), F.lit(0)) == 0, 400).when(F.col(length) > limit, 413).otherwise(200))
 
 
 class Registry:
@@ -126,6 +129,12 @@ def build_splits(make: Callable[[str], DataFrame], splits: Sequence[str]) -> dic
     return out
 
 
+def manifest_findings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(check, passed) of a manifest: that it has rows, and each required column."""
+    rows = df.select(F.lit(1)).limit(1).agg((F.count("*") > 0).alias("passed")).select(F.lit("rows").alias("check"), "passed")
+    return rows.union(df.sparkSession.createDataFrame([(f"column:{c}", c in df.columns) for c in columns], "check string, passed boolean"))
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df, or an error where columns are missing or there are no rows."""
     if missing := [c for c in columns if c not in df.columns]:

@@ -47,8 +47,8 @@ def write_clean(df: DataFrame, path: str, report: DataFrame | None = None) -> No
 
 
 def write_splits(df: DataFrame, path: str, provenance: Mapping[str, Any]) -> None:
-    """New split files, sorted by id, never over old ones, with where they come from (K4)."""
-    (df.repartition("new_split").sortWithinPartitions("new_split", "id_code").write.mode("errorifexists").partitionBy("new_split").option("header", True).csv(f"{path}/splits"))
+    """New split files, sorted by id, never over old ones, with where they come from (K4). A large split is several files, one range of ids each."""
+    (df.repartitionByRange("new_split", "id_code").sortWithinPartitions("new_split", "id_code").write.mode("errorifexists").partitionBy("new_split").option("header", True).csv(f"{path}/splits"))
     df.sparkSession.createDataFrame([(json.dumps(dict(provenance), sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/provenance")
 
 

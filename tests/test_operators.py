@@ -62,14 +62,79 @@ def test_describe_of_one_row_and_none(spark):
     assert [(r["metric"], r["std"], r["median"]) for r in rows] == [("a", 0.0, 3.0)]
 
 
-def test_located_percentiles_equal_buffered_ones(spark):
+def test_percentiles_are_exact(spark):
     rng = random.Random(6)
-    rows = [(rng.choice([rng.gauss(0, 1), float(rng.randrange(5)), None]),) for _ in range(3000)]
-    df = spark.createDataFrame(rows, "x double")
-    shares = [0.001, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999]
-    assert profile.percentiles(df, "x", shares, buffered=0) == pytest.approx(profile.percentiles(df, "x", shares))
-    assert profile.describe(df, ["x"], buffered=0).first() == profile.describe(df, ["x"]).first()
-    assert profile.percentiles(df.limit(0), "x", [0.5]) == [None]
+    shares = [0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999, 1]
+    rows = [(rng.choice([rng.gauss(0, 1), float(rng.randrange(5)), None]), rng.random() ** 9 * 1e6, 7.0) for _ in range(30_000)]
+    for n in (30_000, 3000, 2, 1):
+        df = spark.createDataFrame(rows[:n], "x double, y double, z double")
+        want = df.agg(*(F.percentile(c, F.array(*map(F.lit, shares))) for c in "xyz")).first()
+        for bins in (profile.PERCENTILE_BINS, 3):
+            got = profile.percentiles(df, dict.fromkeys("xyz", shares), bins)
+            assert [got[c] for c in "xyz"] == [pytest.approx(w) if w else [None] * len(shares) for w in want]
+    assert profile.percentiles(df.limit(0), {"x": [0.5]}) == {"x": [None]}
+
+
+def test_chi_square_with_odd_degrees_of_freedom(spark):
+    import math
+
+    odd = {1: lambda x: math.erfc(math.sqrt(x / 2)), 3: lambda x: math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)}
+    even = {d: (lambda x, d=d: math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(d // 2))) for d in (2, 8, 40)}
+    rows = [(d, x, f(x)) for d, f in (odd | even).items() for x in (0.0, 1e-6, 0.5, 3.0, 10.85, 60.0, 900.0)]
+    df = spark.createDataFrame([(d, x) for d, x, _ in rows], "dof long, x double").select(profile.upper_gamma(F.col("dof"), F.col("x") / 2).alias("p"))
+    assert [r["p"] for r in df.collect()] == pytest.approx([p for _, _, p in rows], abs=1e-11)
+    two = spark.createDataFrame([("a", 0, 10), ("a", 1, 20), ("b", 0, 20), ("b", 1, 10)], "split string, label int, count long")
+    r = profile.chi_square(two).first()
+    assert (r["dof"], r["statistic"]) == (1, pytest.approx(20 / 3)) and r["p_value"] == pytest.approx(math.erfc(math.sqrt(10 / 3)))
+
+
+def test_near_pairs_match_all_pairs(spark):
+    """Keys of several parts lose no pair, for any width and number of rows; the last part is as long as the others."""
+    rng = random.Random(3)
+    for width, threshold in ((60, 6), (64, 2), (60, 1)):
+        base = [rng.getrandbits(width) for _ in range(60)]
+        bits = [b ^ sum(1 << k for k in rng.sample(range(width), rng.randint(0, threshold + 2))) for b in base for _ in range(6)]
+        rows = [(i, b - (1 << 64) if b >= 1 << 63 else b) for i, b in enumerate(bits)]
+        first = {}
+        for i, b in enumerate(bits):
+            first.setdefault(b, i)
+        want = {(first[b], i) for i, b in enumerate(bits) if first[b] != i}
+        want |= {(min(i, j), max(i, j)) for a, i in first.items() for b, j in first.items() if i < j and (a ^ b).bit_count() <= threshold}
+        got = groups.near_pairs(spark.createDataFrame(rows, "id long, bits long"), "id", "bits", threshold, width)
+        assert {tuple(r) for r in got.collect()} == want
+    for n in (10, 10**5, 10**9, 10**12):
+        parts = groups.band_parts(n, 6, 60)
+        assert (parts - 6) * 60 // parts >= min(30, max(8, n.bit_length()))
+
+
+def test_places_and_repeats_of_hot_groups(spark):
+    df = spark.range(3000).selectExpr("id AS row_pos", "if(id % 3 = 0, null, if(id % 50 = 0, 'b', 'a')) AS split", "cast(id % 4 AS int) AS label")
+    placed = epochs.placed_within(df, "split", [F.desc("label"), F.asc("row_pos")], "place", Scratch(spark, "places")).collect()
+    for s in (None, "a", "b"):
+        own = sorted((r for r in placed if r["split"] == s), key=lambda r: (-r["label"], r["row_pos"]))
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1))
+    repeated = rules.with_repeated(df, "split", "label").collect()
+    assert len(repeated) == 3000 and sorted(r["row_pos"] for r in repeated if not r["repeated"]) == sorted(min(r["row_pos"] for r in placed if (r["split"], r["label"]) == k) for k in {(r["split"], r["label"]) for r in placed})
+
+
+def test_auc_of_any_scores(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([rng.gauss(0, 50), float(rng.randrange(-3, 4))]), rng.randrange(2)) for _ in range(4000)]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    want = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)
+    assert evaluate.auc(spark.createDataFrame(rows, "s double, y int"), F.col("s"), F.col("y") == 1).first()[0] == pytest.approx(want)
+
+
+def test_augmentation_plan(spark):
+    from quillspark.operators import augmentation
+    from quillspark.sources.config import ConfigError
+
+    df = spark.range(500).withColumnRenamed("id", "row_pos")
+    rows = augmentation.augmentation_plan(df, "row_pos", 11).collect()
+    assert 0.45 < len(rows) / (500 * 11) < 0.55 and len({r["step_seed"] for r in rows}) > 0.99 * len(rows)
+    assert {r["evidence"] for r in augmentation.augmentation_plan(df, "row_pos", 11, profile="paper_faithful").collect()} == {"paper", "both"}
+    with pytest.raises(ConfigError):
+        augmentation.augmentation_plan(df, "row_pos", 11, forbidden=["HFlip"])
 
 
 def test_auc_is_null_without_both_classes(spark):

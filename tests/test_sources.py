@@ -134,9 +134,9 @@ def test_cache_equals_forced_measurement(spark):
 
 
 def test_uploads(spark):
-    rows = [(bytearray(b""), 0), (bytearray(b"GIF89a.."), 8), (bytearray(png(disc())), 20 << 20), (bytearray(b"\xff\xd8\xff\xe0...."), 8)]
-    df = spark.createDataFrame(rows, "content binary, length long")
-    assert [r["status"] for r in manifests.upload_reasons(df).collect()] == [400, 415, 413, 200]
+    rows = [("image/png", 0), ("image/gif", 8), ("image/gif", 0), ("image/png", 20 << 20), ("image/jpeg", 8), (None, 8), ("image/png", None)]
+    df = spark.createDataFrame(rows, "content_type string, length long")
+    assert [r["status"] for r in manifests.upload_reasons(df).collect()] == [400, 415, 415, 413, 200, 415, 400]
 
 
 def test_sinks(spark, tmp_path):
