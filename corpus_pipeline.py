@@ -67,9 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each written to the shared folder before the next reads it."""
+    """The stages in turn, each written to the shared folder before the next reads it. The last one has written its files when it
+    returns, and its result is read from these alone, so that the tables between the stages are then dropped."""
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name.split()[0])
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop(*scratch.tables)
+    return out
