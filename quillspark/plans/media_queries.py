@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
-from quillspark.functions import kernels
+from quillspark.functions import kernels, pixels
 from quillspark.operators import epochs, rules
 from quillspark.plans.queries import CLEAN, LOGS, ORDINAL, cleaned, query, r
 from quillspark.plans.tables import M, manifest, read, scores
@@ -41,29 +41,107 @@ def _measured(spark: SparkSession, d: str, run, schema: str) -> DataFrame:
     return docs.mapInPandas(each, f"doc_id long, {schema}")
 
 
-@query("M1")
+def measured(spark: SparkSession, d: str, values) -> DataFrame:
+    """A struct of values of each document's bytes as an image SIDE pixels wide, by expressions alone."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return read(spark, d, "documents").select("doc_id", pixels.measured(content, SIDE, values).alias("v"))
+
+
+#: The same images in SQL: a row for each pixel, and gray levels resized by area along both axes (or linearly, where they grow).
+PX = f"""im AS (SELECT doc_id, hex(coalesce(text, '')) AS hx, greatest(1, ceil(strlen(coalesce(text, '')) / {SIDE * 3}.0))::INT AS h FROM documents),
+li AS (SELECT doc_id, h, regexp_extract_all(rpad(hx, h * {SIDE * 6}, '0'), '..') AS bs FROM im),
+oc AS (SELECT doc_id, h, unnest(bs) AS hb, unnest(range(h * {SIDE * 3})) AS k FROM li),
+px AS (SELECT doc_id, h, k // 3 AS i, max(('0x' || hb)::INT) FILTER (WHERE k % 3 = 0) AS r, max(('0x' || hb)::INT) FILTER (WHERE k % 3 = 1) AS gr, max(('0x' || hb)::INT) FILTER (WHERE k % 3 = 2) AS b FROM oc GROUP BY ALL),
+g AS MATERIALIZED (SELECT doc_id, h, (i // {SIDE})::INT AS y, (i % {SIDE})::INT AS x, r, gr, b, r * 0.299::DOUBLE + gr * 0.587::DOUBLE + b * 0.114::DOUBLE AS v FROM px)"""
+LAP = """nb AS (SELECT *, lag(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS u, lead(v) OVER (PARTITION BY doc_id, x ORDER BY y) AS o,
+  lag(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS l, lead(v) OVER (PARTITION BY doc_id, y ORDER BY x) AS e FROM g),
+lap AS (SELECT doc_id, v AS own, r, gr, b, coalesce(u, o, v) + coalesce(o, u, v) + coalesce(l, CASE WHEN h = 1 THEN v ELSE e END) + coalesce(e, CASE WHEN h = 1 THEN v ELSE l END) - 4 * v AS v FROM nb)"""
+
+
+def _resized(rows: int, columns: int) -> str:
+    """sm(doc_id, t, u, v): the cells of the smaller image."""
+    def shares(name: str, have: str, want: int, source: str) -> str:
+        return f"""{name} AS (SELECT {have} AS have, t, c, CASE WHEN {have} >= {want} THEN greatest(0, least((t + 1) * {have} / {want}.0::DOUBLE, c + 1) - greatest(t * {have} / {want}.0::DOUBLE, c)) / ({have} / {want}.0::DOUBLE)
+  ELSE (CASE WHEN c = floor(a) THEN 1 - a + floor(a) ELSE 0 END) + (CASE WHEN c = least(floor(a) + 1, {have} - 1) THEN a - floor(a) ELSE 0 END) END AS w
+  FROM (SELECT *, greatest(0, least((t + 0.5::DOUBLE) * {have} / {want} - 0.5::DOUBLE, {have} - 1)) AS a FROM (SELECT {have}, unnest(range({have})) AS c FROM {source}) s, range({want}) t(t)))"""
+
+    return f"""hs AS (SELECT DISTINCT h FROM im), {shares("wy", "h", rows, "hs")}, ws AS (SELECT {SIDE} AS w0), {shares("wx", "w0", columns, "ws")},
+tall AS (SELECT doc_id, t, x, sum(v * w) AS v FROM g JOIN wy ON have = h AND c = y WHERE w > 0 GROUP BY ALL),
+sm AS (SELECT doc_id, tall.t, wx.t AS u, sum(v * w) AS v FROM tall JOIN wx ON c = x WHERE w > 0 GROUP BY ALL)"""
+
+
+def _hex(bits: str) -> str:
+    """16 hexadecimal digits of 64 bits (doc_id, k, bit), most significant first."""
+    digit = "substr('0123456789abcdef', 1 + sum(bit::INT << (3 - k % 4))::INT, 1)"
+    return f"SELECT doc_id, string_agg(d, '' ORDER BY q) AS code FROM (SELECT doc_id, k // 4 AS q, {digit} AS d FROM ({bits}) GROUP BY ALL) GROUP BY doc_id"
+
+
+DHASH = f"dh AS ({_hex('SELECT a.doc_id, a.t * 8 + a.u AS k, b.v - a.v > 1e-7 AS bit FROM sm a JOIN sm b ON a.doc_id = b.doc_id AND a.t = b.t AND b.u = a.u + 1')})"
+BASIS = "ba AS (SELECT k, x, sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 32.0::DOUBLE) * cos(pi() * (2 * x + 1) * k / 64) AS c FROM range(8) k(k), range(32) x(x))"
+PHASH = f"""{BASIS}, hf AS (SELECT doc_id, k, u, sum(c * v) AS v FROM sm JOIN ba ON t = x GROUP BY ALL), lo AS (SELECT doc_id, hf.k * 8 + ba.k AS k, sum(c * v) AS v FROM hf JOIN ba ON u = x GROUP BY ALL),
+md AS (SELECT doc_id, median(v) AS m FROM lo WHERE k > 0 GROUP BY doc_id), ph AS ({_hex('SELECT doc_id, k, v - m > 1e-7 AS bit FROM lo JOIN md USING (doc_id)')})"""
+
+
+@query("M1", f"WITH {PX}, {_resized(8, 9)}, {DHASH} SELECT doc_id, code AS dhash FROM dh")
 def m1(spark, d):
-    return _measured(spark, d, lambda x: (kernels.dhash(x), kernels.phash(x)), "dhash string, phash string")
+    return measured(spark, d, lambda b, g, h, w: pixels.dhash(g, h, w)).select("doc_id", F.col("v").alias("dhash"))
+
+
+@query("M2", f"WITH {PX}, {_resized(32, 32)}, {PHASH} SELECT doc_id, code AS phash FROM ph")
+def m2(spark, d):
+    return measured(spark, d, lambda b, g, h, w: pixels.phash(g, h, w)).select("doc_id", F.col("v").alias("phash"))
 
 
-@query("M3")
+@query("M3", f"WITH {PX} SELECT doc_id, sum(r * 299 + gr * 587 + b * 114) / (count(*) * 1000)::DOUBLE AS brightness, round(stddev_pop(v), 6) AS contrast FROM g GROUP BY doc_id")
 def m3(spark, d):
-    return _measured(spark, d, lambda x: kernels.brightness_contrast(x), "brightness double, contrast double")
+    out = measured(spark, d, lambda b, g, h, w: F.struct(pixels.level(b, pixels.upto(h * w)).alias("m"), pixels.variance(g).alias("v")))
+    return out.select("doc_id", F.col("v.m").alias("brightness"), r(F.sqrt("v.v")).alias("contrast"))
 
 
-@query("M4")
+@query("M4", f"WITH {PX}, {LAP} SELECT doc_id, round(var_pop(v), 4) AS laplacian_var FROM lap GROUP BY doc_id")
 def m4(spark, d):
-    return _measured(spark, d, lambda x: (kernels.laplacian_variance(x), kernels.noise_sigma(x), kernels.padding_ratio(x)), "laplacian_var double, noise_sigma double, padding_ratio double")
+    return measured(spark, d, lambda b, g, h, w: pixels.variance(pixels.laplacian(g, h, w))).select("doc_id", r("v", 4).alias("laplacian_var"))
 
 
-@query("M7")
-def m7(spark, d):
-    return _measured(spark, d, lambda x: kernels.tissue_box(x, 100) or (-1, -1, -1, -1), "disc_x int, disc_y int, disc_w int, disc_h int")
+@query("M5", f"""WITH {PX}, {_resized(16, 16)}, sq AS (SELECT doc_id, t, u, v, CASE WHEN var_pop(v) OVER (PARTITION BY doc_id) > 1e-7 THEN var_pop(v) OVER (PARTITION BY doc_id) ELSE 1 END AS s FROM sm),
+nb AS (SELECT *, lag(v) OVER (PARTITION BY doc_id, u ORDER BY t) AS n, lead(v) OVER (PARTITION BY doc_id, u ORDER BY t) AS o, lag(v) OVER (PARTITION BY doc_id, t ORDER BY u) AS l, lead(v) OVER (PARTITION BY doc_id, t ORDER BY u) AS e FROM sq),
+lq AS (SELECT doc_id, s, coalesce(n, o) + coalesce(o, n) + coalesce(l, e) + coalesce(e, l) - 4 * v AS v FROM nb)
+SELECT doc_id, round(var_pop(v) / any_value(s), 6) AS sharpness_norm FROM lq GROUP BY doc_id""")
+def m5(spark, d):
+    return measured(spark, d, lambda b, g, h, w: pixels.sharpness(g, h, w, 16)).select("doc_id", r("v").alias("sharpness_norm"))
+
+
+@query("M6", f"""WITH {PX}, sh AS (SELECT c.doc_id, c.h, abs(sum(CASE WHEN o.x = c.x AND o.y = c.y THEN 4 WHEN o.x = c.x OR o.y = c.y THEN -2 ELSE 1 END * o.v)) AS v
+  FROM g c JOIN (SELECT g.*, unnest([-1, 0, 1]) AS dy FROM g) o ON o.doc_id = c.doc_id AND c.y = o.y + o.dy AND o.x BETWEEN c.x - 1 AND c.x + 1
+  WHERE c.y BETWEEN 1 AND c.h - 2 AND c.x BETWEEN 1 AND {SIDE - 2} GROUP BY c.doc_id, c.h, c.y, c.x)
+SELECT doc_id, round(coalesce(n, 0), 6) AS noise_sigma FROM im LEFT JOIN (SELECT doc_id, sum(v) * sqrt(pi() / 2) / 36 / ({SIDE - 2} * (any_value(h) - 2)) AS n FROM sh GROUP BY doc_id) USING (doc_id)""")
+def m6(spark, d):
+    return measured(spark, d, lambda b, g, h, w: pixels.noise_sigma(g, h, w)).select("doc_id", r("v").alias("noise_sigma"))
+
+
+@query("M8", f"WITH {PX} SELECT doc_id, round(avg((v <= 100)::INT), 6) AS padding_ratio FROM g GROUP BY doc_id")
+def m8(spark, d):
+    dark = lambda b, g, h, w: pixels.mean(F.transform(g, lambda x: (x <= 100).cast("double")))
+    return measured(spark, d, dark).select("doc_id", r("v").alias("padding_ratio"))
 
 
-@query("M9")
+@query("M9", f"WITH {PX} SELECT doc_id, CASE WHEN greatest(h, {SIDE}) <= 64 THEN h ELSE greatest(1, round_even(h * 64 / greatest(h, {SIDE})::DOUBLE, 0)::INT) END AS height, CASE WHEN greatest(h, {SIDE}) <= 64 THEN {SIDE} ELSE greatest(1, round_even({SIDE} * 64 / greatest(h, {SIDE})::DOUBLE, 0)::INT) END AS width FROM im")
 def m9(spark, d):
-    return _measured(spark, d, lambda x: kernels.proxy(x, 64).shape[:2], "height int, width int")
+    docs = read(spark, d, "documents").select("doc_id", pixels.rows_of(F.coalesce("text", F.lit("")).cast("binary"), SIDE).alias("h"))
+    height, width = pixels.proxy_size(F.col("h"), F.lit(SIDE), 64)
+    return docs.select("doc_id", height.alias("height"), width.alias("width"))
+
+
+@query("M11", f"""WITH {PX}, {LAP} SELECT doc_id, round(count_if(own > 10) / count(*), 6) AS visible_fraction, coalesce(sum(r * 299 + gr * 587 + b * 114) FILTER (WHERE own > 10) / (1000 * count_if(own > 10))::DOUBLE, 0) AS brightness, round(coalesce(var_pop(v) FILTER (WHERE own > 10), 0), 4) AS sharpness,
+  round(coalesce(avg(r) FILTER (WHERE own > 10) / greatest(avg(gr) FILTER (WHERE own > 10), avg(b) FILTER (WHERE own > 10), 1), 0), 6) AS color_score FROM lap GROUP BY doc_id""")
+def m11(spark, d):
+    out = measured(spark, d, pixels.upload_quality)
+    return out.select("doc_id", r("v.visible_fraction").alias("visible_fraction"), F.col("v.brightness").alias("brightness"), r("v.sharpness", 4).alias("sharpness"), r("v.color_score").alias("color_score"))
+
+
+@query("M7")
+def m7(spark, d):
+    return _measured(spark, d, lambda x: kernels.tissue_box(x, 100) or (-1, -1, -1, -1), "disc_x int, disc_y int, disc_w int, disc_h int")
 
 
 @query("M10")
@@ -75,11 +153,6 @@ def m10(spark, d):
     return _measured(spark, d, run, "aspect_ratio double, sharpness_norm double, dhash string, readable boolean")
 
 
-@query("M11")
-def m11(spark, d):
-    return _measured(spark, d, lambda x: tuple(kernels.upload_quality(x).values()), "visible_fraction double, brightness double, sharpness double, color_score double")
-
-
 @query("X1")
 def x1(spark, d):
     def run(x: np.ndarray) -> tuple:
@@ -89,26 +162,6 @@ def x1(spark, d):
     return _measured(spark, d, run, "height int, width int, mean double")
 
 
-@query("M2")
-def m2(spark, d):
-    return _measured(spark, d, lambda x: (kernels.phash(x),), "phash string")
-
-
-@query("M5")
-def m5(spark, d):
-    return _measured(spark, d, lambda x: (kernels.sharpness(x, 64),), "sharpness_norm double")
-
-
-@query("M6")
-def m6(spark, d):
-    return _measured(spark, d, lambda x: (kernels.noise_sigma(x),), "noise_sigma double")
-
-
-@query("M8")
-def m8(spark, d):
-    return _measured(spark, d, lambda x: (kernels.padding_ratio(x, 100),), "padding_ratio double")
-
-
 @query("M12")
 def m12(spark, d):
     def run(x: np.ndarray) -> tuple:
