@@ -70,8 +70,9 @@ def row_hash() -> Column:
     return F.md5(F.concat(of("doc_id"), F.lit(":"), F.md5(of("text").cast("binary"))).cast("binary"))
 
 
-def _placed(documents: DataFrame, cycle: int, repeats: int) -> DataFrame:
-    """(doc_id, source, size, h, copies, source_size, target, tilt, start): start is the place of the first of its copies rows."""
+def _placed(documents: DataFrame, cycle: int, repeats: int) -> tuple[DataFrame, DataFrame]:
+    """The written entries, and (doc_id, source, size, h, copies, source_size, target, tilt, start): start is the place of the first
+    of an entry's copies rows."""
     scratch = Scratch(documents.sparkSession, "mix")
     h = row_hash()
     sized = documents.select("doc_id", "source", word_count("text").alias("size"), h.alias("h"), _key("source").alias("key"))
@@ -85,7 +86,7 @@ def _placed(documents: DataFrame, cycle: int, repeats: int) -> DataFrame:
     bases = slices.join(targets, "key")
     within = Window.partitionBy("key", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = entries.withColumn("inner", F.sum(words).over(within)).join(bases, ["key", "slice"])
-    return placed.select("doc_id", "source", "size", "h", "copies", "source_size", "target", "tilt", (F.col("base") + F.col("inner") - words).alias("start"))
+    return entries, placed.select("doc_id", "source", "size", "h", "copies", "source_size", "target", "tilt", (F.col("base") + F.col("inner") - words).alias("start"))
 
 
 def mix_plan(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS) -> DataFrame:
@@ -98,7 +99,10 @@ def mix_plan(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS) -> Da
     null and repeated ids are like others; repeated rows are separate documents, one after another in the stream; reruns agree.
     Very long texts count whole. An empty table gives no rows. Other columns are not read.
     """
-    placed = _placed(documents, cycle, repeats)
+    return _plan(_placed(documents, cycle, repeats)[1])
+
+
+def _plan(placed: DataFrame) -> DataFrame:
     each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     start = F.col("start") + F.col("copy") * F.col("size")
     words = F.round("target").cast("long")
@@ -124,16 +128,19 @@ def mixed_documents(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS
     (where documents have that column). Documents of which nothing is taken are left out. Of rows that share source, id and text,
     one row's other columns stand for all. Cases as in mix_plan; extra columns stay as they are, whatever their names.
     """
-    plan = mix_plan(documents, cycle, repeats).where("taken > 0")
+    entries, placed = _placed(documents, cycle, repeats)
+    plan = _plan(placed).where("taken > 0")
     each = plan.select("*", _key("source").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("pass"))
     at = position(F.col("start") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("tilt"))
     each = each.select("key", "h", "copies", "size", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")).alias("part"), at.alias("at"))
     row = documents.select(F.struct(*documents.columns).alias("row"), row_hash().alias("h"), _key("source").alias("key"))
-    # Texts are shuffled once, to their places; only rows that stand several times are made one beforehand.
-    several = each.where("copies > 1")
-    one = row.join(several.select("key", "h").distinct(), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
+    # Texts are shuffled once, to their places; rows that stand several times, where there are any, are made one beforehand.
     columns = ["row", "h", "size", "part", "at"]
-    taken = row.join(each.where("copies = 1"), ["key", "h"]).select(*columns).union(one.join(several, ["key", "h"]).select(*columns))
+    taken = row.join(each.where("copies = 1"), ["key", "h"]).select(*columns)
+    if not entries.where("copies > 1").isEmpty():
+        several = each.where("copies > 1")
+        one = row.join(several.select("key", "h").distinct(), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
+        taken = taken.union(one.join(several, ["key", "h"]).select(*columns))
     text = F.col("row.text")
     pieces = F.split(text, "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
     lead = F.when(text.rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
