@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import read
 from quillspark.llm.decontaminate import contained_items
+from quillspark.llm.divergence import ORACLE as DIVERGENCE_SQL
+from quillspark.llm.divergence import source_divergence
 from quillspark.llm.langid import predict_languages
 from quillspark.llm.license_scan import license_matches
 from quillspark.llm.license_scan import oracle as license_sql
@@ -106,6 +108,10 @@ def op10_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
 
+def op11_level_product_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
@@ -117,9 +123,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_archive": op10_media_archive,
     "op2_greedy_string_tiling": op2_greedy_string_tiling,
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op11_level_product_divergence": op11_level_product_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_curriculum_mix": OP3_SQL,
     "op7_license_sentence_rules": license_sql(),
+    "op11_level_product_divergence": DIVERGENCE_SQL,
 }
