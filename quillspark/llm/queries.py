@@ -20,6 +20,7 @@ from quillspark.llm.quality import quality_scores
 from quillspark.llm.secret_scan import secret_spans
 from quillspark.llm.tokens import tokenized
 from quillspark.llm.toxicity import toxicity_scores
+from quillspark.llm.whitening import whitened
 
 
 def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +113,10 @@ def op11_level_product_divergence(spark: SparkSession, sf_dir: str) -> DataFrame
     return source_divergence(read(spark, sf_dir, "documents"))
 
 
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_greedy_string_tiling": op2_greedy_string_tiling,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op11_level_product_divergence": op11_level_product_divergence,
+    "op12_lanczos_whitening": op12_lanczos_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
