@@ -20,6 +20,7 @@ from quillspark.llm.quality import quality_scores
 from quillspark.llm.secret_scan import secret_spans
 from quillspark.llm.tokens import tokenized
 from quillspark.llm.toxicity import toxicity_scores
+from quillspark.llm.vector_dedup import near_duplicate_vectors
 from quillspark.llm.whitening import whitened
 
 
@@ -117,6 +118,10 @@ def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(read(spark, sf_dir, "embeddings"))
 
 
+def op13_projection_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op4_hyperminhash_near_dedup": op4_hyperminhash_near_dedup,
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op11_level_product_divergence": op11_level_product_divergence,
     "op12_lanczos_whitening": op12_lanczos_whitening,
+    "op13_projection_forest_dedup": op13_projection_forest_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

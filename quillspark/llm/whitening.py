@@ -28,7 +28,7 @@ BLOCK_BYTES = 2 << 20
 NOTHING = 1e-11
 
 
-def _matrices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def finite_matrices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, rows of the batch, their entries as doubles) for each length: vectors that are no null and hold finite entries only."""
     column = column.cast(pa.large_list(pa.float64()))
     starts, ends = np.asarray(column.offsets)[:-1], np.asarray(column.offsets)[1:]
@@ -50,7 +50,7 @@ def _steps(entries: np.ndarray) -> np.ndarray:
 
 def _distinct_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for length, _, entries in _matrices(batch.column(0)):
+        for length, _, entries in finite_matrices(batch.column(0)):
             rows = np.unique(_steps(entries), axis=0)
             yield pa.record_batch([pa.array([length] * len(rows), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["length", "x"])
 
@@ -200,7 +200,7 @@ def whitened(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, rows, entries in _matrices(batch.column(1)) if trace else ():
+            for size, rows, entries in finite_matrices(batch.column(1)) if trace else ():
                 if size != length:
                     continue
                 x = _steps(entries)
