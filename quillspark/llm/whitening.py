@@ -136,12 +136,18 @@ def bidiagonalised(products, length: int, rank: int, size: float) -> tuple[np.nd
         if found:
             M = np.column_stack([M, (t - M @ along) / alpha])
             XtU = np.column_stack([XtU, (z - XtU @ along) / alpha])
-        if V.shape[1] == length or M.shape[1] == rank:
+        if V.shape[1] == length:
             break
         v = apart(XtU[:, -1], V) if found else np.zeros(length)
         beta = np.linalg.norm(v)
-        v = apart(v / beta, V) if beta > NOTHING * size else fresh(V)
+        going = beta > NOTHING * size
+        v = apart(v / beta, V) if going else fresh(V)
         v /= np.linalg.norm(v)
+        if M.shape[1] == rank:  # the left side is complete: Xv is known without a pass
+            if going:
+                V = np.column_stack([V, v])
+                columns.append(XtU.T @ v)
+            break
     R = np.zeros((M.shape[1], V.shape[1]))
     for k, c in enumerate(columns):
         R[: len(c), k] = c
