@@ -130,7 +130,8 @@ def source_divergence(documents: DataFrame, least_documents: int = LEAST_DOCUMEN
     # Kept terms with their place in blocks of about TERMS terms of one language.
     used = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_documents)
     used = scratch.table(used.select("lang", "term", "total"), "used")
-    langs = used.groupBy("lang").agg(F.count("*").alias("vocabulary"), F.sum("total").alias("lang_size"))
+    # Written, so that its size is known: a join that is a shuffle by language alone would leave one task a language.
+    langs = scratch.table(used.groupBy("lang").agg(F.count("*").alias("vocabulary"), F.sum("total").alias("lang_size")), "langs")
     block = F.pmod(F.xxhash64("term"), F.ceil(F.col("vocabulary") / TERMS)).alias("block")
     kept = used.join(langs, "lang").select("*", block)
     places = Window.partitionBy("lang", "block")
