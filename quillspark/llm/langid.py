@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillspark.llm.common import remainder
+from quillspark.llm.common import remainder, without
 from quillspark.llm.text import Texts
 from quillspark.scratch import ship_code
 
@@ -160,12 +160,12 @@ def predict_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     A null text, or one without a letter, is `und` with score 0; so is every text where no language could be
     learned. Rows with a null lang are predicted and not learned from; repeated rows get equal results; of languages that
     are equally likely the first in order of code points is taken; very long texts are read whole, in blocks of windows; an
-    empty table gives no rows. Columns of documents named held_out, lang_pred or score are replaced.
+    empty table gives no rows. Columns of documents named held_out, lang_pred or score, in any case, are replaced.
     """
     spark = documents.sparkSession
     ship_code(spark)
     model = spark.sparkContext.broadcast(fit(documents, sample))
-    kept = [c for c in documents.columns if c not in ("held_out", "lang_pred", "score")]
+    kept = without(documents, "held_out", "lang_pred", "score")
     at = kept.index("text")
     source = documents.select(*kept)
 

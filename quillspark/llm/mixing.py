@@ -14,10 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import one_row_each, shards
 from quillspark.scratch import Scratch
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 REPEATS = 3
+#: Bytes that a word with the space after it is taken to have.
+WORD_BYTES = 8
 #: Hexadecimal digits of the hash that tell the slices of a source apart: 4096 slices.
 DIGITS = 3
 #: How the weight of a source moves from the start to the end of training, by its place in the cycle of weights.
@@ -102,8 +105,20 @@ def mix_plan(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS) -> Da
     return _plan(_placed(documents, cycle, repeats)[1])
 
 
+#: Longest array that numbers a row's copies; more are numbered in two levels.
+NUMBERED = 4096
+
+
+def _numbered(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row n times, numbered from 0: blocks first, then those within each, so that no array is long."""
+    many = df.select("*", n.cast("long").alias("_n"))
+    upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m - 1))
+    blocks = many.where("_n > 0").select("*", upto(F.ceil(F.col("_n") / NUMBERED)).alias("_block"))
+    return blocks.select("*", upto(F.least(F.lit(NUMBERED), F.col("_n") - F.col("_block") * NUMBERED)).alias("_inner")).withColumn(name, F.col("_block") * NUMBERED + F.col("_inner")).drop("_n", "_block", "_inner")
+
+
 def _plan(placed: DataFrame) -> DataFrame:
-    each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    each = _numbered(placed, F.col("copies"), "copy")
     start = F.col("start") + F.col("copy") * F.col("size")
     words = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
@@ -115,9 +130,9 @@ def _plan(placed: DataFrame) -> DataFrame:
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken", "start", "tilt", "h", "copies", at(F.lit(0)).alias("first_position"), at(last).alias("last_position"))
 
 
-def by_position(df: DataFrame, *order: str) -> DataFrame:
-    """df range-sorted: files or partitions in training order, each in order."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def by_position(df: DataFrame, *order: str, text_bytes: int = 0) -> DataFrame:
+    """df range-sorted: files or partitions in training order, each in order; as many as so many bytes of text need."""
+    n = shards(df.sparkSession, text_bytes)
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
@@ -126,11 +141,11 @@ def mixed_documents(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS
 
     A row that is taken in part keeps its first words, with the white space after each, and its n_chars follows
     (where documents have that column). Documents of which nothing is taken are left out. Of rows that share source, id and text,
-    one row's other columns stand for all. Cases as in mix_plan; extra columns stay as they are, whatever their names.
+    the first in order of all columns (as JSON) stands for all. Cases as in mix_plan; extra columns stay as they are, whatever their names.
     """
     entries, placed = _placed(documents, cycle, repeats)
     plan = _plan(placed).where("taken > 0")
-    each = plan.select("*", _key("source").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("pass"))
+    each = _numbered(plan.select("*", _key("source").alias("key")), F.floor((F.col("taken") - 1) / F.col("size")) + 1, "pass")
     at = position(F.col("start") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("tilt"))
     each = each.select("key", "h", "copies", "size", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")).alias("part"), at.alias("at"))
     row = documents.select(F.struct(*documents.columns).alias("row"), row_hash().alias("h"), _key("source").alias("key"))
@@ -139,7 +154,8 @@ def mixed_documents(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS
     taken = row.join(each.where("copies = 1"), ["key", "h"]).select(*columns)
     if not entries.where("copies > 1").isEmpty():
         several = each.where("copies > 1")
-        one = row.join(several.select("key", "h").distinct(), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
+        one = row.join(several.select("key", "h").distinct(), ["key", "h"], "left_semi")
+        one = one_row_each(one, "key", "h")
         taken = taken.union(one.join(several, ["key", "h"]).select(*columns))
     text = F.col("row.text")
     pieces = F.split(text, "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
@@ -149,4 +165,5 @@ def mixed_documents(documents: DataFrame, cycle: int = 3, repeats: int = REPEATS
     if "n_chars" in documents.columns:
         made["n_chars"] = F.length(cut).cast(documents.schema["n_chars"].dataType)
     out = taken.select(F.struct(*(v.alias(c) for c, v in made.items())).alias("row"), "at", "h")
-    return by_position(out, "at", "h").select("row.*")
+    words = entries.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
+    return by_position(out, "at", "h", text_bytes=repeats * words * WORD_BYTES).select("row.*")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillspark.llm.common import labelled_sample, remainder
+from quillspark.llm.common import labelled_sample, remainder, without
 from quillspark.llm.linear import Ftrl, sigmoid
 from quillspark.llm.text import Texts, mix, shape_hashes, span_hashes
 from quillspark.scratch import ship_code
@@ -68,13 +68,13 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
     """All columns of documents -> the same rows with held_out, score and predicted.
 
     A null or empty text is scored by the bias alone; repeated rows get equal scores; an empty table gives no
-    rows. Columns of documents named held_out, score or predicted are replaced. Only texts are inputs of a score. Very long
+    rows. Columns of documents named held_out, score or predicted, in any case, are replaced. Only texts are inputs of a score. Very long
     texts are scored whole, in parts. Rows with equal ids or labels are no ties: the sample's order is fixed by ids and texts.
     """
     spark = documents.sparkSession
     ship_code(spark)
     model = spark.sparkContext.broadcast(fit(labelled_sample(documents, labels, "quality", sample, FOLDS, HELD_OUT)))
-    kept = [c for c in documents.columns if c not in ("held_out", "score", "predicted")]
+    kept = without(documents, "held_out", "score", "predicted")
     at = kept.index("text")
     source = documents.select(*kept)
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import shards
 from quillspark.llm.text import BLOCK, EXACT, EXACT_2, Texts, hashes, mix
 from quillspark.scratch import Scratch
 
@@ -231,16 +232,25 @@ def _encode(path: str, end: int):
     return run
 
 
+#: Characters of a text by which rows of one id are dealt to shards.
+BEGINNING = 256
+
+
 def write_tokens(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, delta: bool = False) -> None:
     """Write doc_id, shard, shard_offset, n_tokens, ids of every whole text in ascending doc_id order.
 
     A null text is empty and has the end id alone; a null doc_id comes first; rows that share a doc_id stand together,
-    in order of their texts; an empty table gives an empty folder. Other columns are not written.
+    in order of their texts, over several shards where they are many and differ in their first BEGINNING characters, or are shorter;
+    an empty table gives an empty folder. Other columns are not written.
     delta: format version 2, whose ids and offsets are delta-packed, in place of dictionaries.
     """
     spark = documents.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = shards(spark, docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0])
+    begins = F.substring("text", 1, BEGINNING)
+    # Equal rows have no order of their own, so that their number may part them.
+    salt = F.when(F.length("text") < BEGINNING, F.monotonically_increasing_id()).otherwise(F.lit(0))
+    ordered = docs.repartitionByRange(n, "doc_id", begins, salt).sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(_encode(vocabulary, end), "doc_id long, shard int, shard_offset long, n_tokens long, ids array<int>")
     options = {"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.enable.dictionary": not delta, "parquet.writer.version": "PARQUET_2_0" if delta else "PARQUET_1_0"}
     rows.write.options(**options).parquet(path)
