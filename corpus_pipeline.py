@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read
+from quillspark.llm.common import one_row_each, read
 from quillspark.llm.decontaminate import decontaminated
 from quillspark.llm.mixing import mixed_documents
 from quillspark.llm.near_dedup import near_duplicates
@@ -23,20 +23,21 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is THRESHOLD or more."""
-    scored = quality_scores(docs, read(spark, sf_dir, "labels"), THRESHOLD)
-    return scored.where("predicted = 1").select(*docs.columns)
+    """Documents whose quality score is THRESHOLD or more. Columns are numbered meanwhile, so that none clashes with the score's."""
+    numbered = docs.toDF(*(c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)))
+    scored = quality_scores(numbered, read(spark, sf_dir, "labels"), THRESHOLD)
+    return scored.where("predicted = 1").select(*numbered.columns).toDF(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id. Rows are named by id and text, so that null and
-    shared ids are no exception; a row that stands several times stays once, texts without words stay as they are."""
+    shared ids are no exception; of rows with one id and text the first in order of all columns stays, texts without words stay as they are."""
     found = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("chosen")
     chosen = found.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("n_shingles").alias("n")).agg(F.count("*").alias("times"))
     row = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("own"))
     kept = row.join(chosen, (row["own"] == chosen["hash"]) & F.col("row.doc_id").eqNullSafe(chosen["id"]))
     once = kept.where("times = 1 OR n = 0").select("row")
-    return once.union(kept.where("times > 1 AND n > 0").dropDuplicates(["id", "hash"]).select("row")).select("row.*")
+    return once.union(one_row_each(kept.where("times > 1 AND n > 0"), "id", "hash").select("row")).select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
