@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import ratio
+from quillspark.scratch import Scratch
 
 
 def totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -40,24 +41,37 @@ def value_counts(df: DataFrame, column: str, unknown: str = "<unknown>") -> Data
 PERCENTILE_BINS = 1024
 
 
-def percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]], bins: int = PERCENTILE_BINS) -> dict[str, list[float | None]]:
-    """Exact percentiles of columns, with linear interpolation over measured rows (T4), null without any.
+def summaries(df: DataFrame, shares: Mapping[str, Sequence[float]], bins: int = PERCENTILE_BINS) -> dict[str, dict]:
+    """For each column n, mean, std (of a sample; 0 for one value), lo, hi, and exact percentiles `at` with linear interpolation (T4).
 
-    A sketch brackets each wanted rank between two values (all columns in one job). Rows below are counted, those inside fall into
-    bins, and the bin that holds the rank is the next bracket, until it holds one value: a job a round for all columns
-    together, a few rounds in all. What is collected has a fixed number of rows a rank, however many rows there are.
+    Nulls, NaN and infinite values aren't measured; without any other, n is 0 and all else null. The columns are written once, as doubles,
+    and the same job makes the moments and a sketch that brackets each wanted rank between two values. Rows below are counted, those
+    inside fall into bins, and the bin that holds the rank is the next bracket, until it holds one value: a job a round for
+    all columns together. A bracket's ends fall into its first and last bin, so that each round leaves fewer values; what is collected
+    has a fixed number of rows a rank, however many rows there are.
     """
-    x = {c: F.col(c).cast("double") for c in shares}
+    if not shares:
+        return {}
+    names = {c: f"x{i}" for i, c in enumerate(shares)}
+    value = {c: F.col(c).cast("double") for c in shares}
+    measured = df.select(*(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias(names[c]) for c, x in value.items()))
     ends = {c: [e for p in ps for e in (max(0.0, p - 4e-4), min(1.0, p + 4e-4))] for c, ps in shares.items()}
     # The sketch's error is 1 in 10000 of the rows; a slack of four times that, and the extremes, hold each rank.
-    sketch = df.agg(*(F.struct(F.count(x[c]).alias("n"), F.percentile_approx(x[c], F.array(*map(F.lit, ends[c])), 10_000).alias("e"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(f"s{i}") for i, c in enumerate(shares))).first()
+    seen, metrics = Observation(), []
+    for c, x in names.items():
+        metrics += [F.count(x).alias(f"n_{x}"), F.avg(x).alias(f"mean_{x}"), F.stddev_samp(x).alias(f"std_{x}"), F.min(x).alias(f"lo_{x}"), F.max(x).alias(f"hi_{x}")]
+        metrics += [F.percentile_approx(x, F.array(*map(F.lit, ends[c])), 10_000).alias(f"e_{x}")] if ends[c] else []
+    scratch = Scratch(df.sparkSession, "percentiles")
+    table, sketch = scratch.table(measured.observe(seen, *metrics), "columns"), seen.get
+    out: dict[str, dict] = {}
     open_: dict[tuple[str, int], tuple[float, float, int | None]] = {}  # (column, rank) -> low, high, rows below (None: not counted yet)
-    for i, (c, ps) in enumerate(shares.items()):
-        s = sketch[i]
-        for j, p in enumerate(ps if s["n"] else []):
-            place = p * (s["n"] - 1)
-            low = s["lo"] if s["n"] <= 10_000 or ends[c][2 * j] == 0 else s["e"][2 * j]
-            high = s["hi"] if s["n"] <= 10_000 or ends[c][2 * j + 1] == 1 else s["e"][2 * j + 1]
+    for c, x in names.items():
+        s = out[c] = {k: sketch[f"{k}_{x}"] for k in ("n", "mean", "std", "lo", "hi")}
+        s["std"] = 0.0 if s["n"] == 1 else s["std"]
+        for j, p in enumerate(shares[c] if s["n"] else []):
+            place, e = p * (s["n"] - 1), sketch[f"e_{x}"]
+            low = s["lo"] if s["n"] <= 10_000 or ends[c][2 * j] == 0 else e[2 * j]
+            high = s["hi"] if s["n"] <= 10_000 or ends[c][2 * j + 1] == 1 else e[2 * j + 1]
             for rank in {int(place), min(int(place) + 1, s["n"] - 1)}:
                 open_[c, rank] = (low, high, 0 if low == s["lo"] else None)
     found: dict[tuple[str, int], float] = {}
@@ -65,12 +79,14 @@ def percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]], bins: int
         asked = list(open_.items())
         cells = []
         for k, ((c, _), (low, high, below)) in enumerate(asked):
-            bin_ = F.least(F.lit(bins - 1), F.floor((x[c] - low) / (high - low) * bins)) if high > low else F.lit(0)
-            inside = F.when(x[c].between(low, high), bin_.cast("int"))
+            x = F.col(names[c])
+            width, half = (high - low, 1.0) if high - low < float("inf") else (high / 2 - low / 2, 0.5)
+            bin_ = F.least(F.lit(bins - 1), F.floor((x * half - low * half) / width * bins)) if high > low else F.lit(0)
+            inside = F.when(x.between(low, high), bin_.cast("int"))
             if below is None:
-                inside = F.when(x[c] < low, F.lit(-1)).otherwise(inside)
-            cells.append(F.struct(F.lit(k).alias("k"), inside.alias("bin"), x[c].alias("x")))
-        counted = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("bin IS NOT NULL").groupBy("k", "bin").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+                inside = F.when(x < low, F.lit(-1)).otherwise(inside)
+            cells.append(F.struct(F.lit(k).alias("k"), inside.alias("bin"), x.alias("x")))
+        counted = table.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("bin IS NOT NULL").groupBy("k", "bin").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         by: dict[int, list] = {}
         for r in counted.collect():  # at most bins + 1 rows a rank
             by.setdefault(r["k"], []).append(r)
@@ -85,25 +101,26 @@ def percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]], bins: int
                         open_[c, rank] = (r["lo"], r["hi"], upto)
                     break
                 upto += r["n"]
-    out: dict[str, list[float | None]] = {}
-    for i, (c, ps) in enumerate(shares.items()):
-        n, out[c] = sketch[i]["n"], []
+    scratch.drop(table)
+    for c, ps in shares.items():
+        n, out[c]["at"] = out[c]["n"], []
         for p in ps:
             low = int(p * (n - 1)) if n else 0
-            out[c].append(found[c, low] + (p * (n - 1) - low) * (found[c, min(low + 1, n - 1)] - found[c, low]) if n else None)
+            part = p * (n - 1) - low
+            out[c]["at"].append((1 - part) * found[c, low] + part * found[c, min(low + 1, n - 1)] if n and abs(found[c, low]) > 1e300 else found[c, low] + part * (found[c, min(low + 1, n - 1)] - found[c, low]) if n else None)
     return out
 
 
+def percentiles(df: DataFrame, shares: Mapping[str, Sequence[float]], bins: int = PERCENTILE_BINS) -> dict[str, list[float | None]]:
+    """Exact percentiles of columns; cases as in summaries()."""
+    return {c: s["at"] for c, s in summaries(df, shares, bins).items()}
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """mean, std (of a sample; 0 for one row), min, p25, median, p75, max of each column; nulls don't count (A5)."""
-    located = percentiles(df, {c: (0.25, 0.5, 0.75) for c in columns})
-    stats = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        n = F.count(x)
-        q = [F.lit(v).cast("double") for v in located[c]]
-        stats.append(F.struct(F.lit(c).alias("metric"), n.alias("n"), F.avg(x).alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75"), F.max(x).alias("max")))
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s")).where("n > 0")
+    """mean, std, min, p25, median, p75, max of each column that has measured values; cases as in summaries() (A5)."""
+    rows = [(c, s["n"], s["mean"], s["std"], s["lo"], *s["at"], s["hi"]) for c, s in summaries(df, {c: (0.25, 0.5, 0.75) for c in columns}).items() if s["n"]]
+    names = "metric string, n long, mean double, std double, min double, p25 double, median double, p75 double, max double"
+    return df.sparkSession.createDataFrame(rows, names)
 
 
 def distinct_keys(df: DataFrame, column: str) -> DataFrame:
@@ -194,13 +211,24 @@ def channel_moments(df: DataFrame, values: str) -> DataFrame:
     return df.select(F.posexplode(values).alias("channel", "x")).groupBy("channel").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
+def moment_states(df: DataFrame, values: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, channel, n, mean, m2) of each place of an array column: what merge_moments adds up (A13). Null and NaN entries don't count."""
+    x = F.when(~F.isnan("x"), F.col("x"))
+    each = df.select(*by, F.posexplode(values).alias("channel", "v")).withColumn("x", F.col("v").cast("double")).withColumn("x", x)
+    return each.groupBy(*by, "channel").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"))
+
+
 def merge_moments(parts: DataFrame, by: Sequence[str] = ("channel",)) -> DataFrame:
-    """Chan's merge of (n, mean, m2) parts: exact for any split of the data."""
-    n = F.sum("n")
-    grand = F.sum(F.col("n") * F.col("mean")) / n
-    out = parts.groupBy(*by).agg(n.alias("total"), grand.alias("grand"), F.sum("m2").alias("inner"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("square"))
-    m2 = F.col("inner") + F.col("square") - F.col("total") * F.col("grand") * F.col("grand")
-    return out.select(*by, F.col("total").alias("n"), F.col("grand").alias("mean"), F.sqrt(F.greatest(F.lit(0.0), m2 / F.col("total"))).alias("std"))
+    """n, mean and population deviation from (n, mean, m2) parts, for any split of the data, however large the means.
+
+    Spread between parts is added up about the grand mean itself, which a first grouping finds; squares of means aren't subtracted.
+    Parts without values take no part.
+    """
+    held = parts.where("n > 0")
+    grand = held.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    apart = F.col("mean") - F.col("grand")
+    about = held.join(grand, list(by)).groupBy(*by).agg(F.sum("n").alias("n"), F.first("grand").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2"))
+    return about.select(*by, "n", "mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"))
 
 
 #: The usual means and deviations of colour images.

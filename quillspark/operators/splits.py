@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
+import math
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
+from decimal import Decimal
+from fractions import Fraction
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.profile import chi_square, class_counts
+from quillspark.scratch import Scratch
 from quillspark.sources.sinks import write_splits
 
 STATUS = ("pass", "warn", "fail")
@@ -114,13 +122,122 @@ def assign_groups(groups: DataFrame, ratios: Mapping[str, float], seed: int = 0,
     return big.union(laid.select("group", choice.alias("new_split")))
 
 
+def _rank(load: Sequence, share: Sequence[int], step, b: int, k):
+    """How many placements of a run come before split b's k-th (both from 0): those with a smaller load for their share, on ties those
+    of earlier splits. Whole numbers, or arrays of them."""
+    at, out = load[b] + k * step, k
+    for other in range(len(share)):
+        if other != b:
+            ahead = at * share[other] - load[other] * share[b]
+            unit = step * share[b]
+            # Placements k' of the other split with load' + k' * step (times share[b]) below, or up to, at * share[other].
+            before = ahead // unit + 1 if other < b else -((-ahead) // unit)
+            out = out + (np.maximum(0, before) if isinstance(before, np.ndarray) else max(0, before))
+    return out
+
+
+def _taken(load: Sequence[int], share: Sequence[int], step: int, b: int, m: int) -> int:
+    """How many of a run's first m placements are split b's."""
+    low, high = 0, m
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if _rank(load, share, step, b, middle) < m else (low, middle)
+    return low
+
+
+def _choices(share: Sequence[int]):
+    """The split of each row, from its place in its run and the loads that the run begins with."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            load, step, j = np.array([list(map(int, x)) for x in part["load"]], object).reshape(len(part), len(share)), np.array(list(map(int, part["step"])), object), part["place"].to_numpy()
+            if len(part) and int(load.max(initial=0) + step.max() * (int(j.max()) + 1)) * max(share) < 2**62:
+                load, step = load.astype(np.int64), step.astype(np.int64)
+            chosen = np.zeros(len(part), np.int32)
+            for b in range(len(share)):
+                low, high = np.zeros(len(part), np.int64), j.astype(np.int64) + 1
+                while (low < high).any():  # the first k whose rank is j or more
+                    middle = (low + high) // 2
+                    less = (_rank(load.T, share, step, b, middle) < j) & (low < high)
+                    low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(high, middle))
+                chosen[_rank(load.T, share, step, b, low) == j] = b
+            yield pd.DataFrame({"group": part["group"], "b": chosen})
+
+    return run
+
+
+#: Runs that the driver holds before it writes them.
+RUNS = 50_000
+
+
+def greedy_assignment(groups: DataFrame, ratios: Mapping[str, float], seed: int = 0) -> DataFrame:
+    """(group, new_split) by the greedy rule for every group, from (group, label, n).
+
+    Groups go largest first, each to the split with the largest deficit in the labels that it has, for the split's ratio, first split on
+    ties. That is the split with the smallest load for its ratio: rows that it has of each label, times the group's. Groups of a size
+    with equal label counts stand together, as a run, by sha256 of the seed and those counts; within a run they are ordered by
+    sha256 of the seed and the group. Within a run each placement adds the same to a split's load, so that how many go to each split, and
+    which, has a closed form: the driver folds runs (a row for each distinct label count, streamed, RUNS at a time), never groups. All
+    comparisons are of whole numbers; ratios are taken as the decimal fractions that they print as.
+
+    Rows with a null group or label take no part, nor do counts under 1; a split of ratio 0 gets nothing. An empty table gives no rows.
+    """
+    spark = groups.sparkSession
+    scratch = Scratch(spark, "greedy")
+    names = [k for k, r in ratios.items() if r > 0]
+    if not names:
+        raise ValueError("no split has a ratio above 0")
+    parts = [Fraction(str(ratios[k])) for k in names]
+    share = [int(p * math.lcm(*(q.denominator for q in parts))) for p in parts]
+    kind = groups.schema["group"].dataType.simpleString()
+    each = groups.where("`group` IS NOT NULL AND label IS NOT NULL AND n > 0").groupBy("group", "label").agg(F.sum("n").cast("long").alias("n"))
+    counts = each.groupBy("group").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("label", "n"))).alias("counts"))  # a row a label
+    text = F.array_join(F.transform("counts", lambda c: F.concat(c["label"].cast("string"), F.lit(":"), c["n"].cast("string"))), ",")
+    run = F.concat(F.lpad((F.lit(2**62) - F.col("size")).cast("string"), 19, "0"), F.lit(":"), F.sha2(F.concat(F.lit(f"{seed}:"), text), 256))
+    grouped = scratch.table(counts.select("group", run.alias("run"), "counts"), "groups")
+    runs = grouped.groupBy("run").agg(F.count("*").alias("m"), F.first("counts").alias("counts")).orderBy("run")
+
+    schema, held, tables = "run string, load array<decimal(38,0)>, step decimal(38,0)", [], []
+    current: list[Counter] = [Counter() for _ in names]
+
+    def keep() -> None:
+        tables.append(scratch.table(spark.createDataFrame(held, schema), "runs"))
+        held.clear()
+
+    for row in runs.toLocalIterator():
+        own = {c["label"]: c["n"] for c in row["counts"]}
+        load = [sum(now[k] * n for k, n in own.items()) for now in current]
+        step = sum(n * n for n in own.values())
+        held.append((row["run"], list(map(Decimal, load)), Decimal(step)))
+        for b, now in enumerate(current):
+            taken = _taken(load, share, step, b, row["m"])
+            now.update({k: taken * n for k, n in own.items()})
+        if len(held) >= RUNS:
+            keep()
+    keep()
+    begun = reduce(DataFrame.union, tables)
+    tie = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group").cast("string")), 256)
+    # Places within a run: numbers within slices of the hashes, after the counts of the slices before.
+    sliced = scratch.table(grouped.select("group", "run", tie.alias("tie")).withColumn("slice", F.substring("tie", 1, 3)), "sliced")
+    before = Window.partitionBy("run").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sliced.groupBy("run", "slice").agg(F.count("*").alias("n"))
+    base = scratch.table(sizes.select("run", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    inner = F.row_number().over(Window.partitionBy("run", "slice").orderBy("tie", "group")) - 1
+    placed = sliced.withColumn("inner", inner).join(base, ["run", "slice"]).select("group", "run", (F.col("base") + F.col("inner")).alias("place"))
+    chosen = placed.join(begun, "run").select("group", "place", "load", "step").mapInPandas(_choices(share), f"`group` {kind}, b int")
+    named = F.array(*map(F.lit, names))
+    result = scratch.table(chosen.select("group", F.get(named, F.col("b")).alias("new_split")), "assigned")
+    scratch.drop_all(but=result)
+    return result
+
+
 def regenerate(df: DataFrame, ratios: Mapping[str, float], group: str = "group", seed: int = 0) -> DataFrame:
     """df's labelled rows with new_split; groups stay together (G6, G7). Raises where nothing is labelled."""
     labelled = df.where("label IS NOT NULL")
     if labelled.isEmpty():
         raise ValueError("no labelled rows to split")
     counted = labelled.groupBy(F.col(group).alias("group"), "label").agg(F.count("*").alias("n"))
-    chosen = assign_groups(counted, ratios, seed)
+    chosen = greedy_assignment(counted, ratios, seed)
     return labelled.join(chosen, labelled[group] == chosen["group"]).select(*(labelled[c] for c in labelled.columns), "new_split")
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.plans import media_queries, queries  # noqa: F401
+from quillspark.plans import media_queries, model_queries, queries  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 
