@@ -2,13 +2,17 @@
 
 A text is cut into pieces at the ends of sentences, at blank lines (lines of comment marks are blank) and after lines that
 begin with "copyright". Each piece, with the next one where it isn't known alone (a sentence may go on after a blank line), or
-else each of its lines, is normalised and mapped to the identifier of a known licence sentence. The sequence of identifiers is then matched against rules, in order: a rule
-that finds its sentences one after another names its licence and uses them up, so that longer rules come first.
+else each of its lines, is normalised and mapped to identifiers: of a known licence sentence, or of the licences that a sentence of the
+usual wordings ("this program is licensed under the ..") or an SPDX line names. The sequence of identifiers, with marks for unknown
+sentences between them, is then matched against rules, in order: a rule that finds its sentences one after another, with at most GAP
+unknown ones before each next, names its licence and uses them up, so that longer rules come first.
 Everything happens within a row: no join, no shuffle; the tables of sentences and rules are fixed values below.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,35 +151,93 @@ RULES = (
 )
 
 
+# What licences are called where a sentence names them, as normalised; versioned ones are made below.
+NAMES = {
+    "mit": "MIT", "mit license": "MIT", "expat license": "MIT", "x11 license": "X11",
+    "bsd 3 clause": "BSD-3-Clause", "new bsd license": "BSD-3-Clause", "modified bsd license": "BSD-3-Clause", "3 clause bsd license": "BSD-3-Clause",
+    "bsd 2 clause": "BSD-2-Clause", "simplified bsd license": "BSD-2-Clause", "freebsd license": "BSD-2-Clause", "2 clause bsd license": "BSD-2-Clause",
+    "0bsd": "0BSD", "isc": "ISC", "zlib": "Zlib", "boost software license version 1 0": "BSL-1.0", "bsl 1 0": "BSL-1.0",
+    "cc0": "CC0-1.0", "cc0 1 0": "CC0-1.0", "cc0 1 0 universal": "CC0-1.0", "unlicense": "Unlicense", "wtfpl": "WTFPL",
+    "artistic license 2 0": "Artistic-2.0", "artistic 2 0": "Artistic-2.0", "eclipse public license 2 0": "EPL-2.0", "epl 2 0": "EPL-2.0", "eupl 1 2": "EUPL-1.2",
+}
+for _n in ("version 2 0", "2 0", "v2", "v2 0", "version 2"):
+    NAMES |= {f"apache license {_n}": "Apache-2.0", f"apache {_n}": "Apache-2.0", f"mozilla public license {_n}": "MPL-2.0", f"mpl {_n}": "MPL-2.0"}
+for _name, _short, _spdx, _versions in (("gnu general public license", "gpl", "GPL", "23"), ("gnu affero general public license", "agpl", "AGPL", "3"), ("gnu lesser general public license", "lgpl", "LGPL", "3")):
+    for _v in _versions:
+        for _said in (f"{_name} version {_v}", f"{_name} v{_v}", f"{_short} v{_v}", f"{_short}v{_v}", f"{_short} version {_v}", f"{_short} {_v} 0", f"gnu {_short} version {_v}", f"gnu {_short} v{_v}"):
+            NAMES |= {_said: f"{_spdx}-{_v}.0-only", f"{_said} only": f"{_spdx}-{_v}.0-only", f"{_said} or later": f"{_spdx}-{_v}.0-or-later", f"{_said} or any later version": f"{_spdx}-{_v}.0-or-later"}
+for _kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
+    NAMES[f"cc {_kind} 4 0"] = f"CC-{_kind.upper().replace(' ', '-')}-4.0"
+NAMES |= {f"{_n} license": _of for _n, _of in list(NAMES.items()) if not _n.endswith(" license")}
+
+#: Sentences that name licences, as normalised; group 1 is what they name.
+_THING = "software|program|project|work|code|source code|library|package|file|module|repository|product|document|text|dataset"
+UNDER = f"^(?:this (?:{_THING}) is |it is )?(?:dual )?(?:licensed|released|distributed|published|provided|available|made available|offered) under (?:the terms of )?(?:either )?(?:the )?(.+?)(?: terms)?$|^spdx license identifier (.+)$"
+NAMED_APART = " (?:and|or)(?: the)? "
+#: An SPDX line is a sentence of its own, colon or not.
+SPDX_LINE, SPDX_ALONE = "(?i)(spdx-license-identifier):[ \\t]*([^\\r\\n]*)", "$1 $2\n\n"
+#: Most unknown sentences between two of a rule's.
+GAP = 3
+
+
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES for x in (sentence, name)))
-    named = lambda s: known[normalised(s)]
-    lines = lambda s: F.transform(F.split(s, "\n"), named)
-    parts = F.split(F.regexp_replace(text, COPYRIGHT_LINE, "$1\n"), SENTENCE_END)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _map(pairs: Iterable[tuple[str, str]]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+
+
+def sequence_of(text: Column) -> Column:
+    """Identifiers of a text's known sentences, in order, as <id><id>..; a dot for each unknown sentence between, GAP + 1 at most."""
+    known, names = _map((sentence, name) for name, sentence in SENTENCES), _map(NAMES.items())
+
+    def under(name: Column) -> Column:
+        each = lambda x: F.concat(F.lit("<under:"), names[x], F.lit(">"))
+        apart = let(F.transform(F.split(name, NAMED_APART), each), lambda ids: F.when(F.forall(ids, lambda x: x.isNotNull()), F.array_join(ids, "")))
+        return F.coalesce(each(name), apart)
+
+    def named(sentence: Column) -> Column:
+        """<id>, several of them, or null."""
+        def of(n: Column) -> Column:
+            said = let(F.concat(F.regexp_extract(n, UNDER, 1), F.regexp_extract(n, UNDER, 2)), lambda name: F.when(name != "", under(name)))
+            return F.coalesce(F.concat(F.lit("<"), known[n], F.lit(">")), F.when(n.contains(" under ") | n.startswith("spdx "), said))
+
+        return let(normalised(sentence), of)
+
+    mark = lambda s: F.when(F.lower(s).rlike("[a-z0-9]"), ".").otherwise("")
+    lines = lambda s: F.regexp_replace(F.array_join(F.transform(F.split(s, "\n"), lambda line: F.coalesce(named(line), mark(line))), ""), "\\.+", ".")
+    alone = F.regexp_replace(F.regexp_replace(text, SPDX_LINE, SPDX_ALONE), COPYRIGHT_LINE, "$1\n")
 
     def each(pieces: Column) -> Column:
-        def ids(s: Column, i: Column) -> Column:
-            longer = named(F.concat(s, F.lit(" "), F.coalesce(F.get(pieces, i + 1), F.lit(""))))
-            return F.when(named(s).isNotNull(), F.array(named(s))).when(longer.isNotNull(), F.array(longer)).otherwise(lines(s))
+        following = lambda i: F.coalesce(F.get(pieces, i + 1), F.lit(""))
+        return F.transform(pieces, lambda s, i: F.coalesce(named(s), named(F.concat(s, F.lit(" "), following(i))), lines(s)))
+
+    return F.regexp_replace(F.array_join(let(F.split(alone, SENTENCE_END), each), ""), f"\\.{{{GAP + 1},}}", "." * (GAP + 1))
 
-        return F.transform(pieces, ids)
 
-    # Bound once: element_at(transform(array(x), f), 1) is f(x).
-    return F.filter(F.flatten(F.element_at(F.transform(F.array(parts), each), 1)), lambda x: x.isNotNull())
+#: All rules, those for licences that a sentence names last, as patterns on sequences.
+PATTERNS = tuple(
+    (name, f"\\.{{0,{GAP}}}".join("<" + i.replace(".", "\\.") + ">" for i in ids))
+    for name, ids in (*RULES, *((spdx, (f"under:{spdx}",)) for spdx in sorted(set(NAMES.values()))))
+)
 
 
 def matched(sequence: Column) -> Column:
-    """Licences whose rules match a sequence written as <id><id>.., by rule order."""
-    rules = F.array(*(F.struct(F.lit("".join(f"<{s}>" for s in ids)).alias("ids"), F.lit(name).alias("name")) for name, ids in RULES))
+    """Licences whose rules match a sequence, by rule order."""
+    rules = F.array(*(F.struct(F.lit(pattern).alias("ids"), F.lit(name).alias("name")) for name, pattern in PATTERNS))
 
     def step(so_far: Column, rule: Column) -> Column:
-        hit = F.contains(so_far["rest"], rule["ids"])
-        return F.struct(F.replace(so_far["rest"], rule["ids"], F.lit("|")).alias("rest"), F.when(hit, F.concat(so_far["names"], F.array(rule["name"]))).otherwise(so_far["names"]).alias("names"))
+        def with_rest(rest: Column) -> Column:
+            hit = rest != so_far["rest"]
+            return F.struct(rest.alias("rest"), F.when(hit, F.concat(so_far["names"], F.array(rule["name"]))).otherwise(so_far["names"]).alias("names"))
+
+        return let(F.regexp_replace(so_far["rest"], rule["ids"], F.lit("|")), with_rest)
 
     start = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("names"))
     return F.aggregate(rules, start, step)["names"]
@@ -190,35 +252,46 @@ def license_matches(documents: DataFrame) -> DataFrame:
     the sentences found. Of rules that could take the same sentences the earlier one does. Other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    none = F.array().cast("array<string>")
-    found = documents.select("doc_id", F.when(text.rlike(f"(?i){HINT}"), sentence_ids(text)).otherwise(none).alias("ids"))
-    sequence = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
-    licenses = F.when(F.size("ids") > 0, F.array_sort(F.array_distinct(matched(sequence)))).otherwise(none)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentences"), F.array_join(licenses, ",").alias("licenses"))
+    found = documents.select("doc_id", F.when(text.rlike(f"(?i){HINT}"), sequence_of(text)).otherwise("").alias("sequence"))
+    ids = found.select("doc_id", "sequence", F.regexp_extract_all("sequence", F.lit("<([^<>]+)>"), 1).alias("ids"))
+    licenses = F.when(F.size("ids") > 0, F.array_sort(F.array_distinct(matched(F.col("sequence"))))).otherwise(F.array().cast("array<string>"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentences"), F.array_join(licenses, ",").alias("licenses"))
 
 
 def oracle() -> str:
     """The same in DuckDB SQL."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{q(s)}: {q(n)}" for n, s in SENTENCES) + "}"
-    rules = "[" + ", ".join("{'ids': " + q("".join(f"<{s}>" for s in ids)) + ", 'name': " + q(name) + "}" for name, ids in RULES) + "]"
-    end = SENTENCE_END
+    names = "MAP {" + ", ".join(f"{q(s)}: {q(n)}" for s, n in NAMES.items()) + "}"
+    rules = "[" + ", ".join("{'ids': " + q(pattern) + ", 'name': " + q(name) + "}" for name, pattern in PATTERNS) + "]"
     norm = lambda s: f"trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))"
+
+    def named(n: str) -> str:
+        name = f"(regexp_extract({n}, '{UNDER}', 1) || regexp_extract({n}, '{UNDER}', 2))"
+        parts = f"string_split_regex({name}, '{NAMED_APART}')"
+        apart = f"CASE WHEN len(list_filter({parts}, lambda y: NOT map_contains({names}, y))) = 0 THEN array_to_string(list_transform({parts}, lambda y: '<under:' || {names}[y] || '>'), '') END"
+        return f"coalesce('<' || {known}[{n}] || '>', CASE WHEN {name} <> '' THEN coalesce('<under:' || {names}[{name}] || '>', {apart}) END)"
+
     return f"""
 WITH cut AS (
-  SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(regexp_replace(coalesce(text, ''), '{COPYRIGHT_LINE}', '\\1' || chr(10), 'g'), '{end}') AS parts FROM documents
+  SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '{SPDX_LINE}', '\\1 \\2' || chr(10) || chr(10), 'g'), '{COPYRIGHT_LINE}', '\\1' || chr(10), 'g'), '{SENTENCE_END}') AS parts FROM documents
 ), part AS (
   SELECT r, generate_subscripts(parts, 1) AS i, unnest(parts) AS s, unnest(list_append(parts[2:], '')) AS next FROM cut
+), normal AS (
+  SELECT r, i, s, {norm('s')} AS n, {norm("s || ' ' || next")} AS n2 FROM part
+), one AS (
+  SELECT r, i, s, coalesce({named('n')}, {named('n2')}) AS found FROM normal
 ), line AS (
-  SELECT r, i, CASE WHEN map_contains({known}, {norm('s')}) THEN [s] WHEN map_contains({known}, {norm("s || ' ' || next")}) THEN [s || ' ' || next] ELSE string_split(s, chr(10)) END AS lines FROM part
-), each AS (
-  SELECT r, i, generate_subscripts(lines, 1) AS j, {known}[{norm('unnest(lines)')}] AS id FROM line
+  SELECT r, i, generate_subscripts(lines, 1) AS j, {norm('unnest(lines)')} AS n FROM (SELECT r, i, string_split(s, chr(10)) AS lines FROM one WHERE found IS NULL)
+), lined AS (
+  SELECT r, i, regexp_replace(string_agg(coalesce({named('n')}, CASE WHEN n <> '' THEN '.' ELSE '' END), '' ORDER BY j), '\\.+', '.', 'g') AS found FROM line GROUP BY r, i
 ), seq AS (
-  SELECT r, list(id ORDER BY i, j) AS ids FROM each WHERE id IS NOT NULL GROUP BY r
+  SELECT r, regexp_replace(string_agg(coalesce(one.found, lined.found), '' ORDER BY i), '\\.{{{GAP + 1},}}', '{"." * (GAP + 1)}', 'g') AS sequence FROM one LEFT JOIN lined USING (r, i) GROUP BY r
 ), walked AS (
-  SELECT r, ids, list_reduce([{{'rest': array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), 'names': []::VARCHAR[], 'ids': '', 'name': ''}}]
+  SELECT r, regexp_extract_all(sequence, '<([^<>]+)>', 1) AS ids, list_reduce([{{'rest': sequence, 'names': []::VARCHAR[], 'ids': '', 'name': ''}}]
       || list_transform({rules}, lambda x: {{'rest': '', 'names': []::VARCHAR[], 'ids': x.ids, 'name': x.name}}),
-    lambda a, x: {{'rest': replace(a.rest, x.ids, '|'), 'names': CASE WHEN contains(a.rest, x.ids) THEN list_append(a.names, x.name) ELSE a.names END, 'ids': '', 'name': ''}}) AS w FROM seq
+    lambda a, x: {{'rest': regexp_replace(a.rest, x.ids, '|', 'g'), 'names': CASE WHEN regexp_matches(a.rest, x.ids) THEN list_append(a.names, x.name) ELSE a.names END, 'ids': '', 'name': ''}}) AS w
+  FROM seq WHERE contains(sequence, '<')
 )
 SELECT doc_id, coalesce(len(ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentences,
        coalesce(array_to_string(list_sort(list_distinct(w.names)), ','), '') AS licenses
