@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import ratio, referable_probability
+from quillspark.scratch import Scratch
 
 
 def confusion(df: DataFrame, classes: int, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -116,12 +117,17 @@ def calibration_error(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def metric_bundle(df: DataFrame, classes: int, bins: int = 10, first: int = 2, label: str = "label", probs: str = "probs", prediction: str = "prediction") -> DataFrame:
-    """One row with all metrics."""
-    table = confusion(df, classes, label, prediction)
-    parts = [quadratic_kappa(table), agreement(table), macro_f1(table), referable_auc(df, first, probs, label), referable_miss_rate(table, first)]
-    calibrated = reliability(df, F.array_max(probs), F.col(prediction) == F.col(label), bins)
-    parts += [calibration_error(calibrated, df.agg(F.count("*").alias("n"))), df.agg(F.count("*").alias("rows"))]
-    return reduce(DataFrame.crossJoin, parts)
+    """One row with all metrics (A32). df is read once: what the metrics need of it, four numbers a row, and the K x K table are written."""
+    scratch = Scratch(df.sparkSession, "metrics")
+    slim = df.select(F.col(label).alias("label"), F.col(prediction).alias("prediction"), referable_probability(F.col(probs), first).alias("score"), F.array_max(probs).alias("confidence"))
+    slim = scratch.table(slim, "predictions")
+    table = scratch.table(confusion(slim, classes).coalesce(1), "confusion")
+    parts = [quadratic_kappa(table), agreement(table), macro_f1(table), auc(slim, F.col("score"), F.col("label") >= first), referable_miss_rate(table, first)]
+    calibrated = reliability(slim, F.col("confidence"), F.col("prediction") == F.col("label"), bins)
+    parts += [calibration_error(calibrated, slim.agg(F.count("*").alias("n"))), slim.agg(F.count("*").alias("rows"))]
+    result = scratch.table(reduce(DataFrame.crossJoin, parts), "bundle")
+    scratch.drop_all(but=result)
+    return result
 
 
 def with_class_names(df: DataFrame, column: str, names: Sequence[str], out: str = "class_name") -> DataFrame:
