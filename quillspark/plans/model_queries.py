@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
-from quillspark.operators import linear_maps, nested, recurrences, splits
-from quillspark.plans.queries import query, r, rounded
+from quillspark.operators import groups, linear_maps, nested, recurrences, splits
+from quillspark.plans.queries import CLEAN, RATIOS, cleaned, query, r, rounded
 from quillspark.plans.tables import M, manifest, read
 from quillspark.scratch import Scratch
-from quillspark.sources import records, states
+from quillspark.sources import records, sinks, states
 
 
 def _weights(rows: int, columns: int, seed: int) -> list[list[float]]:
@@ -211,21 +211,56 @@ def k9_reuse(spark, d):
 
 
 LABEL_COUNTS = ", ".join(f"coalesce(sum(n) FILTER (label = {k}), 0)::BIGINT" for k in range(5))
-G6_SQL = f"""WITH RECURSIVE {M}, c AS (SELECT md5 AS g, label, count(*) AS n FROM m GROUP BY ALL),
-v AS (SELECT g, sum(n)::BIGINT AS size, [{LABEL_COUNTS}] AS c, string_agg(label || ':' || n, ',' ORDER BY label) AS text FROM c GROUP BY g),
+
+
+def _greedy(counted: str, name: str = "c") -> str:
+    """The greedy rule, group by group, from a table of (g, label, n): a recursive table s of (k, g, b). Loads are compared times 8
+    for the shares 8, 1 and 1."""
+    load = lambda i: f"list_sum(list_transform(range(1, 6), lambda j: s.cur[{i}][j] * o.c[j]))"
+    return f"""{counted},
+v AS (SELECT g, sum(n)::BIGINT AS size, [{LABEL_COUNTS}] AS c, string_agg(label || ':' || n, ',' ORDER BY label) AS text FROM {name} GROUP BY g),
 o AS MATERIALIZED (SELECT g, c, row_number() OVER (ORDER BY size DESC, sha256('0:' || text), sha256('0:' || g)) AS k FROM v),
 s AS (
   SELECT 0::BIGINT AS k, NULL::VARCHAR AS g, 0::BIGINT AS b, [[0, 0, 0, 0, 0], [0, 0, 0, 0, 0], [0, 0, 0, 0, 0]]::BIGINT[][] AS cur
   UNION ALL
   SELECT k, g, b, list_transform(range(1, 4), lambda i: CASE WHEN i = b THEN list_transform(range(1, 6), lambda j: cur[i][j] + c[j]) ELSE cur[i] END)
   FROM (SELECT *, list_position(loads, list_min(loads)) AS b FROM (
-    SELECT o.k, o.g, o.c, s.cur, [list_sum(list_transform(range(1, 6), lambda j: s.cur[1][j] * o.c[j])), 8 * list_sum(list_transform(range(1, 6), lambda j: s.cur[2][j] * o.c[j])), 8 * list_sum(list_transform(range(1, 6), lambda j: s.cur[3][j] * o.c[j]))] AS loads
-    FROM s JOIN o ON o.k = s.k + 1))
-) SELECT g AS "group", ['train', 'val', 'test'][b] AS new_split FROM s WHERE k > 0"""
+    SELECT o.k, o.g, o.c, s.cur, [{load(1)}, 8 * {load(2)}, 8 * {load(3)}] AS loads FROM s JOIN o ON o.k = s.k + 1))
+)"""
 
 
-@query("G6_rows", G6_SQL)
+@query("G6_rows", f"WITH RECURSIVE {M}, {_greedy('c AS (SELECT md5 AS g, label, count(*) AS n FROM m GROUP BY ALL)')} SELECT g AS \"group\", ['train', 'val', 'test'][b] AS new_split FROM s WHERE k > 0")
 def g6_rows(spark, d):
-    """The new split of every group of equal texts by the greedy rule; loads are compared times 8 for the shares 8, 1 and 1."""
+    """The new split of every group of equal texts by the greedy rule."""
     counted = manifest(spark, d).groupBy(F.col("md5").alias("group"), "label").agg(F.count("*").alias("n"))
-    return splits.greedy_assignment(counted, {"train": 0.8, "val": 0.1, "test": 0.1})
+    return splits.greedy_assignment(counted, RATIOS)
+
+
+G7_COUNTED = "gc AS (SELECT md5 AS g, label, count(*) AS n FROM u GROUP BY ALL)"
+G7_ROWS = "u AS MATERIALIZED (SELECT k.row_pos, md5, parsed AS label FROM k JOIN t USING (row_pos) WHERE included AND parsed IS NOT NULL)"
+
+
+@query("G7_rows", f"WITH RECURSIVE {CLEAN}, {G7_ROWS}, {_greedy(G7_COUNTED, 'gc')} SELECT row_pos, ['train', 'val', 'test'][b] AS new_split FROM u JOIN s ON u.md5 = s.g")
+def g7_rows(spark, d):
+    """New splits of the included, labelled rows, as written and read back."""
+    path = Scratch(spark, "g7").path("new")
+    splits.regeneration(cleaned(spark, d), RATIOS, path, group="md5")
+    written = spark.read.option("header", True).csv(f"{path}/splits")
+    return written.select(F.col("row_pos").cast("long").alias("row_pos"), "new_split")
+
+
+@query("K2_rows", f"WITH {CLEAN} SELECT row_pos, included, exclusion_rule, exclusion_reason FROM k")
+def k2_rows(spark, d):
+    """The clean manifest and the quarantine, row by row, as written and read back."""
+    path = Scratch(spark, "k2").path("out")
+    sinks.write_clean(cleaned(spark, d), path)
+    return spark.read.parquet(f"{path}/rows").select("row_pos", F.col("included").cast("boolean").alias("included"), "exclusion_rule", "exclusion_reason")
+
+
+@query("K4_rows", f"WITH {M} SELECT row_pos, id_code, label, split AS new_split FROM m")
+def k4_rows(spark, d):
+    """Split files row by row, as written and read back; ids stay text."""
+    path = Scratch(spark, "k4").path("out")
+    sinks.write_splits(manifest(spark, d).select("row_pos", "id_code", "label", F.col("split").alias("new_split")), path, {"seed": 0, "source": "documents"})
+    read_back = spark.read.schema("row_pos long, id_code string, label int, new_split string").option("header", True).csv(f"{path}/splits")
+    return read_back.select("row_pos", "id_code", "label", "new_split")
