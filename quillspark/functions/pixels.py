@@ -1,13 +1,15 @@
 """Image measurements as Catalyst expressions over an image's bytes (M1-M6, M8, M9, M11): nothing here leaves the JVM.
 
 An image is three bytes a pixel, row by row, in a binary column, with its width; a last row that isn't full ends in zeros. Each
-value is bound once (let) and read by place, so that the time for an image grows with its pixels.
+value is bound once (let) and read by place, so that the time for an image grows with its pixels. An image is read in bands of rows,
+whose measurements are added up: as numbers, no more than a band of it (or one row, where that is longer) is held at a time.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +19,26 @@ from quillspark.functions.columns import ratio, total
 Body = Callable[[Column], Column]
 #: Differences under this are none: sums in another order differ by less.
 EVEN = 1e-7
+#: Bytes of a band; a band has one row at least.
+BAND = 1 << 16
+
+
+class Image(NamedTuple):
+    """An image's bytes, and its sides in pixels."""
+
+    content: Column
+    height: Column
+    width: Column
+
+
+class Band(NamedTuple):
+    """Rows first to last - 1 of an image. values and gray are held from row base on, a row more on either side where asked for."""
+
+    values: Column
+    gray: Column
+    base: Column
+    first: Column
+    last: Column
 
 
 def let(value: Column, body: Body) -> Column:
@@ -46,10 +68,9 @@ def gray(values: Column, pixels: Column) -> Column:
     return F.transform(upto(pixels), lambda i: channel(values, i, 0) * 0.299 + channel(values, i, 1) * 0.587 + channel(values, i, 2) * 0.114)
 
 
-def level(values: Column, places: Column) -> Column:
-    """Mean gray level of these pixels, from an exact sum of thousandths."""
-    thousandths = F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s + channel(values, i, 0) * 299 + channel(values, i, 1) * 587 + channel(values, i, 2) * 114)
-    return ratio(thousandths, F.size(places) * 1000)
+def thousandths(values: Column, places: Column) -> Column:
+    """Sum of these pixels' gray levels, exact, in thousandths."""
+    return F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s + channel(values, i, 0) * 299 + channel(values, i, 1) * 587 + channel(values, i, 2) * 114)
 
 
 def mean(values: Column) -> Column:
@@ -62,35 +83,114 @@ def variance(values: Column) -> Column:
     return let(values, lambda v: let(mean(v), lambda m: ratio(about(v, m), F.size(v))))
 
 
+def moments(values: Column) -> Column:
+    """n, mean and m2 (the sum of squares about the mean) of an array, zeros for an empty one."""
+    about = lambda v, m: F.struct(F.size(v).cast("long").alias("n"), m.alias("mean"), F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)).alias("m2"))
+    return let(values, lambda v: let(F.coalesce(mean(v), F.lit(0.0)), lambda m: about(v, m)))
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Moments of two parts together: their distance is added to their spreads, so that large means lose nothing."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    both = F.struct(n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n).alias("m2"))
+    return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
+
+
+def over_bands(image: Image, of: Callable[[Band], dict[str, Column]], spreads: dict[str, Callable[[Band], Column]] | None = None, halo: int = 0) -> Column:
+    """A struct: the sums of of(band) over an image's bands, and the moments of the arrays spreads(band), all of them by name.
+
+    halo: rows that a band holds beyond its own, where the image has them. Sums are doubles, or longs where a band's value is one.
+    """
+    content, height, width = image
+    spreads = spreads or {}
+    step = F.greatest(F.lit(1), F.floor(BAND / (3 * width)).cast("int"))
+
+    def measure(y: Column) -> Column:
+        return let(F.greatest(F.lit(0), y - halo), lambda base: let(F.least(height, y + step), lambda last: within(y, base, last)))
+
+    def within(y: Column, base: Column, last: Column) -> Column:
+        rows = F.least(height, last + halo) - base
+
+        def found(values: Column, gray_levels: Column) -> Column:
+            band = Band(values, gray_levels, base, y, last)
+            return F.struct(*(v.alias(k) for k, v in of(band).items()), *(moments(v(band)).alias(k) for k, v in spreads.items()))
+
+        bytes_of = byte_values(F.substring(content, base * (3 * width) + 1, rows * (3 * width)))
+        return let(bytes_of, lambda b: let(gray(b, rows * width), lambda g: found(b, g)))
+
+    def add(a: Column, b: Column, names: list[str]) -> Column:
+        return F.struct(*((_merged(a[k], b[k]) if k in spreads else a[k] + b[k]).alias(k) for k in names))
+
+    probe = Band(*(F.array(F.lit(0)), F.array(F.lit(0.0)), F.lit(0), F.lit(0), F.lit(1)))
+    names = [*of(probe), *spreads]
+    later = F.when(step < height, F.sequence(step, height - 1, step)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(later, measure(F.lit(0)), lambda s, y: let(measure(y), lambda m: add(s, m, names)))
+
+
+def spread(m: Column) -> Column:
+    """Population variance of moments."""
+    return let(m, lambda v: ratio(v["m2"], v["n"]))
+
+
 def _mirrored(i: Column, n: Column, least: Column) -> Column:
     """Place i of n with mirrored borders, or repeated ones where a side has one pixel."""
     inside = F.when(least > 1, F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i))
     return inside.otherwise(F.greatest(F.lit(0), F.least(i, n - 1)))
 
 
-def laplacian(g: Column, height: Column, width: Column) -> Column:
-    """The four neighbours less four times the pixel."""
+def laplacian(g: Column, height: Column, width: Column, first: Column | int = 0, last: Column | None = None, base: Column | int = 0) -> Column:
+    """The four neighbours less four times the pixel, of rows first to last - 1, where g begins at row base."""
     least = F.least(height, width)
+    first, last = F.lit(first) if isinstance(first, int) else first, height if last is None else last
 
-    def at(i: Column) -> Column:
-        y, x = F.floor(i / width).cast("int"), i % width
-        pixel = lambda a, b: F.get(g, _mirrored(a, height, least) * width + _mirrored(b, width, least))
-        return pixel(y - 1, x) + pixel(y + 1, x) + pixel(y, x - 1) + pixel(y, x + 1) - 4 * F.get(g, i)
+    def row(y: Column) -> Column:
+        begin = lambda i: (_mirrored(i, height, least) - base) * width
+        begins = F.struct(begin(y - 1).alias("up"), ((y - base) * width).alias("own"), begin(y + 1).alias("down"))
+        at = lambda o, x: F.get(g, o["up"] + x) + F.get(g, o["down"] + x) + F.get(g, o["own"] + _mirrored(x - 1, width, least)) + F.get(g, o["own"] + _mirrored(x + 1, width, least)) - 4 * F.get(g, o["own"] + x)
+        return let(begins, lambda o: F.transform(upto(width), lambda x: at(o, x)))
 
-    return F.transform(upto(height * width), at)
+    return F.flatten(F.transform(F.sequence(first, last - 1), row))
 
 
-def noise_sigma(g: Column, height: Column, width: Column) -> Column:
+def image_laplacian(image: Image) -> Callable[[Band], Column]:
+    """The Laplacian of a band's rows, which needs a halo of one row."""
+    return lambda x: laplacian(x.gray, image.height, image.width, x.first, x.last, x.base)
+
+
+def brightness(image: Image) -> Column:
+    """mean: of the gray levels, from an exact sum; variance: of the gray levels (M3)."""
+    out = over_bands(image, lambda x: {"sum": thousandths(x.values, upto(F.size(x.gray)))}, {"levels": lambda x: x.gray})
+    return let(out, lambda v: F.struct(ratio(v["sum"], v["levels"]["n"] * 1000).alias("mean"), spread(v["levels"]).alias("variance")))
+
+
+def laplacian_variance(image: Image) -> Column:
+    """Variance of the Laplacian (M4)."""
+    return spread(over_bands(image, lambda x: {}, {"edges": image_laplacian(image)}, halo=1)["edges"])
+
+
+def dark_share(image: Image, level: int) -> Column:
+    """Share of the pixels whose gray level is at most this (M8)."""
+    dark = over_bands(image, lambda x: {"dark": F.size(F.filter(x.gray, lambda v: v <= level)).cast("long")})["dark"]
+    return ratio(dark, image.height * image.width)
+
+
+def noise_sigma(image: Image) -> Column:
     """Noise deviation by the difference of two Laplacians over the inner pixels; the divisor 36 is part of the definition (M6)."""
-    inner = (height - 2) * (width - 2)
+    height, width = image.height, image.width
+
+    def of(band: Band) -> dict[str, Column]:
+        first = F.greatest(F.lit(1), band.first)
+        inner = F.greatest(F.lit(0), F.least(height - 1, band.last) - first) * (width - 2)
 
-    def at(k: Column) -> Column:
-        i = (F.floor(k / (width - 2)).cast("int") + 1) * width + k % (width - 2) + 1
-        p = lambda d: F.get(g, i + d)
-        edges, corners = p(-1) + p(1) + p(-width) + p(width), p(-width - 1) + p(-width + 1) + p(width - 1) + p(width + 1)
-        return F.abs(corners - 2 * edges + 4 * p(F.lit(0)))
+        def at(k: Column) -> Column:
+            i = (F.floor(k / (width - 2)).cast("int") + first - band.base) * width + k % (width - 2) + 1
+            p = lambda d: F.get(band.gray, i + d)
+            edges, corners = p(-1) + p(1) + p(-width) + p(width), p(-width - 1) + p(-width + 1) + p(width - 1) + p(width + 1)
+            return F.abs(corners - 2 * edges + 4 * p(F.lit(0)))
 
-    found = total(F.transform(upto(inner), at)) * (math.sqrt(math.pi / 2) / 36) / inner
+        return {"sum": F.when(inner > 0, total(F.transform(upto(inner), at))).otherwise(0.0)}
+
+    found = over_bands(image, of, halo=1)["sum"] * (math.sqrt(math.pi / 2) / 36) / ((height - 2) * (width - 2))
     return F.when(F.least(height, width) < 3, 0.0).otherwise(found)
 
 
@@ -104,10 +204,33 @@ def _shares(t: Column, have: Column, want: int, value: Callable[[Column], Column
     return F.when(have >= want, area).otherwise(linear)
 
 
-def resized(g: Column, height: Column, width: Column, rows: int, columns: int) -> Column:
-    """The image of rows x columns cells, row by row."""
-    tall = F.transform(upto(width * rows), lambda i: _shares(F.floor(i / width).cast("int"), height, rows, lambda y: F.get(g, y * width + i % width)))
-    return let(tall, lambda v: F.transform(upto(rows * columns), lambda i: _shares(i % columns, width, columns, lambda x: F.get(v, F.floor(i / columns).cast("int") * width + x))))
+def _gray_row(image: Image, y: Column) -> Column:
+    return let(byte_values(F.substring(image.content, y * (3 * image.width) + 1, 3 * image.width)), lambda b: gray(b, image.width))
+
+
+def _row_shares(t: Column, image: Image, want: int) -> Column:
+    """Row t of want rows, as _shares makes a cell: the image's rows are added to it one by one."""
+    have = image.height
+    low, high = t * have / float(want), (t + 1) * have / float(want)
+    first, last = F.floor(low).cast("int"), F.least(have, F.ceil(high - 1e-9).cast("int")) - 1
+    zeros = F.transform(upto(image.width), lambda x: F.lit(0.0))
+
+    def add(row: Column, y: Column) -> Column:
+        share = F.least(high, y + 1.0) - F.greatest(low, y.cast("double"))
+        return let(share, lambda w: F.zip_with(row, _gray_row(image, y), lambda a, g: a + g * w))
+
+    def between(a: Column) -> Column:
+        y, part = F.floor(a).cast("int"), a - F.floor(a)
+        return F.zip_with(_gray_row(image, y), _gray_row(image, F.least(y + 1, have - 1)), lambda g, o: g * (1 - part) + o * part)
+
+    area = F.transform(F.aggregate(F.sequence(first, last), zeros, add), lambda v: v / (have / float(want)))
+    return F.when(have >= want, area).otherwise(let(F.greatest(F.lit(0.0), F.least((t + 0.5) * have / want - 0.5, have - 1.0)), between))
+
+
+def resized(image: Image, rows: int, columns: int) -> Column:
+    """The image of rows x columns cells, row by row; each row is made as wide as the image, then narrowed."""
+    narrow = lambda v: F.transform(upto(columns), lambda u: _shares(u, image.width, columns, lambda x: F.get(v, x)))
+    return F.flatten(F.transform(upto(rows), lambda t: let(_row_shares(t, image, rows), narrow)))
 
 
 def hex_of(bits: Column) -> Column:
@@ -116,18 +239,18 @@ def hex_of(bits: Column) -> Column:
     return F.lower(F.lpad(F.conv(text, 2, 16), 16, "0"))
 
 
-def dhash(g: Column, height: Column, width: Column) -> Column:
+def dhash(image: Image) -> Column:
     """Whether each of 8 x 8 cells is darker than its right neighbour (M1)."""
     right = lambda v: F.transform(upto(64), lambda i: F.get(v, i + F.floor(i / 8).cast("int") + 1) - F.get(v, i + F.floor(i / 8).cast("int")) > EVEN)
-    return hex_of(let(resized(g, height, width, 8, 9), right))
+    return hex_of(let(resized(image, 8, 9), right))
 
 
-def phash(g: Column, height: Column, width: Column) -> Column:
+def phash(image: Image) -> Column:
     """Which of the lowest 8 x 8 cosine coefficients of 32 x 32 cells exceed the median of the 63 that aren't the mean (M2)."""
     basis = F.array(*(F.lit(math.sqrt((1 if k == 0 else 2) / 32) * math.cos(math.pi * (2 * x + 1) * k / 64)) for k in range(8) for x in range(32)))
 
     def low(c: Column) -> Column:
-        return let(resized(g, height, width, 32, 32), lambda v: let(
+        return let(resized(image, 32, 32), lambda v: let(
             F.transform(upto(256), lambda i: total(F.transform(upto(32), lambda y: F.get(c, F.floor(i / 32).cast("int") * 32 + y) * F.get(v, y * 32 + i % 32)))),
             lambda half: F.transform(upto(64), lambda i: total(F.transform(upto(32), lambda x: F.get(half, F.floor(i / 8).cast("int") * 32 + x) * F.get(c, (i % 8) * 32 + x)))),
         ))
@@ -139,10 +262,10 @@ def phash(g: Column, height: Column, width: Column) -> Column:
     return hex_of(let(basis, lambda c: let(low(c), bits)))
 
 
-def sharpness(g: Column, height: Column, width: Column, side: int) -> Column:
+def sharpness(image: Image, side: int) -> Column:
     """Laplacian variance of a square copy over the copy's variance, or over one where it has none (M5)."""
     square = lambda v: ratio(variance(laplacian(v, F.lit(side), F.lit(side))), let(variance(v), lambda x: F.when(x > EVEN, x).otherwise(1.0)))
-    return let(resized(g, height, width, side, side), square)
+    return let(resized(image, side, side), square)
 
 
 def proxy_size(height: Column, width: Column, side: int) -> tuple[Column, Column]:
@@ -152,22 +275,27 @@ def proxy_size(height: Column, width: Column, side: int) -> tuple[Column, Column
     return fit(height), fit(width)
 
 
-def upload_quality(values: Column, g: Column, height: Column, width: Column) -> Column:
+def upload_quality(image: Image) -> Column:
     """visible_fraction, brightness, sharpness and color_score over pixels brighter than 10; zeros without any."""
-    seen = F.filter(upto(height * width), lambda i: F.get(g, i) > 10)
+    height, width = image.height, image.width
+    seen = lambda x: F.filter(upto((x.last - x.first) * width), lambda i: F.get(x.gray, i + (x.first - x.base) * width) > 10)
+
+    def of(x: Band) -> dict[str, Column]:
+        places = F.transform(seen(x), lambda i: i + (x.first - x.base) * width)
+        of_channel = lambda k: F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a + channel(x.values, i, k))
+        return {"sum": thousandths(x.values, places), "red": of_channel(0), "green": of_channel(1), "blue": of_channel(2)}
+
+    edges = lambda x: let(image_laplacian(image)(x), lambda v: F.transform(seen(x), lambda i: F.get(v, i)))
 
-    def of(s: Column) -> Column:
-        over = lambda f: ratio(total(F.transform(s, f)), F.size(s))
-        of_channel = lambda k: over(lambda i: channel(values, i, k).cast("double"))
-        red, green, blue = of_channel(0), of_channel(1), of_channel(2)
-        sharp = let(laplacian(g, height, width), lambda lap: variance(F.transform(s, lambda i: F.get(lap, i))))
-        found = {"visible_fraction": F.size(s) / (height * width), "brightness": level(values, s), "sharpness": sharp, "color_score": red / F.greatest(green, blue, F.lit(1.0))}
-        return F.struct(*(F.when(F.size(s) > 0, v).otherwise(0.0).alias(k) for k, v in found.items()))
+    def named(v: Column) -> Column:
+        n = v["edges"]["n"]
+        over = lambda k: ratio(v[k], n)
+        found = {"visible_fraction": n / (height * width), "brightness": ratio(v["sum"], n * 1000), "sharpness": spread(v["edges"]), "color_score": over("red") / F.greatest(over("green"), over("blue"), F.lit(1.0))}
+        return F.struct(*(F.when(n > 0, x).otherwise(0.0).alias(k) for k, x in found.items()))
 
-    return let(seen, of)
+    return let(over_bands(image, of, {"edges": edges}, halo=1), named)
 
 
-def measured(content: Column, width: int, values: Callable[[Column, Column, Column, Column], Column]) -> Column:
-    """values(bytes, gray levels, height, width) of the image, each of them bound once."""
-    height = rows_of(content, width)
-    return let(byte_values(content), lambda b: let(height, lambda h: let(gray(b, h * width), lambda g: values(b, g, h, F.lit(width)))))
+def measured(content: Column, width: int, values: Callable[[Image], Column]) -> Column:
+    """values(image) of each row's image; its bytes and height are bound once."""
+    return let(content, lambda c: let(rows_of(c, width), lambda h: values(Image(c, h, F.lit(width)))))

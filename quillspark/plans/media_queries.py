@@ -84,23 +84,23 @@ md AS (SELECT doc_id, median(v) AS m FROM lo WHERE k > 0 GROUP BY doc_id), ph AS
 
 @query("M1", f"WITH {PX}, {_resized(8, 9)}, {DHASH} SELECT doc_id, code AS dhash FROM dh")
 def m1(spark, d):
-    return measured(spark, d, lambda b, g, h, w: pixels.dhash(g, h, w)).select("doc_id", F.col("v").alias("dhash"))
+    return measured(spark, d, pixels.dhash).select("doc_id", F.col("v").alias("dhash"))
 
 
 @query("M2", f"WITH {PX}, {_resized(32, 32)}, {PHASH} SELECT doc_id, code AS phash FROM ph")
 def m2(spark, d):
-    return measured(spark, d, lambda b, g, h, w: pixels.phash(g, h, w)).select("doc_id", F.col("v").alias("phash"))
+    return measured(spark, d, pixels.phash).select("doc_id", F.col("v").alias("phash"))
 
 
 @query("M3", f"WITH {PX} SELECT doc_id, sum(r * 299 + gr * 587 + b * 114) / (count(*) * 1000)::DOUBLE AS brightness, round(stddev_pop(v), 6) AS contrast FROM g GROUP BY doc_id")
 def m3(spark, d):
-    out = measured(spark, d, lambda b, g, h, w: F.struct(pixels.level(b, pixels.upto(h * w)).alias("m"), pixels.variance(g).alias("v")))
-    return out.select("doc_id", F.col("v.m").alias("brightness"), r(F.sqrt("v.v")).alias("contrast"))
+    out = measured(spark, d, pixels.brightness)
+    return out.select("doc_id", F.col("v.mean").alias("brightness"), r(F.sqrt("v.variance")).alias("contrast"))
 
 
 @query("M4", f"WITH {PX}, {LAP} SELECT doc_id, round(var_pop(v), 4) AS laplacian_var FROM lap GROUP BY doc_id")
 def m4(spark, d):
-    return measured(spark, d, lambda b, g, h, w: pixels.variance(pixels.laplacian(g, h, w))).select("doc_id", r("v", 4).alias("laplacian_var"))
+    return measured(spark, d, pixels.laplacian_variance).select("doc_id", r("v", 4).alias("laplacian_var"))
 
 
 @query("M5", f"""WITH {PX}, {_resized(16, 16)}, sq AS (SELECT doc_id, t, u, v, CASE WHEN var_pop(v) OVER (PARTITION BY doc_id) > 1e-7 THEN var_pop(v) OVER (PARTITION BY doc_id) ELSE 1 END AS s FROM sm),
@@ -108,7 +108,7 @@ nb AS (SELECT *, lag(v) OVER (PARTITION BY doc_id, u ORDER BY t) AS n, lead(v) O
 lq AS (SELECT doc_id, s, coalesce(n, o) + coalesce(o, n) + coalesce(l, e) + coalesce(e, l) - 4 * v AS v FROM nb)
 SELECT doc_id, round(var_pop(v) / any_value(s), 6) AS sharpness_norm FROM lq GROUP BY doc_id""")
 def m5(spark, d):
-    return measured(spark, d, lambda b, g, h, w: pixels.sharpness(g, h, w, 16)).select("doc_id", r("v").alias("sharpness_norm"))
+    return measured(spark, d, lambda image: pixels.sharpness(image, 16)).select("doc_id", r("v").alias("sharpness_norm"))
 
 
 @query("M6", f"""WITH {PX}, sh AS (SELECT c.doc_id, c.h, abs(sum(CASE WHEN o.x = c.x AND o.y = c.y THEN 4 WHEN o.x = c.x OR o.y = c.y THEN -2 ELSE 1 END * o.v)) AS v
@@ -116,13 +116,12 @@ def m5(spark, d):
   WHERE c.y BETWEEN 1 AND c.h - 2 AND c.x BETWEEN 1 AND {SIDE - 2} GROUP BY c.doc_id, c.h, c.y, c.x)
 SELECT doc_id, round(coalesce(n, 0), 6) AS noise_sigma FROM im LEFT JOIN (SELECT doc_id, sum(v) * sqrt(pi() / 2) / 36 / ({SIDE - 2} * (any_value(h) - 2)) AS n FROM sh GROUP BY doc_id) USING (doc_id)""")
 def m6(spark, d):
-    return measured(spark, d, lambda b, g, h, w: pixels.noise_sigma(g, h, w)).select("doc_id", r("v").alias("noise_sigma"))
+    return measured(spark, d, pixels.noise_sigma).select("doc_id", r("v").alias("noise_sigma"))
 
 
 @query("M8", f"WITH {PX} SELECT doc_id, round(avg((v <= 100)::INT), 6) AS padding_ratio FROM g GROUP BY doc_id")
 def m8(spark, d):
-    dark = lambda b, g, h, w: pixels.mean(F.transform(g, lambda x: (x <= 100).cast("double")))
-    return measured(spark, d, dark).select("doc_id", r("v").alias("padding_ratio"))
+    return measured(spark, d, lambda image: pixels.dark_share(image, 100)).select("doc_id", r("v").alias("padding_ratio"))
 
 
 @query("M9", f"WITH {PX} SELECT doc_id, CASE WHEN greatest(h, {SIDE}) <= 64 THEN h ELSE greatest(1, round_even(h * 64 / greatest(h, {SIDE})::DOUBLE, 0)::INT) END AS height, CASE WHEN greatest(h, {SIDE}) <= 64 THEN {SIDE} ELSE greatest(1, round_even({SIDE} * 64 / greatest(h, {SIDE})::DOUBLE, 0)::INT) END AS width FROM im")

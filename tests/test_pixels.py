@@ -16,17 +16,19 @@ def images():
     yield 8, np.zeros((8, 8, 3), np.uint8)
 
 
+@pytest.mark.parametrize("band", (P.BAND, 200))
 @pytest.mark.parametrize("k", range(7))
-def test_expressions_match_the_kernels(spark, k):
+def test_expressions_match_the_kernels(spark, monkeypatch, k, band):
+    monkeypatch.setattr(P, "BAND", band)
     width, x = list(images())[k]
     g = K.gray(x)
     df = spark.createDataFrame([(bytearray(x.tobytes()),)], "content binary")
 
-    def values(b, g, h, w):
-        return F.struct(P.mean(g).alias("mean"), P.variance(g).alias("var"), P.variance(P.laplacian(g, h, w)).alias("lap"), P.noise_sigma(g, h, w).alias("noise"), P.dhash(g, h, w).alias("dhash"), P.phash(g, h, w).alias("phash"), P.sharpness(g, h, w, 16).alias("sharp"), P.upload_quality(b, g, h, w).alias("up"), P.level(b, P.upto(h * w)).alias("level"))
+    def values(image):
+        return F.struct(P.brightness(image).alias("levels"), P.laplacian_variance(image).alias("lap"), P.noise_sigma(image).alias("noise"), P.dhash(image).alias("dhash"), P.phash(image).alias("phash"), P.sharpness(image, 16).alias("sharp"), P.upload_quality(image).alias("up"), P.dark_share(image, 100).alias("dark"))
 
     v = df.select(P.measured(F.col("content"), width, values).alias("v")).first()["v"]
-    assert (v["mean"], v["var"], v["lap"], v["noise"], v["level"]) == pytest.approx((g.mean(), g.var(), K.laplacian_variance(x), K.noise_sigma(x), g.mean()), abs=1e-6)
+    assert (v["levels"]["mean"], v["levels"]["variance"], v["lap"], v["noise"], v["dark"]) == pytest.approx((g.mean(), g.var(), K.laplacian_variance(x), K.noise_sigma(x), (g <= 100).mean()), abs=1e-6)
     assert v["sharp"] == pytest.approx(K.sharpness(x, 16), rel=1e-6, abs=1e-6)
     assert v["up"].asDict() == pytest.approx(K.upload_quality(x), abs=1e-6)
     small = K.resize(g, 8, 9)
@@ -43,5 +45,5 @@ def test_expressions_match_the_kernels(spark, k):
 
 def test_empty_content(spark):
     df = spark.createDataFrame([(bytearray(b""),), (None,)], "content binary")
-    got = [r["v"] for r in df.select(P.measured(F.coalesce("content", F.lit(b"")), 4, lambda b, g, h, w: F.struct(P.mean(g).alias("m"), h.alias("h"))).alias("v")).collect()]
+    got = [r["v"] for r in df.select(P.measured(F.coalesce("content", F.lit(b"")), 4, lambda image: F.struct(P.brightness(image)["mean"].alias("m"), image.height.alias("h"))).alias("v")).collect()]
     assert [(v["m"], v["h"]) for v in got] == [(0.0, 1)] * 2
