@@ -1,8 +1,8 @@
 """Secret scans (operator 8), in DataFrame functions only.
 
 Base spans come from three patterns. The method adds spans: long tokens of an encoding's alphabet are put to a
-battery of randomness tests (chi-squared uniformity over eight equal parts of the alphabet, runs about its middle, and
-lag-one serial correlation), combined by Fisher's method into one statistic, low for random-looking tokens. A token's
+battery of randomness tests (chi-squared uniformity over 4, 8 or 16 equal parts of the alphabet, as many as leave five
+expected symbols in each, runs about its middle, and lag-one serial correlation), combined by Fisher's method into one statistic, low for random-looking tokens. A token's
 p-value comes from a fixed null: statistics of plain tokens (words and structured digits) of the same family and length
 class, so that it doesn't depend on what else the table holds. Benjamini-Hochberg over the candidates of a family,
 letters-only ones too, then bounds the share of false finds. A find must also pass for random by itself: the battery's
@@ -11,6 +11,7 @@ own p is PLAUSIBLE at least. What is collected is a table of (family, class, bin
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,19 +30,23 @@ ALPHABETS = (("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABC
 URL_SAFE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 #: Lower ends of the length classes.
 CLASSES = (20, 24, 32, 48, 64)
+#: Least expected symbols in a part of the alphabet, where there are more than four parts; all alphabets divide by 16.
+EXPECTED = 5
 #: Bins of the statistic, half a unit wide; the last is open.
 BINS = 160
 FALSE_SHARE = 0.01
 FAMILIES = ("hex", "base32, letters only", "base32", "base64, letters only", "base64 or url-safe")
-#: By family and class, the statistics that one in a hundred and one in a thousand plain tokens are at or
-#: under, made by tests/llm/null_tokens.py. Under them p falls by a power of ten for each such step; above the first it is one.
+#: By family and class, the statistics that one in a hundred, one in a thousand and one in 5000 plain tokens are
+#: at or under, made by tests/llm/null_tokens.py. Between them log p is a straight line, and goes on as it was last; above the first p is one.
 NULL = (
-    ((11.5, 7.8), (15.9, 11.3), (25.7, 17.8), (42.9, 32.0), (58.9, 55.7)),
-    ((3.3, 2.1), (4.3, 3.0), (6.8, 4.9), (10.7, 8.3), (18.2, 14.1)),
-    ((1.9, 0.9), (2.5, 1.5), (4.1, 2.3), (6.9, 4.7), (12.1, 8.8)),
-    ((7.8, 5.9), (10.8, 7.9), (17.0, 13.3), (29.3, 24.4), (48.2, 40.2)),
-    ((5.6, 3.2), (7.3, 4.3), (11.3, 7.1), (18.5, 12.9), (33.6, 24.0)),
+    ((11.8, 7.9, 5.5), (15.6, 10.5, 7.9), (24.2, 16.9, 13.6), (42.6, 31.1, 25.6), (59.2, 53.1, 43.8)),
+    ((4.4, 3.0, 2.3), (5.6, 3.8, 2.7), (7.7, 5.8, 5.2), (10.9, 8.5, 7.4), (18.0, 14.0, 12.4)),
+    ((2.3, 1.3, 0.8), (3.0, 1.9, 1.4), (4.4, 2.9, 2.1), (6.6, 4.5, 3.4), (11.8, 8.0, 6.2)),
+    ((7.8, 5.6, 4.0), (10.4, 7.7, 6.5), (15.6, 12.1, 9.9), (28.9, 24.1, 21.2), (48.0, 40.3, 37.3)),
+    ((5.5, 2.9, 2.0), (7.0, 3.7, 2.4), (10.4, 5.8, 4.1), (18.3, 12.5, 10.4), (32.6, 22.3, 18.9)),
 )
+#: Least distance of the last two of these statistics that p is continued by.
+LEAST_STEP = 0.3
 #: Least p of the battery, as the statistic's quantile: chi-squared with 6 degrees of freedom exceeds 22.46 once in 1000.
 PLAUSIBLE = 22.46
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -104,9 +109,11 @@ def statistic(token: Column) -> Column:
 
     def battery(s: Column, size: Column) -> Column:
         n = F.size(s).cast("double")
-        counts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.size(F.filter(s, lambda x: F.floor(x * 8 / size) == b)).cast("double"))
-        chi = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) * 8 / n - n
-        uniform = _upper_tail((F.cbrt(F.greatest(chi, F.lit(0.0)) / 7) - (1 - 2 / 63)) / (2 / 63) ** 0.5)
+        parts = F.when(n < 2 * 4 * EXPECTED, 4.0).when(n < 4 * 4 * EXPECTED, 8.0).otherwise(16.0)
+        within = lambda k: F.transform(F.sequence(F.lit(0), k.cast("int") - 1), lambda b: F.size(F.filter(s, lambda x: F.floor(x * k / size) == b)).cast("double"))
+        chi = let(parts, lambda k: F.aggregate(within(k), F.lit(0.0), lambda a, c: a + c * c) * k / n - n)
+        free = parts - 1
+        uniform = _upper_tail((F.cbrt(F.greatest(chi, F.lit(0.0)) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
         high = F.transform(s, lambda x: (x * 2 >= size).cast("int"))
         up = F.aggregate(high, F.lit(0.0), lambda a, x: a + x)
         down = n - up
@@ -156,9 +163,13 @@ def candidates(documents: DataFrame) -> DataFrame:
 
 def p_value(family: int, length_class: int, bin: int) -> float:
     """Share of plain tokens whose statistic is at or under the bin's upper end."""
-    one, ten = NULL[family][length_class]
+    one, ten, last = NULL[family][length_class]
     top = (bin + 1) / 2
-    return 10 ** (-2 - (one - top) / (one - ten)) if top <= one else 1.0
+    if top > one:
+        return 1.0
+    if top > ten:
+        return 10 ** (-2 - (one - top) / (one - ten))
+    return 10 ** (-3 - math.log10(5) * (ten - top) / max(ten - last, LEAST_STEP))
 
 
 def cutoffs(tokens: DataFrame, false_share: float = FALSE_SHARE) -> dict[tuple[int, int], int]:

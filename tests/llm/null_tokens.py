@@ -1,4 +1,5 @@
-"""The plain tokens whose statistics are the fixed null of operator 8: python tests/llm/null_tokens.py prints secret_scan.NULL."""
+"""The plain tokens whose statistics are the fixed null of operator 8: python tests/llm/null_tokens.py prints secret_scan.NULL,
+with the argument power the table of its power."""
 
 import random
 import re
@@ -62,20 +63,40 @@ def rows(each, seed=1):
     return [(k, c, plain(k, ENDS[c], ENDS[c + 1], rng)) for k in range(5) for c in range(5) for _ in range(each)]
 
 
-def quantiles(spark, each=20_000, seed=1):
-    """By family and class: the statistics that one in a hundred and one in a thousand tokens are at or under."""
+def quantiles(spark, each=50_000, seed=1):
+    """By family and class: the statistics that one in a hundred, one in a thousand and one in 5000 tokens are at or under."""
     from pyspark.sql import functions as F
 
     from quillspark.llm.secret_scan import statistic
 
-    df = spark.createDataFrame(rows(each, seed), "k int, c int, token string").repartition(16)
-    got = df.select("k", "c", statistic(F.col("token")).alias("s")).groupBy("k", "c").agg(F.percentile("s", F.array(F.lit(0.01), F.lit(0.001))).alias("q")).collect()
+    df = spark.createDataFrame(rows(each, seed), "k int, c int, token string").repartition(64)
+    got = df.select("k", "c", statistic(F.col("token")).alias("s")).groupBy("k", "c").agg(F.percentile("s", F.array(F.lit(0.01), F.lit(0.001), F.lit(0.0002))).alias("q")).collect()
     found = {(r["k"], r["c"]): tuple(round(x, 1) for x in r["q"]) for r in got}
     return tuple(tuple(found[k, c] for c in range(5)) for k in range(5))
 
 
+def power(spark, draws=300, tested=(10, 1000, 100_000), seed=3):
+    """Share of random tokens that are found where they are the only ones among so many tested: {(encoding, length): shares}."""
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.secret_scan import CLASSES, FALSE_SHARE, PLAUSIBLE, p_value, statistic
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    signs = {"hex, upper case": "0123456789ABCDEF", "base32": letters + "234567", "base64": letters + letters.lower() + "0123456789+/"}
+    rng = random.Random(seed)
+    made = [(name, n, "".join(rng.choices(s, k=n))) for name, s in signs.items() for n in (24, 32, 44, 64, 88) for _ in range(draws)]
+    got = spark.createDataFrame(made, "name string, n int, token string").repartition(8).select("name", "n", "token", F.floor(2 * statistic(F.col("token"))).cast("int").alias("bin")).collect()
+    found = {}
+    for r in got:
+        p = p_value(family(r["token"]), max(i for i, low in enumerate(CLASSES) if len(r["token"]) >= low), r["bin"])
+        hits = found.setdefault((r["name"], r["n"]), [0] * len(tested))
+        for k, m in enumerate(tested):
+            hits[k] += p * m <= FALSE_SHARE and r["bin"] <= 2 * PLAUSIBLE
+    return {k: [round(h / draws, 2) for h in v] for k, v in sorted(found.items())}
+
+
 if __name__ == "__main__":
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
-    print(quantiles(spark))
+    print(power(spark) if sys.argv[1:] == ["power"] else quantiles(spark))

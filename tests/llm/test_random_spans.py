@@ -46,9 +46,10 @@ def statistic(token):
     n, size, tiny = len(s), len(alphabet), 1e-12
     if n < 8:
         return 1000.0
-    counts = [sum(x * 8 // size == b for x in s) for b in range(8)]
-    chi = sum((c - n / 8) ** 2 / (n / 8) for c in counts)
-    uniform = upper((max(chi, 0.0) / 7) ** (1 / 3) / (2 / 63) ** 0.5 - (1 - 2 / 63) / (2 / 63) ** 0.5)
+    k = 4 if n < 40 else 8 if n < 80 else 16
+    counts, tail = [sum(x * k // size == b for x in s) for b in range(k)], 2 / (9 * (k - 1))
+    chi = sum((c - n / k) ** 2 / (n / k) for c in counts)
+    uniform = upper(((max(chi, 0.0) / (k - 1)) ** (1 / 3) - (1 - tail)) / tail**0.5)
     high = [2 * x >= size for x in s]
     up = sum(high)
     runs, mean = 1 + sum(a != b for a, b in zip(high, high[1:])), 2 * up * (n - up) / n + 1
