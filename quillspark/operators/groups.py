@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
+from math import comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,20 +34,59 @@ def band_parts(rows: int, threshold: int, width: int) -> int:
     return next(k for k in range(threshold + 2, width + 1) if (k - threshold) * width // k >= wanted)
 
 
-def near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int = 64) -> DataFrame:
+#: A comparison of two rows of a bucket, as a part of what a key costs that is shuffled. Only how the work is spread hangs on it, never a result.
+COMPARISON = 0.05
+
+
+def cheapest_parts(rows: int, threshold: int, width: int, information: float = 1.0) -> int:
+    """The number of parts whose keys are cheapest: more parts make more keys to shuffle, but longer ones, that fewer rows share.
+    information is how much of a bit a bit tells: 1 where half of the rows have it, less where most or few do."""
+    choices = range(max(2, threshold + 1), max(2, threshold + 1, min(width, threshold + 7)) + 1)
+    return min(choices, key=lambda k: comb(k, threshold) * (1 + COMPARISON * rows / 2 ** ((k - threshold) * width // k * information)))
+
+
+def _rows_and_information(classes: DataFrame, width: int) -> tuple[int, float]:
+    """How many rows there are, and the mean over the bits of -log2(chance that two rows agree in it)."""
+    shares = (F.avg(F.shiftrightunsigned("bits", b).bitwiseAND(F.lit(1))) for b in range(width))
+    n, *p = classes.agg(F.count("*"), *shares).first()
+    return n, sum(-log2(x * x + (1 - x) * (1 - x)) for x in p) / width if n else 1.0
+
+
+def _keyed(classes: DataFrame, threshold: int, edges: Sequence[tuple[int, int]]) -> DataFrame:
+    """(first, bits, mask, upto, value): each row in the bucket of each key; mask names the key's parts, upto all parts to the last of these."""
+    keys = []
+    for chosen in combinations(range(len(edges)), len(edges) - threshold):
+        value = F.lit(0).cast("long")
+        for low, high in (edges[i] for i in chosen):
+            value = F.shiftleft(value, high - low).bitwiseOR(_stretch(F.col("bits"), low, high))
+        keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("mask"), F.lit((2 << chosen[-1]) - 1).alias("upto"), value.alias("value")))
+    return classes.select("first", "bits", F.explode(F.array(*keys)).alias("b")).select("first", "bits", "b.*")
+
+
+def _stretch(bits: Column, low: int, high: int) -> Column:
+    return F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+
+
+def near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """(a, b), a < b, of rows whose fingerprints, of width bits, differ in at most threshold bits.
 
-    Equal fingerprints are one class, so copies don't multiply: pairs of classes come from keys of several parts each, longer ones
-    for more rows, and each further row of a class is paired with the class's first row only. No links between
-    differing texts are lost.
+    Equal fingerprints are one class, so copies don't multiply: pairs of classes come from keys of several parts each, as long as is
+    cheapest for so many rows and for what their bits tell, and each further row of a class is paired with the class's first row
+    only. No links between differing texts are lost. A pair that shares several buckets is listed in the first alone, which is
+    the one whose key is their first parts that agree: so no shuffle is needed to make pairs distinct.
     """
+    scratch = scratch or Scratch(df.sparkSession, "near_pairs")
     rows = df.select(F.col(node).alias("node"), F.col(bits).alias("bits")).where("node IS NOT NULL AND bits IS NOT NULL")
-    classes = rows.groupBy("bits").agg(F.min("node").alias("first"))
-    parts = band_parts(classes.count(), threshold, width)
-    split = classes.select("first", "bits", F.explode(band_keys(F.col("bits"), threshold, width, parts)).alias("b")).select("first", "bits", "b.band", "b.value")
+    classes = scratch.table(rows.groupBy("bits").agg(F.min("node").alias("first")), "classes")
+    n, information = _rows_and_information(classes, width)
+    parts = cheapest_parts(n, threshold, width, information)
+    edges = [(i * width // parts, (i + 1) * width // parts) for i in range(parts)]
+    split = _keyed(classes, threshold, edges)
     x, y = split.alias("x"), split.alias("y")
-    close = x.join(y, F.expr("x.band = y.band AND x.value = y.value AND x.first < y.first")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
-    across = close.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
+    met = x.join(y, F.expr("x.mask = y.mask AND x.value = y.value AND x.first < y.first")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
+    differ = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
+    agree = reduce(Column.bitwiseOR, (F.when(_stretch(differ, *e) == 0, 1 << i).otherwise(0) for i, e in enumerate(edges)))
+    across = met.where(agree.bitwiseAND(F.col("x.upto")) == F.col("x.mask")).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
     within = rows.join(classes, "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     return across.union(within)
 

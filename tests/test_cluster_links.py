@@ -1,9 +1,11 @@
 """Clusters of near fingerprints by spanning links, against all pairs."""
 
 import random
+from math import comb
 
 import pytest
 
+from quillspark.operators import groups
 from quillspark.operators.groups import cluster_links, clusters, near_pairs
 from quillspark.scratch import Scratch
 
@@ -60,3 +62,29 @@ def test_few_rows(spark):
     assert {(r["id"], r["cluster"]) for r in clusters(df, "id", "bits", 2, Scratch(spark, "test"), 60).collect()} == {(1, 1), (2, 1), (3, 3)}
     assert clusters(df.limit(0), "id", "bits", 2, Scratch(spark, "test"), 60).count() == 0
     assert near_pairs(df, "id", "bits", 2, 60).count() == 1
+
+
+@pytest.mark.parametrize("comparison", [0.001, 0.05, 5.0])
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch, comparison):
+    """A third of the fingerprints agree in their low half, others are near copies; each pair is listed once, however many keys it shares."""
+    monkeypatch.setattr(groups, "COMPARISON", comparison)
+    rng = random.Random(7)
+    low = rng.getrandbits(30)
+    crowd = [low | rng.getrandbits(30) << 30 for _ in range(400)]
+    bits = [*crowd, *(x ^ sum(1 << k for k in rng.sample(range(60), rng.randint(0, 7))) for x in crowd[:150]), *(rng.getrandbits(60) for _ in range(400)), None]
+    first = {}
+    for i, x in enumerate(bits):
+        first.setdefault(x, i)
+    first.pop(None)
+    want = {(first[x], i) for i, x in enumerate(bits) if x is not None and first[x] != i}
+    want |= {(min(i, j), max(i, j)) for a, i in first.items() for b, j in first.items() if i < j and (a ^ b).bit_count() <= 6}
+    df = spark.createDataFrame(list(enumerate(bits)), "id long, bits long").repartition(3)
+    got = [tuple(r) for r in near_pairs(df, "id", "bits", 6, 60, Scratch(spark, "test")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_keys_grow_slowly():
+    """Of 60 bits with 6 apart, in keys a row: not every bucket need be a row's own. Bits that tell less make more keys."""
+    keys = lambda n, information=1.0: comb(groups.cheapest_parts(n, 6, 60, information), 6)
+    assert [keys(n) for n in (10**3, 10**4, 10**6, 10**8, 10**9)] == [7, 7, 28, 210, 462]
+    assert keys(10**6, 0.7) > keys(10**6)
