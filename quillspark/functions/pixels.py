@@ -299,3 +299,18 @@ def upload_quality(image: Image) -> Column:
 def measured(content: Column, width: int, values: Callable[[Image], Column]) -> Column:
     """values(image) of each row's image; its bytes and height are bound once."""
     return let(content, lambda c: let(rows_of(c, width), lambda h: values(Image(c, h, F.lit(width)))))
+
+
+def input_problem(image: Column) -> Column:
+    """What keeps an image of Spark's image source out, the first that holds of: no image (null, or it couldn't be decoded), channels
+    (other than one or three), depth (not 8 bits without sign), empty (a side of nothing) and bytes (not as many as its sides ask for).
+    Null where it is fit (P19)."""
+    height, width = (F.coalesce(image[c].cast("long"), F.lit(0)) for c in ("height", "width"))
+    channels = image["nChannels"].cast("long")
+    return (
+        F.when(image.isNull() | F.coalesce(image["mode"] < 0, F.lit(True)), "no image")
+        .when(~F.coalesce(channels.isin(1, 3), F.lit(False)), "channels")
+        .when(image["mode"].bitwiseAND(F.lit(7)) != 0, "depth")
+        .when(F.least(height, width) <= 0, "empty")
+        .when(F.coalesce(F.length(image["data"]), F.lit(0)) != height * width * channels, "bytes")
+    )

@@ -6,7 +6,7 @@ projection, and only documents that go deeper take part in the next.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,3 +69,14 @@ def assert_none_forbidden(df: DataFrame, key: str, document: str, names: Iterabl
     found = forbidden_names(df, key, document, names).groupBy("path").agg(F.count("*").alias("n")).orderBy("path").limit(10).collect()
     if found:
         raise ValueError("forbidden names: " + ", ".join(f"{r['path']} ({r['n']})" for r in found))
+
+
+def changed_settings(df: DataFrame, key: str, document: str, fixed: Mapping[str, str]) -> DataFrame:
+    """(key, path, value) wherever a document sets one of the fixed paths to something else than its text.
+
+    A path that a document doesn't set keeps what is fixed and is no row. A null, an object or an array in its place is a
+    change; its value is null, or `{}` or `[]` where it holds nothing.
+    """
+    allowed = df.sparkSession.createDataFrame(list(fixed.items()), "path string, allowed string")
+    found = nodes(df, key, document).join(F.broadcast(allowed), "path")  # as many rows as the caller fixes
+    return found.where(~F.col("value").eqNullSafe(F.col("allowed"))).select(key, "path", "value")

@@ -189,7 +189,12 @@ def upper_gamma(dof: Column, x: Column) -> Column:
 
 def class_weights(counts: DataFrame, strategy: str, label: str = "label", count: str = "count", beta: float = 0.9999) -> DataFrame:
     """Weights whose positive values have mean one; a class without rows has weight 0."""
-    everything = Window.partitionBy()
+    return class_weight_table(counts, [strategy], label, count, beta).drop("strategy")
+
+
+def class_weight_table(counts: DataFrame, strategies: Sequence[str], label: str = "label", count: str = "count", beta: float = 0.9999) -> DataFrame:
+    """(strategy, label, weight) of several strategies, from one pass over the counts."""
+    everything, each = Window.partitionBy(), Window.partitionBy("strategy")
     c = F.col("c")
     raw: dict[str, Column] = {
         "inverse": 1 / c,
@@ -197,13 +202,14 @@ def class_weights(counts: DataFrame, strategy: str, label: str = "label", count:
         "effective_number": (1 - beta) / (1 - F.pow(F.lit(beta), c)),
         "balanced": F.col("n") / (F.col("k") * c),
     }
-    if strategy not in raw:
-        raise ValueError(f"unknown weight strategy {strategy}")
+    if unknown := set(strategies) - set(raw):
+        raise ValueError(f"unknown weight strategy {', '.join(sorted(unknown))}")
     counted = F.col(count).cast("double")
     rows = counts.select(label, counted.alias("c"), F.sum(counted).over(everything).alias("n"), F.count("*").over(everything).alias("k"))
-    weighed = rows.select(label, F.when(c > 0, raw[strategy]).otherwise(0.0).alias("w"))
-    mean = F.avg(F.when(F.col("w") > 0, F.col("w"))).over(everything)
-    return weighed.select(label, F.when(F.col("w") > 0, F.col("w") / mean).otherwise(0.0).alias("weight"))
+    weighed = F.array(*(F.struct(F.lit(s).alias("strategy"), F.when(c > 0, raw[s]).otherwise(0.0).alias("w")) for s in strategies))
+    weights = rows.select(label, F.explode(weighed).alias("s")).select("s.strategy", label, "s.w")
+    mean = F.avg(F.when(F.col("w") > 0, F.col("w"))).over(each)
+    return weights.select("strategy", label, F.when(F.col("w") > 0, F.col("w") / mean).otherwise(0.0).alias("weight"))
 
 
 def channel_moments(df: DataFrame, values: str) -> DataFrame:

@@ -131,6 +131,25 @@ def m9(spark, d):
     return docs.select("doc_id", height.alias("height"), width.alias("width"))
 
 
+#: An image of Spark's source for each document; some have other channels, depths, sides or too few bytes.
+CHANNELS = "CASE doc_id % 11 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 3 END"
+MODE = "CASE WHEN doc_id % 23 = 0 THEN -1 WHEN doc_id % 17 = 0 THEN 21 ELSE 16 END"
+BOX = f"CASE WHEN doc_id % 11 = 1 THEN {SIDE * 3} ELSE {SIDE} END"
+
+
+@query("P19", f"""WITH im AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, greatest(1, ceil(strlen(coalesce(text, '')) / {SIDE * 3}.0))::INT AS rows FROM documents),
+i AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE rows END AS height, {BOX} AS width, {CHANNELS} AS channels, {MODE} AS mode, CASE WHEN doc_id % 19 = 0 THEN n ELSE rows * {SIDE * 3} END AS bytes FROM im)
+SELECT doc_id, CASE WHEN mode < 0 THEN 'no image' WHEN channels NOT IN (1, 3) THEN 'channels' WHEN mode % 8 <> 0 THEN 'depth' WHEN least(height, width) <= 0 THEN 'empty' WHEN bytes <> height * width * channels THEN 'bytes' END AS problem FROM i""")
+def p19(spark, d):
+    """Why a document's image is no input, or null."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    docs = read(spark, d, "documents").select("doc_id", content.alias("content"), pixels.rows_of(content, SIDE).cast("int").alias("rows"))
+    data = F.expr(f"CASE WHEN doc_id % 19 = 0 THEN content ELSE rpad(content, rows * {SIDE * 3}, X'00') END")
+    height = F.when(F.col("doc_id") % 13 == 0, 0).otherwise(F.col("rows"))
+    image = F.struct(height.alias("height"), F.expr(BOX).alias("width"), F.expr(CHANNELS).alias("nChannels"), F.expr(MODE).alias("mode"), data.alias("data"))
+    return docs.select("doc_id", image.alias("image")).select("doc_id", pixels.input_problem(F.col("image")).alias("problem"))
+
+
 @query("M11", f"""WITH {PX}, {LAP} SELECT doc_id, round(count_if(own > 10) / count(*), 6) AS visible_fraction, coalesce(sum(r * 299 + gr * 587 + b * 114) FILTER (WHERE own > 10) / (1000 * count_if(own > 10))::DOUBLE, 0) AS brightness, round(coalesce(var_pop(v) FILTER (WHERE own > 10), 0), 4) AS sharpness,
   round(coalesce(avg(r) FILTER (WHERE own > 10) / greatest(avg(gr) FILTER (WHERE own > 10), avg(b) FILTER (WHERE own > 10), 1), 0), 6) AS color_score FROM lap GROUP BY doc_id""")
 def m11(spark, d):

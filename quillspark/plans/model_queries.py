@@ -98,6 +98,17 @@ def x11(spark, d):
     return nested.forbidden_names(_documents(spark, d), "event_id", "doc", ["K", "USER", "CutOut"])
 
 
+#: Settings of a report, some of which an event changes: both engines read them from the same text.
+SETTINGS = """concat('{"report":{"only":', CAST(event_id % 3 <> 0 AS STRING), ',"steps":[', props, ']},"files":{"delete":', CASE WHEN event_id % 5 = 0 THEN 'true' WHEN event_id % 7 = 0 THEN 'null' ELSE 'false' END, '}}')"""
+FIXED = {"$.report.only": "true", "$.files.delete": "false"}
+
+
+@query("P9", f"WITH e AS (SELECT event_id, {SETTINGS} AS doc FROM events) " + " UNION ALL ".join(f"SELECT event_id, '{p}' AS path, doc ->> '{p}' AS value FROM e WHERE doc ->> '{p}' IS DISTINCT FROM '{v}'" for p, v in FIXED.items()))
+def p9(spark, d):
+    """Where an event's settings change what must stay: reports only report, and nothing is deleted."""
+    return nested.changed_settings(read(spark, d, "events").select("event_id", F.expr(SETTINGS).alias("doc")), "event_id", "doc", FIXED)
+
+
 def _uniform(text: str, place: str) -> str:
     return f"((('0x' || substr(sha256({text} || ':' || ({place})::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
 

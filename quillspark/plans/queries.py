@@ -426,9 +426,7 @@ WEIGHTS = {"inverse": "1 / c", "inverse_sqrt": "1 / sqrt(c)", "effective_number"
 
 @query("A12", f"WITH {M}, {COUNTS} " + " UNION ALL ".join(f"SELECT '{k}' AS strategy, label, round(({w}) / avg({w}) OVER (), 6) AS weight FROM ct" for k, w in WEIGHTS.items()))
 def a12(spark, d):
-    counts = class_totals(spark, d)
-    parts = [rounded(profile.class_weights(counts, s)).select(F.lit(s).alias("strategy"), "label", "weight") for s in WEIGHTS]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return rounded(profile.class_weight_table(class_totals(spark, d), list(WEIGHTS)))
 
 
 @query("A13", "SELECT (i - 1)::INT AS channel, count(*) AS n, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(stddev_pop(embedding[i]::DOUBLE), 6) AS std FROM embeddings, range(1, 65) t(i) GROUP BY i")

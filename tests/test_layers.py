@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import pixels
 from quillspark.functions import vectors as V
-from quillspark.operators import linear_maps, recurrences
+from quillspark.operators import linear_maps, nested, recurrences
 
 RNG = np.random.default_rng(7)
 
@@ -135,3 +136,23 @@ def test_training_against_a_loop(spark, monkeypatch):
             r = got[s, step]
             assert all(math.isclose(p, q, rel_tol=1e-7, abs_tol=1e-10) for p, q in ((r["gradient"], g), (r["m"], m), (r["v"], v), (r["value"], x)))
     assert len(got) == sum(map(len, grads.values()))
+
+
+def test_changed_settings(spark):
+    """Absent paths hold; nulls, objects and other values are changes; documents that can't be parsed have none."""
+    docs = [(1, '{"a":{"only":true},"b":1}'), (2, '{"a":{"only":false}}'), (3, '{"a":{"only":null}}'), (4, '{"a":{"only":{"x":1}}}'), (5, '{"b":2}'), (6, "{"), (7, None), (2, '{"a":{"only":false}}')]
+    df = spark.createDataFrame(docs, "id long, doc string")
+    got = nested.changed_settings(df, "id", "doc", {"$.a.only": "true"}).collect()
+    assert sorted((r["id"], r["path"], r["value"]) for r in got if r["value"]) == [(2, "$.a.only", "false")] * 2
+    assert sorted(r["id"] for r in got if r["value"] is None) == [3, 4]
+
+
+def test_input_problems(spark):
+    cases = [
+        ((2, 2, 3, 16, bytes(12)), None), ((2, 6, 1, 0, bytes(12)), None), (None, "no image"), ((-1, -1, -1, -1, b""), "no image"), ((2, 2, 3, None, bytes(12)), "no image"),
+        ((2, 2, 4, 24, bytes(16)), "channels"), ((2, 2, None, 16, bytes(12)), "channels"), ((2, 2, 3, 21, bytes(12)), "depth"), ((0, 2, 3, 16, b""), "empty"), ((2, None, 3, 16, b""), "empty"),
+        ((2, 2, 3, 16, bytes(11)), "bytes"), ((2, 2, 3, 16, None), "bytes"), ((1 << 20, 1 << 20, 3, 16, bytes(1)), "bytes"),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "id int, image struct<height:int,width:int,nChannels:int,mode:int,data:binary>")
+    got = df.select("id", pixels.input_problem(F.col("image")).alias("p")).orderBy("id").collect()
+    assert [r["p"] for r in got] == [p for _, p in cases]
