@@ -1,4 +1,4 @@
-"""Image measurements as Catalyst expressions over an image's bytes (M1-M6, M8, M9, M11): nothing here leaves the JVM.
+"""Image measurements as Catalyst expressions over an image's bytes (M1-M6, M8, M9, M11, P19): nothing here leaves the JVM.
 
 An image is three bytes a pixel, row by row, in a binary column, with its width; a last row that isn't full ends in zeros. Each
 value is bound once (let) and read by place, so that the time for an image grows with its pixels. An image is read in bands of rows,

@@ -1,4 +1,4 @@
-"""Nested values as rows: every node of a JSON document at any depth, its leaves by dotted path, and a guard on names.
+"""Nested values as rows: every node of a JSON document at any depth, its leaves by dotted path, guards on names and on settings.
 
 Documents are held as VARIANT and unfolded a level at a time, so that no depth and no set of names has to be known; a level is one
 projection, and only documents that go deeper take part in the next.

@@ -247,6 +247,18 @@ def g6_rows(spark, d):
     return splits.greedy_assignment(counted, RATIOS)
 
 
+A35_COUNTED = """r AS (SELECT (CASE WHEN md5 IS NULL THEN row_pos ELSE min(row_pos) OVER (PARTITION BY md5) END)::VARCHAR AS g, label FROM m WHERE label IS NOT NULL),
+c AS (SELECT g, label, count(*) AS n FROM r GROUP BY ALL)"""
+
+
+@query("A35", f"""WITH RECURSIVE {M}, {_greedy(A35_COUNTED)}
+SELECT ['train', 'val', 'test'][b] AS new_split, sum(size)::BIGINT AS rows, count(*) AS groups, round(sum(size) / (SELECT sum(size) FROM v), 4) AS share FROM s JOIN v USING (g) GROUP BY b""")
+def a35(spark, d):
+    """Rows, groups and share that the greedy rule gives each split, groups named by their first row."""
+    grouped = groups.group_key(manifest(spark, d), "row_pos", "md5", Scratch(spark, "a35"))
+    return rounded(splits.achieved(splits.regenerate(grouped, RATIOS)), 4)
+
+
 G7_COUNTED = "gc AS (SELECT md5 AS g, label, count(*) AS n FROM u GROUP BY ALL)"
 G7_ROWS = "u AS MATERIALIZED (SELECT k.row_pos, md5, parsed AS label FROM k JOIN t USING (row_pos) WHERE included AND parsed IS NOT NULL)"
 

@@ -871,9 +871,3 @@ def g6(spark, d):
     new = splits.regenerate(grouped, RATIOS)
     per = new.groupBy("group", "new_split").count().groupBy("group").agg(F.count("*").alias("k"), F.sum("count").alias("n"))
     return per.agg(F.sum("n").alias("rows"), F.count("*").alias("groups"), F.count_if(F.col("k") > 1).alias("spanning"))
-
-
-@query("A35")
-def a35(spark, d):
-    grouped = groups.group_key(manifest(spark, d), "row_pos", "md5", Scratch(spark, "a35"))
-    return rounded(splits.achieved(splits.regenerate(grouped, RATIOS)), 4)

@@ -24,7 +24,8 @@ def _bytes(value: str) -> int:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers that see the repository import this package (on a cluster, pass it with --py-files), in small batches."""
+    """Let Python workers that see the repository import this package (on a cluster, pass it with --py-files), in small batches:
+    the session's limit stays lowered, as plans run after the call that made them."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if _bytes(spark.conf.get(key, "64m")) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
