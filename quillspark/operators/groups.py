@@ -1,4 +1,8 @@
-"""Near-duplicate pairs of 64-bit fingerprints and row groups."""
+"""Near-duplicate pairs of 64-bit fingerprints and row groups.
+
+Joins are merged, never broadcast: both sides grow with the rows, and Spark's estimate of a side, the size of its files, doesn't count
+what explode makes of a row or how well sorted ids pack. A side taken for small by it goes through the driver whole.
+"""
 
 from __future__ import annotations
 
@@ -83,11 +87,11 @@ def near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int =
     edges = [(i * width // parts, (i + 1) * width // parts) for i in range(parts)]
     split = _keyed(classes, threshold, edges)
     x, y = split.alias("x"), split.alias("y")
-    met = x.join(y, F.expr("x.mask = y.mask AND x.value = y.value AND x.first < y.first")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
+    met = x.join(y.hint("merge"), F.expr("x.mask = y.mask AND x.value = y.value AND x.first < y.first")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
     differ = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
     agree = reduce(Column.bitwiseOR, (F.when(_stretch(differ, *e) == 0, 1 << i).otherwise(0) for i, e in enumerate(edges)))
     across = met.where(agree.bitwiseAND(F.col("x.upto")) == F.col("x.mask")).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
-    within = rows.join(classes, "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    within = rows.join(classes.hint("merge"), "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     return across.union(within)
 
 

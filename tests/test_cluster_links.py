@@ -88,3 +88,17 @@ def test_keys_grow_slowly():
     keys = lambda n, information=1.0: comb(groups.cheapest_parts(n, 6, 60, information), 6)
     assert [keys(n) for n in (10**3, 10**4, 10**6, 10**8, 10**9)] == [7, 7, 28, 210, 462]
     assert keys(10**6, 0.7) > keys(10**6)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Whatever Spark would broadcast fails, however small."""
+    key = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(key, "1b")
+    yield
+    spark.conf.unset(key)
+
+
+def test_pairs_are_not_joined_in_the_driver(spark, no_broadcast):
+    df = spark.createDataFrame(list(enumerate(fingerprints(5))), "id long, bits long")
+    assert near_pairs(df, "id", "bits", 6, 60, Scratch(spark, "test")).count() > 0
