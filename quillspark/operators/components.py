@@ -2,7 +2,8 @@
 
 Each round is two groupings and two equi-joins; the minimum is pre-aggregated before the shuffle, and no neighbour list is
 ever gathered. Minima are written before they are joined back: both sides of the join are then shuffles of their own, whose hot
-keys (a node with very many links) adaptive execution splits, which it can't where one side is a grouping by the same key.
+keys (a node with very many links) adaptive execution splits, which it can't where one side is a grouping by the same key. They are
+merged, never broadcast: sorted ids take so little space in a file that Spark would think the minima small.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ def _down(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     low = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
-    linked = edges.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = edges.join(low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -104,34 +104,34 @@ def cluster_links(df: DataFrame, node: str, bits: str, threshold: int, scratch:
     """
     rows = df.select(F.col(node).alias("node"), F.col(bits).alias("bits")).where("node IS NOT NULL AND bits IS NOT NULL")
     classes = scratch.table(rows.groupBy("bits").agg(F.min("node").alias("first")), "classes")
-    within = rows.join(classes, "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    within = rows.join(classes.hint("merge"), "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     parts = band_parts(classes.count(), threshold, width)
     split = classes.select("first", "bits", F.explode(band_keys(F.col("bits"), threshold, width, parts)).alias("k")).select("k", "first", "bits")
     lead = F.min(F.struct("first", "bits"))
     leads = split.groupBy("k").agg(lead.alias("lead"), F.max("first").alias("last")).where("lead.first < last").select("k", "lead")
-    members = scratch.table(split.join(leads, "k"), "members")  # buckets of two and more, with their first
+    members = scratch.table(split.join(leads.hint("merge"), "k"), "members")  # buckets of two and more, with their first
     near = members.where(hamming(F.col("bits"), F.col("lead.bits")) <= threshold).where("first <> lead.first")
     links = scratch.table(near.select(F.col("lead.first").alias("a"), F.col("first").alias("b")).distinct(), "links")
     # Two steps along links are enough for stars; what they leave apart is only compared once more than need be.
     ends = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
     one = scratch.table(ends.select(F.col("a").alias("first"), F.least("a", "b").alias("low")), "steps")
-    found = one.join(one.select(F.col("first").alias("low"), F.col("low").alias("lower")), "low", "left").select("first", F.coalesce("lower", "low").alias("part"))
-    placed = members.drop("lead").join(found, "first", "left").select("k", "first", "bits", F.coalesce("part", "first").alias("part"))
+    found = one.join(one.select(F.col("first").alias("low"), F.col("low").alias("lower")).hint("merge"), "low", "left").select("first", F.coalesce("lower", "low").alias("part"))
+    placed = members.drop("lead").join(found.hint("merge"), "first", "left").select("k", "first", "bits", F.coalesce("part", "first").alias("part"))
     spans = placed.groupBy("k").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("k")
-    open_ = scratch.table(placed.join(spans, "k"), "open")
+    open_ = scratch.table(placed.join(spans.hint("merge"), "k"), "open")
     # In a bucket that spans parts, pairs across them; the largest one is only met by the others.
     sizes = open_.groupBy("k", "part").agg(F.count("*").alias("n"))
     major = sizes.groupBy("k").agg(F.max(F.struct("n", "part"))["part"].alias("major"))
-    open_ = scratch.table(open_.join(scratch.table(major, "major"), "k"), "sided")
+    open_ = scratch.table(open_.join(scratch.table(major, "major").hint("merge"), "k"), "sided")
     x, y = open_.where("part <> major").alias("x"), open_.alias("y")
-    across = x.join(y, F.expr("x.k = y.k AND x.part <> y.part")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
+    across = x.join(y.hint("merge"), F.expr("x.k = y.k AND x.part <> y.part")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
     return within.union(links).union(across.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct())
 
 
 def clusters(df: DataFrame, node: str, bits: str, threshold: int, scratch: Scratch, width: int = 64) -> DataFrame:
     """df with cluster: the smallest node that links reach; a row without a fingerprint is alone."""
     found = connected_components(cluster_links(df, node, bits, threshold, scratch, width), scratch, "a", "b").withColumnRenamed("node", "_node")
-    return df.join(found, df[node] == found["_node"], "left").select(*df.columns, F.coalesce("component", F.col(node)).alias("cluster"))
+    return df.join(found.hint("merge"), df[node] == found["_node"], "left").select(*df.columns, F.coalesce("component", F.col(node)).alias("cluster"))
 
 
 def partition_intersection(df: DataFrame, labels: Sequence[str], node: str, name: str = "cluster") -> DataFrame:
@@ -157,9 +157,9 @@ def merged_groups(df: DataFrame, node: str, keys: Sequence[str], scratch: Scratc
     for k in keys:
         rows = df.select(F.col(node).alias("node"), F.col(k).cast("string").alias("value")).where("value <> ''")
         first = rows.groupBy("value").agg(F.min("node").alias("first"))
-        links.append(rows.join(first, "value").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
+        links.append(rows.join(first.hint("merge"), "value").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
     found = connected_components(reduce(DataFrame.union, links), scratch, "a", "b").withColumnRenamed("node", "_node")
-    return df.join(found, df[node] == found["_node"], "left").select(*df.columns, F.coalesce("component", F.col(node)).alias(name))
+    return df.join(found.hint("merge"), df[node] == found["_node"], "left").select(*df.columns, F.coalesce("component", F.col(node)).alias(name))
 
 
 def group_key(df: DataFrame, node: str, policy: str, scratch: Scratch) -> DataFrame:

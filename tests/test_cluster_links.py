@@ -102,3 +102,8 @@ def no_broadcast(spark):
 def test_pairs_are_not_joined_in_the_driver(spark, no_broadcast):
     df = spark.createDataFrame(list(enumerate(fingerprints(5))), "id long, bits long")
     assert near_pairs(df, "id", "bits", 6, 60, Scratch(spark, "test")).count() > 0
+
+
+def test_clusters_are_not_joined_in_the_driver(spark, no_broadcast):
+    df = spark.createDataFrame(list(enumerate(fingerprints(5))), "id long, bits long")
+    assert clusters(df, "id", "bits", 6, Scratch(spark, "test"), 60).groupBy("cluster").count().count() < df.count()
