@@ -138,7 +138,7 @@ def partition_intersection(df: DataFrame, labels: Sequence[str], node: str, name
     """The common refinement of partitions: rows that agree in all labels; named by the smallest node."""
     low = df.groupBy(*(F.col(c).alias(f"_l{i}") for i, c in enumerate(labels))).agg(F.min(node).alias("_low"))
     same = F.expr(" AND ".join(f"`{c}` <=> _l{i}" for i, c in enumerate(labels)))
-    return df.join(low, same).select(*df.columns, F.col("_low").alias(name))
+    return df.join(low.hint("merge"), same).select(*df.columns, F.col("_low").alias(name))
 
 
 def dual_clusters(df: DataFrame, node: str, one: str, two: str, threshold: int, scratch: Scratch, width: int = 64) -> DataFrame:

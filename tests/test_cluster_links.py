@@ -107,3 +107,10 @@ def test_pairs_are_not_joined_in_the_driver(spark, no_broadcast):
 def test_clusters_are_not_joined_in_the_driver(spark, no_broadcast):
     df = spark.createDataFrame(list(enumerate(fingerprints(5))), "id long, bits long")
     assert clusters(df, "id", "bits", 6, Scratch(spark, "test"), 60).groupBy("cluster").count().count() < df.count()
+
+
+def test_dual_clusters_and_merged_groups_are_not_joined_in_the_driver(spark, no_broadcast):
+    bits = fingerprints(5)
+    df = spark.createDataFrame([(i, x, None if x is None else x ^ 1, str(x)) for i, x in enumerate(bits)], "id long, one long, two long, text string")
+    assert groups.dual_clusters(df, "id", "one", "two", 6, Scratch(spark, "test"), 60).count() == len(bits)
+    assert groups.merged_groups(df, "id", ["text"], Scratch(spark, "test")).count() == len(bits)
