@@ -43,3 +43,16 @@ def test_equalisation_counts_all_tiles_at_once(monkeypatch):
             m.setattr(np, "bincount", lambda *a, **b: counted.append(1) or bincount(*a, **b))
             assert K._equalized(plane, 2.0, 8) == pytest.approx(want, abs=1e-9)
     assert len(counted) == len(list(images()))
+
+
+def test_sharpness_of_a_narrow_image_makes_no_wide_copy(monkeypatch):
+    want = []
+    for x in images():
+        g = K.resize(K.gray(x), 512, 512)
+        want.append(K._filtered(g, K.LAPLACE).var() / g.var() if np.ptp(x) else 0.0)
+    made, resize = [], K.resize
+    monkeypatch.setattr(K, "resize", lambda x, h, w: made.append(h * w) or resize(x, h, w))
+    for x, v in zip(images(), want):
+        made.clear()
+        assert K.sharpness(x) == pytest.approx(v, rel=1e-9)
+        assert x.shape[1] > 128 or max(made) <= 512 * x.shape[1]
