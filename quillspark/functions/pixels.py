@@ -229,8 +229,17 @@ def _row_shares(t: Column, image: Image, want: int) -> Column:
 
 def resized(image: Image, rows: int, columns: int) -> Column:
     """The image of rows x columns cells, row by row; each row is made as wide as the image, then narrowed."""
-    narrow = lambda v: F.transform(upto(columns), lambda u: _shares(u, image.width, columns, lambda x: F.get(v, x)))
-    return F.flatten(F.transform(upto(rows), lambda t: let(_row_shares(t, image, rows), narrow)))
+    return F.flatten(resized_rows(image, rows, columns))
+
+
+def resized_rows(image: Image, rows: int, columns: int) -> Column:
+    """The rows of the resized image; one that is as wide as the image stays as it is."""
+    narrow = lambda v: F.when(image.width == columns, v).otherwise(F.transform(upto(columns), lambda u: _shares(u, image.width, columns, lambda x: F.get(v, x))))
+    return F.transform(upto(rows), lambda t: let(_row_shares(t, image, rows), narrow))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def hex_of(bits: Column) -> Column:
@@ -247,13 +256,12 @@ def dhash(image: Image) -> Column:
 
 def phash(image: Image) -> Column:
     """Which of the lowest 8 x 8 cosine coefficients of 32 x 32 cells exceed the median of the 63 that aren't the mean (M2)."""
-    basis = F.array(*(F.lit(math.sqrt((1 if k == 0 else 2) / 32) * math.cos(math.pi * (2 * x + 1) * k / 64)) for k in range(8) for x in range(32)))
+    basis = F.array(*(F.array(*(F.lit(math.sqrt((1 if k == 0 else 2) / 32) * math.cos(math.pi * (2 * x + 1) * k / 64)) for x in range(32))) for k in range(8)))
 
     def low(c: Column) -> Column:
-        return let(resized(image, 32, 32), lambda v: let(
-            F.transform(upto(256), lambda i: total(F.transform(upto(32), lambda y: F.get(c, F.floor(i / 32).cast("int") * 32 + y) * F.get(v, y * 32 + i % 32)))),
-            lambda half: F.transform(upto(64), lambda i: total(F.transform(upto(32), lambda x: F.get(half, F.floor(i / 8).cast("int") * 32 + x) * F.get(c, (i % 8) * 32 + x)))),
-        ))
+        """Each wave along the rows first, then along what that leaves of the columns: whole arrays are multiplied, no place is looked up."""
+        across = let(resized_rows(image, 32, 32), lambda v: F.transform(c, lambda wave: F.transform(v, lambda row: dot(row, wave))))
+        return let(across, lambda half: F.flatten(F.transform(c, lambda wave: F.transform(half, lambda column: dot(column, wave)))))
 
     def bits(v: Column) -> Column:
         median = F.get(F.array_sort(F.slice(v, 2, 63)), F.lit(31))

@@ -47,3 +47,16 @@ def test_empty_content(spark):
     df = spark.createDataFrame([(bytearray(b""),), (None,)], "content binary")
     got = [r["v"] for r in df.select(P.measured(F.coalesce("content", F.lit(b"")), 4, lambda image: F.struct(P.brightness(image)["mean"].alias("m"), image.height.alias("h"))).alias("v")).collect()]
     assert [(v["m"], v["h"]) for v in got] == [(0.0, 1)] * 2
+
+
+def test_hash_looks_up_no_place_of_the_waves(spark):
+    """Index arithmetic in the innermost loop was most of the time of a hash."""
+    df = spark.createDataFrame([(bytearray(96 * 20),)], "content binary")
+    plan = df.select(P.measured(F.col("content"), 32, P.phash).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan and "% 32" not in plan
+
+
+def test_a_row_of_the_wanted_width_stays(spark):
+    df = spark.createDataFrame([(bytearray(range(96)) * 40,)], "content binary")
+    v = df.select(P.measured(F.col("content"), 32, lambda x: P.resized(x, 8, 32)).alias("v")).first()["v"]
+    assert v == pytest.approx(K.resize(K.gray(np.frombuffer(bytes(range(96)) * 40, np.uint8).reshape(40, 32, 3)), 8, 32).ravel())
