@@ -3,6 +3,9 @@
 An image is three bytes a pixel, row by row, in a binary column, with its width; a last row that isn't full ends in zeros. Each
 value is bound once (let) and read by place, so that the time for an image grows with its pixels. An image is read in bands of rows,
 whose measurements are added up: as numbers, no more than a band of it (or one row, where that is longer) is held at a time.
+
+Expressions on arrays are interpreted. Where a pixel asks for much (M4, M6, M11), over_pixels makes bands and pixels rows of a table
+and adds them up by an aggregate, which Spark compiles; the formula of a pixel is the same one.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import ratio, total
@@ -41,14 +44,31 @@ class Band(NamedTuple):
     last: Column
 
 
+class Pixel(NamedTuple):
+    """A pixel of an image: its gray level, and where its three bytes begin in its band's values; the rows above and below, mirrored at
+    the image's borders, are three times the width away. row and column count from the image's corner."""
+
+    own: Column
+    values: Column
+    place: Column
+    row: Column
+    column: Column
+    height: Column
+    width: Column
+
+    def byte(self, k: int, away: Column | int = 0) -> Column:
+        """Channel k of the pixel that lies so many pixels further on."""
+        return F.get(self.values, self.place + away * 3 + k)
+
+
 def let(value: Column, body: Body) -> Column:
     """body(value), where value is computed once a row however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def byte_values(content: Column) -> Column:
-    """The bytes of a binary column as numbers, [0] for an empty one."""
-    return F.transform(F.split(F.decode(content, "ISO-8859-1"), ""), lambda c: F.ascii(c))
+def byte_values(content: Column, size: Column) -> Column:
+    """The bytes of a binary column as so many numbers, zeros where it ends."""
+    return F.transform(F.split(F.decode(F.rpad(content, size, F.lit(b"\0")), "ISO-8859-1"), ""), lambda c: F.ascii(c))
 
 
 def rows_of(content: Column, width: int) -> Column:
@@ -61,11 +81,16 @@ def upto(n: Column | int) -> Column:
 
 
 def channel(values: Column, pixel: Column, k: int) -> Column:
-    return F.coalesce(F.get(values, pixel * 3 + k), F.lit(0))
+    return F.get(values, pixel * 3 + k)
+
 
+def weighed(of_channel: Callable[[int], Column]) -> Column:
+    """The gray level of three channels, or what is linear in them."""
+    return of_channel(0) * 0.299 + of_channel(1) * 0.587 + of_channel(2) * 0.114
 
-def gray(values: Column, pixels: Column) -> Column:
-    return F.transform(upto(pixels), lambda i: channel(values, i, 0) * 0.299 + channel(values, i, 1) * 0.587 + channel(values, i, 2) * 0.114)
+
+def gray(values: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(values) - 3, F.lit(3)), lambda i: weighed(lambda k: F.get(values, i + k)))
 
 
 def thousandths(values: Column, places: Column) -> Column:
@@ -96,14 +121,23 @@ def _merged(a: Column, b: Column) -> Column:
     return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
 
 
+def _band_rows(width: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(BAND / (3 * width)).cast("int"))
+
+
+def _rows_read(image: Image, first: Column, rows: Column | int) -> Column:
+    """The bytes of so many rows of an image, as numbers."""
+    return byte_values(F.substring(image.content, first * (3 * image.width) + 1, rows * (3 * image.width)), rows * (3 * image.width))
+
+
 def over_bands(image: Image, of: Callable[[Band], dict[str, Column]], spreads: dict[str, Callable[[Band], Column]] | None = None, halo: int = 0) -> Column:
     """A struct: the sums of of(band) over an image's bands, and the moments of the arrays spreads(band), all of them by name.
 
     halo: rows that a band holds beyond its own, where the image has them. Sums are doubles, or longs where a band's value is one.
     """
-    content, height, width = image
+    _, height, width = image
     spreads = spreads or {}
-    step = F.greatest(F.lit(1), F.floor(BAND / (3 * width)).cast("int"))
+    step = _band_rows(width)
 
     def measure(y: Column) -> Column:
         return let(F.greatest(F.lit(0), y - halo), lambda base: let(F.least(height, y + step), lambda last: within(y, base, last)))
@@ -115,8 +149,7 @@ def over_bands(image: Image, of: Callable[[Band], dict[str, Column]], spreads: d
             band = Band(values, gray_levels, base, y, last)
             return F.struct(*(v.alias(k) for k, v in of(band).items()), *(moments(v(band)).alias(k) for k, v in spreads.items()))
 
-        bytes_of = byte_values(F.substring(content, base * (3 * width) + 1, rows * (3 * width)))
-        return let(bytes_of, lambda b: let(gray(b, rows * width), lambda g: found(b, g)))
+        return let(_rows_read(image, base, rows), lambda b: let(gray(b), lambda g: found(b, g)))
 
     def add(a: Column, b: Column, names: list[str]) -> Column:
         return F.struct(*((_merged(a[k], b[k]) if k in spreads else a[k] + b[k]).alias(k) for k in names))
@@ -127,6 +160,28 @@ def over_bands(image: Image, of: Callable[[Band], dict[str, Column]], spreads: d
     return F.aggregate(later, measure(F.lit(0)), lambda s, y: let(measure(y), lambda m: add(s, m, names)))
 
 
+def over_pixels(df: DataFrame, content: str, width: int, each: Callable[[Pixel], dict[str, Column]], of: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """df without its column of images, and for each of its rows the aggregates of(height, width) of the columns each(pixel), by name.
+
+    A band, with a mirrored row on either side, is a row of its bytes as numbers, and a pixel a row of its place in them. Rows are told
+    apart by their place in df, whatever their keys; an image's pixels lie in one task, and what is shuffled is a row for each image.
+    """
+    keys = [c for c in df.columns if c != content]
+    height, first, last, place, wide = *(F.col(f"_{c}") for c in ("height", "first", "last", "place")), F.lit(width)
+    images = df.select(*keys, F.monotonically_increasing_id().alias("_image"), F.col(content).alias("_content"), rows_of(F.col(content), width).alias("_height"))
+    bands = images.select("*", F.explode(F.sequence(F.lit(0), height - 1, _band_rows(wide))).alias("_first")).withColumn("_last", F.least(height, first + _band_rows(wide)))
+    size = lambda rows: rows * (3 * width)
+    part = lambda y, rows: F.rpad(F.substring(F.col("_content"), size(y) + 1, size(rows)), size(rows), F.lit(b"\0"))
+    beyond = lambda y: part(_mirrored(y, height, F.least(height, wide)), F.lit(1))
+    read = byte_values(F.concat(beyond(first - 1), part(first, last - first), beyond(last)), size(last - first + 2))
+    pixels = bands.select(*keys, "_image", "_height", "_first", "_last", read.alias("_values"))
+    pixels = pixels.select("*", F.explode(F.sequence(size(F.lit(1)), size(last - first + 1) - 3, F.lit(3))).alias("_place"))
+    at = {"_row": first + F.floor(place / size(1)).cast("int") - 1, "_column": F.floor(place % size(1) / 3).cast("int"), "_own": weighed(lambda k: F.get("_values", place + k))}
+    pixel = Pixel(F.col("_own"), F.col("_values"), place, F.col("_row"), F.col("_column"), height, wide)
+    measured = pixels.withColumns(at).select(*keys, "_image", "_height", *(v.alias(k) for k, v in each(pixel).items()))
+    return measured.groupBy(*keys, "_image", "_height").agg(*(v.alias(k) for k, v in of(height, wide).items())).drop("_image", "_height")
+
+
 def spread(m: Column) -> Column:
     """Population variance of moments."""
     return let(m, lambda v: ratio(v["m2"], v["n"]))
@@ -138,6 +193,13 @@ def _mirrored(i: Column, n: Column, least: Column) -> Column:
     return inside.otherwise(F.greatest(F.lit(0), F.least(i, n - 1)))
 
 
+def pixel_edge(p: Pixel) -> Column:
+    """The Laplacian at a pixel."""
+    beside = F.when(F.least(p.height, p.width) > 1, 1).otherwise(0)
+    left, right = F.when(p.column > 0, -1).otherwise(beside), F.when(p.column < p.width - 1, 1).otherwise(-beside)
+    return weighed(lambda k: p.byte(k, -p.width) + p.byte(k, p.width) + p.byte(k, left) + p.byte(k, right) - 4 * p.byte(k))
+
+
 def laplacian(g: Column, height: Column, width: Column, first: Column | int = 0, last: Column | None = None, base: Column | int = 0) -> Column:
     """The four neighbours less four times the pixel, of rows first to last - 1, where g begins at row base."""
     least = F.least(height, width)
@@ -174,6 +236,16 @@ def dark_share(image: Image, level: int) -> Column:
     return ratio(dark, image.height * image.width)
 
 
+def _roughness(p: Callable[[Column], Column], width: Column) -> Column:
+    """The difference of the two Laplacians where p(d) is the level so many pixels further on."""
+    edges, corners = p(F.lit(-1)) + p(F.lit(1)) + p(-width) + p(width), p(-width - 1) + p(-width + 1) + p(width - 1) + p(width + 1)
+    return corners - 2 * edges + 4 * p(F.lit(0))
+
+
+def _deviation(roughness: Column, height: Column, width: Column) -> Column:
+    return F.when(F.least(height, width) < 3, 0.0).otherwise(roughness * (math.sqrt(math.pi / 2) / 36) / ((height - 2) * (width - 2)))
+
+
 def noise_sigma(image: Image) -> Column:
     """Noise deviation by the difference of two Laplacians over the inner pixels; the divisor 36 is part of the definition (M6)."""
     height, width = image.height, image.width
@@ -184,14 +256,21 @@ def noise_sigma(image: Image) -> Column:
 
         def at(k: Column) -> Column:
             i = (F.floor(k / (width - 2)).cast("int") + first - band.base) * width + k % (width - 2) + 1
-            p = lambda d: F.get(band.gray, i + d)
-            edges, corners = p(-1) + p(1) + p(-width) + p(width), p(-width - 1) + p(-width + 1) + p(width - 1) + p(width + 1)
-            return F.abs(corners - 2 * edges + 4 * p(F.lit(0)))
+            return F.abs(_roughness(lambda d: F.get(band.gray, i + d), width))
 
         return {"sum": F.when(inner > 0, total(F.transform(upto(inner), at))).otherwise(0.0)}
 
-    found = over_bands(image, of, halo=1)["sum"] * (math.sqrt(math.pi / 2) / 36) / ((height - 2) * (width - 2))
-    return F.when(F.least(height, width) < 3, 0.0).otherwise(found)
+    return _deviation(over_bands(image, of, halo=1)["sum"], height, width)
+
+
+def pixel_noise(df: DataFrame, content: str, width: int) -> DataFrame:
+    """noise_sigma of each row's image, by an aggregate over pixels."""
+
+    def each(p: Pixel) -> dict[str, Column]:
+        inner = (p.row > 0) & (p.row < p.height - 1) & (p.column > 0) & (p.column < p.width - 1)
+        return {"_rough": F.when(inner, F.abs(weighed(lambda k: _roughness(lambda d: p.byte(k, d), p.width))))}
+
+    return over_pixels(df, content, width, each, lambda height, width: {"noise_sigma": _deviation(F.sum("_rough"), height, width)})
 
 
 def _shares(t: Column, have: Column, want: int, value: Callable[[Column], Column]) -> Column:
@@ -205,7 +284,7 @@ def _shares(t: Column, have: Column, want: int, value: Callable[[Column], Column
 
 
 def _gray_row(image: Image, y: Column) -> Column:
-    return let(byte_values(F.substring(image.content, y * (3 * image.width) + 1, 3 * image.width)), lambda b: gray(b, image.width))
+    return let(_rows_read(image, y, 1), gray)
 
 
 def _row_shares(t: Column, image: Image, want: int) -> Column:
@@ -291,19 +370,35 @@ def upload_quality(image: Image) -> Column:
     def of(x: Band) -> dict[str, Column]:
         places = F.transform(seen(x), lambda i: i + (x.first - x.base) * width)
         of_channel = lambda k: F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a + channel(x.values, i, k))
-        return {"sum": thousandths(x.values, places), "red": of_channel(0), "green": of_channel(1), "blue": of_channel(2)}
+        return {"red": of_channel(0), "green": of_channel(1), "blue": of_channel(2)}
 
     edges = lambda x: let(image_laplacian(image)(x), lambda v: F.transform(seen(x), lambda i: F.get(v, i)))
 
     def named(v: Column) -> Column:
-        n = v["edges"]["n"]
-        over = lambda k: ratio(v[k], n)
-        found = {"visible_fraction": n / (height * width), "brightness": ratio(v["sum"], n * 1000), "sharpness": spread(v["edges"]), "color_score": over("red") / F.greatest(over("green"), over("blue"), F.lit(1.0))}
-        return F.struct(*(F.when(n > 0, x).otherwise(0.0).alias(k) for k, x in found.items()))
+        found = _seen_values(height * width, v["edges"]["n"], v["red"], v["green"], v["blue"], spread(v["edges"]))
+        return F.struct(*(x.alias(k) for k, x in found.items()))
 
     return let(over_bands(image, of, {"edges": edges}, halo=1), named)
 
 
+def pixel_quality(df: DataFrame, content: str, width: int) -> DataFrame:
+    """upload_quality of each row's image, by aggregates over pixels."""
+
+    def each(p: Pixel) -> dict[str, Column]:
+        seen = {"_edge": pixel_edge(p), "_red": p.byte(0), "_green": p.byte(1), "_blue": p.byte(2)}
+        return {k: F.when(p.own > 10, v) for k, v in seen.items()}
+
+    of = lambda height, width: _seen_values(height * width, F.count("_edge"), F.sum("_red"), F.sum("_green"), F.sum("_blue"), F.var_pop("_edge"))
+    return over_pixels(df, content, width, each, of)
+
+
+def _seen_values(pixels: Column, n: Column, red: Column, green: Column, blue: Column, edges: Column) -> dict[str, Column]:
+    """The four values from the number of pixels seen, their channels' sums and their edges' variance; the sum of gray levels is exact."""
+    over = lambda v: ratio(v, n)
+    found = {"visible_fraction": n / pixels, "brightness": ratio(red * 299 + green * 587 + blue * 114, n * 1000), "sharpness": edges, "color_score": over(red) / F.greatest(over(green), over(blue), F.lit(1.0))}
+    return {k: F.when(n > 0, x).otherwise(0.0) for k, x in found.items()}
+
+
 def measured(content: Column, width: int, values: Callable[[Image], Column]) -> Column:
     """values(image) of each row's image; its bytes and height are bound once."""
     return let(content, lambda c: let(rows_of(c, width), lambda h: values(Image(c, h, F.lit(width)))))

@@ -47,6 +47,11 @@ def measured(spark: SparkSession, d: str, values) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", pixels.measured(content, SIDE, values).alias("v"))
 
 
+def images(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and content, each document's bytes as an image."""
+    return read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+
 #: The same images in SQL: a row for each pixel, and gray levels resized by area along both axes (or linearly, where they grow).
 PX = f"""im AS (SELECT doc_id, hex(coalesce(text, '')) AS hx, greatest(1, ceil(strlen(coalesce(text, '')) / {SIDE * 3}.0))::INT AS h FROM documents),
 li AS (SELECT doc_id, h, regexp_extract_all(rpad(hx, h * {SIDE * 6}, '0'), '..') AS bs FROM im),
@@ -153,8 +158,8 @@ def p19(spark, d):
 @query("M11", f"""WITH {PX}, {LAP} SELECT doc_id, round(count_if(own > 10) / count(*), 6) AS visible_fraction, coalesce(sum(r * 299 + gr * 587 + b * 114) FILTER (WHERE own > 10) / (1000 * count_if(own > 10))::DOUBLE, 0) AS brightness, round(coalesce(var_pop(v) FILTER (WHERE own > 10), 0), 4) AS sharpness,
   round(coalesce(avg(r) FILTER (WHERE own > 10) / greatest(avg(gr) FILTER (WHERE own > 10), avg(b) FILTER (WHERE own > 10), 1), 0), 6) AS color_score FROM lap GROUP BY doc_id""")
 def m11(spark, d):
-    out = measured(spark, d, pixels.upload_quality)
-    return out.select("doc_id", r("v.visible_fraction").alias("visible_fraction"), F.col("v.brightness").alias("brightness"), r("v.sharpness", 4).alias("sharpness"), r("v.color_score").alias("color_score"))
+    out = pixels.pixel_quality(images(spark, d), "content", SIDE)
+    return out.select("doc_id", r("visible_fraction").alias("visible_fraction"), "brightness", r("sharpness", 4).alias("sharpness"), r("color_score").alias("color_score"))
 
 
 @query("M7")

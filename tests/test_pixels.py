@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import kernels as K
 from quillspark.functions import pixels as P
+from quillspark.plans import media_queries  # noqa: F401  registers the queries
+from quillspark.plans.queries import QUERIES
 
 
 def images():
@@ -60,3 +62,28 @@ def test_a_row_of_the_wanted_width_stays(spark):
     df = spark.createDataFrame([(bytearray(range(96)) * 40,)], "content binary")
     v = df.select(P.measured(F.col("content"), 32, lambda x: P.resized(x, 8, 32)).alias("v")).first()["v"]
     assert v == pytest.approx(K.resize(K.gray(np.frombuffer(bytes(range(96)) * 40, np.uint8).reshape(40, 32, 3)), 8, 32).ravel())
+
+
+@pytest.mark.parametrize("band", (P.BAND, 200))
+@pytest.mark.parametrize("k", range(7))
+def test_pixels_as_rows_match_the_kernels(spark, monkeypatch, k, band):
+    """M6 and M11 as aggregates: whole bands and many, last rows that aren't full, rows with the same key."""
+    monkeypatch.setattr(P, "BAND", band)
+    width, x = list(images())[k]
+    short = x.copy().reshape(-1)
+    short[-2:] = 0
+    y = short.reshape(x.shape)
+    df = spark.createDataFrame([(1, bytearray(x.tobytes())), (1, bytearray(short.tobytes()[:-2])), (None, bytearray(b""))], "id long, content binary")
+    want = [(1, x), (1, y), (None, np.zeros((1, width, 3), np.uint8))]
+    order = lambda rows: sorted(([-1 if v is None else float(v) for v in r] for r in rows))
+    found = order(P.pixel_noise(df, "content", width).collect())
+    assert np.array(found) == pytest.approx(np.array(order((i, K.noise_sigma(v)) for i, v in want)), abs=1e-6)
+    found = order(P.pixel_quality(df, "content", width).select("id", "visible_fraction", "brightness", "sharpness", "color_score").collect())
+    assert np.array(found) == pytest.approx(np.array(order((i, *K.upload_quality(v).values()) for i, v in want)), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ("M11",))
+def test_pixels_are_measured_by_compiled_code(spark, data, name):
+    """Only the making of numbers from bytes is left to interpreted lambdas, one a byte: the rest took most of the time."""
+    plan = QUERIES[name](spark, data())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and plan.count("lambdafunction") == 1
