@@ -121,7 +121,7 @@ def m5(spark, d):
   WHERE c.y BETWEEN 1 AND c.h - 2 AND c.x BETWEEN 1 AND {SIDE - 2} GROUP BY c.doc_id, c.h, c.y, c.x)
 SELECT doc_id, round(coalesce(n, 0), 6) AS noise_sigma FROM im LEFT JOIN (SELECT doc_id, sum(v) * sqrt(pi() / 2) / 36 / ({SIDE - 2} * (any_value(h) - 2)) AS n FROM sh GROUP BY doc_id) USING (doc_id)""")
 def m6(spark, d):
-    return measured(spark, d, pixels.noise_sigma).select("doc_id", r("v").alias("noise_sigma"))
+    return pixels.pixel_noise(images(spark, d), "content", SIDE).select("doc_id", r("noise_sigma").alias("noise_sigma"))
 
 
 @query("M8", f"WITH {PX} SELECT doc_id, round(avg((v <= 100)::INT), 6) AS padding_ratio FROM g GROUP BY doc_id")

@@ -82,7 +82,7 @@ def test_pixels_as_rows_match_the_kernels(spark, monkeypatch, k, band):
     assert np.array(found) == pytest.approx(np.array(order((i, *K.upload_quality(v).values()) for i, v in want)), abs=1e-6)
 
 
-@pytest.mark.parametrize("name", ("M11",))
+@pytest.mark.parametrize("name", ("M11", "M6"))
 def test_pixels_are_measured_by_compiled_code(spark, data, name):
     """Only the making of numbers from bytes is left to interpreted lambdas, one a byte: the rest took most of the time."""
     plan = QUERIES[name](spark, data())._jdf.queryExecution().optimizedPlan().toString()
