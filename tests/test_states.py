@@ -131,6 +131,16 @@ def test_nodes_at_any_depth(spark):
     assert nested.nodes(df.limit(0), "id", "doc").count() == 0
 
 
+def test_levels_are_unfolded_together(spark, monkeypatch):
+    """A table of whole documents for each level was most of the time."""
+    written, table = [], nested.Scratch.table
+    monkeypatch.setattr(nested.Scratch, "table", lambda self, df, name: written.append(name) or table(self, df, name))
+    df = spark.createDataFrame(list(enumerate(DOCS)), "id long, doc string")
+    got = sorted(map(tuple, nested.nodes(df, "id", "doc").collect()), key=repr)
+    assert got == sorted(((i, *n) for i, d in enumerate(DOCS) for n in plain_nodes(json.loads(d))), key=repr)
+    assert len(written) == 1
+
+
 def test_guard(spark):
     df = spark.createDataFrame([(1, '{"steps":[{"name":1,"CoarseDropout":{"p":1}}]}'), (2, '{"fine":1}')], "id long, doc string")
     assert [tuple(r) for r in nested.forbidden_names(df, "id", "doc", ["coarsedropout"]).collect()] == [(1, "$.steps[0].CoarseDropout")]
