@@ -273,22 +273,28 @@ def pixel_noise(df: DataFrame, content: str, width: int) -> DataFrame:
     return over_pixels(df, content, width, each, lambda height, width: {"noise_sigma": _deviation(F.sum("_rough"), height, width)})
 
 
-def _shares(t: Column, have: Column, want: int, value: Callable[[Column], Column]) -> Column:
-    """Cell t of want along an axis of have cells: area averages where it shrinks, linear between centres where it grows."""
-    low, high = t * have / float(want), (t + 1) * have / float(want)
-    first, last = F.floor(low).cast("int"), F.least(have, F.ceil(high - 1e-9).cast("int")) - 1
-    area = total(F.transform(F.sequence(first, last), lambda y: value(y) * (F.least(high, y + 1.0) - F.greatest(low, y.cast("double"))))) / (have / float(want))
-    at = F.greatest(F.lit(0.0), F.least((t + 0.5) * have / want - 0.5, have - 1.0))
-    linear = let(at, lambda a: value(F.floor(a).cast("int")) * (1 - a + F.floor(a)) + value(F.least(F.floor(a).cast("int") + 1, have - 1)) * (a - F.floor(a)))
-    return F.when(have >= want, area).otherwise(linear)
+def _cells(have: Column, want: int) -> Column:
+    """For each of want cells along an axis of have: its first place and the weights from there on, areas where it shrinks, linear
+    between centres where it grows."""
+
+    def cell(t: Column) -> Column:
+        low, high = t * have / float(want), (t + 1) * have / float(want)
+        first, last = F.floor(low).cast("int"), F.least(have, F.ceil(high - 1e-9).cast("int")) - 1
+        areas = F.transform(F.sequence(first, last), lambda y: (F.least(high, y + 1.0) - F.greatest(low, y.cast("double"))) / (have / float(want)))
+        at = F.greatest(F.lit(0.0), F.least((t + 0.5) * have / want - 0.5, have - 1.0))
+        part = at - F.floor(at)
+        linear = F.struct(F.floor(at).cast("int").alias("first"), F.when(part > 0, F.array(1 - part, part)).otherwise(F.array(F.lit(1.0))).alias("weights"))
+        return F.when(have >= want, F.struct(first.alias("first"), areas.alias("weights"))).otherwise(linear)
+
+    return F.transform(upto(want), cell)
 
 
 def _gray_row(image: Image, y: Column) -> Column:
     return let(_rows_read(image, y, 1), gray)
 
 
-def _row_shares(t: Column, image: Image, want: int) -> Column:
-    """Row t of want rows, as _shares makes a cell: the image's rows are added to it one by one."""
+def _row_shares(t: Column, image: Image, want: int, row_of: Body) -> Column:
+    """Row t of want rows, with weights as in _cells: the image's rows are added to it one by one."""
     have = image.height
     low, high = t * have / float(want), (t + 1) * have / float(want)
     first, last = F.floor(low).cast("int"), F.least(have, F.ceil(high - 1e-9).cast("int")) - 1
@@ -296,11 +302,11 @@ def _row_shares(t: Column, image: Image, want: int) -> Column:
 
     def add(row: Column, y: Column) -> Column:
         share = F.least(high, y + 1.0) - F.greatest(low, y.cast("double"))
-        return let(share, lambda w: F.zip_with(row, _gray_row(image, y), lambda a, g: a + g * w))
+        return let(share, lambda w: F.zip_with(row, row_of(y), lambda a, g: a + g * w))
 
     def between(a: Column) -> Column:
         y, part = F.floor(a).cast("int"), a - F.floor(a)
-        return F.zip_with(_gray_row(image, y), _gray_row(image, F.least(y + 1, have - 1)), lambda g, o: g * (1 - part) + o * part)
+        return F.zip_with(row_of(y), row_of(F.least(y + 1, have - 1)), lambda g, o: g * (1 - part) + o * part)
 
     area = F.transform(F.aggregate(F.sequence(first, last), zeros, add), lambda v: v / (have / float(want)))
     return F.when(have >= want, area).otherwise(let(F.greatest(F.lit(0.0), F.least((t + 0.5) * have / want - 0.5, have - 1.0)), between))
@@ -312,9 +318,12 @@ def resized(image: Image, rows: int, columns: int) -> Column:
 
 
 def resized_rows(image: Image, rows: int, columns: int) -> Column:
-    """The rows of the resized image; one that is as wide as the image stays as it is."""
-    narrow = lambda v: F.when(image.width == columns, v).otherwise(F.transform(upto(columns), lambda u: _shares(u, image.width, columns, lambda x: F.get(v, x))))
-    return F.transform(upto(rows), lambda t: let(_row_shares(t, image, rows), narrow))
+    """The rows of the resized image; one that is as wide as the image stays as it is. An image of one band has its rows read once."""
+    narrowed = lambda v, cells: F.transform(cells, lambda c: dot(F.slice(v, c["first"] + 1, F.size(c["weights"])), c["weights"]))
+    made = lambda row_of, cells: F.transform(upto(rows), lambda t: let(_row_shares(t, image, rows, row_of), lambda v: F.when(image.width == columns, v).otherwise(narrowed(v, cells))))
+    read = lambda y: _gray_row(image, y)
+    held = lambda cells: let(F.transform(upto(image.height), read), lambda g: made(lambda y: F.get(g, y), cells))
+    return let(_cells(image.width, columns), lambda cells: F.when(image.height <= _band_rows(image.width), held(cells)).otherwise(made(read, cells)))
 
 
 def dot(a: Column, b: Column) -> Column:

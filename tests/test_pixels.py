@@ -87,3 +87,16 @@ def test_pixels_are_measured_by_compiled_code(spark, data, name):
     """Only the making of numbers from bytes is left to interpreted lambdas, one a byte: the rest took most of the time."""
     plan = QUERIES[name](spark, data())._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan and plan.count("lambdafunction") == 1
+
+
+@pytest.mark.parametrize("band", (P.BAND, 200))
+def test_resized_rows_share_the_columns_weights(spark, monkeypatch, band):
+    """Shares were worked out for each cell of each row, and rows between two cells were read twice."""
+    monkeypatch.setattr(P, "BAND", band)
+    x = np.random.Generator(np.random.PCG64(5)).integers(0, 256, (19, 12, 3)).astype(np.uint8)
+    df = spark.createDataFrame([(bytearray(x.tobytes()),)], "content binary")
+    sizes = ((16, 5), (16, 16), (40, 7), (40, 12), (1, 1))
+    made = df.select(P.measured(F.col("content"), 12, lambda i: F.array(*(P.resized(i, *s) for s in sizes))).alias("v"))
+    for (h, w), v in zip(sizes, made.first()["v"]):
+        assert v == pytest.approx(K.resize(K.gray(x), h, w).ravel())
+    assert "slice(" in made._jdf.queryExecution().optimizedPlan().toString()
