@@ -141,6 +141,28 @@ def test_levels_are_unfolded_together(spark, monkeypatch):
     assert len(written) == 1
 
 
+def test_leaves_write_no_inner_nodes(spark, monkeypatch):
+    """Inner nodes were written with the leaves, each level had a second generator to make them, and documents were parsed twice."""
+    written, table = [], nested.Scratch.table
+
+    def noted(self, df, name):
+        out = table(self, df, name)
+        written.append((out.count(), df._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(nested.Scratch, "table", noted)
+    deep = '{"x":' * 20 + "[1,{}]" + "}" * 20
+    for more, tables in ([DOCS[0], '{"a":[{},{"$":"$"}]}', "{broken", None], 1), ([deep, f"[{deep},2,{deep}]"], 4):
+        written.clear()
+        rows = [(i % 9, d) for i, d in enumerate([*DOCS, *more])]
+        got = sorted(map(tuple, nested.flattened(spark.createDataFrame(rows, "id long, doc string"), "id", "doc").collect()), key=repr)
+        want = [(i, *n) for i, d in rows if d and d != "{broken" for n in plain_nodes(json.loads(d))]
+        assert got == sorted(((i, path, value) for i, path, _, value, leaf in want if leaf), key=repr)
+        assert len(written) == tables and written[-1][0] == len(got)
+        plan = written[0][1]
+        assert plan.count("variant_explode") == nested.LEVELS and "inline" not in plan and plan.lower().count("parsejson") == 1
+
+
 def test_guard(spark):
     df = spark.createDataFrame([(1, '{"steps":[{"name":1,"CoarseDropout":{"p":1}}]}'), (2, '{"fine":1}')], "id long, doc string")
     assert [tuple(r) for r in nested.forbidden_names(df, "id", "doc", ["coarsedropout"]).collect()] == [(1, "$.steps[0].CoarseDropout")]
