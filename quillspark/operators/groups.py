@@ -7,31 +7,20 @@ what explode makes of a row or how well sorted ids pack. A side taken for small
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 from math import comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillspark.functions.columns import hamming
+from quillspark.operators import buckets
 from quillspark.operators.components import connected_components
 from quillspark.scratch import Scratch
 
 
-def band_keys(bits: Column, threshold: int, width: int, parts: int) -> Column:
-    """Keys of the bits: each choice of parts - threshold of the parts. Fingerprints at most threshold bits apart agree in one (pigeonhole)."""
-    edges = [i * width // parts for i in range(parts + 1)]
-    cut = lambda i: F.shiftrightunsigned(bits, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    keys = []
-    for k, chosen in enumerate(combinations(range(parts), parts - threshold)):
-        value = F.lit(0).cast("long")
-        for i in chosen:
-            value = F.shiftleft(value, edges[i + 1] - edges[i]).bitwiseOR(cut(i))
-        keys.append(F.struct(F.lit(k).alias("band"), value.alias("value")))
-    return F.array(*keys)
-
-
 def band_parts(rows: int, threshold: int, width: int) -> int:
     """The fewest parts whose keys tell so many rows apart: with n rows, a key of log2(n) bits meets few others by chance."""
     wanted = min(max(8, rows.bit_length()), width // 2)
@@ -56,15 +45,20 @@ def _rows_and_information(classes: DataFrame, width: int) -> tuple[int, float]:
     return n, sum(-log2(x * x + (1 - x) * (1 - x)) for x in p) / width if n else 1.0
 
 
+def _edges(parts: int, width: int) -> list[tuple[int, int]]:
+    return [(i * width // parts, (i + 1) * width // parts) for i in range(parts)]
+
+
 def _keyed(classes: DataFrame, threshold: int, edges: Sequence[tuple[int, int]]) -> DataFrame:
-    """(first, bits, mask, upto, value): each row in the bucket of each key; mask names the key's parts, upto all parts to the last of these."""
+    """Each row of classes in the bucket of each key: with mask, that names the key's parts, upto, all parts to the last of these, and value.
+    Keys are all choices of threshold parts less than there are: fingerprints at most threshold bits apart agree in one (pigeonhole)."""
     keys = []
     for chosen in combinations(range(len(edges)), len(edges) - threshold):
         value = F.lit(0).cast("long")
         for low, high in (edges[i] for i in chosen):
             value = F.shiftleft(value, high - low).bitwiseOR(_stretch(F.col("bits"), low, high))
         keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("mask"), F.lit((2 << chosen[-1]) - 1).alias("upto"), value.alias("value")))
-    return classes.select("first", "bits", F.explode(F.array(*keys)).alias("b")).select("first", "bits", "b.*")
+    return classes.select("*", F.explode(F.array(*keys)).alias("b")).select(*classes.columns, "b.*")
 
 
 def _stretch(bits: Column, low: int, high: int) -> Column:
@@ -84,7 +78,7 @@ def near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int =
     classes = scratch.table(rows.groupBy("bits").agg(F.min("node").alias("first")), "classes")
     n, information = _rows_and_information(classes, width)
     parts = cheapest_parts(n, threshold, width, information)
-    edges = [(i * width // parts, (i + 1) * width // parts) for i in range(parts)]
+    edges = _edges(parts, width)
     split = _keyed(classes, threshold, edges)
     x, y = split.alias("x"), split.alias("y")
     met = x.join(y.hint("merge"), F.expr("x.mask = y.mask AND x.value = y.value AND x.first < y.first")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
@@ -95,43 +89,62 @@ def near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int =
     return across.union(within)
 
 
+#: Rows of a group of fingerprints above which it is dealt into smaller ones, by one part more.
+GROUP_ROWS = 1 << 18
+
+
+def _dealt(classes: DataFrame, threshold: int, edges: Sequence[tuple[int, int]]) -> tuple[DataFrame, dict[int, list[int]]]:
+    """Each row of classes in groups (prefix, value) that hold the buckets of its keys, and the masks of each prefix's buckets.
+
+    Keys that begin with the same part are one group: so a row is shuffled threshold + 1 times, not once a key. Groups above GROUP_ROWS
+    rows are dealt by the first two parts, and so on; one by all parts of a key is a bucket. Which groups are large, fewer than the
+    rows' copies by GROUP_ROWS, is all that comes to the driver.
+    """
+    count, size = len(edges), len(edges) - threshold
+    bits_of = lambda chosen: sum(1 << b for i in chosen for b in range(*edges[i]))
+    signed = lambda mask: F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+    dealt, masks, large = [], {}, []
+    for depth in range(1, size + 1):
+        begun = [c for c in combinations(range(count), depth) if c[-1] < threshold + depth]
+        masks |= {bits_of(c): [bits_of(c + rest) for rest in combinations(range(c[-1] + 1, count), size - depth)] for c in begun}
+        group = lambda c: F.struct(signed(bits_of(c)).alias("prefix"), F.col("bits").bitwiseAND(signed(bits_of(c))).alias("value"))
+        keys = F.explode(F.array(*(F.struct(group(c).alias("own"), group(c[:-1]).alias("above")) for c in begun))).alias("key")
+        rows = classes.select("first", "bits", keys).where(F.xxhash64("key.above.prefix", "key.above.value").isin(large) if depth > 1 else F.lit(True)).select("key.own.*", "first", "bits")
+        hashed = F.xxhash64("prefix", "value")
+        large = [] if depth == size else [r["h"] for r in rows.groupBy(hashed.alias("h")).count().where(F.col("count") > GROUP_ROWS).select("h").toLocalIterator()]
+        dealt.append(rows.where(~hashed.isin(large)) if large else rows)
+        if not large:
+            break
+    return reduce(DataFrame.union, dealt), {k - (1 << 64) if k >> 63 else k: m for k, m in masks.items()}
+
+
 def cluster_links(df: DataFrame, node: str, bits: str, threshold: int, scratch: Scratch, width: int = 64) -> DataFrame:
     """(a, b): links that join what near_pairs joins, but about as many as there are fingerprints, not all pairs.
 
-    In each bucket of a key the members are compared with the bucket's first only; what these links join is one part. In buckets that
-    still span several parts, members of different ones are compared with each other, but the largest one's never among themselves: a
-    group of n near variants costs about n comparisons a key, and no link between parts is lost.
+    In each bucket of a key the members are compared with the bucket's first only; what these links join is one part. Then, in buckets
+    that span several parts, members of different ones are compared with each other, but the largest one's never among themselves: a
+    group of n near variants costs about n comparisons a key, and no link between parts is lost. Both are done in tasks that hold the
+    buckets of many keys (buckets.links), so that keys themselves are never shuffled, nor what is found in their buckets.
     """
     rows = df.select(F.col(node).alias("node"), F.col(bits).alias("bits")).where("node IS NOT NULL AND bits IS NOT NULL")
     classes = scratch.table(rows.groupBy("bits").agg(F.min("node").alias("first")), "classes")
     within = rows.join(classes.hint("merge"), "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    parts = band_parts(classes.count(), threshold, width)
-    split = classes.select("first", "bits", F.explode(band_keys(F.col("bits"), threshold, width, parts)).alias("k")).select("k", "first", "bits")
-    lead = F.min(F.struct("first", "bits"))
-    leads = split.groupBy("k").agg(lead.alias("lead"), F.max("first").alias("last")).where("lead.first < last").select("k", "lead")
-    members = scratch.table(split.join(leads.hint("merge"), "k"), "members")  # buckets of two and more, with their first
-    near = members.where(hamming(F.col("bits"), F.col("lead.bits")) <= threshold).where("first <> lead.first")
-    links = scratch.table(near.select(F.col("lead.first").alias("a"), F.col("first").alias("b")).distinct(), "links")
-    # Two steps along links are enough for stars; what they leave apart is only compared once more than need be.
-    ends = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-    one = scratch.table(ends.select(F.col("a").alias("first"), F.least("a", "b").alias("low")), "steps")
-    found = one.join(one.select(F.col("first").alias("low"), F.col("low").alias("lower")).hint("merge"), "low", "left").select("first", F.coalesce("lower", "low").alias("part"))
-    placed = members.drop("lead").join(found.hint("merge"), "first", "left").select("k", "first", "bits", F.coalesce("part", "first").alias("part"))
-    spans = placed.groupBy("k").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("k")
-    open_ = scratch.table(placed.join(spans.hint("merge"), "k"), "open")
-    # In a bucket that spans parts, pairs across them; the largest one is only met by the others.
-    sizes = open_.groupBy("k", "part").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("k").agg(F.max(F.struct("n", "part"))["part"].alias("major"))
-    open_ = scratch.table(open_.join(scratch.table(major, "major").hint("merge"), "k"), "sided")
-    x, y = open_.where("part <> major").alias("x"), open_.alias("y")
-    across = x.join(y.hint("merge"), F.expr("x.k = y.k AND x.part <> y.part")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
-    return within.union(links).union(across.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct())
+    n, information = _rows_and_information(classes, width)
+    dealt, masks = _dealt(classes, threshold, _edges(cheapest_parts(n, threshold, width, information), width))
+    kind = classes.schema["first"].dataType
+    found = dealt.repartition("prefix", "value").sortWithinPartitions("prefix", "value").mapInArrow(partial(buckets.links, masks=masks, threshold=threshold), StructType([StructField("a", kind), StructField("b", kind)]))
+    return within.union(scratch.table(found.distinct(), "links"))
+
+
+def _with_component(df: DataFrame, node: str, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """df with the smallest node that links reach from a row; a row without links is alone."""
+    found = connected_components(links, scratch, "a", "b").withColumnRenamed("node", "_node")
+    return df.join(found.hint("merge"), df[node] == found["_node"], "left").select(*df.columns, F.coalesce("component", F.col(node)).alias(name))
 
 
 def clusters(df: DataFrame, node: str, bits: str, threshold: int, scratch: Scratch, width: int = 64) -> DataFrame:
     """df with cluster: the smallest node that links reach; a row without a fingerprint is alone."""
-    found = connected_components(cluster_links(df, node, bits, threshold, scratch, width), scratch, "a", "b").withColumnRenamed("node", "_node")
-    return df.join(found.hint("merge"), df[node] == found["_node"], "left").select(*df.columns, F.coalesce("component", F.col(node)).alias("cluster"))
+    return _with_component(df, node, cluster_links(df, node, bits, threshold, scratch, width), scratch, "cluster")
 
 
 def partition_intersection(df: DataFrame, labels: Sequence[str], node: str, name: str = "cluster") -> DataFrame:
@@ -143,8 +156,8 @@ def partition_intersection(df: DataFrame, labels: Sequence[str], node: str, name
 
 def dual_clusters(df: DataFrame, node: str, one: str, two: str, threshold: int, scratch: Scratch, width: int = 64) -> DataFrame:
     """The intersection of both fingerprints' transitive closures, not the closure of their agreement."""
-    first = clusters(df, node, one, threshold, scratch, width).withColumnRenamed("cluster", "_one")
-    both = clusters(first, node, two, threshold, scratch, width).withColumnRenamed("cluster", "_two")
+    links = [cluster_links(df, node, c, threshold, scratch, width) for c in (one, two)]
+    both = _with_component(_with_component(df, node, links[0], scratch, "_one"), node, links[1], scratch, "_two")
     return partition_intersection(both, ["_one", "_two"], node).drop("_one", "_two")
 
 
@@ -158,8 +171,7 @@ def merged_groups(df: DataFrame, node: str, keys: Sequence[str], scratch: Scratc
         rows = df.select(F.col(node).alias("node"), F.col(k).cast("string").alias("value")).where("value <> ''")
         first = rows.groupBy("value").agg(F.min("node").alias("first"))
         links.append(rows.join(first.hint("merge"), "value").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
-    found = connected_components(reduce(DataFrame.union, links), scratch, "a", "b").withColumnRenamed("node", "_node")
-    return df.join(found.hint("merge"), df[node] == found["_node"], "left").select(*df.columns, F.coalesce("component", F.col(node)).alias(name))
+    return _with_component(df, node, reduce(DataFrame.union, links), scratch, name)
 
 
 def group_key(df: DataFrame, node: str, policy: str, scratch: Scratch) -> DataFrame:

@@ -3,9 +3,10 @@
 import random
 from math import comb
 
+import numpy as np
 import pytest
 
-from quillspark.operators import groups
+from quillspark.operators import buckets, groups
 from quillspark.operators.groups import cluster_links, clusters, near_pairs
 from quillspark.scratch import Scratch
 
@@ -114,3 +115,46 @@ def test_dual_clusters_and_merged_groups_are_not_joined_in_the_driver(spark, no_
     df = spark.createDataFrame([(i, x, None if x is None else x ^ 1, str(x)) for i, x in enumerate(bits)], "id long, one long, two long, text string")
     assert groups.dual_clusters(df, "id", "one", "two", 6, Scratch(spark, "test"), 60).count() == len(bits)
     assert groups.merged_groups(df, "id", ["text"], Scratch(spark, "test")).count() == len(bits)
+
+
+@pytest.mark.parametrize("group_rows", [1, 60, 1 << 18])
+def test_large_groups_are_dealt_further(spark, monkeypatch, group_rows):
+    """Fingerprints of all 64 bits under text ids; groups above the limit are dealt by more parts, down to single buckets, and lose no link."""
+    monkeypatch.setattr(groups, "GROUP_ROWS", group_rows)
+    rng = random.Random(8)
+    low = rng.getrandbits(32)
+    base = [low | rng.getrandbits(32) << 32 for _ in range(150)]
+    bits = [*base, *(x ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 8))) for x in base * 2), *(rng.getrandbits(64) for _ in range(150))]
+    want = components(range(len(bits)), [(i, j) for i, a in enumerate(bits) for j, b in enumerate(bits[:i]) if (a ^ b).bit_count() <= 6])
+    df = spark.createDataFrame([(f"{i:04}", x - (1 << 64) if x >> 63 else x) for i, x in enumerate(bits)], "id string, bits long").repartition(3)
+    found = clusters(df, "id", "bits", 6, Scratch(spark, "test")).collect()
+    assert {int(r["id"]): int(r["cluster"]) for r in found} == want and len(set(want.values())) > 150
+
+
+def test_keys_are_not_shuffled(spark):
+    """Of 84 keys a row, the 7 groups that hold their buckets are dealt out."""
+    classes = spark.createDataFrame([(i, x) for i, x in enumerate(fingerprints(6)) if x is not None], "first long, bits long")
+    dealt, masks = groups._dealt(classes, 6, [(i * 60 // 9, (i + 1) * 60 // 9) for i in range(9)])
+    assert dealt.count() == 7 * classes.count() and sum(map(len, masks.values())) == comb(9, 6)
+
+
+@pytest.mark.parametrize("at_once", [7, 1 << 20])
+def test_a_crowded_bucket_is_not_compared_all_with_all(monkeypatch, at_once):
+    """20,000 near variants and lone ones in shared buckets: parts as brute force has them on a share, and few comparisons."""
+    monkeypatch.setattr(buckets, "PAIRS", at_once)
+    rng = random.Random(9)
+    middle = rng.getrandbits(60)
+    size = 300 if at_once < 100 else 20_000
+    bits = list({middle ^ sum(1 << k for k in rng.sample(range(60), 3)) for _ in range(size)} | {middle ^ rng.getrandbits(30) << 30 for _ in range(100)})
+    rng.shuffle(bits)
+    masks = [(1 << 30) - 1, ((1 << 30) - 1) << 30]
+    made = []
+    spanning = buckets._spanning
+    monkeypatch.setattr(buckets, "_spanning", lambda *a: made.append(spanning(*a)) or made[-1])
+    low = buckets.parts(np.array(bits, np.uint64), masks, 6)
+    assert sum(int(behind.sum()) for _, behind in made) < 300 * len(bits)
+    some = rng.sample(range(len(bits)), 250)
+    for i in some:
+        for j in some:
+            if (bits[i] ^ bits[j]).bit_count() <= 6 and any(bits[i] & m == bits[j] & m for m in masks):
+                assert low[i] == low[j]
