@@ -1,4 +1,4 @@
-"""Links within buckets of 64-bit fingerprints that agree in chosen bits, in numpy over Arrow batches of whole groups."""
+"""Links within buckets of 64-bit fingerprints that agree in chosen bits, in numpy over Arrow batches of whole groups."""
 
 from __future__ import annotations
 
@@ -70,6 +70,20 @@ def _spanning(keys: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[place], np.where(last[place], 0, ends - np.arange(len(order)) - 1)
 
 
+def _near(bits: np.ndarray, mask: int, label: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places at most threshold bits apart in the mask's buckets, but for those that both lie in a bucket's largest part."""
+    order, behind = _spanning(bits & mask, label)
+    total, low = np.cumsum(behind), 0
+    while low < len(order):
+        done = total[low] - behind[low]
+        high = max(low + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        x = np.repeat(np.arange(low, high), behind[low:high])
+        y = x + 1 + np.arange(len(x)) - np.repeat(total[low:high] - behind[low:high] - done, behind[low:high])
+        x, y, low = order[x], order[y], high
+        near = np.bitwise_count(bits[x] ^ bits[y]) <= threshold
+        yield x[near], y[near]
+
+
 def parts(bits: np.ndarray, masks: list[int], threshold: int) -> np.ndarray:
     """For each place the smallest place that it reaches by links: between fingerprints that agree in all bits of a mask and differ in at
     most threshold bits. First each bucket's members are compared with its first, then across what these links leave apart."""
@@ -81,16 +95,8 @@ def parts(bits: np.ndarray, masks: list[int], threshold: int) -> np.ndarray:
         near = np.bitwise_count(bits[order] ^ bits[lead]) <= threshold
         label = _merge(label, lead[near], order[near])
     for mask in np.array(masks, np.uint64):
-        order, behind = _spanning(bits & mask, label)
-        total, low = np.cumsum(behind), 0
-        while low < len(order):
-            done = total[low] - behind[low]
-            high = max(low + 1, int(np.searchsorted(total, done + PAIRS, "right")))
-            x = np.repeat(np.arange(low, high), behind[low:high])
-            y = x + 1 + np.arange(len(x)) - np.repeat(total[low:high] - behind[low:high] - done, behind[low:high])
-            x, y = order[x], order[y]
-            near = np.bitwise_count(bits[x] ^ bits[y]) <= threshold
-            label, low = _merge(label, x[near], y[near]), high
+        for x, y in _near(bits, mask, label, threshold):
+            label = _merge(label, x, y)
     return label
 
 
@@ -101,3 +107,19 @@ def links(batches: Iterator[pa.RecordBatch], masks: dict[int, list[int]], thresh
         low = parts(t["bits"].to_numpy().view(np.uint64), masks[t["prefix"][0].as_py()], threshold)
         linked = np.flatnonzero(low != np.arange(len(low)))
         yield pa.RecordBatch.from_arrays([first.take(pa.array(low[linked])), first.take(pa.array(linked))], ["a", "b"])
+
+
+def pairs(batches: Iterator[pa.RecordBatch], masks: dict[int, list[int]], threshold: int, bands: list[int]) -> Iterator[pa.RecordBatch]:
+    """(a, b): all pairs at most threshold bits apart, each in the first bucket that it shares only: that of the first bands that agree."""
+    bands = np.array(bands, np.uint64)
+    for t in whole_groups(batches):
+        first, bits = t["first"].combine_chunks(), t["bits"].to_numpy().view(np.uint64)
+        for mask in masks[t["prefix"][0].as_py()]:
+            upto = np.uint64((1 << mask.bit_length()) - 1)
+            for x, y in _near(bits, np.uint64(mask), np.arange(len(bits)), threshold):
+                agree = np.zeros(len(x), np.uint64)
+                for band in bands:
+                    agree |= np.where((bits[x] ^ bits[y]) & band == 0, band, np.uint64(0))
+                own = agree & upto == mask
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([first.take(pa.array(x[own])), first.take(pa.array(y[own]))], ["a", "b"])

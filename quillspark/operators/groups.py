@@ -6,7 +6,7 @@ what explode makes of a row or how well sorted ids pack. A side taken for small
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial, reduce
 from itertools import combinations
 from math import comb, log2
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quillspark.functions.columns import hamming
 from quillspark.operators import buckets
 from quillspark.operators.components import connected_components
 from quillspark.scratch import Scratch
@@ -27,12 +26,12 @@ def band_parts(rows: int, threshold: int, width: int) -> int:
     return next(k for k in range(threshold + 2, width + 1) if (k - threshold) * width // k >= wanted)
 
 
-#: A comparison of two rows of a bucket, as a part of what a key costs that is shuffled. Only how the work is spread hangs on it, never a result.
+#: A comparison of two rows of a bucket, as a part of what a key costs a row. Only how the work is spread hangs on it, never a result.
 COMPARISON = 0.05
 
 
 def cheapest_parts(rows: int, threshold: int, width: int, information: float = 1.0) -> int:
-    """The number of parts whose keys are cheapest: more parts make more keys to shuffle, but longer ones, that fewer rows share.
+    """The number of parts whose keys are cheapest: more parts make more keys to sort, but longer ones, that fewer rows share.
     information is how much of a bit a bit tells: 1 where half of the rows have it, less where most or few do."""
     choices = range(max(2, threshold + 1), max(2, threshold + 1, min(width, threshold + 7)) + 1)
     return min(choices, key=lambda k: comb(k, threshold) * (1 + COMPARISON * rows / 2 ** ((k - threshold) * width // k * information)))
@@ -49,46 +48,6 @@ def _edges(parts: int, width: int) -> list[tuple[int, int]]:
     return [(i * width // parts, (i + 1) * width // parts) for i in range(parts)]
 
 
-def _keyed(classes: DataFrame, threshold: int, edges: Sequence[tuple[int, int]]) -> DataFrame:
-    """Each row of classes in the bucket of each key: with mask, that names the key's parts, upto, all parts to the last of these, and value.
-    Keys are all choices of threshold parts less than there are: fingerprints at most threshold bits apart agree in one (pigeonhole)."""
-    keys = []
-    for chosen in combinations(range(len(edges)), len(edges) - threshold):
-        value = F.lit(0).cast("long")
-        for low, high in (edges[i] for i in chosen):
-            value = F.shiftleft(value, high - low).bitwiseOR(_stretch(F.col("bits"), low, high))
-        keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("mask"), F.lit((2 << chosen[-1]) - 1).alias("upto"), value.alias("value")))
-    return classes.select("*", F.explode(F.array(*keys)).alias("b")).select(*classes.columns, "b.*")
-
-
-def _stretch(bits: Column, low: int, high: int) -> Column:
-    return F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-
-
-def near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int = 64, scratch: Scratch | None = None) -> DataFrame:
-    """(a, b), a < b, of rows whose fingerprints, of width bits, differ in at most threshold bits.
-
-    Equal fingerprints are one class, so copies don't multiply: pairs of classes come from keys of several parts each, as long as is
-    cheapest for so many rows and for what their bits tell, and each further row of a class is paired with the class's first row
-    only. No links between differing texts are lost. A pair that shares several buckets is listed in the first alone, which is
-    the one whose key is their first parts that agree: so no shuffle is needed to make pairs distinct.
-    """
-    scratch = scratch or Scratch(df.sparkSession, "near_pairs")
-    rows = df.select(F.col(node).alias("node"), F.col(bits).alias("bits")).where("node IS NOT NULL AND bits IS NOT NULL")
-    classes = scratch.table(rows.groupBy("bits").agg(F.min("node").alias("first")), "classes")
-    n, information = _rows_and_information(classes, width)
-    parts = cheapest_parts(n, threshold, width, information)
-    edges = _edges(parts, width)
-    split = _keyed(classes, threshold, edges)
-    x, y = split.alias("x"), split.alias("y")
-    met = x.join(y.hint("merge"), F.expr("x.mask = y.mask AND x.value = y.value AND x.first < y.first")).where(hamming(F.col("x.bits"), F.col("y.bits")) <= threshold)
-    differ = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
-    agree = reduce(Column.bitwiseOR, (F.when(_stretch(differ, *e) == 0, 1 << i).otherwise(0) for i, e in enumerate(edges)))
-    across = met.where(agree.bitwiseAND(F.col("x.upto")) == F.col("x.mask")).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
-    within = rows.join(classes.hint("merge"), "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    return across.union(within)
-
-
 #: Rows of a group of fingerprints above which it is dealt into smaller ones, by one part more.
 GROUP_ROWS = 1 << 18
 
@@ -118,6 +77,56 @@ def _dealt(classes: DataFrame, threshold: int, edges: Sequence[tuple[int, int]])
     return reduce(DataFrame.union, dealt), {k - (1 << 64) if k >> 63 else k: m for k, m in masks.items()}
 
 
+def _in_groups(dealt: DataFrame, found: Callable[..., Iterator]) -> DataFrame:
+    """(a, b): what found makes of each group, in tasks that hold whole groups."""
+    kind = dealt.schema["first"].dataType
+    return dealt.repartition("prefix", "value").sortWithinPartitions("prefix", "value").mapInArrow(found, StructType([StructField("a", kind), StructField("b", kind)]))
+
+
+def _near_classes(classes: DataFrame, threshold: int, width: int) -> DataFrame:
+    """(a, b), a < b: every pair of classes (first, bits) at most threshold bits apart, once. A pair that shares several buckets is listed
+    in the first alone, which is the one whose key is their first parts that agree: so no shuffle is needed to make pairs distinct."""
+    n, information = _rows_and_information(classes, width)
+    edges = _edges(cheapest_parts(n, threshold, width, information), width)
+    dealt, masks = _dealt(classes, threshold, edges)
+    bands = [sum(1 << b for b in range(*e)) for e in edges]
+    return _in_groups(dealt, partial(buckets.pairs, masks=masks, threshold=threshold, bands=bands)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int = 64, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b), a < b: the short form of all_near_pairs, for callers that unfold copies themselves. Equal fingerprints are one class: pairs
+    of classes, named by their first rows, and each further row of a class with its first."""
+    scratch = scratch or Scratch(df.sparkSession, "near_pairs")
+    rows = df.select(F.col(node).alias("node"), F.col(bits).alias("bits")).where("node IS NOT NULL AND bits IS NOT NULL")
+    classes = scratch.table(rows.groupBy("bits").agg(F.min("node").alias("first")), "classes")
+    within = rows.join(classes.hint("merge"), "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return _near_classes(classes, threshold, width).union(within)
+
+
+#: Rows of a class that are paired at once.
+BLOCK_ROWS = 1024
+
+
+def all_near_pairs(df: DataFrame, node: str, bits: str, threshold: int, width: int = 64, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b), a < b: every pair of rows whose fingerprints, of width bits, differ in at most threshold bits (J4). node names a row.
+
+    Fingerprints are compared once, however many rows have them; then each pair of classes, and each class with itself, is unfolded to
+    the pairs of their rows. Large classes are unfolded block by block, so that no task has to pair a class whole.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "near_pairs")
+    rows = df.select(F.col(node).alias("node"), F.col(bits).alias("bits")).where("node IS NOT NULL AND bits IS NOT NULL")
+    blocks = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
+    classes = scratch.table(rows.groupBy("bits").agg(F.struct(F.min("node").alias("name"), blocks.alias("blocks")).alias("first"), F.count("*").alias("n")), "classes")
+    block = F.pmod(F.xxhash64("node"), F.col("first.blocks")).cast("int")
+    members = scratch.table(rows.join(classes.hint("merge"), "bits").select(F.col("first.name").alias("name"), block.alias("block"), "node"), "members")
+    met = _near_classes(classes, threshold, width).union(classes.where("n > 1").select(F.col("first").alias("a"), F.col("first").alias("b")))
+    some = met.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.explode(F.expr("sequence(0, a.blocks - 1)")).alias("i"), F.col("b.blocks").alias("blocks"))
+    units = scratch.table(some.select("a", "b", "i", F.explode(F.expr("sequence(if(a = b, i, 0), blocks - 1)")).alias("j")), "units")
+    x, y = (members.select(F.col("name").alias(c), F.col("block").alias(k), F.col("node").alias(v)) for c, k, v in (("a", "i", "x"), ("b", "j", "y")))
+    found = units.join(x.hint("merge"), ["a", "i"]).join(y.hint("merge"), ["b", "j"]).where("a <> b OR i <> j OR x < y")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def cluster_links(df: DataFrame, node: str, bits: str, threshold: int, scratch: Scratch, width: int = 64) -> DataFrame:
     """(a, b): links that join what near_pairs joins, but about as many as there are fingerprints, not all pairs.
 
@@ -131,8 +140,7 @@ def cluster_links(df: DataFrame, node: str, bits: str, threshold: int, scratch:
     within = rows.join(classes.hint("merge"), "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     n, information = _rows_and_information(classes, width)
     dealt, masks = _dealt(classes, threshold, _edges(cheapest_parts(n, threshold, width, information), width))
-    kind = classes.schema["first"].dataType
-    found = dealt.repartition("prefix", "value").sortWithinPartitions("prefix", "value").mapInArrow(partial(buckets.links, masks=masks, threshold=threshold), StructType([StructField("a", kind), StructField("b", kind)]))
+    found = _in_groups(dealt, partial(buckets.links, masks=masks, threshold=threshold))
     return within.union(scratch.table(found.distinct(), "links"))
 
 

@@ -296,10 +296,10 @@ def _edges(column: str) -> str:
     return f"SELECT x.doc_id AS a, y.doc_id AS b FROM fp x JOIN fp y ON x.doc_id <> y.doc_id AND bit_count(xor(x.{column}, y.{column})) <= {NEAR}"
 
 
-@query("J4", f"WITH {FP} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT x.f AS a, y.f AS b FROM (SELECT one, min(doc_id) AS f FROM fp GROUP BY one) x JOIN (SELECT one, min(doc_id) AS f FROM fp GROUP BY one) y ON x.f < y.f AND bit_count(xor(x.one, y.one)) <= {NEAR} UNION ALL SELECT f, doc_id FROM fp JOIN (SELECT one, min(doc_id) AS f FROM fp GROUP BY one) USING (one) WHERE f <> doc_id)")
+@query("J4", f"WITH {FP} SELECT x.doc_id AS a, y.doc_id AS b FROM fp x JOIN fp y ON x.doc_id < y.doc_id AND bit_count(xor(x.one, y.one)) <= {NEAR}")
 def j4(spark, d):
     scratch = Scratch(spark, "j4")
-    return groups.near_pairs(scratch.table(fingerprints(spark, d), "fingerprints"), "doc_id", "one", NEAR, BITS, scratch)
+    return groups.all_near_pairs(scratch.table(fingerprints(spark, d), "fingerprints"), "doc_id", "one", NEAR, BITS, scratch)
 
 
 @query("J5", f"WITH {G} SELECT key, prediction, c_name FROM g JOIN orders ON key = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey")

@@ -158,3 +158,25 @@ def test_a_crowded_bucket_is_not_compared_all_with_all(monkeypatch, at_once):
         for j in some:
             if (bits[i] ^ bits[j]).bit_count() <= 6 and any(bits[i] & m == bits[j] & m for m in masks):
                 assert low[i] == low[j]
+
+
+@pytest.mark.parametrize("block_rows", [3, 1024])
+def test_every_near_pair_is_listed(spark, no_broadcast, monkeypatch, block_rows):
+    """Rows of equal fingerprints are paired with each other and with all that is near, each pair once; large classes block by block."""
+    monkeypatch.setattr(groups, "BLOCK_ROWS", block_rows)
+    bits = [*fingerprints(11, 150), *(fingerprints(11, 150)[150:170] * 4)]
+    want = {(i, j) for j, b in enumerate(bits) for i, a in enumerate(bits[:j]) if a is not None and b is not None and (a ^ b).bit_count() <= 6}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(bits)] + [(None, bits[0])], "id long, bits long").repartition(3)
+    got = [tuple(r) for r in groups.all_near_pairs(df, "id", "bits", 6, 60, Scratch(spark, "test")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_query_lists_pairs_of_copies_and_what_is_near_them(spark, tmp_path):
+    """Three texts of the same words in other orders: every pair of them, and of their copies, is one of J4's."""
+    from quillspark.plans.queries import QUERIES
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words[::-1]), " ".join(words), "another text altogether", " ".join(words[5:] + words[:5])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in QUERIES["J4"](spark, str(tmp_path)).select("a", "b").collect()}
+    assert got == {(0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4)}
